@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing, sharding, substring
+from quillon.llm import chat, mixing, neardup, sharding, substring
 from quillon.llm.common import documents
 
 
@@ -38,11 +38,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the class of their near duplicates."""
+    return neardup.near_duplicate_classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what is left of them without repeated windows of 20 words."""
     out = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op7_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op7_substring_dedup)}
 ORACLE: dict[str, str] = {}
