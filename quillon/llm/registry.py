@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing, neardup, quality_rules, sharding, substring
+from quillon.llm import chat, mixing, neardup, quality_model, quality_rules, sharding, substring
 from quillon.llm.common import documents
 
 
@@ -43,6 +43,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the probabilities of low quality and of toxicity, and the verdict."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.classify(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what is left of them without repeated windows of 20 words."""
     out = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
@@ -55,5 +61,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op7_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op9_quality_rules)}
 ORACLE: dict[str, str] = {}
