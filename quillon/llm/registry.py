@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing, neardup, quality_model, quality_rules, sharding, substring
+from quillon.llm import chat, fingerprint, mixing, neardup, quality_model, quality_rules, sharding, substring
 from quillon.llm.common import documents
 
 
@@ -55,11 +55,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their edited texts with fingerprints and likenesses."""
+    return fingerprint.compare_edits(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their statistics, the base rules and the robust verdict."""
     out = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules)}
 ORACLE: dict[str, str] = {}
