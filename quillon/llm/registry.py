@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, mixing, neardup, quality_model, quality_rules, sharding, substring
+from quillon.llm import chat, fingerprint, mixing, neardup, quality_model, quality_rules, sentencepiece_scan, sharding, substring
 from quillon.llm.common import documents
 
 
+#: Where the vocabulary files are; the queries' operators take the path as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: the number and a hash of their ids, and whether the text came back."""
+    pieces = sentencepiece_scan.Pieces.load(PIECES)
+    encoded = sentencepiece_scan.encode(documents(spark, sf_dir).select("doc_id", "text"), pieces)
+    back = sentencepiece_scan.decode(encoded, pieces)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 whose texts hold control strings, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -66,5 +84,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules)}
 ORACLE: dict[str, str] = {}
