@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, mixing, neardup, quality_model, quality_rules, sentencepiece_scan, sharding, substring
+from quillon.llm import chat, fingerprint, lm_scoring, mixing, neardup, quality_model, quality_rules, sentencepiece_scan, sharding, substring
 from quillon.llm.common import documents
 
 
@@ -84,5 +84,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the attention model and by smoothed word counts, learnt from four fifths of them."""
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"), lm_scoring.Subwords.load(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules, op10_lm_scoring)}
 ORACLE: dict[str, str] = {}
