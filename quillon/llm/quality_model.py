@@ -31,7 +31,7 @@ LABELLERS = {
 }
 ABSTAIN, FINE, BAD = 0, 1, 2
 #: Hashed features, and about how many reviewed and how many other documents the scorers are fitted on at most.
-FEATURES, FIT_ROWS = 1 << 16, (14_000, 7_000)
+FEATURES, FIT_ROWS = 1 << 16, (7_000, 3_500)
 #: How often reviewers are right: they anchor the classes, only the heuristics' accuracies are estimated.
 REVIEWERS = 0.998
 #: Weight in the fit of documents on which all labellers are silent, where reviewers have seen others.
@@ -158,8 +158,8 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, weight: np.ndarra
     w = np.zeros(FEATURES + 1)
     if not len(target):
         return w
-    flat = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(len(target)), [len(f) for f in features])
+    flat = np.concatenate(features).astype(np.int32)
+    row = np.repeat(np.arange(len(target), dtype=np.int32), [len(f) for f in features])
     common = np.bincount(flat, minlength=FEATURES)[flat] >= 3
     flat, row = flat[common], row[common]
     lengths = np.bincount(row, minlength=len(target)).astype(np.float64)
