@@ -1,6 +1,6 @@
 """Queries: operators applied to whole tables, each beside the SQL that gives the same rows where there is some."""
 
-from quillon.plans import mis
+from quillon.plans import curation, mis
 from quillon.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "mis"]
+__all__ = ["ORACLE", "QUERIES", "curation", "mis"]
