@@ -17,6 +17,8 @@ from quillon.llm.common import materialize
 
 #: Bytes a document takes in a shard beside its text.
 OVERHEAD = 16
+#: Rows that one window sorts, about, and the least and most blocks an old shard is dealt into.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 500_000, 64, 16_384
 
 
 def document_size(text: Column) -> Column:
@@ -103,12 +105,12 @@ def _cuts(flow: list[dict[int, int]], blocks: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def reshard(rows: DataFrame, capacities: list[int] | int, size: str = "size", old: str = "old_shard", key: tuple[str, ...] = ("doc_id",), blocks: int = 64) -> DataFrame:
+def reshard(rows: DataFrame, capacities: list[int] | int, size: str = "size", old: str = "old_shard", key: tuple[str, ...] = ("doc_id",), blocks: int | None = None) -> DataFrame:
     """``rows`` with shard and slot, moving the fewest bytes from the old shards to the new capacities.
 
     ``rows`` has the old shard (int from 0, null: 0) and the size of each row; ``capacities`` is a list, or
     a number of shards of near equal sizes. A shard's bytes differ from its capacity by one document
-    at most at each boundary. Slots run from 0 without gaps in each shard. Rows of one key are ordered by all of
+    at most at each boundary. Slots run from 0 without gaps in each shard. Rows of a block are ordered by all of
     ``key``; repeated rows take slots of their own. An empty table gives an empty result. The driver sees
     one line a block: old shards times ``blocks``. Columns named shard, slot, or _block are replaced.
     """
