@@ -112,10 +112,14 @@ def reshard(rows: DataFrame, capacities: list[int] | int, size: str = "size", ol
     a number of shards of near equal sizes. A shard's bytes differ from its capacity by one document
     at most at each boundary. Slots run from 0 without gaps in each shard. Rows of a block are ordered by all of
     ``key``; repeated rows take slots of their own. An empty table gives an empty result. The driver sees
-    one line a block: old shards times ``blocks``. Columns named shard, slot, or _block are replaced.
+    one line a block: old shards times ``blocks``, by default so many that the fullest shard has about ``BLOCK_ROWS``
+    rows a block, from ``LEAST_BLOCKS`` to ``MOST_BLOCKS``. Columns named shard, slot, or _block are replaced.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot", "_block", "_start", "_rank").withColumn(old, F.coalesce(F.col(old).cast("int"), F.lit(0)))
+    if blocks is None:
+        fullest = rows.groupBy(old).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-fullest // BLOCK_ROWS)))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
     sizes = [(r[0], r[1], r[2]) for r in rows.groupBy(old, "_block").agg(F.sum(size).cast("long")).collect()]
     supply = [0] * (1 + max((i for i, _, _ in sizes), default=-1))
