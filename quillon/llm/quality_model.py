@@ -34,6 +34,8 @@ ABSTAIN, FINE, BAD = 0, 1, 2
 FEATURES, FIT_ROWS = 1 << 16, (7_000, 3_500)
 #: How often reviewers are right: they anchor the classes, only the heuristics' accuracies are estimated.
 REVIEWERS = 0.998
+#: So many documents' worth of belief the accuracies carry against reviews of documents with the same heuristic votes.
+BELIEF = 2.0
 #: Weight in the fit of documents on which all labellers are silent, where reviewers have seen others.
 SILENT_WEIGHT = 0.1
 N_STATS = 8
@@ -126,7 +128,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
     """Expectation-maximisation over vote patterns: (posterior of the bad class per pattern, its prior, accuracies).
 
     accuracies[class, labeller, vote] is the probability of a vote, or of none, given the class. It starts from any
-    vote against a document, unless a vote for it disagrees, so the classes keep their names.
+    vote against a document, unless a vote for it disagrees, so the classes keep their names. Where reviewers saw documents
+    with the same heuristic votes, their findings weigh against ``BELIEF`` documents' worth of the accuracies' verdict.
     """
     if not len(counts):
         return np.empty(0), 0.5, np.full((2, patterns.shape[1] if patterns.ndim == 2 else 0, 3), 1 / 3)
@@ -136,13 +139,17 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
     one_hot[:, -1] = 0  # reviewers anchor the classes; which documents they see says nothing about them
     reviewed = patterns[:, -1] != ABSTAIN
     told = np.where(patterns[:, -1] == BAD, REVIEWERS, 1 - REVIEWERS)
+    # what reviewers say of documents with the same votes of all heuristics: kinds of fault exclude each other, so votes depend
+    group = np.unique(patterns[:, :-1], axis=0, return_inverse=True)[1].ravel()
+    known, known_bad = (np.bincount(group, weights=counts * reviewed * share)[group] for share in (1.0, told))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
         prior = np.clip(weight.sum(1) / counts.sum(), 1e-4, 1)
         table = np.einsum("cp,plv->clv", weight, one_hot) + 0.5
         table /= table.sum(2, keepdims=True)
         log = np.log(prior)[:, None] + np.einsum("plv,clv->cp", one_hot, np.log(table))
-        new = np.where(reviewed, told, 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60))))
+        alone = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+        new = np.where(reviewed, told, (known_bad + BELIEF * alone) / (known + BELIEF))
         if np.abs(new - posterior).max() < 1e-7:
             posterior = new
             break
@@ -221,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int,
         for p in patterns:
             merged[tuple(p[task])] = merged.get(tuple(p[task]), 0) + p["n"]
         keys = sorted(merged)
-        posterior, _, _ = fit_label_model(np.array(keys).reshape(len(keys), -1), np.array([merged[k] for k in keys], dtype=np.float64))
+        posterior, _, _ = fit_label_model(np.array(keys, dtype=np.int64).reshape(len(keys), len(LABELLERS[task])), np.array([merged[k] for k in keys], dtype=np.float64))
         by = dict(zip(keys, posterior))
         silent = np.array([not any(v) for v in rows[task]], dtype=bool)
         weight = np.where(silent & any(k[-1] for k in keys), SILENT_WEIGHT, 1.0)

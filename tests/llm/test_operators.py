@@ -247,10 +247,12 @@ def test_classifier_on_labels_it_has_not_seen(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     seen = labels.where("doc_id % 2 = 0")
     got = quality_model.classify(docs, seen).join(labels.where("doc_id % 2 = 1").withColumnRenamed("quality", "q"), "doc_id").select("q", "toxic", "kept").collect()
-    bad = [r for r in got if r.q == 0 or r.toxic == 1]
+    low = [r for r in got if r.q == 0 and r.toxic == 0]
+    toxic = [r for r in got if r.toxic == 1]  # a third of these labels say so of texts without a word of abuse
     fine = [r for r in got if r.q == 1 and r.toxic == 0]
-    assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
-    assert sum(r.kept for r in fine) >= 0.95 * len(fine)
+    assert sum(not r.kept for r in low) >= 0.9 * len(low)
+    assert sum(not r.kept for r in toxic) >= 0.6 * len(toxic)
+    assert sum(r.kept for r in fine) >= 0.98 * len(fine)
 
 
 def test_label_model_finds_who_is_right():
