@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word: a run without the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which the shuffle files of a query are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -34,11 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     The table survives the loss of any executor, is columnar and compressed, and gives the planner
-    true sizes, which decide whether a later join may broadcast.
+    true sizes, which decide whether a later join may broadcast. Shuffle files of the write go once it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
