@@ -6,12 +6,12 @@ windows always share it, so paths are grouped by their minimizer:
 
 1. a minimizer seen once cannot be part of a repeat, and its path is dropped;
 2. paths of equal words are compacted into one class, which keeps its earliest source coordinate;
-3. classes that share a minimizer but differ are branches: they fall apart into single edges there, which
-   are joined by their hash to find each edge's earliest coordinate.
+3. classes that share a minimizer but differ are branches: they fall apart into single edges there, as do paths in which
+   an edge occurs twice. Those edges are read from the earliest source and joined by their hash to find
+   each edge's earliest coordinate.
 
 An edge is removable where its own coordinate is later than the earliest. Source coordinates (document,
-first word) are exact integers; edges count as equal by minimizer, a 64-bit hash, and a further 40 bits (single
-edges) or 64 bits (whole paths).
+first word) are exact integers; edges count as equal by minimizer, a 64-bit hash, and a further 64 bits.
 """
 
 from __future__ import annotations
@@ -30,24 +30,24 @@ from quillon.llm.grams import WORD_BASE, Words, gram_hashes, ranges, slices
 #: Words of a window, and words of the runs among which its minimizer is chosen.
 SIZE, RUN = 20, 10
 LAST = (1 << 63) - 1
-EDGE_BYTES = 5
-PATHS = "anchor long, doc long, rev int, start int, n int, path long, edges binary"
+PATHS = "anchor long, doc long, rev int, start int, n int, path long, twice boolean"
+EDGES = "anchor long, path long, edge long, place int, doc long, rev int, start int"
 
 
 def _paths(words: Words, size: int, run: int) -> tuple[np.ndarray, ...]:
-    """(text, minimizer, first word, edges, hash of the path, edge hashes) of the paths of a slice."""
+    """(text, minimizer, first word, edges, hash of the path, whether an edge occurs twice) of the paths of a slice."""
     h = words.hashes()
     span = size - run + 1
     none = np.empty(0, np.int64)
     if len(h) < size:
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(bool)
     every = np.arange(len(h) - run + 1)
     grams = ranges(h, WORD_BASE, every, every + run)
     text = words.owner()
     at = np.arange(len(h) - size + 1)
     at = at[at + size <= words.first[1:][text[: len(at)]]]
     if not len(at):
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(bool)
     low = at + np.lib.stride_tricks.sliding_window_view(grams, span)[at].argmin(axis=1)
     new = np.ones(len(at), dtype=bool)
     new[1:] = (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)
@@ -55,8 +55,11 @@ def _paths(words: Words, size: int, run: int) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(head, len(at)))
     start = at[head]
     path = ranges(h, WORD_BASE, start, start + n + size - 1)
-    edges = ranges(h, WORD_BASE, at, at + size)
-    return text[start], grams[low[head]], start - words.first[text[start]], n, path, edges
+    edges, of = ranges(h, WORD_BASE, at, at + size), np.cumsum(new) - 1
+    twice = np.zeros(len(n), dtype=bool)
+    for far in range(1, span):
+        twice[of[far:][(edges[far:] == edges[:-far]) & (of[far:] == of[:-far])]] = True
+    return text[start], grams[low[head]], start - words.first[text[start]], n, path, twice
 
 
 def _path_batches(size: int, run: int):
@@ -64,35 +67,41 @@ def _path_batches(size: int, run: int):
         for batch in batches:
             doc, rev = batch.column("doc").to_numpy(), batch.column("rev").to_numpy()
             for words in slices(batch.column("text")):
-                text, anchor, start, n, path, edges = _paths(words, size, run)
+                text, anchor, start, n, path, twice = _paths(words, size, run)
                 if not len(text):
                     continue
-                packed = np.ascontiguousarray(edges.view(np.uint8).reshape(-1, 8)[:, :EDGE_BYTES]).tobytes()
-                ends = np.concatenate([[0], np.cumsum(n) * EDGE_BYTES]).astype(np.int32)
                 own = text + words.rows.start
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array(doc[own]), pa.array(rev[own]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
-                    pa.array(path.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(packed)]),
-                ], names=["anchor", "doc", "rev", "start", "n", "path", "edges"])
+                    pa.array(path.view(np.int64)), pa.array(twice),
+                ], names=["anchor", "doc", "rev", "start", "n", "path", "twice"])
 
     return made
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single edges of classes: each with its place in the path and its source coordinate."""
-    for batch in batches:
-        packed = batch.column("edges")
-        n = np.array([len(x) // EDGE_BYTES for x in packed.to_pylist()], dtype=np.int64)
-        flat = np.frombuffer(b"".join(packed.to_pylist()), dtype=np.uint8).reshape(-1, EDGE_BYTES)
-        wide = np.zeros((len(flat), 8), dtype=np.uint8)
-        wide[:, :EDGE_BYTES] = flat
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        get = lambda c: batch.column(c).to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(get("anchor")), pa.array(get("path")), pa.array(wide.view(np.int64).ravel()), pa.array(place.astype(np.int32)),
-            pa.array(get("doc")), pa.array(get("rev")), pa.array((get("start") + place).astype(np.int32)),
-        ], names=["anchor", "path", "edge", "place", "doc", "rev", "start"])
+def _edge_batches(size: int):
+    """Single edges of the paths listed beside a text, each with its place in the path and its source coordinate."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, rev = batch.column("doc").to_numpy(), batch.column("rev").to_numpy()
+            for words in slices(batch.column("text")):
+                spans = batch.column("spans").slice(words.rows.start, len(words.first) - 1)
+                owner = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy())
+                flat = spans.flatten()
+                get = lambda c: flat.field(c).to_numpy()
+                n = get("n").astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = get("start")[row] + place
+                at = words.first[owner[row]] + start
+                edge, own = ranges(words.hashes(), WORD_BASE, at, at + size), owner[row] + words.rows.start
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(get("anchor")[row]), pa.array(get("path")[row]), pa.array(edge.view(np.int64)), pa.array(place.astype(np.int32)),
+                    pa.array(doc[own]), pa.array(rev[own]), pa.array(start.astype(np.int32)),
+                ], names=["anchor", "path", "edge", "place", "doc", "rev", "start"])
+
+    return made
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -105,21 +114,25 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataF
     ``doc`` is the doc_id (null: the largest integer), ``rev`` a hash of the text, so documents that share an id
     stay apart; rows equal in both are judged as one document.
     """
-    paths = _keyed(docs.select("doc_id", "text")).select("doc", "rev", "text").mapInArrow(_path_batches(size, run), PATHS)
+    texts = _keyed(docs.select("doc_id", "text")).select("doc", "rev", "text")
+    paths = texts.mapInArrow(_path_batches(size, run), PATHS)
     seen = paths.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     repeated = materialize(paths.join(seen, "anchor", "left_semi"), "substring-paths")
-    first = F.min(F.struct("doc", "rev", "start", "edges")).alias("f")
-    classes = materialize(repeated.groupBy("anchor", "path").agg(first).select("anchor", "path", "f.doc", "f.rev", "f.start", "f.edges"), "substring-classes")
-    edges = classes.mapInArrow(_edge_batches, "anchor long, path long, edge long, place int, doc long, rev int, start int")
+    first = F.min(F.struct("doc", "rev", "start")).alias("f")
+    classes = repeated.groupBy("anchor", "path").agg(first, F.first("n").alias("n"), F.max("twice").alias("twice"))
+    classes = materialize(classes.select("anchor", "path", "f.doc", "f.rev", "f.start", "n", "twice"), "substring-classes")
+    branching = classes.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("anchor")
+    branches = classes.join(branching, "anchor", "left_semi").groupBy("doc", "rev").agg(F.collect_list(F.struct("anchor", "path", "start", "n")).alias("spans"))
+    edges = materialize(texts.join(materialize(branches, "substring-branches"), ["doc", "rev"]).mapInArrow(_edge_batches(size), EDGES), "substring-edges")
     coordinate = F.struct("doc", "rev", "start")
     earliest = edges.groupBy("anchor", "edge").agg(F.min(coordinate).alias("e"))
     later = edges.join(earliest, ["anchor", "edge"]).where(coordinate != F.col("e"))
     masks = later.groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("first_mask"))
-    known = classes.drop("edges").withColumnsRenamed({"doc": "_d", "rev": "_r", "start": "_s"}).join(masks, ["anchor", "path"], "left")
+    known = classes.select("anchor", "path", "doc", "rev", "start").withColumnsRenamed({"doc": "_d", "rev": "_r", "start": "_s"}).join(masks, ["anchor", "path"], "left")
     every = F.expr("shiftleft(1L, n) - 1")
     is_first = (F.col("doc") == F.col("_d")) & (F.col("rev") == F.col("_r")) & (F.col("start") == F.col("_s"))
     mask = F.when(is_first, F.coalesce("first_mask", F.lit(0).cast("long"))).otherwise(every)
-    return repeated.drop("edges").join(known, ["anchor", "path"]).select("doc", "rev", "start", mask.alias("mask")).where("mask <> 0")
+    return repeated.join(known, ["anchor", "path"]).select("doc", "rev", "start", mask.alias("mask")).where("mask <> 0")
 
 
 def _cut_batches(size: int, names: list[str], schema: pa.Schema):
