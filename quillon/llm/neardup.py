@@ -7,8 +7,12 @@ probability equal to their weighted Jaccard similarity; documents that share all
 candidates, and the weighted Jaccard similarity of their texts decides.
 
 Documents of equal words are folded into one representative first. The members of a small bucket are compared
-with one another. In a crowded bucket every member is compared with one leader, and as long as its members are
-of several classes, it is refined: further samples join its key, and the smaller buckets are treated alike. So no bucket is capped or dropped, and none makes more pairs than a constant times its members.
+with one another. In a crowded bucket every member is compared with one leader, and while its members are of several
+classes, further samples join its key for a few levels, which joins most of what belongs together at little cost.
+The members of crowded buckets that are still of several classes are then compared exactly (``_exact_pairs``): two
+weighted sets as similar as asked share one of their rarest shingles, so a join on those finds every pair, whatever the
+samples say. So no bucket is capped or dropped. Texts that share only what is common make no pairs there; a family whose pairs
+lie just below the similarity shares rare shingles too and makes pairs as the square of its size, dealt out in cells.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Most members of a bucket that are compared with one another.
 SMALL = 8
-#: Samples that join the key of a crowded bucket at each refinement.
-REFINE = 2
+#: Samples that join the key of a crowded bucket at each refinement, and refinements before the exact comparison.
+REFINE, LEVELS = 2, 2
+#: Ratio of the weights of two texts of one size class; most members on a side of a cell of the exact comparison.
+GROWTH, CELL = 0.95, 64
 #: A pair that agrees in fewer of all samples is no candidate; at a similarity of 0.8, one pair in a million does.
 LEAST_AGREEMENT = 0.42
 #: Buckets of document frequencies; table of random draws per sample.
@@ -163,12 +169,96 @@ def _candidates(members: DataFrame, level: int) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _shingle_batches(size: int, idf: np.ndarray):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in slices(batch.column("text")):
+                owner, h, weight = _weighted(words, size, idf)
+                node = batch.column("node").slice(words.rows.start, len(words.first) - 1).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([node, pa.array(h.view(np.int64)), pa.array(weight)], names=["node", "h", "w"])
+
+    return rows
+
+
+def _prefix_batches(similarity: float):
+    """Keys (base, step, h) of the rarest shingles of each text, for a partner in each size class that is near enough.
+
+    A pair is as similar as asked only if its shared weight is ``similarity / (1 + similarity)`` of both weights. Leave
+    out, from the most frequent shingle on, less weight than that: the rest of the two texts, in the same order, must meet.
+    The least weight of a partner follows from its size class; ``rest`` is the weight from this shingle on.
+    """
+    width, share = -np.log(GROWTH), similarity / (1 + similarity)
+    steps = int(-np.log(similarity) / width) + 1
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for node, root, s in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles")):
+                n, h, w = (s.values.field(k).to_numpy() for k in ("n", "h", "w"))
+                rest = w[::-1].cumsum()[::-1]
+                total = rest[0]
+                own = int(np.floor(np.log(total) / width))
+                for step in range(steps + 1):
+                    for large in (False, True):
+                        if step == 0 and not large:
+                            continue  # in one class either may be the larger: the bound of the larger holds for both
+                        base = own - step if large else own
+                        other = max(similarity * total, np.exp(width * base)) if large else max(total, np.exp(width * (own + step)))
+                        at = np.flatnonzero((rest >= share * (total + other) * (1 - 1e-9)) & (n > 1))
+                        made.append((node, root, base, step, large, total, h[at], rest[at]))
+            counts = [len(m[6]) for m in made]
+            column = lambda k, t: pa.array(np.repeat(np.array([m[k] for m in made], dtype=t), counts))
+            join = lambda k, t: pa.array(np.concatenate([m[k] for m in made] or [np.empty(0, t)]).astype(t))
+            arrays = [column(0, np.int64), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, bool), column(5, np.float64), join(6, np.int64), join(7, np.float64)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "root", "base", "step", "large", "total", "h", "rest"])
+
+    return keys
+
+
+def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: int, idf: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (node, text) of different classes of which every pair as similar as asked is one.
+
+    A key's members of its largest class are not compared with one another, nor are keys of one class; larger
+    groups are dealt out in cells, so that no task holds a whole one.
+    """
+    shingles = texts.mapInArrow(_shingle_batches(size, idf), "node long, h long, w double").groupBy("node", "h").agg(F.max("w").alias("w"))
+    shingles = materialize(shingles, "neardup-shingles")
+    often = materialize(shingles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "neardup-often")
+    ordered = shingles.join(often, "h", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "h", "w"))).alias("shingles"))
+    ordered = ordered.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
+    keys = materialize(
+        ordered.mapInArrow(_prefix_batches(similarity), "node long, root long, base int, step int, large boolean, total double, h long, rest double"), "neardup-prefixes"
+    )
+    key = ["base", "step", "h"]
+    by_root = keys.groupBy(*key, "root").agg(F.count("*").alias("n"))
+    groups = by_root.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    groups = groups.where("n > top.n").select(*key, F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / CELL).alias("p"), F.ceil(F.col("n") / CELL).alias("q"))
+    members = keys.join(materialize(groups, "neardup-groups"), key)
+    dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    copies = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    one = members.where("root <> top").withColumn("i", dealt("p")).withColumn("j", copies("q")).drop("p", "q", "top")
+    two = members.withColumn("j", dealt("q")).withColumn("i", copies("p")).drop("p", "q")
+    two = two.withColumnsRenamed({c: f"{c}_2" for c in ("node", "root", "large", "total", "rest")})
+    pairs = one.join(two, [*key, "i", "j"]).where(
+        (F.col("root") != F.col("root_2")) & ((F.col("step") == 0) | (F.col("large") != F.col("large_2"))) & ((F.col("root_2") == F.col("top")) | (F.col("node") < F.col("node_2")))
+    )
+    pairs = pairs.where(F.least("rest", "rest_2") >= (F.col("total") + F.col("total_2")) * F.lit(similarity / (1 + similarity) * (1 - 1e-9)))
+    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+
+
 def _counted(members: DataFrame) -> DataFrame:
     """Members of buckets of two or more, with their bucket's size n."""
     shared = materialize(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
     return members.join(shared, ["band", "key"])
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (node, root, band, key) of the crowded buckets that hold several classes, with the roots of now."""
+    tagged = members.where(F.col("n") > SMALL).drop("root", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = tagged.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    return tagged.join(materialize(mixed, "neardup-mixed"), ["band", "key"], "left_semi")
+
+
 def near_duplicate_classes(
     docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -195,8 +285,16 @@ def near_duplicate_classes(
     samples = materialize(samples.join(crowd, "node", "left_semi"), "neardup-crowd")
     texts = materialize(known.join(crowd, "node", "left_semi"), "neardup-texts")
     checked, roots, level = None, None, 0
+    first = members
     while True:
-        pairs = _candidates(members, level)
+        exact = level > LEVELS or roots is not None and members.isEmpty()
+        if exact:
+            left = materialize(_mixed(first, roots).select("node").distinct(), "neardup-left")
+            if left.isEmpty():
+                break
+            pairs = _exact_pairs(texts.join(left, "node", "left_semi"), roots, similarity, size, idf)
+        else:
+            pairs = _candidates(members, level)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = pairs.join(samples.toDF("a", "s"), "a").join(samples.toDF("b", "t"), "b")
@@ -210,15 +308,13 @@ def near_duplicate_classes(
         links = seen.where("linked").select("a", "b")
         if roots is None or not new.where("linked").isEmpty():
             roots = connected_components(links)
+        if exact:
+            break
         # crowded buckets whose members are of several classes go on with longer keys
-        tagged = members.where(F.col("n") > SMALL).drop("root", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = tagged.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-        longer = tagged.join(materialize(mixed, "neardup-mixed"), ["band", "key"], "left_semi").join(samples, "node")
+        longer = _mixed(members, roots).join(samples, "node")
         more = [F.element_at("samples", (F.pmod((F.col("band") + 1) * rows + level * REFINE + i, F.lit(bands * rows)) + 1).cast("int")) for i in range(REFINE)]
         members = materialize(_counted(longer.select("node", "root", "band", F.xxhash64("key", *more).alias("key"))), "neardup-refined")
         level += 1
-        if (level + 1) * REFINE > (bands - 1) * rows or members.isEmpty():
-            break
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = folded.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(n_links, "rep", "left")
     found = found.select(F.col("node").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -224,6 +224,14 @@ def test_near_duplicates_of_a_large_group(spark):
     assert all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_near_duplicates_in_a_crowded_bucket_of_many_classes(spark):
+    template = [f"t{i}" for i in range(171)]
+    own = lambda i: [f"own{i // 2 if i < 120 and j < 5 else i}w{j}{'' if i < 120 and j < 5 else 'x'}" for j in range(10)]
+    made = [(i, " ".join(template + own(i))) for i in range(3000)]  # those below 120 are pairs of about 0.84, all others about 0.7
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 if i < 120 else i for i in range(3000)}
+
+
 def test_near_duplicates_of_odd_rows_and_of_none(odd):
     got = [(r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(odd).collect()]
     assert len(got) == odd.count() and (1, 1) in got and (2, 2) in got and (3, 3) in got and (None, None) in got
