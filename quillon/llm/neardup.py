@@ -1,8 +1,8 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is a run of five words (a shorter text is one shingle of all its words). Its weight is its count in
-the document times an inverse document frequency, whose frequencies are counted over all documents in a
-fixed number of hashed buckets. A document's samples are drawn so that two documents share a sample with a
+the document times an inverse document frequency, whose frequencies are counted over all different texts in a
+fixed number of hashed buckets, so that copies of a text do not lower the weights of what it holds. A document's samples are drawn so that two documents share a sample with a
 probability equal to their weighted Jaccard similarity; documents that share all samples of a band are
 candidates, and the weighted Jaccard similarity of their texts decides.
 
@@ -83,7 +83,7 @@ def _frequency_batches(size: int, buckets: int):
 def inverse_frequencies(docs: DataFrame, size: int = SHINGLE, buckets: int = BUCKETS) -> np.ndarray:
     """A weight for each hashed bucket of shingles: 1 at the mean load or less, falling to 0.2 for frequent ones.
 
-    Counts cover all documents; what reaches the driver is one number a bucket, whatever the input.
+    Counts cover all rows given; what reaches the driver is one number a bucket, whatever the input.
     """
     rows = docs.select("text").mapInArrow(_frequency_batches(size, buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(buckets)
@@ -100,16 +100,25 @@ def _tables(samples: int) -> tuple[np.ndarray, ...]:
     return r, np.log(rng.gamma(2.0, 1.0, (samples, DRAWS))), rng.random((samples, DRAWS))
 
 
+def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: the number of its words, and two hashes of all of them."""
+    for batch in batches:
+        for words in slices(batch.column("text")):
+            h = words.hashes()
+            one, two = (ranges(x, WORD_BASE, words.first[:-1], words.first[1:]) for x in (h, mix64(h + np.uint64(99))))
+            node = batch.column("node").slice(words.rows.start, len(words.first) - 1)
+            arrays = [node, pa.array(words.lengths().astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "one", "two"])
+
+
 def _sign_batches(size: int, samples: int, idf: np.ndarray):
-    """Per text: the number of its words, two hashes of all of them, and its samples."""
+    """The samples of each text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(samples)
         salts = mix64(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             for words in slices(batch.column("text")):
-                h = words.hashes()
-                one, two = (ranges(x, WORD_BASE, words.first[:-1], words.first[1:]) for x in (h, mix64(h + np.uint64(99))))
                 owner, h, weight = _weighted(words, size, idf)
                 drawn = np.zeros((len(words.first) - 1, samples), dtype=np.int32)
                 if len(h):
@@ -126,8 +135,7 @@ def _sign_batches(size: int, samples: int, idf: np.ndarray):
                         drawn[owner[head], k] = (np.minimum.reduceat(tied, head) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(drawn) + 1, dtype=np.int32) * samples), pa.array(drawn.ravel()))
                 node = batch.column("node").slice(words.rows.start, len(drawn))
-                arrays = [node, pa.array(words.lengths().astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "one", "two", "samples"])
+                yield pa.RecordBatch.from_arrays([node, flat], names=["node", "samples"])
 
     return sign
 
@@ -272,18 +280,21 @@ def near_duplicate_classes(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     known = docs.where("node is not null")
-    idf = inverse_frequencies(docs, size)
-    signed = materialize(known.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, n long, one long, two long, samples array<int>"), "neardup-samples")
-    least = materialize(signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("node").alias("rep")), "neardup-least")
-    folded = materialize(signed.drop("samples").join(least, ["n", "one", "two"], "left").select("node", F.coalesce("rep", "node").alias("rep"), "n"), "neardup-folded")
-    reps = folded.where("n > 0 and node = rep").select("node").distinct()
-    samples = signed.where("n > 0").join(reps, "node", "left_semi").groupBy("node").agg(F.first("samples").alias("samples"))
+    prints = materialize(known.mapInArrow(_print_batches, "node long, n long, one long, two long"), "neardup-prints")
+    least = materialize(prints.where("n > 0").groupBy("n", "one", "two").agg(F.min("node").alias("rep")), "neardup-least")
+    folded = materialize(prints.join(least, ["n", "one", "two"], "left").select("node", F.coalesce("rep", "node").alias("rep"), "n"), "neardup-folded")
+    reps = materialize(folded.where("n > 0 and node = rep").select("node").distinct(), "neardup-reps")
+    each = known.join(reps, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("rev")).agg(F.first("text").alias("text"))
+    different = materialize(each.select("node", "text"), "neardup-different")
+    idf = inverse_frequencies(different, size)
+    signed = different.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, samples array<int>")
+    samples = materialize(signed.groupBy("node").agg(F.first("samples").alias("samples")), "neardup-samples")
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[k] for k in range(b * rows, (b + 1) * rows)]) for b in range(bands)])
     banded = samples.select("node", F.col("node").alias("root"), F.posexplode(keys).alias("band", "key"))
     members = materialize(_counted(materialize(banded, "neardup-bands")), "neardup-buckets")
     crowd = members.select("node").distinct()
     samples = materialize(samples.join(crowd, "node", "left_semi"), "neardup-crowd")
-    texts = materialize(known.join(crowd, "node", "left_semi"), "neardup-texts")
+    texts = materialize(different.join(crowd, "node", "left_semi"), "neardup-texts")
     checked, roots, level = None, None, 0
     first = members
     while True:

@@ -232,6 +232,14 @@ def test_near_duplicates_in_a_crowded_bucket_of_many_classes(spark):
     assert got == {i: i // 2 * 2 if i < 120 else i for i in range(3000)}
 
 
+def test_copies_do_not_lower_the_weights(spark):
+    base = [f"b{i}" for i in range(254)]
+    made = [(i, " ".join(base)) for i in range(50)] + [(60, " ".join(base[:-20] + [f"e{i}" for i in range(20)]))]  # 230 of 270 shingles in common
+    made += [(100 + i, " ".join(f"z{i}y{j}" for j in range(250))) for i in range(100)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 100 else i for i, _ in made}
+
+
 def test_near_duplicates_of_odd_rows_and_of_none(odd):
     got = [(r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(odd).collect()]
     assert len(got) == odd.count() and (1, 1) in got and (2, 2) in got and (3, 3) in got and (None, None) in got
