@@ -429,3 +429,17 @@ def test_scores_count_as_plain_python_and_beat_word_counts(spark, sf, rows, odd)
     words = lm_scoring.Subwords.load(registry.PIECES)
     assert lm_scoring.score(odd, words).count() == odd.count()
     assert lm_scoring.score(odd.limit(0), words).count() == 0
+
+
+def test_every_pair_and_window_counts(docs, rows, monkeypatch):
+    words = lm_scoring.Subwords.load(registry.PIECES)
+    want = {r.doc_id: r.score for r in lm_scoring.score(docs, words).collect()}
+    seen = []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: seen.append(train(*a)) or seen[-1])
+    monkeypatch.setattr(lm_scoring, "PAIRS", 100)  # the counts of all other pairs are joined
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, words).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    long = [2 + sum(len(words.cut(w)) for w in WORD.findall(low(r.text))) for i, r in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert seen[0][1] == sum(max(0, -(-(n - 32) // 32)) for n in long) > 0
