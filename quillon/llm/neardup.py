@@ -10,8 +10,8 @@ Documents of equal words are folded into one representative first. The members o
 with one another. In a crowded bucket every member is compared with one leader, and while its members are of several
 classes, further samples join its key for a few levels, which joins most of what belongs together at little cost.
 The members of crowded buckets that are still of several classes are then compared exactly (``_exact_pairs``): two
-weighted sets as similar as asked share one of their rarest shingles, so a join on those finds every pair, whatever the
-samples say. So no bucket is capped or dropped. Texts that share only what is common make no pairs there; a family whose pairs
+weighted sets as similar as asked share one of their rarest shingles, so a join on those finds every pair; only
+``LEAST_AGREEMENT`` of the samples still applies to it. So no bucket is capped or dropped. Texts that share only what is common make no pairs there; a family whose pairs
 lie just below the similarity shares rare shingles too and makes pairs as the square of its size, dealt out in cells.
 """
 
