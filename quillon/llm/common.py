@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="quillon-")
@@ -47,7 +49,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once everything that reads them has been written in turn."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, own: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ... beside the columns ``own`` that an operator works on.
+
+    So a caller's columns may have any names. Also returns the new names, in the caller's order.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.select(*[column(c).alias(n) for c, n in zip(docs.columns, names)], *[c.alias(n) for n, c in own.items()]), names
 
 
 def ascii_lower(text: Column) -> Column:
@@ -70,10 +96,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for k in range(max_rounds):
         new = roots.agg(F.sum(F.col("root").cast("decimal(38,0)")).alias("s")).first()["s"]
         if new is None or new == total:
+            discard(edges)
             return roots
         total = new
         near = edges.join(roots, edges.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
         low = roots.join(near, roots.node == near.a, "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
         up = low.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        roots = materialize(low.join(up, "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")), f"cc-{k + 1}")
+        spent, roots = roots, materialize(low.join(up, "root", "left").select("node", F.least("root", F.coalesce("above", "root")).alias("root")), f"cc-{k + 1}")
+        discard(spent)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

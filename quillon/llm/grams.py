@@ -73,6 +73,16 @@ class Words:
     def lengths(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each followed by one space, as bytes; and where each word begins there (one more: the end)."""
+        lengths = self.ends - self.starts
+        at = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(lengths + 1, out=at[1:])
+        out = np.full(at[-1], 32, dtype=np.uint8)
+        inside = np.arange(lengths.sum()) + np.repeat(self.starts - (at[:-1] - np.arange(len(lengths))), lengths)
+        out[np.arange(len(inside)) + np.repeat(np.arange(len(lengths)), lengths)] = self.data[inside]
+        return out, at
+
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.first) - 1), self.lengths())
