@@ -6,8 +6,8 @@ join neighbours that are stable together, and whose weights are the pieces' scor
 
 Giant texts are split into chunks. A boundary state is the piece that covers the last character before
 the cut. Each chunk yields a transfer matrix, the best score from each state at its left to each at its right; the matrices of a
-text are combined by the associative max-plus product, which fixes the state at every cut, and then every
-chunk is traced back by itself. No piece has the space mark inside, so a matrix needs a search over states only up to
+text are combined by the associative max-plus product, neighbours first, in a tree of Spark joins, which fixes the state
+at every cut, and then every chunk is traced back by itself. No piece has the space mark inside, so a matrix needs a search over states only up to
 the first and from the last start of a word in its chunk.
 """
 
@@ -16,14 +16,17 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize, numbered
+from quillon.llm.grams import BYTE_BASE, ranges, slices
 
 MARK = "▁"
 #: Characters of a chunk; texts up to that length are one chunk.
@@ -48,6 +51,7 @@ class Pieces:
         self.unit = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.DOTALL)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.tokens: dict[bytes, tuple[int, ...]] = {}
         self.stable_pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -141,6 +145,19 @@ class Pieces:
             self.known[unit] = got
         return got
 
+    def token_ids(self, token: bytes) -> tuple[int, ...]:
+        """The ids of a token in UTF-8: spaces, which stand for marks, and what follows them."""
+        got = self.tokens.get(token)
+        if got is None:
+            into = array("i")
+            self.encode(token.decode("utf-8", "replace").replace(" ", MARK), into)
+            got = tuple(into)
+            if len(self.tokens) >= CACHE:
+                self.tokens.clear()
+            if len(token) < 60:
+                self.tokens[token] = got
+        return got
+
     def encode(self, marked: str, into: array) -> None:
         known = self.known.get
         for unit in self.unit.findall(marked):
@@ -242,24 +259,48 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _list(cuts: list[int], ids: array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids.tobytes())]))
+def _tokens(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bytes with one space before each text that is not empty, starts of tokens, tokens up to each text).
+
+    A token is a run of spaces with what follows up to the next one. No piece crosses from one token to the next.
+    """
+    for words in slices(texts):
+        filled = np.diff(words.text_at) > 0
+        data = np.insert(words.data, words.text_at[:-1][filled], 32)
+        text_at = words.text_at + np.concatenate([[0], np.cumsum(filled)])
+        space = data == 32
+        is_start = space.copy()
+        is_start[1:] &= ~space[:-1]
+        is_start[text_at[:-1][filled]] = True
+        starts = np.flatnonzero(is_start)
+        yield words.rows, data, starts, np.searchsorted(starts, text_at)
 
 
 def _encode_batches(pieces: Pieces, names: list[str]):
+    """Different tokens of a slice are cut once; their ids are gathered for all places by numpy."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids, cuts = array("i"), [0]
-                for text in batch.column("text").to_pylist():
-                    pieces.encode(marked(text or ""), ids)
-                    cuts.append(len(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [_list(cuts, ids)], names=names + ["ids"])
+        for batch in batches:
+            for rows, data, starts, upto in _tokens(batch.column("text")):
+                ends = np.append(starts[1:], len(data))
+                _, first, place = np.unique(ranges(data.astype(np.uint64) + np.uint64(1), BYTE_BASE, starts, ends), return_index=True, return_inverse=True)
+                raw = data.tobytes()
+                made = [pieces.token_ids(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                lengths = np.fromiter(map(len, made), np.int64, len(made))
+                flat = np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))
+                n = lengths[place]
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                ids = flat[np.repeat((np.cumsum(lengths) - lengths)[place] - cuts[:-1], n) + np.arange(cuts[-1])]
+                listed = pa.ListArray.from_arrays(pa.array(cuts[upto].astype(np.int32)), pa.array(ids))
+                own = batch.slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in names] + [listed], names=names + ["ids"])
 
     return encode
 
 
+CHUNK_TYPE = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("chunk", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string()), ("final", pa.bool_())])
+
+
 def _chunk_batches(pieces: Pieces, size: int):
     pad = pieces.longest
 
@@ -267,9 +308,10 @@ def _chunk_batches(pieces: Pieces, size: int):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 text = marked(text)
+                n = -(-len(text) // size)
                 for k, at in enumerate(range(0, len(text), size)):
                     part = (text[max(0, at - pad) : at], text[at : at + size], text[at + size : at + size + pad])
-                    yield pa.RecordBatch.from_pydict({"row": [row], "chunk": [k], "left": [part[0]], "body": [part[1]], "right": [part[2]], "final": [at + size >= len(text)]}, schema=pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string()), ("final", pa.bool_())]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(CHUNK_TYPE.names, (row, n, k, *part, at + size >= len(text))))], schema=CHUNK_TYPE)
 
     return cut
 
@@ -277,30 +319,57 @@ def _chunk_batches(pieces: Pieces, size: int):
 def _transfer_frames(pieces: Pieces):
     def transfer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(r.row, r.chunk, i[0], i[1], o[0], o[1], s) for r in frame.itertuples() for i, o, s in pieces.transfer(r.left, r.body, r.right, r.chunk == 0, r.final)]
-            yield pd.DataFrame(out, columns=["row", "chunk", "in_at", "in_piece", "out_at", "out_piece", "score"])
+            out = [(r.row, r.n, r.chunk, i[0], i[1], o[0], o[1], s) for r in frame.itertuples() for i, o, s in pieces.transfer(r.left, r.body, r.right, r.chunk == 0, r.final)]
+            yield pd.DataFrame(out, columns=["row", "n", "chunk", "in_at", "in_piece", "out_at", "out_piece", "score"])
 
     return transfer
 
 
-def _combine(frame: pd.DataFrame) -> pd.DataFrame:
-    """Max-plus products of a text's matrices from the left and from the right; the state on the best path at every cut."""
-    chunks = [g for _, g in frame.sort_values("chunk").groupby("chunk")]
-    reach: list[dict] = [{EDGE: 0.0}]
-    for g in chunks:
-        new: dict = {}
-        for r in g.itertuples():
-            i, o = (r.in_at, r.in_piece), (r.out_at, r.out_piece)
-            if i in reach[-1]:
-                new[o] = max(new.get(o, float("-inf")), reach[-1][i] + r.score)
-        reach.append(new)
-    state, out = EDGE, []
-    for k in range(len(chunks) - 1, -1, -1):
-        ways = [(reach[k][(r.in_at, r.in_piece)] + r.score, (r.in_at, r.in_piece)) for r in chunks[k].itertuples() if (r.out_at, r.out_piece) == state and (r.in_at, r.in_piece) in reach[k]]
-        enter = max(ways)[1]
-        out.append((frame["row"].iloc[0], k, *enter, *state))
-        state = enter
-    return pd.DataFrame(out, columns=["row", "chunk", "in_at", "in_piece", "out_at", "out_piece"])
+def _product(matrices: DataFrame) -> DataFrame:
+    """Max-plus products of neighbouring chunks' matrices: chunk k of the result joins chunks 2k and 2k + 1.
+
+    A matrix is its rows (row, n, chunk, i, o, score); ``n`` is the number of chunks of its text. A last chunk without
+    a neighbour stays as it is.
+    """
+    half = F.shiftright("chunk", 1).alias("chunk")
+    size = F.shiftright(F.col("n") + 1, 1).alias("n")
+    left = matrices.where("chunk % 2 = 0 and chunk + 1 < n").select("row", size, half, "i", F.col("o").alias("mid"), "score")
+    right = matrices.where("chunk % 2 = 1").select("row", half, F.col("i").alias("mid"), "o", F.col("score").alias("more"))
+    joined = left.join(right, ["row", "chunk", "mid"]).groupBy("row", "n", "chunk", "i", "o").agg(F.max(F.col("score") + F.col("more")).alias("score"))
+    return joined.unionByName(matrices.where("chunk % 2 = 0 and chunk + 1 = n").select("row", size, half, "i", "o", "score"))
+
+
+def _parts(states: DataFrame, matrices: DataFrame) -> DataFrame:
+    """The states (row, chunk, i, o) of single chunks from those of pairs of chunks: the middle state on the best path."""
+    whole = states.select("row", F.col("chunk").alias("pair"), "i", "o")
+    with_pair = lambda rows: rows.withColumn("pair", F.shiftright("chunk", 1))
+    left = with_pair(matrices.where("chunk % 2 = 0 and chunk + 1 < n")).select("row", "pair", "i", F.col("o").alias("mid"), "score")
+    right = with_pair(matrices.where("chunk % 2 = 1")).select("row", "pair", F.col("i").alias("mid"), "o", F.col("score").alias("more"))
+    ways = whole.join(left, ["row", "pair", "i"]).join(right, ["row", "pair", "mid", "o"])
+    best = ways.groupBy("row", "pair", "i", "o").agg(F.max_by("mid", F.struct(F.col("score") + F.col("more"), F.col("mid"))).alias("mid"))
+    both = F.array(F.struct((F.col("pair") * 2).alias("chunk"), F.col("i").alias("i"), F.col("mid").alias("o")), F.struct((F.col("pair") * 2 + 1).alias("chunk"), F.col("mid").alias("i"), F.col("o").alias("o")))
+    alone = with_pair(matrices.where("chunk % 2 = 0 and chunk + 1 = n")).select("row", "pair", "chunk").distinct()
+    alone = whole.join(alone, ["row", "pair"]).select("row", "chunk", "i", "o")
+    return best.select("row", F.explode(both).alias("s")).select("row", "s.chunk", "s.i", "s.o").unionByName(alone)
+
+
+def chunk_states(matrices: DataFrame) -> DataFrame:
+    """(row, chunk, i, o): the state on the best path at the left and right end of every chunk.
+
+    The product is associative, so the matrices of a text are combined in a tree: about log2 of the number of
+    chunks joins up, and as many down, in which each pair's middle state follows from its two ends.
+    """
+    levels = [materialize(matrices, "pieces-matrices-0")]
+    most = levels[0].agg(F.max("n")).first()[0] or 1
+    while most > 1:
+        levels.append(materialize(_product(levels[-1]), f"pieces-matrices-{len(levels)}"))
+        most = (most + 1) // 2
+    states = levels[-1].select("row", "chunk", "i", "o")
+    for matrices in levels[-2::-1]:
+        states = _parts(states, matrices)
+    states = materialize(states, "pieces-states")
+    discard(*levels)
+    return states
 
 
 def _trace_frames(pieces: Pieces):
@@ -312,51 +381,67 @@ def _trace_frames(pieces: Pieces):
     return trace
 
 
-STATE = "row long, chunk int, in_at int, in_piece string, out_at int, out_piece string"
+MATRIX = "row long, n int, chunk int, in_at int, in_piece string, out_at int, out_piece string, score double"
+CHUNKS = "row long, n int, chunk int, left string, body string, right string, final boolean"
 
 
 def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ids, the piece ids of every whole text, as the SentencePiece library gives them.
 
-    Texts of more than ``chunk`` characters are encoded chunk by chunk in tasks of their own. A null or empty text has no
-    ids; repeated rows stay. A column ids is replaced. An empty table gives an empty result.
+    Texts of more than ``chunk`` characters are encoded chunk by chunk in tasks of their own, with the same
+    ids. A null or empty text has no ids; repeated rows stay. A column ids is replaced; other columns may have any
+    names. An empty table gives an empty result.
     """
     docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    inner, names = numbered(docs, {"text": F.col("text")})
+    schema = T.StructType([*inner.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     long = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
-    short = docs.where(~long).mapInArrow(_encode_batches(pieces, docs.columns), schema)
-    rest = docs.columns
-    giants = materialize(docs.where(long).select(F.monotonically_increasing_id().alias("_row"), *rest), "pieces-giants")
-    chunks = materialize(giants.select(F.col("_row").alias("row"), "text").mapInArrow(_chunk_batches(pieces, chunk), "row long, chunk int, left string, body string, right string, final boolean"), "pieces-chunks").repartition("row", "chunk")
-    matrices = chunks.mapInPandas(_transfer_frames(pieces), STATE + ", score double")
-    states = matrices.groupBy("row").applyInPandas(_combine, STATE)
-    traced = chunks.join(states, ["row", "chunk"]).mapInPandas(_trace_frames(pieces), "row long, chunk int, ids array<int>")
+    short = inner.where(~long).mapInArrow(_encode_batches(pieces, names), schema)
+    giants = materialize(inner.where(long).select(F.monotonically_increasing_id().alias("row"), *names, "text"), "pieces-giants")
+    chunks = materialize(giants.select("row", "text").mapInArrow(_chunk_batches(pieces, chunk), CHUNKS).repartition("row", "chunk"), "pieces-chunks")
+    ends = [F.struct(F.col(f"{side}_at").alias("at"), F.col(f"{side}_piece").alias("piece")).alias(side[0]) for side in ("in", "out")]
+    states = chunk_states(chunks.mapInPandas(_transfer_frames(pieces), MATRIX).select("row", "n", "chunk", *ends, "score"))
+    flat = states.select("row", "chunk", F.col("i.at").alias("in_at"), F.col("i.piece").alias("in_piece"), F.col("o.at").alias("out_at"), F.col("o.piece").alias("out_piece"))
+    traced = chunks.join(flat, ["row", "chunk"]).mapInPandas(_trace_frames(pieces), "row long, chunk int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda c: c["ids"])).alias("ids"))
-    return short.unionByName(giants.join(whole, giants["_row"] == whole["row"]).select(*rest, "ids"))
+    both = short.unionByName(giants.join(whole, "row").select(*names, "ids"))
+    return both.toDF(*docs.columns, "ids")
 
 
 def _decode_batches(texts: list[bytes], names: list[str]):
+    known, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+    where = np.cumsum(lengths) - lengths
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out = []
-                for ids in batch.column("ids"):
-                    said = b"".join([texts[i] for i in (ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else [])]).decode("utf-8", "replace")
-                    out.append(said[1:] if said.startswith(" ") else said)
+                listed = batch.column("ids")
+                ids = listed.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                counts = np.concatenate([[0], np.cumsum(listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                ids = np.where((ids >= 0) & (ids < len(texts)), ids, len(texts) - 1)
+                n = lengths[ids]
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                raw = known[np.repeat(where[ids] - cuts[:-1], n) + np.arange(cuts[-1])].tobytes()
+                cuts = cuts[counts].tolist()
+                out = [raw[a + 1 if raw[a : a + 1] == b" " else a : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.string())], names=names + ["decoded"])
 
     return decode
 
 
-def decode(encoded: DataFrame, pieces: Pieces, keep: list[str] | None = None) -> DataFrame:
-    """``encoded`` (or its columns ``keep``) with decoded, the text of the ids: marks become spaces, byte ids bytes, and
-    the first space goes. Null ids decode to an empty text; ids outside the vocabulary have no text."""
-    texts = [b""] * (1 + max([i for i, _ in pieces.scores.values()] + pieces.byte_ids))
+def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """``encoded`` with decoded, the text of the ids: marks become spaces, byte ids bytes, and the first space goes.
+
+    Null ids decode to an empty text; ids outside the vocabulary have no text. A column decoded is replaced; other columns
+    may have any names.
+    """
+    texts = [b""] * (2 + max([i for i, _ in pieces.scores.values()] + pieces.byte_ids))  # the last one: no text
     for p, (i, _) in pieces.scores.items():
         texts[i] = p.replace(MARK, " ").encode()
     for b, i in enumerate(pieces.byte_ids):
         texts[i] = bytes([b])
-    keep = keep or [c for c in encoded.columns if c != "decoded"]
-    schema = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(_decode_batches(texts, keep), schema)
+    encoded = encoded.drop("decoded")
+    inner, names = numbered(encoded, {"ids": F.col("ids")})
+    schema = T.StructType([*inner.select(*names).schema.fields, T.StructField("decoded", T.StringType())])
+    return inner.mapInArrow(_decode_batches(texts, names), schema).toDF(*encoded.columns, "decoded")
