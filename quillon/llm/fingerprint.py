@@ -1,11 +1,16 @@
 """Document fingerprints: invertible Bloom lookup tables over paragraph digests, with Spark expressions only.
 
-A text's paragraphs are its lines, long ones cut: pieces of up to 60 characters in the first 480 characters and of up to 240 after, so
-short texts have several. Each different piece has a 64-bit digest. A table has three regions of cells; a digest
-adds its count, itself and its check to one cell of each region. The tables of two versions are subtracted, and peeling
-cells that hold a single digest recovers the digests that differ. The fingerprint is the first, small table;
-where peeling it stalls, larger tables are tried, split into sub-tables by a hash so that the work grows with
-the text and not with its square.
+A text's paragraphs are its lines, cut after sentences, so an edit touches only the paragraphs it is in. Each different
+paragraph has a 64-bit digest. A table has three regions of cells; a digest adds its count, itself and its
+check to one cell of each region. The fingerprint is the first, small table. Tables of two versions are
+subtracted, and peeling cells that hold a single digest recovers the digests that differ. Where peeling stalls, a
+larger table with other places is tried, split into sub-tables by a hash so that the work grows with the text and not
+with its square.
+
+Cells are rows: a table is an aggregation of exploded digests by (row, sub-table, cell), a subtraction adds the other
+version's digests with the opposite sign, and a round of peeling is one more aggregation, in which a cell that
+holds a single digest gives it off and takes it out of its two other cells. All of that happens where the rows of
+a text lie after one shuffle of the digests; no array is searched, and cells are dropped once they are empty.
 """
 
 from __future__ import annotations
@@ -13,117 +18,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize, numbered
 
 #: Cells in a region of the first table; of a sub-table at each retry; digests that a sub-table is meant for.
-FIRST, RETRIES, LOAD = 8, (16, 32, 64), 12
-#: Rounds of peeling, each of all cells that hold a single digest.
-ROUNDS = 14
-CELLS = "array<struct<n:int,k:bigint,h:int>>"
+FIRST, RETRIES, LOAD = 8, (32, 64, 128), 12
+#: Rounds of peeling, each of the cells of one region in turn, so that no digest is taken out twice.
+ROUNDS = 15
+#: Texts in a partition of the tables.
+PART_ROWS = 2000
 LEAST = -(1 << 63)
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)``, the value evaluated once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def digests(text: Column) -> Column:
-    """The digests of a text's different paragraphs."""
-    fine = F.regexp_extract_all(F.substring(text, 1, 480), F.lit(r"([^\n]{1,60})"), F.lit(1))
-    coarse = F.regexp_extract_all(F.substring(text, 481, 2147483647), F.lit(r"([^\n]{1,240})"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(fine, coarse), lambda p: F.xxhash64(p)))
-
-
-def _place(digest: Column, region, cells: int) -> Column:
-    """The cell of a digest in a region, counted from the region's first."""
-    return F.pmod(F.call_function("shiftrightunsigned", digest, (region * 18).cast("int") if isinstance(region, Column) else F.lit(region * 18)), F.lit(cells)).cast("int")
-
-
-def table(items: Column, cells: int) -> Column:
-    """The table of some digests: three regions of ``cells`` cells (count, xor of digests, xor of checks)."""
-
-    def cell(i: Column) -> Column:
-        region, at = F.floor(i / cells).cast("int"), F.pmod(i, F.lit(cells))
-        return _let(F.filter(items, lambda d: _place(d, region, cells) == at), lambda mine: F.struct(
-            F.size(mine).alias("n"),
-            F.aggregate(mine, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d)).alias("k"),
-            F.aggregate(mine, F.lit(0), lambda a, d: a.bitwiseXOR(F.hash(d))).alias("h")))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), cell).cast(CELLS)
-
-
-def subtract(one: Column, other: Column) -> Column:
-    minus = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
-    return F.zip_with(one, other, minus).cast(CELLS)
-
-
-def peel(difference: Column, cells: int) -> Column:
-    """struct<ok, plus, minus>: the digests on one side alone; ok where nothing is left in the table."""
-    state = f"struct<t:{CELLS},plus:array<bigint>,minus:array<bigint>,going:boolean>"
-
-    def step(acc: Column, _: Column) -> Column:
-        single = F.filter(acc["t"], lambda c: (F.abs(c["n"]) == 1) & (F.hash(c["k"]) == c["h"]))
+    """The digests of a text's different paragraphs; a null text has none."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\n.!?\u3002\uFF01\uFF1F]+[.!?\u3002\uFF01\uFF1F]*)"), F.lit(1))
+    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
-        def take(pure: Column) -> Column:
-            def less(c: Column, i: Column) -> Column:
-                region, at = F.floor(i / cells).cast("int"), F.pmod(i, F.lit(cells))
-                out = lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(F.hash(p["k"])).alias("h"))
-                return F.aggregate(F.filter(pure, lambda p: _place(p["k"], region, cells) == at), c, out)
 
-            side = lambda sign: F.transform(F.filter(pure, lambda p: p["n"] == sign), lambda p: p["k"])
-            return F.struct(
-                F.transform(acc["t"], less).alias("t"), F.concat(acc["plus"], side(1)).alias("plus"),
-                F.concat(acc["minus"], side(-1)).alias("minus"), (F.size(pure) > 0).alias("going")).cast(state)
+def _place(digest: Column, region: int, cells: int, salt: int) -> Column:
+    """The cell of a digest in a region, counted from the table's first."""
+    mixed = F.xxhash64(digest, F.lit(salt)) if salt else digest
+    return (F.pmod(F.call_function("shiftrightunsigned", mixed, F.lit(region * 18)), F.lit(cells)) + region * cells).cast("int")
 
-        pure = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-        return F.when(acc["going"], _let(pure, take)).otherwise(acc).cast(state)
 
-    zero = F.struct(difference.alias("t"), F.expr("cast(array() as array<bigint>)").alias("plus"), F.expr("cast(array() as array<bigint>)").alias("minus"), F.lit(True).alias("going")).cast(state)
-    empty = lambda acc: F.forall(acc["t"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, step, lambda acc: F.struct(empty(acc).alias("ok"), acc["plus"].alias("plus"), acc["minus"].alias("minus")))
+def _cells(signed: DataFrame, by: list[str], cells: int, salt: int) -> DataFrame:
+    """The table of rows (``by``, d, sign): (``by``, cell, d null, n, k, h), a row a cell that is not empty.
 
-
-def _split_peel(one: Column, other: Column, parts: Column, cells: int) -> Column:
-    """As ``peel``, over ``parts`` sub-tables that share the digests out by a hash."""
-    mine = lambda items, s: F.filter(items, lambda d: F.pmod(F.hash(d), parts) == s)
-    each = F.transform(F.sequence(F.lit(0), parts - 1), lambda s: peel(subtract(table(mine(one, s), cells), table(mine(other, s), cells)), cells))
-    return _let(each, lambda e: F.struct(
-        F.forall(e, lambda p: p["ok"]).alias("ok"), F.flatten(F.transform(e, lambda p: p["plus"])).alias("plus"), F.flatten(F.transform(e, lambda p: p["minus"])).alias("minus")))
-
-
-SHAPE = "struct<ok:boolean,plus:array<bigint>,minus:array<bigint>>"
-
-
-def with_difference(rows: DataFrame, one: str, other: str, name: str) -> DataFrame:
-    """``rows`` with struct<ok, plus, minus> as ``name``: the digests of either version alone.
-
-    ``one`` and ``other`` are columns of digests beside their first tables ``<column>_table``. Each retry is a column of its own, worked
-    out only for rows on which the table before stalled. Should the largest stall as well, the
-    digest lists themselves are compared, so no result is lost.
+    n is the sum of the signs, k the xor of the digests, h the xor of their checks.
     """
-    a, b = F.col(one), F.col(other)
-    most = F.greatest(F.size(a), F.size(b), F.lit(1))
-    rows = rows.withColumn("_parts", F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("int"))
-    rows = rows.withColumn("_try0", peel(subtract(F.col(f"{one}_table"), F.col(f"{other}_table")), FIRST).cast(SHAPE))
-    for k, cells in enumerate(RETRIES):
-        larger = _split_peel(a, b, F.col("_parts"), cells).cast(SHAPE)
-        rows = rows.withColumn(f"_try{k + 1}", F.when(F.col(f"_try{k}")["ok"], F.col(f"_try{k}")).otherwise(larger))
-    last = F.col(f"_try{len(RETRIES)}")
-    exact = F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus")).cast(SHAPE)
-    return rows.withColumn(name, F.when(last["ok"], last).otherwise(exact)).drop("_parts", *[f"_try{k}" for k in range(len(RETRIES) + 1)])
-
+    spread = signed.select(*by, "d", "sign", F.explode(F.array(*[_place(F.col("d"), r, cells, salt) for r in range(3)])).alias("cell"))
+    return spread.groupBy(*by, "cell").agg(F.sum("sign").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.hash("d")).alias("h"))
+
+
+def peel(table: DataFrame, by: list[str], cells: int, salt: int, rounds: int = ROUNDS) -> DataFrame:
+    """(``by``, cell, d, n): digests recovered from a table (d not null, n the side), and what cells are left (d null)."""
+    rows = table.withColumn("d", F.lit(None).cast("long"))
+    for k in range(rounds):
+        region = k % 3
+        here = F.col("d").isNull() & (F.floor(F.col("cell") / cells) == region)
+        pure = here & (F.abs("n") == 1) & (F.hash("k") == F.col("h"))
+        row = lambda cell, d, n, x, h: F.struct(cell.cast("int").alias("cell"), d.cast("long").alias("d"), n.cast("long").alias("n"), x.cast("long").alias("k"), h.cast("int").alias("h"))
+        same = row(F.col("cell"), F.col("d"), F.col("n"), F.col("k"), F.col("h"))
+        found = row(F.lit(-1), F.col("k"), F.col("n"), F.lit(0), F.lit(0))
+        others = [row(_place(F.col("k"), r, cells, salt), F.lit(None), -F.col("n"), F.col("k"), F.col("h")) for r in range(3) if r != region]
+        given = rows.select(*by, F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(same))).alias("c")).select(*by, "c.*")
+        rows = given.groupBy(*by, "cell", "d").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+        rows = rows.where("d is not null or n <> 0 or k <> 0 or h <> 0")
+    return rows
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Dealt out by row, so that every aggregation after it finds a text's rows in one place."""
+    return rows.repartition(max(1, rows.count() // PART_ROWS), "row")
+
+
+def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool) -> DataFrame:
+    """(row, side, ok, plus, minus) of pairs (row, side, one, other) of digests by one size of table."""
+    most = F.greatest(F.size("one"), F.size("other"), F.lit(1))
+    parts = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("int") if split else F.lit(1)
+    side = lambda c, sign: F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("sign")))
+    signed = pairs.withColumn("parts", parts).select("row", "side", "parts", F.explode(F.concat(side("one", 1), side("other", -1))).alias("s"))
+    signed = signed.select("row", "side", F.pmod(F.hash("s.d", F.lit(salt)), F.col("parts")).alias("part"), "s.d", "s.sign")
+    by = ["row", "side", "part"]
+    found = peel(_cells(signed, by, cells, salt), by, cells, salt)
+    # ok: no cell is left over, also for a pair of texts without any digest
+    pick = lambda sign: F.collect_list(F.when(F.col("n") == sign, F.col("d")))
+    got = found.groupBy("row", "side").agg(F.sum(F.col("d").isNull().cast("long")).alias("left"), pick(1).alias("plus"), pick(-1).alias("minus"))
+    empty = F.array().cast("array<bigint>")
+    return pairs.select("row", "side").join(got, ["row", "side"], "left").select(
+        "row", "side", (F.coalesce("left", F.lit(0)) == 0).alias("ok"), F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus")
+    )
 
-def likeness(one: Column, other: Column, found: Column) -> Column:
-    """Shared paragraphs over all paragraphs of both, 1 for two texts without any."""
-    union = (F.size(one) + F.size(found["minus"])).cast("double")
-    return F.when(union == 0, F.lit(1.0)).otherwise((F.size(one) - F.size(found["plus"])) / union)
 
+def difference(pairs: DataFrame) -> DataFrame:
+    """(row, side, plus, minus): the digests of either version alone, for pairs (row, side, one, other) of digests.
 
-def encode(cells: Column) -> Column:
-    """A table as text: 28 hex digits a cell."""
-    part = lambda c: F.concat(F.lpad(F.hex(c["n"].cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["h"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.array_join(F.transform(cells, part), "")
+    The small tables are tried first, then larger ones, each only for pairs on which the one before stalled. Should the
+    largest stall as well (two digests that share all cells in every table), signs are summed digest by digest, so
+    no result is lost. (row, side) is unique, ``row`` a long; equal lists have no difference. A table in the shared folder.
+    """
+    done, pending = [], pairs
+    for k, cells in enumerate((FIRST, *RETRIES)):
+        tried = materialize(_attempt(_spread(pending), cells, k, k > 0), f"fingerprint-try-{k}")
+        done.append(tried.where("ok").drop("ok"))
+        stalled = tried.where("not ok").select("row", "side")
+        if stalled.isEmpty():
+            break
+        pending = pairs.join(stalled, ["row", "side"], "left_semi")
+    else:
+        done.append(pending.select("row", "side", F.array_except("one", "other").alias("plus"), F.array_except("other", "one").alias("minus")))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def encode(items: DataFrame, cells: int = FIRST) -> DataFrame:
+    """(row, side, fingerprint) of (row, side, items): the first table as text, 28 hex digits a cell."""
+    signed = _spread(items).select("row", "side", F.explode("items").alias("d"), F.lit(1).cast("long").alias("sign"))
+    part = F.concat(F.lpad(F.hex(F.col("n").bitwiseAND(F.lit(0xFFFF))), 4, "0"), F.lpad(F.hex("k"), 16, "0"), F.lpad(F.hex(F.col("h").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    texts = _cells(signed, ["row", "side"], cells, 0).groupBy("row", "side").agg(F.map_from_entries(F.collect_list(F.struct("cell", part.alias("t")))).alias("cells"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda i: F.coalesce(F.col("cells")[i], F.lit("0" * 28)))
+    return items.select("row", "side").join(texts.select("row", "side", F.array_join(filled, "").alias("f")), ["row", "side"], "left").select(
+        "row", "side", F.coalesce("f", F.lit("0" * (84 * cells))).alias("fingerprint")
+    )
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -147,46 +145,58 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text, edited, next_digests) for rows (doc_id, text).
+    """(doc_id, text, edited, next_digests) for rows (doc_id, text).
 
-    The edit replaces the last third of the code points by as many of the next document, or all it has. Only that
-    head of the next document travels to its predecessor.
+    The edit replaces the last third of the code points by as many of the next document, or all it has. Texts
+    are dealt out by their key once; only the head that the edit needs and the digests of the next document travel
+    to its predecessor.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     sizes = materialize(base.select("key", F.xxhash64("text").alias("rev"), third.alias("third")), "fingerprint-sizes")
     need = sizes.groupBy("key").agg(F.max("third").alias("need"))
     link = materialize(successors(sizes).join(need, "key").select(F.col("next_key").alias("key"), F.col("next_rev").alias("rev"), F.col("key").alias("for_key"), "need"), "fingerprint-links")
-    wanted = base.select("key", "text").join(link, "key").where(F.xxhash64("text") == F.col("rev"))
+    # doc_id is read on both sides of the last join, so that both use one and the same shuffle of the texts
+    wanted = base.join(link, "key").where((F.xxhash64("text") == F.col("rev")) & (F.coalesce("doc_id", F.lit(LEAST)) == F.col("key")))
     heads = wanted.select(F.col("for_key").alias("key"), F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("next_digests")).dropDuplicates(["key"])
     joined = base.join(heads, "key").withColumn("_n", F.char_length("text")).withColumn("_k", F.floor(F.col("_n") / 3).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, _n - _k)"), F.expr("substring(head, 1, _k)"))
-    return joined.select("key", "doc_id", "text", edited.alias("edited"), "next_digests")
+    return joined.select("doc_id", "text", edited.alias("edited"), "next_digests")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` with digests and fingerprint. A null text counts as empty; repeated rows get equal fingerprints."""
-    out = docs.drop("digests", "fingerprint").withColumn("digests", digests(F.coalesce("text", F.lit(""))))
-    return out.withColumn("fingerprint", encode(table(F.col("digests"), FIRST)))
+    """``docs`` with digests and fingerprint. A null text counts as empty; repeated rows get equal fingerprints.
+
+    Columns called digests or fingerprint are replaced; other columns may have any names.
+    """
+    docs = docs.drop("digests", "fingerprint")
+    inner, names = numbered(docs, {"row": F.monotonically_increasing_id(), "digests": digests(F.col("text"))})
+    rows = materialize(inner, "fingerprint-rows")
+    made = encode(rows.select("row", F.lit("a").alias("side"), F.col("digests").alias("items")))
+    return rows.join(made.select("row", "fingerprint"), "row").select(*names, "digests", "fingerprint").toDF(*docs.columns, "digests", "fingerprint")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and their edited texts, and how alike they and the next document's are.
 
-    One row a document; a null text is empty, a null doc_id comes last in descending order; of texts that share an
+    Likeness is the share of paragraphs in common; the number that differ comes from subtracting and peeling the two
+    fingerprints, and from larger tables where those are too small for the difference. One row a
+    document; a null text is empty, a null doc_id comes last in descending order; of texts that share an
     id, one stands as the next document, the same in every run. An empty table gives an empty result.
     """
-    rows = with_edits(docs)
-    rows = rows.withColumns({"a": digests(F.col("text")), "b": digests(F.col("edited"))}).withColumnRenamed("next_digests", "c")
-    rows = rows.withColumns({f"{x}_table": table(F.col(x), FIRST) for x in "abc"})
-    for x in "bc":
-        rows = with_difference(rows, "a", x, f"to_{x}")
-    return rows.select(
-        "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        encode(F.col("a_table")).alias("fingerprint"),
-        encode(F.col("b_table")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b"), F.col("to_b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c"), F.col("to_c")).alias("near_next"),
-    )
+    edits = with_edits(docs)
+    rows = materialize(edits.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), F.col("next_digests").alias("c"),
+    ), "fingerprint-rows")
+    sided = lambda sides, *cols: rows.select("row", *cols, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("x")) for s in sides])).alias("s"))
+    prints = encode(sided("ab").select("row", "s.side", F.col("s.x").alias("items")))
+    found = difference(sided("bc", F.col("a").alias("one")).select("row", "s.side", "one", F.col("s.x").alias("other")))
+    counts = found.select("row", "side", F.size("plus").alias("plus"), F.size("minus").alias("minus"))
+    at = lambda frame, side, *cols: frame.where(F.col("side") == side).select("row", *cols)
+    slim = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("n_a"))
+    whole = slim.join(at(prints, "a", "fingerprint"), "row").join(at(prints, "b", F.col("fingerprint").alias("edited_fingerprint")), "row")
+    for side in "bc":
+        whole = whole.join(at(counts, side, F.col("plus").alias(f"plus_{side}"), F.col("minus").alias(f"minus_{side}")), "row")
+    near = lambda s: F.when(F.col("n_a") + F.col(f"minus_{s}") == 0, F.lit(1.0)).otherwise((F.col("n_a") - F.col(f"plus_{s}")) / (F.col("n_a") + F.col(f"minus_{s}")))
+    return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("b").alias("near_edited"), near("c").alias("near_next"))
