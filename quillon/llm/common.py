@@ -89,8 +89,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is a table in the shared folder; sums of roots tell when nothing moves any more. Isolated
     nodes don't appear. Null ends are ignored; an empty input gives an empty result.
     """
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    edges = materialize(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "cc-edges")
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    edges = materialize(edges.select("e.*").distinct(), "cc-edges")
     roots = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "cc-0")
     total = None
     for k in range(max_rounds):

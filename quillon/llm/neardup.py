@@ -6,13 +6,14 @@ fixed number of hashed buckets, so that copies of a text do not lower the weight
 probability equal to their weighted Jaccard similarity; documents that share all samples of a band are
 candidates, and the weighted Jaccard similarity of their texts decides.
 
-Documents of equal words are folded into one representative first. The members of a small bucket are compared
-with one another. In a crowded bucket every member is compared with one leader, and while its members are of several
-classes, further samples join its key for a few levels, which joins most of what belongs together at little cost.
-The members of crowded buckets that are still of several classes are then compared exactly (``_exact_pairs``): two
-weighted sets as similar as asked share one of their rarest shingles, so a join on those finds every pair; only
-``LEAST_AGREEMENT`` of the samples still applies to it. So no bucket is capped or dropped. Texts that share only what is common make no pairs there; a family whose pairs
-lie just below the similarity shares rare shingles too and makes pairs as the square of its size, dealt out in cells.
+Documents of equal words are folded into one representative first. In every bucket each member is compared with one
+leader, the same one in all buckets that share members where possible, so the number of comparisons is linear in
+the members. What leaders link is contracted. A bucket whose members are then still of several classes is compared
+exactly (``_exact_pairs``): two weighted sets as similar as asked share one of their rarest shingles, so a join on those
+finds every such pair, members of the largest class of a group left out among themselves. No bucket is capped or
+dropped, and nothing but the weighted similarity of two whole texts decides. Texts that share only what is common make no
+pairs there; a family whose pairs lie just below the similarity shares rare shingles too and makes pairs as the square
+of its size, dealt out in cells.
 """
 
 from __future__ import annotations
@@ -24,20 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, materialize
+from quillon.llm.common import connected_components, discard, materialize
 from quillon.llm.grams import WORD_BASE, Words, mix64, ranges, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of samples: at a similarity of 0.8 a pair shares no band with probability 0.0002.
 BANDS, ROWS = 12, 3
-#: Most members of a bucket that are compared with one another.
-SMALL = 8
-#: Samples that join the key of a crowded bucket at each refinement, and refinements before the exact comparison.
-REFINE, LEVELS = 2, 2
 #: Ratio of the weights of two texts of one size class; most members on a side of a cell of the exact comparison.
 GROWTH, CELL = 0.95, 64
-#: A pair that agrees in fewer of all samples is no candidate; at a similarity of 0.8, one pair in a million does.
-LEAST_AGREEMENT = 0.42
 #: Buckets of document frequencies; table of random draws per sample.
 BUCKETS, DRAWS = 1 << 16, 1 << 14
 SEED = 20240229
@@ -163,20 +158,6 @@ def _verify_batches(size: int, similarity: float, idf: np.ndarray):
     return verify
 
 
-def _candidates(members: DataFrame, level: int) -> DataFrame:
-    """Pairs (a, b) of members (node, root, band, key, n) of a bucket that are not yet of one class.
-
-    All of a small bucket, each with a leader in a crowded one.
-    """
-    few = members.where(F.col("n") <= SMALL).select("node", "root", "band", "key")
-    every = few.join(few.withColumnsRenamed({"node": "other", "root": "other_root"}), ["band", "key"]).where("node < other")
-    many = members.where(F.col("n") > SMALL).select("node", "root", "band", "key")
-    lead = many.groupBy("band", "key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("root").alias("other_root")), F.xxhash64("node", "band", F.lit(level))).alias("lead"))
-    led = many.join(materialize(lead.select("band", "key", "lead.*"), "neardup-leaders"), ["band", "key"]).where("node <> other")
-    pairs = every.unionByName(led).where("root <> other_root")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
 def _shingle_batches(size: int, idf: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +204,8 @@ def _prefix_batches(similarity: float):
     return keys
 
 
-def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: int, idf: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of ``texts`` (node, text) of different classes of which every pair as similar as asked is one.
+def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: int, idf: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of ``texts`` (node, text) of different classes, among which is every pair as similar as asked; and the tables behind them.
 
     A key's members of its largest class are not compared with one another, nor are keys of one class; larger
     groups are dealt out in cells, so that no task holds a whole one.
@@ -237,11 +218,13 @@ def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: in
     keys = materialize(
         ordered.mapInArrow(_prefix_batches(similarity), "node long, root long, base int, step int, large boolean, total double, h long, rest double"), "neardup-prefixes"
     )
+    discard(shingles, often)
     key = ["base", "step", "h"]
     by_root = keys.groupBy(*key, "root").agg(F.count("*").alias("n"))
     groups = by_root.groupBy(*key).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
     groups = groups.where("n > top.n").select(*key, F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / CELL).alias("p"), F.ceil(F.col("n") / CELL).alias("q"))
-    members = keys.join(materialize(groups, "neardup-groups"), key)
+    groups = materialize(groups, "neardup-groups")
+    members = keys.join(groups, key)
     dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
     copies = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     one = members.where("root <> top").withColumn("i", dealt("p")).withColumn("j", copies("q")).drop("p", "q", "top")
@@ -251,86 +234,71 @@ def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: in
         (F.col("root") != F.col("root_2")) & ((F.col("step") == 0) | (F.col("large") != F.col("large_2"))) & ((F.col("root_2") == F.col("top")) | (F.col("node") < F.col("node_2")))
     )
     pairs = pairs.where(F.least("rest", "rest_2") >= (F.col("total") + F.col("total_2")) * F.lit(similarity / (1 + similarity) * (1 - 1e-9)))
-    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct(), [keys, groups]
 
 
-def _counted(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with their bucket's size n."""
-    shared = materialize(members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "neardup-shared")
-    return members.join(shared, ["band", "key"])
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, idf: np.ndarray, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts are as similar as asked, as a table; of several texts of an id any may be."""
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(_verify_batches(size, similarity, idf), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), name)
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (node, root, band, key) of the crowded buckets that hold several classes, with the roots of now."""
-    tagged = members.where(F.col("n") > SMALL).drop("root", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    return tagged.join(materialize(mixed, "neardup-mixed"), ["band", "key"], "left_semi")
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots (node, root) after further links: these join whole classes, so only roots take part in it."""
+    of = roots.toDF("a", "root_a")
+    ends = links.join(of, "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = connected_components(ends)
+    new = joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
+    every = roots.unionByName(new).join(joined.toDF("root", "above"), "root", "left")
+    return materialize(every.select("node", F.coalesce("above", "root").alias("root")), "neardup-roots")
 
 
 def near_duplicate_classes(
     docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """(doc_id, class_id, n_links): documents of one class are linked by weighted Jaccard similarity >= ``similarity``.
+    """(doc_id, class_id): documents of one class are linked by weighted Jaccard similarity >= ``similarity``.
 
-    One row a document; class_id is the least doc_id of the class, n_links the verified links of the
-    document's representative. Texts of equal words are always of one class; texts without words (null, empty, white
-    space) form classes of their own, a document each. A null doc_id has a null class. Repeated rows stay
-    repeated and share a class; different texts of one doc_id count as one document. Other columns are
+    One row a document; class_id is the least doc_id of the class. Texts of equal words are always of one class; texts
+    without words (null, empty, white space) form classes of their own, a document each. A null doc_id has a null class.
+    Repeated rows stay repeated and share a class; different texts of one doc_id count as one document. Other columns are
     ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     known = docs.where("node is not null")
     prints = materialize(known.mapInArrow(_print_batches, "node long, n long, one long, two long"), "neardup-prints")
-    least = materialize(prints.where("n > 0").groupBy("n", "one", "two").agg(F.min("node").alias("rep")), "neardup-least")
+    least = prints.where("n > 0").groupBy("n", "one", "two").agg(F.min("node").alias("rep"))
     folded = materialize(prints.join(least, ["n", "one", "two"], "left").select("node", F.coalesce("rep", "node").alias("rep"), "n"), "neardup-folded")
-    reps = materialize(folded.where("n > 0 and node = rep").select("node").distinct(), "neardup-reps")
+    reps = folded.where("n > 0 and node = rep").select("node").distinct()
     each = known.join(reps, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("rev")).agg(F.first("text").alias("text"))
     different = materialize(each.select("node", "text"), "neardup-different")
+    discard(prints)
     idf = inverse_frequencies(different, size)
-    signed = different.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, samples array<int>")
-    samples = materialize(signed.groupBy("node").agg(F.first("samples").alias("samples")), "neardup-samples")
+    samples = different.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, samples array<int>")
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[k] for k in range(b * rows, (b + 1) * rows)]) for b in range(bands)])
-    banded = samples.select("node", F.col("node").alias("root"), F.posexplode(keys).alias("band", "key"))
-    members = materialize(_counted(materialize(banded, "neardup-bands")), "neardup-buckets")
-    crowd = members.select("node").distinct()
-    samples = materialize(samples.join(crowd, "node", "left_semi"), "neardup-crowd")
-    texts = materialize(different.join(crowd, "node", "left_semi"), "neardup-texts")
-    checked, roots, level = None, None, 0
-    first = members
-    while True:
-        exact = level > LEVELS or roots is not None and members.isEmpty()
-        if exact:
-            left = materialize(_mixed(first, roots).select("node").distinct(), "neardup-left")
-            if left.isEmpty():
-                break
-            pairs = _exact_pairs(texts.join(left, "node", "left_semi"), roots, similarity, size, idf)
-        else:
-            pairs = _candidates(members, level)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = pairs.join(samples.toDF("a", "s"), "a").join(samples.toDF("b", "t"), "b")
-        agree = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        pairs = materialize(pairs.where(agree >= F.lit(LEAST_AGREEMENT * bands * rows)).select("a", "b"), "neardup-pairs")
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        new = both.mapInArrow(_verify_batches(size, similarity, idf), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-        new = materialize(new, "neardup-checked")
-        seen = new if checked is None else seen.unionByName(new)
-        checked = seen.select("a", "b")
-        links = seen.where("linked").select("a", "b")
-        if roots is None or not new.where("linked").isEmpty():
-            roots = connected_components(links)
-        if exact:
-            break
-        # crowded buckets whose members are of several classes go on with longer keys
-        longer = _mixed(members, roots).join(samples, "node")
-        more = [F.element_at("samples", (F.pmod((F.col("band") + 1) * rows + level * REFINE + i, F.lit(bands * rows)) + 1).cast("int")) for i in range(REFINE)]
-        members = materialize(_counted(longer.select("node", "root", "band", F.xxhash64("key", *more).alias("key"))), "neardup-refined")
-        level += 1
-    n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = folded.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(n_links, "rep", "left")
-    found = found.select(F.col("node").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    lost = docs.where("node is null").select(F.col("node").alias("doc_id"), F.col("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(lost)
+    banded = materialize(samples.select("node", F.posexplode(keys).alias("band", "key")), "neardup-bands")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("lead")).where("n > 1").drop("n")
+    members = materialize(banded.join(shared, ["band", "key"]), "neardup-members")
+    texts = materialize(different.join(members.select("node").distinct(), "node", "left_semi"), "neardup-texts")
+    discard(banded, different)
+    pairs = members.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    links = _verified(pairs, texts, size, similarity, idf, "neardup-links")
+    roots = connected_components(links)
+    discard(links)
+    # buckets whose members are of several classes
+    tagged = members.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = tagged.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    left = materialize(tagged.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "neardup-left")
+    discard(members)
+    if not left.isEmpty():
+        pairs, spent = _exact_pairs(texts.join(left, "node", "left_semi"), roots, similarity, size, idf)
+        more = _verified(pairs, texts, size, similarity, idf, "neardup-more-links")
+        discard(*spent)
+        if not more.isEmpty():
+            roots = _merged(roots, more)
+        discard(more)
+    discard(texts, left)
+    found = folded.join(roots.toDF("rep", "root"), "rep", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
+    return found.unionByName(docs.where("node is null").select(F.col("node").alias("doc_id"), F.col("node").alias("class_id")))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:

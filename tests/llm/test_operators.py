@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,21 +200,50 @@ def _shingles(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
 
 
-def test_near_duplicates_share_a_class(docs, rows):
+def test_near_duplicates_are_the_components_of_all_weighted_pairs(spark):
+    """Every pair of documents by brute force, at the operator's own similarity and weights; families on both sides of it."""
+    rng = np.random.default_rng(8)
+    made = []
+    for family in range(12):
+        base = [f"f{family}w{x}" for x in rng.integers(0, 400, 150 + 20 * family)]
+        for k in range(20):
+            text = list(base)
+            for at in rng.integers(0, len(text), int(rng.integers(0, 8))):
+                text[at] = f"edit{rng.integers(0, 10**6)}"
+            made.append((len(made), " ".join(text)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    rows = {r.doc_id: r for r in docs.collect()}
     got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(docs).collect()}
     assert sorted(got) == sorted(rows)
-    bags = {i: _shingles(r.text) for i, r in rows.items()}
-    ids = sorted(i for i in bags if bags[i])
-    for a in ids:
-        assert got[a] <= a
-        for b in ids:
-            if a < b and bags[a] and bags[b]:
-                both = sum((bags[a] & bags[b]).values())
-                like = both / (sum(bags[a].values()) + sum(bags[b].values()) - both)
-                if like >= 0.9:  # whatever weights the shingles have
-                    assert got[a] == got[b]
-                elif like == 0:
-                    assert got[a] != got[b] or len({i for i in ids if got[i] == got[a]}) > 2
+    words = {i: tuple(WORD.findall(rows[i].text or "")) for i in sorted(rows)}
+    first = {}
+    for i, w in words.items():
+        first.setdefault(w, i)
+    different = docs.where(F.col("doc_id").isin([i for w, i in first.items() if w]))
+    idf = neardup.inverse_frequencies(different.select("text"))
+    bags = {}
+    for w, i in first.items():
+        for part in neardup.slices(pa.array([rows[i].text])):
+            _, h, weight = neardup._weighted(part, neardup.SHINGLE, idf)
+            bags[i] = dict(zip(h.tolist(), weight.tolist()))
+    root = {i: i for i in bags}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    order = sorted(bags)
+    for x, a in enumerate(order):
+        for b in order[x + 1 :]:
+            low = sum(min(w, bags[b][h]) for h, w in bags[a].items() if h in bags[b])
+            if low >= neardup.SIMILARITY * (sum(bags[a].values()) + sum(bags[b].values()) - low) - 1e-9:
+                links += 1
+                one, two = sorted((top(a), top(b)))
+                root[two] = one
+    assert links > 100 and len({top(i) for i in order}) > 24
+    assert got == {i: top(first[w]) if w else i for i, w in words.items()}
 
 
 def test_near_duplicates_of_a_large_group(spark):
