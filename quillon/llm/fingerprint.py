@@ -155,9 +155,10 @@ def with_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(F.char_length("text") / 3).cast("int")
     sizes = materialize(base.select("key", F.xxhash64("text").alias("rev"), third.alias("third")), "fingerprint-sizes")
     need = sizes.groupBy("key").agg(F.max("third").alias("need"))
-    link = materialize(successors(sizes).join(need, "key").select(F.col("next_key").alias("key"), F.col("next_rev").alias("rev"), F.col("key").alias("for_key"), "need"), "fingerprint-links")
-    # doc_id is read on both sides of the last join, so that both use one and the same shuffle of the texts
-    wanted = base.join(link, "key").where((F.xxhash64("text") == F.col("rev")) & (F.coalesce("doc_id", F.lit(LEAST)) == F.col("key")))
+    link = materialize(successors(sizes).join(need, "key").select(F.col("next_key").alias("key"), F.col("next_rev").alias("rev"), F.col("next_key").alias("same"), F.col("key").alias("for_key"), "need"), "fingerprint-links")
+    # both joins read the same columns of the texts, and no further equality becomes a key: so one shuffle of the texts serves both
+    one = lambda x, y: x.bitwiseXOR(y) == 0
+    wanted = base.join(link, "key").where(one(F.xxhash64("text"), F.col("rev")) & one(F.coalesce("doc_id", F.lit(LEAST)), F.col("same")))
     heads = wanted.select(F.col("for_key").alias("key"), F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("next_digests")).dropDuplicates(["key"])
     joined = base.join(heads, "key").withColumn("_n", F.char_length("text")).withColumn("_k", F.floor(F.col("_n") / 3).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, _n - _k)"), F.expr("substring(head, 1, _k)"))
