@@ -31,7 +31,8 @@ from quillon.llm.grams import BYTE_BASE, ranges, slices
 MARK = "▁"
 #: Characters of a chunk; texts up to that length are one chunk.
 CHUNK = 50_000
-CACHE = 250_000
+#: Tokens whose ids a task remembers; ids that are decoded at a time.
+CACHE, SLICE_IDS = 100_000, 1 << 18
 #: State of a text's two ends.
 EDGE = (0, "")
 
@@ -413,19 +414,24 @@ def _decode_batches(texts: list[bytes], names: list[str]):
     where = np.cumsum(lengths) - lengths
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                listed = batch.column("ids")
-                ids = listed.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                counts = np.concatenate([[0], np.cumsum(listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-                ids = np.where((ids >= 0) & (ids < len(texts)), ids, len(texts) - 1)
+        for batch in batches:
+            listed = batch.column("ids")
+            every = listed.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            every = np.where((every >= 0) & (every < len(texts)), every, len(texts) - 1)
+            counts = np.concatenate([[0], np.cumsum(listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            first = 0
+            while first < batch.num_rows:
+                # rows of about SLICE_IDS ids, one row at least
+                last = min(batch.num_rows, max(first + 1, int(np.searchsorted(counts, counts[first] + SLICE_IDS, side="right")) - 1))
+                ids = every[counts[first] : counts[last]]
                 n = lengths[ids]
                 cuts = np.concatenate([[0], np.cumsum(n)])
                 raw = known[np.repeat(where[ids] - cuts[:-1], n) + np.arange(cuts[-1])].tobytes()
-                cuts = cuts[counts].tolist()
+                cuts = cuts[counts[first : last + 1] - counts[first]].tolist()
                 out = [raw[a + 1 if raw[a : a + 1] == b" " else a : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.string())], names=names + ["decoded"])
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in names] + [pa.array(out, pa.string())], names=names + ["decoded"])
+                first = last
 
     return decode
 
