@@ -459,7 +459,7 @@ def test_rules_reject_what_is_far_from_its_group(spark):
 # 10: language model
 
 
-def test_scores_count_as_plain_python_and_beat_word_counts(spark, sf, rows, odd):
+def test_scores_count_as_plain_python(spark, sf, rows, odd):
     got = {r.doc_id: r for r in registry.op10_lm_scoring(spark, sf).collect()}
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = {i: [*WORD.findall(low(r.text)), None] for i, r in rows.items()}
@@ -477,15 +477,58 @@ def test_scores_count_as_plain_python_and_beat_word_counts(spark, sf, rows, odd)
     assert lm_scoring.score(odd.limit(0), words).count() == 0
 
 
-def test_every_pair_and_window_counts(docs, rows, monkeypatch):
+def _plain_score(words, learnt, count, total, text, train):
+    """log10 of a text's probability, piece by piece with plain loops: masked attention to the block and the one before."""
+    m, block = learnt.model, lm_scoring.BLOCK
+    low = re.sub("[A-Z]", lambda c: c[0].lower(), text)
+    said, own = WORD.findall(low), Counter(WORD.findall(low))
+    cut = [words.cut(w) for w in said]
+    x = [words.end, *[i for c in cut for i in c], words.end]
+    e = m.embed.astype(float)
+    q, k, v = (e @ m.p[c].astype(float) for c in "qkv")
+    logs = []
+    for i in range(len(x) - 1):
+        reach = range(max(0, (i // block - 1) * block), i + 1)
+        weight = np.array([q[x[i]] @ k[x[j]] / math.sqrt(lm_scoring.WIDTH) + m.p["b"][i - j] for j in reach])
+        weight = np.exp(weight - weight.max())
+        logits = m.next_class[x[i]] + (weight / weight.sum()) @ np.array([v[x[j]] for j in reach]) @ m.p["o"]
+        logits -= logits.max()
+        logs.append(float(logits[m.classes[x[i + 1]]] - math.log(np.exp(logits).sum()) + m.in_class[x[i + 1]]) / math.log(10))
+    out, at = logs[-1], 0
+    for w, c in zip(said, cut):
+        others = count[w] - (own[w] if train else 0)
+        out += math.log10(lm_scoring.MODEL_WEIGHT * 10 ** sum(logs[at : at + len(c)]) + (1 - lm_scoring.MODEL_WEIGHT) * max(0, others) / total + 1e-300)
+        at += len(c)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 17, 50])
+def test_scores_equal_a_plain_masked_attention(docs, rows, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)  # the counts of all others are joined
     words = lm_scoring.Subwords.load(registry.PIECES)
-    want = {r.doc_id: r.score for r in lm_scoring.score(docs, words).collect()}
-    seen = []
-    train = lm_scoring.train
-    monkeypatch.setattr(lm_scoring, "train", lambda *a: seen.append(train(*a)) or seen[-1])
-    monkeypatch.setattr(lm_scoring, "PAIRS", 100)  # the counts of all other pairs are joined
-    got = {r.doc_id: r.score for r in lm_scoring.score(docs, words).collect()}
-    assert got == pytest.approx(want, rel=1e-6)
+    held, seen = [], lm_scoring.learn
+    monkeypatch.setattr(lm_scoring, "learn", lambda *a: held.append(seen(*a)) or held[-1])
+    got = {r.doc_id: r for r in lm_scoring.score(docs, words, 1).collect()}
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    long = [2 + sum(len(words.cut(w)) for w in WORD.findall(low(r.text))) for i, r in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert seen[0][1] == sum(max(0, -(-(n - 32) // 32)) for n in long) > 0
+    count = Counter(w for i, r in rows.items() if not got[i].held_out for w in WORD.findall(low(r.text)))
+    short = [i for i in sorted(rows) if len(rows[i].text or "") < 3000][:40]
+    assert any(got[i].held_out for i in short)
+    for i in short:
+        want = _plain_score(words, held[0], count, got[i].train_tokens, rows[i].text or "", not got[i].held_out)
+        assert got[i].score == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_attention_lowers_the_loss_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = lm_scoring.Subwords.load(registry.PIECES)
+    is_held = lm_scoring.held_out(F.col("doc_id"))
+    model = lm_scoring.learn(docs.where(~is_held), words, 2).model
+    texts = pa.array([r.text for r in docs.where(is_held).collect()])
+    without = lm_scoring.replace(model, p={**model.p, "o": model.p["o"] * 0})
+    loss = [0.0, 0.0]
+    for part in lm_scoring.slices(texts, lower=True):
+        s = lm_scoring.stream(words, part)
+        for k, m in enumerate((model, without)):
+            loss[k] -= float(m.score(s.x, s.begin).sum())
+    assert loss[0] < 0.995 * loss[1]
+
