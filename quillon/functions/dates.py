@@ -99,3 +99,15 @@ def duration_months(raw: Column) -> Column:
 def experience_years(raw: Column) -> Column:
     got = F.regexp_extract(raw, r"(?i)(\d+)\s*(?:year|yr)", 1)
     return F.when(got != "", got.cast("int")).otherwise(0)
+
+
+def latest_date(text: Column) -> Column:
+    """The latest day/month/year date that a text holds; null without one."""
+    found = F.regexp_extract_all(text, F.lit(r"(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})"), F.lit(1))
+    return F.array_max(F.transform(found, lambda x: normalize_date(x)["value"].cast("date")))
+
+
+def expiry_check(day: Column, as_of: Column) -> Column:
+    """Past: error; within 30 days: warning; else ok, also where no date is known."""
+    days = F.datediff(day, as_of)
+    return F.when(days < 0, "error").when(days <= 30, "warning").otherwise("ok")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing about which label a label is.
-STOP_WORDS = ("of", "the", "and", "for", "in", "to", "a", "an", "by", "on")
+#: Words that say nothing about which label a label is.
+STOP_WORDS = (
+    "a", "an", "the", "of", "for", "and", "or", "in", "on", "at", "to", "is", "are", "was", "be",
+    "requirement", "required", "applicable", "date", "amount", "value", "no", "number",
+)
 
 
 def squeezed(c: Column) -> Column:
@@ -20,8 +23,8 @@ def alias_key(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Different words of two letters or more that are no stop words."""
-    words = F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " ")
+    """Different words of a label's alias key, of two characters or more, that are no stop words."""
+    words = F.split(alias_key(c), " ")
     return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOP_WORDS)))
 
 
@@ -54,22 +57,32 @@ def keyword_weight(keyword: str) -> int:
 
 
 def twice_the_same(c: Column) -> Column:
-    """Whether a text's words are one sequence said twice."""
-    words = F.split(F.trim(c), r"\s+")
+    """Whether a text of four words or more is one sequence said twice, whatever its case."""
+    words = F.split(F.trim(F.lower(c)), r"\s+")
     half = F.floor(F.size(words) / 2).cast("int")
-    return (F.size(words) >= 2) & (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
+    return (F.size(words) >= 4) & (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
 
 
 def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-#: Lines that carry no content: page numbers, rules, dot leaders into a table of contents, and signature marks.
-NOISE = r"(?i)^(page\s+\d+(\s+of\s+\d+)?|\d+\s*/\s*\d+|\d{1,4}|[-_=*. ]{3,}|.*\.{4,}\s*\d+|(table of )?contents|signature.*|confidential|annexure index)$"
+#: Patterns of whole lines that carry no content.
+NOISE_LINES = (
+    r"page\s+\d+\s+of\s+\d+\.?\s*", r"page\s+\d+\.?\s*", r"page\s+no\.?\s*\d+\.?\s*", r"-\s*\d+\s*-", r"chapter\s+\d+[\s.:–-]*", r"section\s+\d+(?:\.\d+)*[\s.:–-]*",
+    r"part\s+[ivxlc\d]+[\s.:–-]*", r"schedule\s+[a-z][\s.:–-]*", r"annexure\s+[a-z0-9]+[\s.:–-]*", r"appendix\s+[a-z0-9]+[\s.:–-]*", r"enclosure\s+[ivxlc\d]+[\s.:–-]*",
+    r"contents\s*", r"table\s+of\s+contents\s*", r"index\s*", r"sl\.?\s*no\.?\s*", r"sr\.?\s*no\.?\s*", r"particulars\s*", r"description\s*", r"note[s]?\s*", r"continued\s*", r"contd\.?\s*",
+    r"\d+\s*", r"\d+(?:\.\d+)+\.?\s*", r"\.{3,}\s*\d+\s*", r"[.\s_-]{4,}\d+\s*",
+    r"(?:confidential|digitally\s+signed|printed\s+on|generated\s+on|download\s+ed\s+on)\b.*", r"(?:go\s+to|click\s+here|back\s+to|next\s+page|previous\s+page)\b.*",
+)
+#: Entries of a table of contents: a title with dot leaders, a numbered title with its page.
+LEADER, NUMBERED = r"^.{3,120}\.{2,}\s*\d+\s*$", r"^\d+(?:\.\d+)*\.?\s+\S.{2,80}\s+\d{1,3}\s*$"
+NOISE = "(?i)^(?:" + "|".join(NOISE_LINES) + ")$"
+CONTENTS = r"(?i)^(contents|index|table\s+of\s+contents)$"
 
 
 def is_noise(line: Column) -> Column:
-    return (F.char_length(line) <= 2) | line.rlike(NOISE)
+    return (F.char_length(line) <= 2) | line.rlike(NOISE) | line.rlike(LEADER) | line.rlike(NUMBERED)
 
 
 def without_noise(c: Column) -> Column:
@@ -77,11 +90,11 @@ def without_noise(c: Column) -> Column:
 
 
 def is_contents_page(c: Column) -> Column:
-    """At least four lines of which 45 % are noise, or a contents heading with two dot leaders."""
+    """At least four lines, and 45 % of them noise or a contents heading with two dot leaders."""
     all_lines = lines(c)
     noise = F.size(F.filter(all_lines, is_noise))
-    leaders = F.size(F.filter(all_lines, lambda x: x.rlike(r"\.{4,}\s*\d+$")))
-    return ((F.size(all_lines) >= 4) & (noise >= 0.45 * F.size(all_lines))) | (c.rlike(r"(?i)\b(table of )?contents\b") & (leaders >= 2))
+    leaders = F.size(F.filter(all_lines, lambda x: x.rlike(LEADER)))
+    return (F.size(all_lines) >= 4) & ((noise >= 0.45 * F.size(all_lines)) | (F.exists(all_lines, lambda x: x.rlike(CONTENTS)) & (leaders >= 2)))
 
 
 def joined_lines(c: Column) -> Column:
@@ -97,8 +110,10 @@ def joined_lines(c: Column) -> Column:
 
 
 def headings(c: Column, most: int = 15) -> Column:
-    """Lines that look like headings: numbered, in capitals, or short with a closing colon."""
-    looks = lambda x: (F.char_length(x) <= 100) & (x.rlike(r"^\d+(\.\d+)*\.?\s+\p{Lu}") | (x.rlike(r"^[\p{Lu}\d\s.,&/()-]{4,}$") & x.rlike(r"\p{Lu}")) | x.rlike(r"^\p{Lu}.{2,58}:$"))
+    """Lines of 4 to 120 characters that look like headings: numbered sections, capitals without a duty, or a short title in title case."""
+    looks = lambda x: F.char_length(x).between(4, 120) & (
+        x.rlike(r"(?i)^(?:section|chapter|part|schedule)\s+[\divxlc]+") | (x.rlike(r"^[A-Z][A-Z0-9\s\-–—:()]{6,}$") & ~x.rlike("(?i)shall|must|will"))
+        | (x.rlike(r"^(?:\d+\.?\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,6}$") & (F.char_length(x) < 80)))
     return F.slice(F.filter(lines(c), looks), 1, most)
 
 
@@ -106,7 +121,6 @@ def split_columns(line: Column) -> Column:
     """Cells of a table-like line: at pipes, else tabs, else wide gaps, else the first colon, else the whole line."""
     cells = lambda pattern: F.filter(F.transform(F.split(line, pattern), lambda x: F.trim(x)), lambda x: x != "")
     pipes, tabs, gaps = cells(r"\|"), cells("\t"), cells(r" {2,}")
-    colon = F.array(F.trim(F.substring_index(line, ":", 1)), F.trim(F.expr("1").cast("string")))
     colon = F.array(F.trim(F.substring_index(line, ":", 1)), F.trim(F.regexp_replace(line, r"^[^:]*:", "")))
     return F.when(F.size(pipes) >= 2, pipes).when(F.size(tabs) >= 2, tabs).when(F.size(gaps) >= 2, gaps).when(line.rlike(r"^[^:]+:\s*\S"), colon).otherwise(F.array(F.trim(line)))
 
@@ -175,23 +189,37 @@ def filters_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
-#: Ordered groups: the first whose pattern is in the name, or in name and value, takes a parameter.
+#: Ordered groups; the first whose pattern is in the name, or in name and value, takes a parameter.
 GROUPS = (
-    ("Financial", r"amount|fee|deposit|value|price|cost|payment|turnover"),
-    ("Dates", r"date|deadline|period|duration|validity|time"),
-    ("Eligibility", r"eligib|experience|qualif|certificate"),
-    ("Contact", r"contact|phone|mail|address|officer"),
-    ("Scope", r"scope|work|service|location"),
-    ("Documents", r"document|annexure|form|affidavit"),
+    ("Financial Information", (
+        r"emd|earnest\s*money|earnest\s*deposit|bid\s*security|security\s*deposit", r"estimated\s*(?:tender\s*)?value|tender\s*value|contract\s*value|project\s*cost",
+        r"tender\s*fee|processing\s*fee|document\s*fee|cost\s*of\s*tender", r"turnover|annual\s*turnover|financial\s*capacity|net\s*worth",
+        r"(?:₹|rs\.?|inr)\b|amount|fee|budget|price|payment|gst\s*amount", r"financial|bank\s*guarantee\s*amount|performance\s*security")),
+    ("Important Dates", (
+        r"publish\s*date|publication\s*date|issue\s*date|nit\s*date", r"submission\s*date|last\s*date|bid\s*submission|due\s*date|deadline", r"opening\s*date|bid\s*opening|technical\s*opening|financial\s*opening",
+        r"closing\s*date|end\s*date|expiry|validity|valid\s*upto|valid\s*up\s*to", r"pre\s*bid|pre-bid|clarification\s*date|corrigendum", r"\bdate\b|deadline|period\s*of\s*submission|time\s*schedule")),
+    ("Eligibility Criteria", (
+        r"eligib|qualification|experience|similar\s*work|past\s*performance", r"criteria|requirement|minimum|mandatory\s*requirement", r"oem|manufacturer|authorized\s*dealer|dealer\s*certificate",
+        r"registration|class\s*of\s*contractor|contractor\s*class", r"msme|startup|small\s*enterprise|udyam", r"pan\b|gstin|gst\s*no|income\s*tax")),
+    ("Technical Requirements", (
+        r"technical|scope\s*of\s*work|specification|spec\b|schedule\s*of\s*items", r"manpower|resource|equipment|machinery|plant|material", r"quantity|unit|nos\.|numbers|capacity|rating|output",
+        r"methodology|approach|deliverable|milestone|completion\s*period", r"name\s*of\s*work|description\s*of\s*work|work\s*description")),
+    ("Compliance Requirements", (
+        r"compliance|statutory|labour\s*law|labour\s*license", r"epf|esi|pf\b|provident|insurance|wc\s*policy|workmen", r"iso\b|bis\b|certification|quality\s*assurance", r"bg\b|bank\s*guarantee|performance\s*guarantee|security\s*instrument",
+        r"maf|manufacturer\s*authorization|reverse\s*auction", r"affidavit|declaration|undertaking|integrity\s*pact", r"blacklist|debarment|litigation|arbitration")),
+    ("Contact Information", (
+        r"contact|phone|mobile|telephone|fax|email|e-mail", r"officer|engineer|authority|designation|person\s*responsible", r"address\s*for\s*communication|communication\s*address", r"website|portal|url|gepnic|eproc")),
 )
+REST = "General Information"
 
 
 def parameter_group(name: Column, value: Column) -> Column:
-    out = F.lit("Other")
-    for group, pattern in reversed(GROUPS):
-        out = F.when(F.concat_ws(" ", name, value).rlike(f"(?i){pattern}"), group).otherwise(out)
-    for group, pattern in reversed(GROUPS):
-        out = F.when(name.rlike(f"(?i){pattern}"), group).otherwise(out)
+    """The first group of which a pattern is in the name or in name and value; what is left is general."""
+    both = F.trim(F.concat_ws(" ", name, value))
+    out = F.lit(REST)
+    for group, patterns in reversed(GROUPS):
+        pattern = "(?i)" + "|".join(patterns)
+        out = F.when(name.rlike(pattern) | both.rlike(pattern), group).otherwise(out)
     return out
 
 
@@ -206,11 +234,16 @@ def irrelevance(name: Column, value: Column) -> Column:
 
 
 def is_paragraph(c: Column) -> Column:
-    return (F.char_length(c) > 200) | ((F.size(F.split(c, r"\s+")) > 25) & c.rlike(r"[.;]\s"))
+    """Nothing, over 200 characters, or two sentences of over 40."""
+    v = F.trim(c)
+    long = F.filter(F.split(v, r"[.!?]"), lambda x: F.char_length(F.trim(x)) > 40)
+    return (v == "") | (F.char_length(v) > 200) | (F.size(long) >= 2)
 
 
 def is_heading(c: Column) -> Column:
-    return (F.char_length(c) < 60) & (c.rlike(r"^\d+(\.\d+)*\.?\s+\S+") | (c == F.upper(c)) & c.rlike("[A-Z]{3}"))
+    """Nothing, or up to 80 characters in capitals with four letters in a row."""
+    v = F.trim(c)
+    return (v == "") | ((F.char_length(v) <= 80) & (v == F.upper(v)) & v.rlike("[A-Z]{4,}"))
 
 
 def file_type(mime: Column, name: Column) -> Column:
@@ -220,3 +253,36 @@ def file_type(mime: Column, name: Column) -> Column:
         F.when(mime == "application/pdf", "pdf").when(F.contains(mime, F.lit("wordprocessingml")), "docx").when(mime.startswith("image/"), "image")
         .when(ext == "pdf", "pdf").when(ext.isin("doc", "docx"), "docx").when(ext.isin("png", "jpg", "jpeg", "tif", "tiff"), "image").otherwise("unknown")
     )
+
+
+def recovered(text: Column, patterns: list[str], labels: list[str]) -> Column:
+    """struct<value, confidence> of a missing field: the first pattern's group (.85), else what follows the first label (.80).
+
+    Values have 2 to 350 characters.
+    """
+    value = lambda pattern: F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\s+", " "))
+    fits = lambda pattern: F.char_length(value(pattern)).between(2, 350)
+    ways = [(p, 0.85) for p in patterns] + [(rf"(?i)\Q{label}\E[^:\n]{{0,50}}[:\s]+([^\n]{{3,200}})", 0.80) for label in labels]
+    out = F.lit(None)
+    for pattern, confidence in reversed(ways):
+        out = F.when(fits(pattern), F.struct(value(pattern).alias("value"), F.lit(confidence).alias("confidence"))).otherwise(out)
+    return out
+
+
+def deduped(items: Column, most: int = 12) -> Column:
+    """At most ``most`` items without repeats by lower case; of two short or two long ones of which one holds the other, the longer."""
+
+    def step(kept: Column, item: Column) -> Column:
+        key = F.lower(item)
+
+        def same(other: Column) -> Column:
+            k = F.lower(other)
+            short, long = (F.char_length(item) <= 25) & (F.char_length(k) <= 25), (F.char_length(item) > 40) & (F.char_length(k) > 40)
+            return (k == key) | ((short | long) & (F.contains(k, key) | F.contains(key, k)))
+
+        longer = F.transform(kept, lambda other: F.when(same(other) & (F.char_length(item) > F.char_length(other)), item).otherwise(other))
+        added = F.when(F.exists(kept, same), longer).otherwise(F.concat(kept, F.array(item)))
+        return F.when((F.char_length(item) < 2) | item.rlike(r"^[\d.]+$"), kept).otherwise(added)
+
+    zero = F.expr("cast(array() as array<string>)")
+    return F.slice(F.array_distinct(F.aggregate(F.transform(items, lambda x: F.trim(x)), zero, step)), 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
@@ -60,3 +60,10 @@ def html_text(html):
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", "\n")
     return F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", " "), r"[ \t]+", " ")
+
+
+def ranges(pages: DataFrame, key: str, page: str, tags: str) -> DataFrame:
+    """(key, tags, first, last): neighbouring pages of equal tags as one range."""
+    by_tags = Window.partitionBy(key, tags).orderBy(page)
+    island = F.col(page) - F.row_number().over(by_tags)
+    return pages.withColumn("_g", island).groupBy(key, tags, "_g").agg(F.min(page).alias("first"), F.max(page).alias("last")).drop("_g")
