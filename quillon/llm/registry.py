@@ -11,6 +11,7 @@ from quillon.llm.common import documents
 
 #: Where the vocabulary files are; the queries' operators take the path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the attention model and by smoothed word counts, learnt from four fifths of them."""
-    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"), lm_scoring.Subwords.load(PIECES))
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"), lm_scoring.Subwords.load(SUBWORDS))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules, op10_lm_scoring)}

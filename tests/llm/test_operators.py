@@ -472,7 +472,7 @@ def test_scores_count_as_plain_python(spark, sf, rows, odd):
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert math.isfinite(r.score) and r.score < 0
     assert len(got) == len(rows)
-    words = lm_scoring.Subwords.load(registry.PIECES)
+    words = lm_scoring.Subwords.load(registry.SUBWORDS)
     assert lm_scoring.score(odd, words).count() == odd.count()
     assert lm_scoring.score(odd.limit(0), words).count() == 0
 
@@ -482,7 +482,7 @@ def _plain_score(words, learnt, count, total, text, train):
     m, block = learnt.model, lm_scoring.BLOCK
     low = re.sub("[A-Z]", lambda c: c[0].lower(), text)
     said, own = WORD.findall(low), Counter(WORD.findall(low))
-    cut = [words.cut(w) for w in said]
+    cut = [words.cut([w.encode()])[0].tolist() for w in said]
     x = [words.end, *[i for c in cut for i in c], words.end]
     e = m.embed.astype(float)
     q, k, v = (e @ m.p[c].astype(float) for c in "qkv")
@@ -505,7 +505,7 @@ def _plain_score(words, learnt, count, total, text, train):
 @pytest.mark.parametrize("frequent", [1 << 17, 50])
 def test_scores_equal_a_plain_masked_attention(docs, rows, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)  # the counts of all others are joined
-    words = lm_scoring.Subwords.load(registry.PIECES)
+    words = lm_scoring.Subwords.load(registry.SUBWORDS)
     held, seen = [], lm_scoring.learn
     monkeypatch.setattr(lm_scoring, "learn", lambda *a: held.append(seen(*a)) or held[-1])
     got = {r.doc_id: r for r in lm_scoring.score(docs, words, 1).collect()}
@@ -520,7 +520,7 @@ def test_scores_equal_a_plain_masked_attention(docs, rows, monkeypatch, frequent
 
 def test_attention_lowers_the_loss_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    words = lm_scoring.Subwords.load(registry.PIECES)
+    words = lm_scoring.Subwords.load(registry.SUBWORDS)
     is_held = lm_scoring.held_out(F.col("doc_id"))
     model = lm_scoring.learn(docs.where(~is_held), words, 2).model
     texts = pa.array([r.text for r in docs.where(is_held).collect()])
@@ -530,5 +530,5 @@ def test_attention_lowers_the_loss_on_held_out_texts(spark):
         s = lm_scoring.stream(words, part)
         for k, m in enumerate((model, without)):
             loss[k] -= float(m.score(s.x, s.begin).sum())
-    assert loss[0] < 0.995 * loss[1]
+    assert loss[0] < 0.995 * loss[1], loss
 
