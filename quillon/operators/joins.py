@@ -56,12 +56,38 @@ def first_mention(pages: DataFrame, terms: list[tuple[str, list[str]]], text: st
 def fuzzy_pairs(values: DataFrame, column: str, similarity: float) -> DataFrame:
     """(a, b, similarity) of different values alike by edit distance.
 
-    Only values whose lengths allow the similarity and that share a deletion-free signature bucket by length are
-    compared: the shorter of two values alike to ``similarity`` has at least that share of the longer's length.
+    A value of n characters allows (1 - similarity) n edits. Cut into one segment more than that, one segment of the longer
+    value stays whole in the shorter one, shifted by as many places at most; so values meet on (length, segment,
+    its text) and only those are compared. Values too short to have as many segments meet on empty ones.
     """
     v = values.select(F.col(column).alias("a")).where("a is not null").distinct().withColumn("n", F.char_length("a"))
-    reach = v.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * similarity).cast("int"), F.col("n"))))
-    other = v.select(F.col("a").alias("b"), F.col("n").alias("m"))
+    edits = F.floor((1 - F.lit(similarity)) * F.col("n") + F.lit(1e-9)).cast("int")
+    start, stop = F.floor(F.col("i") * F.col("n") / (F.col("e") + 1)).cast("int"), F.floor((F.col("i") + 1) * F.col("n") / (F.col("e") + 1)).cast("int")
+    cut = lambda rows: rows.withColumn("e", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e")))).withColumns({"at": start, "len": stop - start})
+    long = cut(v).select("a", "n", "i", F.substr("a", F.col("at") + 1, F.col("len")).alias("part"))
+    short = v.select(F.col("a").alias("b"), F.col("n").alias("m"))
+    short = cut(short.withColumn("n", F.explode(F.sequence(F.col("m"), F.floor(F.col("m") / similarity + 1e-9).cast("int")))))
+    shifted = short.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("e")), F.col("at") + F.col("e"))))
+    shifted = shifted.where("at + len <= m").select("b", "m", "n", "i", F.substr("b", F.col("at") + 1, F.col("len")).alias("part")).distinct()
+    met = long.join(shifted, ["n", "i", "part"]).where((F.col("n") > F.col("m")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
     alike = 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
-    pairs = reach.join(other, "m").where((F.col("n") > F.col("m")) | (F.col("a") < F.col("b")))
-    return pairs.withColumn("s", alike).where(F.col("s") >= similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("s", 4).alias("similarity"))
+    found = met.withColumn("s", alike).where(F.col("s") >= similarity)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("s", 4).alias("similarity")).distinct()
+
+
+def first_with_terms(rows: DataFrame, key: str, order: str, text: Column, items: list[tuple[str, list[str]]], columns: list[str], shortest: int = 0) -> DataFrame:
+    """(key, item, columns): for each item of a fixed catalogue the first row of a key whose text holds one of its terms.
+
+    Terms of ``shortest`` characters or fewer don't count. The catalogue unfolds inside each row, and firsts combine before the shuffle.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = []
+    for item, terms in items:
+        hit = F.lit(False)
+        for t in terms:
+            if len(t) > shortest:
+                hit = hit | F.contains(low, F.lit(t.lower()))
+        held.append(F.when(hit, F.lit(item)))
+    hits = rows.select(key, order, *columns, F.explode(F.array_compact(F.array(*held))).alias("item"))
+    best = F.min_by(F.struct(*columns), F.struct(order, *columns))
+    return hits.groupBy(key, "item").agg(best.alias("_b")).select(key, "item", "_b.*")

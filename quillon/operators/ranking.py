@@ -22,7 +22,10 @@ def winners_and_losers(df: DataFrame, keys: list[str], order: list[Column]) -> D
 
 
 def with_history(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
-    """The winner of each key with its losers, in order, as duplicate_history."""
+    """The winner of each key with its losers, in order, as duplicate_history.
+
+    The history is an array by its nature; where a key may have very many losers, ``winners_and_losers`` keeps them as rows.
+    """
     ranked = numbered(df, keys, order)
     lost = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", *columns))))
     best = F.min_by(F.struct(*columns), "rank")
@@ -78,3 +81,29 @@ def islands(rows: DataFrame, keys: list[str], order: str, member: Column, least:
     tagged = rows.withColumn("_m", F.coalesce(member, F.lit(False))).withColumn("_b", F.sum(F.when(F.col("_m"), 0).otherwise(1)).over(w))
     got = tagged.where("_m").groupBy(*keys, "_b").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
     return got.where(F.col("n") >= least).drop("_b")
+
+
+def merged_values(rows: DataFrame, key: str, value: str, confidence: str) -> DataFrame:
+    """(key, value, confidence): values of a key without near repeats, each with the best confidence of its repeats.
+
+    Values count as equal by lower case and single spaces; two of over 30 characters also where one holds the other.
+    Exact repeats combine before the shuffle; what is left of a key, a list of different values, is merged in order of length.
+    """
+    text = F.trim(F.regexp_replace(F.col(value), r"\s+", " "))
+    plain = rows.where(text != "").groupBy(key, F.lower(text).alias("_k")).agg(F.min(text).alias("v"), F.max(confidence).alias("c"))
+    items = plain.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.char_length("_k")).alias("n"), F.col("_k").alias("k"), F.col("v").alias("v"), F.col("c").alias("c")))).alias("a"))
+    held = "array<struct<k:string,v:string,c:double>>"
+
+    def step(kept: Column, x: Column) -> Column:
+        same = lambda o: (F.char_length(x["k"]) > 30) & (F.char_length(o["k"]) > 30) & (F.contains(o["k"], x["k"]) | F.contains(x["k"], o["k"]))
+        lifted = F.transform(kept, lambda o: F.struct(o["k"].alias("k"), o["v"].alias("v"), F.when(same(o), F.greatest(o["c"], x["c"].cast("double"))).otherwise(o["c"]).alias("c")))
+        own = F.array(F.struct(x["k"].alias("k"), x["v"].alias("v"), x["c"].cast("double").alias("c")))
+        return F.when(F.exists(kept, same), lifted).otherwise(F.concat(kept, own)).cast(held)
+
+    return items.select(key, F.explode(F.aggregate("a", F.expr(f"cast(array() as {held})"), step)).alias("m")).select(key, F.col("m.v").alias(value), F.col("m.c").alias(confidence))
+
+
+def changed(rows: DataFrame, keys: list[str], order: list[Column], column: str) -> DataFrame:
+    """Rows whose value is not the one of the row before them of the same key."""
+    before = F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_last", before).where(~F.col("_last").eqNullSafe(F.col(column))).drop("_last")

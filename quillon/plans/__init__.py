@@ -1,6 +1,6 @@
 """Queries: operators applied to whole tables, each beside the SQL that gives the same rows where there is some."""
 
-from quillon.plans import curation, mis, scoring, texts
+from quillon.plans import curation, lookups, mis, scoring, sinks, texts
 from quillon.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "curation", "mis", "scoring", "texts"]
+__all__ = ["ORACLE", "QUERIES", "curation", "lookups", "mis", "scoring", "sinks", "texts"]

@@ -47,7 +47,6 @@ _top("w03_mapping_winner", "l_suppkey", "l_discount DESC, l_shipdate, l_orderkey
 _top("w05_page_priority", "l_orderkey", "l_linestatus, l_extendedprice DESC, l_linenumber, l_tax DESC, l_partkey", ["l_orderkey", "l_linenumber", "l_linestatus"], lambda: [c("l_linestatus"), c("l_extendedprice").desc(), c("l_linenumber"), c("l_tax").desc(), c("l_partkey")])
 _top("w06_best_candidate", "l_orderkey", "l_discount DESC, l_linenumber, l_extendedprice, l_partkey", ["l_orderkey", "l_linenumber", "l_discount"], lambda: [c("l_discount").desc(), c("l_linenumber"), c("l_extendedprice"), c("l_partkey")])
 _top("w07_locator_candidate", "o_custkey", "o_orderpriority, o_totalprice DESC, o_orderkey", ["o_custkey", "o_orderkey", "o_orderpriority"], lambda: [c("o_orderpriority"), c("o_totalprice").desc(), c("o_orderkey")], "orders")
-_top("w08_best_rule_match", "p_brand", "p_size DESC, p_partkey", ["p_brand", "p_partkey", "p_size"], lambda: [c("p_size").desc(), c("p_partkey")], "part")
 _top("sc2_latest_row", "o_custkey", "o_orderdate DESC, o_orderkey", ["o_custkey", "o_orderkey", "o_orderstatus"], lambda: [c("o_orderdate").desc(), c("o_orderkey")], "orders")
 
 
@@ -60,13 +59,6 @@ def w04(spark, d):
     return ranking.top_one(s, ["l_orderkey", "l_partkey", "l_suppkey"], [c("confidence").desc(), c("seq")])
 
 
-@query("w09_alias_variants", "SELECT lower(p_brand) AS k, min(p_partkey) AS first_part, count(*) AS variants FROM part GROUP BY 1")
-def w09(spark, d):
-    p = domain.table(spark, d, "part").withColumn("k", F.lower("p_brand"))
-    best = ranking.top_one(p, ["k"], [c("p_partkey")]).select("k", c("p_partkey").alias("first_part"))
-    return best.join(p.groupBy("k").agg(F.count("*").alias("variants")), "k")
-
-
 @query("w10_priority_merge", """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_orderpriority WHEN o_orderstatus <> 'F' THEN o_orderstatus WHEN o_custkey % 2 = 0 THEN 'even' END AS value,
     CASE WHEN o_totalprice > 200000 THEN 'locator' WHEN o_orderstatus <> 'F' THEN 'validated' WHEN o_custkey % 2 = 0 THEN 'rule' END AS value_source,
     concat_ws('; ', CASE WHEN NOT o_totalprice > 200000 THEN 'locator: rejected' END, CASE WHEN o_orderstatus = 'F' THEN 'validated: rejected' END, CASE WHEN o_custkey % 2 <> 0 THEN 'rule: rejected' END) AS notes FROM orders""")
@@ -75,12 +67,6 @@ def w10(spark, d):
     return ranking.merged_by_priority(o, "o_orderkey", [("locator", c("o_totalprice") > 200000), ("validated", c("o_orderstatus") != "F"), ("rule", c("o_custkey") % 2 == 0)])
 
 
-@query("w11_list_merge", "SELECT p_type, count(DISTINCT lower(p_name)) AS n_values, round(avg(p_size), 4) AS mean_confidence FROM part GROUP BY 1")
-def w11(spark, d):
-    p = domain.table(spark, d, "part")
-    return p.groupBy("p_type").agg(F.countDistinct(F.lower("p_name")).alias("n_values"), F.round(F.avg("p_size"), 4).alias("mean_confidence"))
-
-
 @query("w12_partial_amounts", "WITH v AS (SELECT DISTINCT l_orderkey, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS digits FROM lineitem) SELECT l_orderkey, digits FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.l_orderkey = v.l_orderkey AND o.digits <> v.digits AND ends_with(o.digits, v.digits))")
 def w12(spark, d):
     v = lines(spark, d).select("l_orderkey", c("l_quantity").cast("int").cast("string").alias("digits")).distinct()
@@ -129,15 +115,20 @@ def s05(spark, d):
     return domain.table(spark, d, "part").select("p_brand", F.lower("p_type"), "p_size").distinct().agg(F.count("*").alias("n"))
 
 
-@query("s07_except", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("s07_except", "SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
 def s07(spark, d):
-    keys = lambda flag: lines(spark, d).where(c("l_returnflag") == flag).select("l_partkey")
-    return keys("A").exceptAll(keys("R").distinct()).distinct().join(keys("R").distinct(), "l_partkey", "left_anti")
+    keys = lambda flag: lines(spark, d).where(c("l_returnflag") == flag).select("l_partkey", "l_linenumber")
+    return keys("A").distinct().join(keys("R"), ["l_partkey", "l_linenumber"], "left_anti")
 
 
-@query("a17_dataset_statistics", "SELECT p_brand AS category, count(*) AS n, floor(avg(p_size) + 0.5) AS mean_confidence, count(*) FILTER (p_size >= 25) AS verified FROM part GROUP BY 1")
+@query("a17_dataset_statistics", "SELECT (SELECT count(*) FROM part) AS total, (SELECT floor(avg(p_size) + 0.5) FROM part) AS mean_confidence, (SELECT string_agg(p_brand || '=' || n, ',' ORDER BY p_brand || '=' || n) FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)) AS by_brand, (SELECT string_agg(p_type || '=' || n, ',' ORDER BY p_type || '=' || n) FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1)) AS by_type")
 def a17(spark, d):
-    return domain.table(spark, d, "part").groupBy(c("p_brand").alias("category")).agg(F.count("*").alias("n"), F.floor(F.avg("p_size") + 0.5).cast("double").alias("mean_confidence"), agg.count_if(c("p_size") >= 25).alias("verified"))
+    """Totals, and counts by value of several columns as maps, in one scan; the maps are written out in order."""
+    rows = domain.table(spark, d, "part")
+    sets = rows.groupingSets([["p_brand"], ["p_type"], []], "p_brand", "p_type")
+    counts = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.floor(F.avg("p_size") + 0.5).cast("double").alias("m"))
+    written = lambda g, name: F.array_join(F.array_sort(F.collect_list(F.when(c("g") == g, F.concat(name, F.lit("="), c("n").cast("string"))))), ",")
+    return counts.agg(F.max(F.when(c("g") == 3, c("n"))).alias("total"), F.max(F.when(c("g") == 3, c("m"))).alias("mean_confidence"), written(1, "p_brand").alias("by_brand"), written(2, "p_type").alias("by_type"))
 
 
 @query("a18_confidence_statistics", "SELECT count(*) AS total, floor(avg(p_size) + 0.5) AS mean, count(*) FILTER (p_size >= 40) AS high, count(*) FILTER (p_size < 40) AS low FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from quillon.functions import dates
@@ -43,11 +45,13 @@ def pf03(spark, d):
     return domain.table(spark, d, "part").where(filters.matches(F.col("p_name"), "^.*RED")).select("p_partkey", "p_name")
 
 
-@query("pf04_pf05_search", "SELECT 'supplier' AS kind, s_suppkey AS id, s_name AS title FROM supplier WHERE s_name ILIKE '%00001%' UNION ALL SELECT 'customer', c_custkey, c_name FROM customer WHERE c_name ILIKE '%00001%' OR c_mktsegment ILIKE '%00001%'")
+@query("pf04_search", "SELECT * FROM (SELECT * FROM (SELECT 'supplier' AS kind, s_suppkey AS id, s_name AS title FROM supplier WHERE s_name ILIKE '%0000%' ORDER BY s_suppkey LIMIT 25) UNION ALL SELECT * FROM (SELECT 'customer', c_custkey, c_name FROM customer WHERE c_name ILIKE '%0000%' OR c_mktsegment ILIKE '%0000%' ORDER BY c_custkey LIMIT 25)) ORDER BY kind, id LIMIT 40")
 def pf04(spark, d):
-    s = filters.search(domain.table(spark, d, "supplier"), "00001", ["s_name"]).select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
-    c = filters.search(domain.table(spark, d, "customer"), "00001", ["c_name", "c_mktsegment"]).select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
-    return s.unionByName(c)
+    """At most 25 hits of each source, and 40 in all."""
+    s = filters.search(domain.table(spark, d, "supplier"), "0000", ["s_name"]).select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    c = filters.search(domain.table(spark, d, "customer"), "0000", ["c_name", "c_mktsegment"]).select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    top = [x.orderBy("id").limit(25) for x in (s, c)]
+    return top[0].unionByName(top[1]).orderBy("kind", "id").limit(40)
 
 
 @query("pf05_exact_match", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_name = 'BUILDING'")
@@ -184,7 +188,7 @@ def a02(spark, d):
     return agg.zero_filled(counts, "status", STATUSES, ["n"]).drop("bucket_order")
 
 
-PERFORMANCE_SQL = "count(*) FILTER (status <> 'REJECTED') AS participated, count(*) FILTER (status = 'AWARDED') AS won, count(*) FILTER (status = 'SUBMITTED') AS lost, CASE WHEN count(*) FILTER (status <> 'REJECTED') > 0 THEN floor(count(*) FILTER (status = 'AWARDED') / count(*) FILTER (status <> 'REJECTED') * 10000 + 0.5) / 100 ELSE 0 END AS win_rate"
+PERFORMANCE_SQL = "count(*) FILTER (status IN ('SUBMITTED','AWARDED')) AS participated, count(*) FILTER (status = 'AWARDED') AS won, count(*) FILTER (status = 'SUBMITTED') AS lost, CASE WHEN count(*) FILTER (status IN ('SUBMITTED','AWARDED')) > 0 THEN floor(count(*) FILTER (status = 'AWARDED') / count(*) FILTER (status IN ('SUBMITTED','AWARDED')) * 10000 + 0.5) / 100 ELSE 0 END AS win_rate"
 PERFORMANCE_SEGMENT_SQL = with_("tenders") + f"SELECT c_mktsegment AS segment, {PERFORMANCE_SQL} FROM tenders LEFT JOIN customer ON c_custkey = client_id GROUP BY 1"
 
 
@@ -244,21 +248,33 @@ def a07(spark, d):
     return domain.finance_records(spark, d).rollup("record_type").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount")).withColumn("record_type", F.coalesce("record_type", F.lit("TOTAL")))
 
 
-@query("a08_finance_overview", with_("finance") + f"""SELECT record_type, round(sum(amount), 2) AS total, round(sum(CASE WHEN {DAYS_SQL.format('expiry_date')} < 0 THEN amount ELSE 0 END), 2) AS expired,
-    count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status = 'Pending') AS pending, round(sum(CASE WHEN status = 'Received' OR refund_status IS NOT NULL THEN amount ELSE 0 END), 2) AS paid FROM finance GROUP BY 1""")
+BG_OUT = f"({DAYS_SQL.format('expiry_date')} < 0 AND status <> 'Refunded')"
+
+
+@query("a08_finance_overview", with_("finance") + f"""SELECT round(sum(CASE WHEN record_type = 'EMD' AND refund_status IS DISTINCT FROM 'received' AND status <> 'Refunded' THEN amount ELSE 0 END), 2) AS emd_locked, round(sum(CASE WHEN record_type = 'EMD' AND (refund_status = 'received' OR status = 'Refunded') THEN amount ELSE 0 END), 2) AS emd_refunded,
+    round(sum(CASE WHEN refund_status <> 'received' THEN amount ELSE 0 END), 2) AS pending_refund, round(sum(CASE WHEN record_type = 'BG' AND status IN ('Active','Expiring Soon') THEN amount ELSE 0 END), 2) AS bg_active, round(sum(CASE WHEN record_type = 'BG' AND status IN ('Pending','Requested') THEN amount ELSE 0 END), 2) AS bg_pending,
+    round(sum(CASE WHEN record_type = 'BG' AND {BG_OUT} THEN amount ELSE 0 END), 2) AS bg_expired, round(sum(CASE WHEN record_type = 'TENDER_FEE' AND (status = 'Received' OR refund_status IS NOT NULL) THEN amount ELSE 0 END), 2) AS fees_paid, round(sum(CASE WHEN record_type = 'SD' THEN amount ELSE 0 END), 2) AS deposits,
+    round(sum(CASE WHEN record_type = 'PBG' AND status IN ('Active','Expiring Soon') THEN amount ELSE 0 END), 2) AS pbg_active, round(sum(CASE WHEN record_type = 'PBG' AND {BG_OUT} THEN amount ELSE 0 END), 2) AS pbg_expired, round(sum(CASE WHEN record_type = 'PBG' AND status IN ('Pending','Requested') THEN amount ELSE 0 END), 2) AS pbg_pending FROM finance""")
 def a08(spark, d):
+    """Eleven sums in one scan. Received fees, or those with a refund, count as paid; a released guarantee does not expire."""
     f = domain.finance_records(spark, d).withColumn("days", dates.days_until(F.col("expiry_date"), as_of()))
-    status = F.col("status")
-    return f.groupBy("record_type").agg(
-        F.round(F.sum("amount"), 2).alias("total"), agg.sum_if(F.col("days") < 0, F.col("amount")).alias("expired"), agg.count_if(status == "Active").alias("active"),
-        agg.count_if(status == "Pending").alias("pending"), agg.sum_if((status == "Received") | F.col("refund_status").isNotNull(), F.col("amount")).alias("paid"))
+    kind = lambda k: F.col("record_type") == k
+    status, back = F.col("status"), F.coalesce(F.col("refund_status") == "received", F.lit(False)) | (F.col("status") == "Refunded")
+    active, waits, out = status.isin("Active", "Expiring Soon"), status.isin("Pending", "Requested"), (F.col("days") < 0) & (status != "Refunded")
+    measures = {
+        "emd_locked": kind("EMD") & ~back, "emd_refunded": kind("EMD") & back, "pending_refund": F.col("refund_status") != "received", "bg_active": kind("BG") & active, "bg_pending": kind("BG") & waits, "bg_expired": kind("BG") & out,
+        "fees_paid": kind("TENDER_FEE") & ((status == "Received") | F.col("refund_status").isNotNull()), "deposits": kind("SD"), "pbg_active": kind("PBG") & active, "pbg_expired": kind("PBG") & out, "pbg_pending": kind("PBG") & waits}
+    return f.agg(*[agg.sum_if(condition, F.col("amount")).alias(name) for name, condition in measures.items()])
 
 
-@query("a09_d09_contract_windows", with_("contracts") + f"SELECT count(*) AS contracts, count(*) FILTER (contract_end < {TS}) AS ended, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 30 DAY) AS in_30, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 60 DAY) AS in_60, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 90 DAY) AS in_90 FROM contracts")
+@query("a09_d09_contract_windows", with_("contracts") + f"SELECT count(*) FILTER (contract_end >= {TS}) AS running, count(*) FILTER (contract_end < {TS} AND tender_id % 3 = 0) AS completed, count(*) FILTER (contract_end < {TS} AND tender_id % 3 <> 0) AS expired, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 30 DAY) AS in_30, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 60 DAY) AS in_60, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 90 DAY) AS in_90 FROM contracts")
 def a09(spark, d):
+    """Counts by status, and of contracts that end within windows from now on, each of which holds the shorter ones."""
     end = F.col("contract_end")
+    status = F.when(end >= as_of(), "active").when(F.col("tender_id") % 3 == 0, "completed").otherwise("expired")
     within = lambda n: agg.count_if(end.between(as_of(), as_of() + F.expr(f"interval {n} days"))).alias(f"in_{n}")
-    return domain.contracts(spark, d).agg(F.count("*").alias("contracts"), agg.count_if(end < as_of()).alias("ended"), within(30), within(60), within(90))
+    of = lambda name, *s: agg.count_if(F.col("s").isin(*s)).alias(name)
+    return domain.contracts(spark, d).withColumn("s", status).agg(of("running", "active", "expiring_soon"), of("completed", "completed"), of("expired", "expired"), within(30), within(60), within(90))
 
 
 @query("a10_revenue", with_("contracts", "finance") + "SELECT r.*, i.* FROM (SELECT count(*) AS contracts, round(sum(contract_value), 2) AS revenue FROM contracts) r, (SELECT count(*) AS invoices, count(*) FILTER (status = 'Received') AS paid, count(*) FILTER (status <> 'Received') AS unpaid FROM finance) i")
@@ -269,7 +285,7 @@ def a10(spark, d):
     return agg.side_by_side(r, i)
 
 
-@query("a11_tender_overview", with_("tenders") + "SELECT count(*) AS total, count(*) FILTER (status <> 'REJECTED') AS participated, count(*) FILTER (status = 'AWARDED') AS awarded, count(*) FILTER (status = 'REJECTED') AS rejected, count(*) FILTER (updated_at >= TIMESTAMP '1998-01-01') AS recent, round(avg(estimated_value), 2) AS mean_value, round(max(estimated_value), 2) AS largest FROM tenders")
+@query("a11_tender_overview", with_("tenders") + "SELECT count(*) AS total, count(*) FILTER (status IN ('SUBMITTED','AWARDED')) AS participated, count(*) FILTER (status = 'AWARDED') AS awarded, count(*) FILTER (status = 'REJECTED') AS rejected, count(*) FILTER (updated_at >= TIMESTAMP '1998-01-01') AS recent, round(avg(estimated_value), 2) AS mean_value, round(max(estimated_value), 2) AS largest FROM tenders")
 def a11(spark, d):
     s = F.col("status")
     return domain.tenders(spark, d).agg(
@@ -277,17 +293,24 @@ def a11(spark, d):
         agg.count_if(F.col("updated_at") >= as_of()).alias("recent"), F.round(F.avg("estimated_value"), 2).alias("mean_value"), F.round(F.max("estimated_value"), 2).alias("largest"))
 
 
-@query("a13_contract_summary", with_("contracts") + f"SELECT count(*) AS contracts, count(*) FILTER (contract_end >= {TS}) AS active, round(sum(contract_value), 2) AS value, round(sum(CASE WHEN contract_end >= {TS} THEN contract_value ELSE 0 END), 2) AS active_value, round(avg(contract_value), 2) AS mean_value FROM contracts")
+@query("a13_contract_summary", with_("contracts") + f"SELECT count(*) AS total, count(*) FILTER (contract_end >= {TS}) AS active, count(*) FILTER (contract_end BETWEEN {TS} AND {TS} + INTERVAL 30 DAY) AS expiring_soon, count(*) FILTER (contract_end - INTERVAL 45 DAY BETWEEN {TS} AND {TS} + INTERVAL 30 DAY) AS amc_expiring_soon, round(sum(contract_value), 2) AS revenue, round(sum(CASE WHEN tender_id % 4 <> 0 THEN contract_value ELSE 0 END), 2) AS received, round(sum(CASE WHEN tender_id % 4 = 0 THEN contract_value ELSE 0 END), 2) AS pending, round(sum(CASE WHEN tender_id % 8 = 0 THEN contract_value ELSE 0 END), 2) AS pending_billing FROM contracts")
 def a13(spark, d):
-    open_ = F.col("contract_end") >= as_of()
-    v = F.col("contract_value")
-    return domain.contracts(spark, d).agg(F.count("*").alias("contracts"), agg.count_if(open_).alias("active"), F.round(F.sum(v), 2).alias("value"), agg.sum_if(open_, v).alias("active_value"), F.round(F.avg(v), 2).alias("mean_value"))
+    """Always over all contracts. Every fourth contract's revenue is pending here, every eighth's billing."""
+    end, v, k = F.col("contract_end"), F.col("contract_value"), F.col("tender_id")
+    soon = lambda x: agg.count_if(x.between(as_of(), as_of() + F.expr("interval 30 days")))
+    return domain.contracts(spark, d).agg(
+        F.count("*").alias("total"), agg.count_if(end >= as_of()).alias("active"), soon(end).alias("expiring_soon"), soon(end - F.expr("interval 45 days")).alias("amc_expiring_soon"), F.round(F.sum(v), 2).alias("revenue"),
+        agg.sum_if(k % 4 != 0, v).alias("received"), agg.sum_if(k % 4 == 0, v).alias("pending"), agg.sum_if(k % 8 == 0, v).alias("pending_billing"))
 
 
-@query("a14_workflow_widgets", "SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase' AND value > 50) AS large_purchases, count(DISTINCT user_id) AS users FROM events")
+@query("a14_workflow_widgets", with_("finance") + f"SELECT count(*) FILTER (status = 'Pending') AS pending_approvals, count(*) FILTER (status = 'Active') AS approved, count(*) FILTER (refund_status = 'pending') AS pending_refunds, count(*) FILTER (record_type = 'BG' AND {DAYS_SQL.format('expiry_date')} BETWEEN 0 AND 30) AS bg_expiring, count(*) FILTER (record_type = 'PBG' AND {DAYS_SQL.format('expiry_date')} BETWEEN 0 AND 30) AS pbg_expiring, count(*) FILTER (status IS DISTINCT FROM 'Refunded') AS open_tasks FROM finance")
 def a14(spark, d):
-    a = F.col("action")
-    return domain.logs(spark, d).agg(agg.count_if(a == "click").alias("clicks"), agg.count_if(a == "error").alias("errors"), agg.count_if((a == "purchase") & (F.col("value") > 50)).alias("large_purchases"), F.countDistinct("user_id").alias("users"))
+    """Six counts in one scan, over all rows whoever asks."""
+    f = domain.finance_records(spark, d).withColumn("level", dates.expiry_level(dates.days_until(F.col("expiry_date"), as_of())))
+    status, due = F.col("status"), F.col("level").isin("30_days", "15_days", "7_days")
+    return f.agg(
+        agg.count_if(status == "Pending").alias("pending_approvals"), agg.count_if(status == "Active").alias("approved"), agg.count_if(F.col("refund_status") == "pending").alias("pending_refunds"),
+        agg.count_if((F.col("record_type") == "BG") & due).alias("bg_expiring"), agg.count_if((F.col("record_type") == "PBG") & due).alias("pbg_expiring"), agg.count_if(filters.not_equal(status, "Refunded")).alias("open_tasks"))
 
 
 PRIORITY_SQL = "CASE WHEN {0} <= 7 THEN 'critical' WHEN {0} <= 15 THEN 'high' WHEN {0} <= 30 THEN 'medium' ELSE 'low' END"
@@ -300,15 +323,28 @@ def a21(spark, d):
     return agg.zero_filled(counts, "priority", ("critical", "high", "medium", "low"), ["n"]).drop("bucket_order")
 
 
-@query("a22_learning_registry", "SELECT p_brand AS parameter, count(*) AS frequency, count(DISTINCT p_type) AS categories, count(*) >= 50 AS promoted FROM part GROUP BY 1")
+@query("a22_learning_registry", """WITH f AS (SELECT p_brand AS parameter, p_type, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS r, p_partkey FROM part), e AS (SELECT parameter, p_name, row_number() OVER (PARTITION BY parameter ORDER BY p_partkey) AS k FROM f WHERE r = 1)
+    SELECT parameter, count(*) AS frequency, count(DISTINCT p_type) AS categories, count(*) >= 50 AS promoted, (SELECT string_agg(p_name, '|' ORDER BY k) FROM e WHERE e.parameter = f.parameter AND k <= 20) AS examples FROM f GROUP BY parameter""")
 def a22(spark, d):
-    return domain.table(spark, d, "part").groupBy(F.col("p_brand").alias("parameter")).agg(F.count("*").alias("frequency"), F.countDistinct("p_type").alias("categories"), (F.count("*") >= 50).alias("promoted"))
+    """How often a parameter was seen, its categories, its first twenty different examples of up to 200 characters, and promotion from 50 on."""
+    rows = domain.table(spark, d, "part").select(F.col("p_brand").alias("parameter"), "p_type", F.substring("p_name", 1, 200).alias("example"), "p_partkey")
+    # an example's first place is combined before anything is collected, and only twenty of a key are
+    first = rows.groupBy("parameter", "example").agg(F.min("p_partkey").alias("at"))
+    kept = ranking.numbered(first, ["parameter"], [F.col("at")], "k").where("k <= 20").groupBy("parameter").agg(F.array_sort(F.collect_list(F.struct("k", "example"))).alias("e"))
+    counts = rows.groupBy("parameter").agg(F.count("*").alias("frequency"), F.countDistinct("p_type").alias("categories"))
+    return counts.join(kept, "parameter").select("parameter", "frequency", "categories", (F.col("frequency") >= 50).alias("promoted"), F.array_join(F.transform("e", lambda x: x["example"]), "|").alias("examples"))
+
+
+RULE_NAMES = ("forbidden_context", "bid_end_before_start", "publish_date_invalid", "currency_missing", "amount_equal", "period_invalid", "not_a_value", "other")
 
 
-@query("a25_validation_cascade", with_("finance") + "SELECT CASE WHEN amount < 2000 THEN 'too_small' WHEN status = 'Refunded' THEN 'refunded' WHEN refund_status IS NULL THEN 'no_refund' ELSE 'valid' END AS rule, count(*) AS n FROM finance GROUP BY 1")
+@query("a25_validation_cascade", "WITH r AS (SELECT list_extract(['forbidden_context','bid_end_before_start','publish_date_invalid','currency_missing','amount_equal','period_invalid','not_a_value','other'], (l_partkey % 8 + 1)::INT) AS rule FROM lineitem) SELECT CASE WHEN contains(rule, 'context') THEN 'context' WHEN contains(rule, 'date') THEN 'date' WHEN contains(rule, 'currency') OR contains(rule, 'amount') THEN 'amount' WHEN contains(rule, 'period') THEN 'period' WHEN contains(rule, 'bid_') OR contains(rule, 'not_') THEN 'logic' ELSE 'none' END AS rejected_by, count(*) AS n FROM r GROUP BY 1")
 def a25(spark, d):
-    rule = F.when(F.col("amount") < 2000, "too_small").when(F.col("status") == "Refunded", "refunded").when(F.col("refund_status").isNull(), "no_refund").otherwise("valid")
-    return domain.finance_records(spark, d).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+    """Rejections by what their rule's name holds, each counted once by the first that fits."""
+    rule = F.element_at(F.array(*map(F.lit, RULE_NAMES)), (F.col("l_partkey") % 8 + 1).cast("int"))
+    has = lambda *words: functools.reduce(lambda a, b: a | b, [F.contains("rule", F.lit(w)) for w in words])
+    by = F.when(has("context"), "context").when(has("date"), "date").when(has("currency", "amount"), "amount").when(has("period"), "period").when(has("bid_", "not_"), "logic").otherwise("none")
+    return domain.table(spark, d, "lineitem").select(rule.alias("rule")).groupBy(by.alias("rejected_by")).agg(F.count("*").alias("n"))
 
 
 @query("a26_document_summary", "SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (lang = 'en') AS english FROM documents GROUP BY 1")
@@ -394,21 +430,61 @@ def al01(spark, d):
     return f.withColumns({"level": dates.expiry_level(F.col("days")), "compat_level": dates.expiry_level(F.col("days"), compat=True)}).where("level is not null")
 
 
-RULES = (("contract_end", 90, "medium"), ("contract_end", 30, "high"), ("renewal", 60, "medium"), ("renewal", 0, "critical"))
+RULES = (("contract_expiry", 7, "critical"), ("contract_expiry", 30, "high"), ("amc_expiry", 7, "critical"), ("amc_expiry", 30, "high"), ("agreement_expiry", 15, "high"))
 
 
-@query("al02_rule_alerts", with_("contracts") + f""", r AS (SELECT * FROM (VALUES ('contract_end', 90, 'medium', 1), ('contract_end', 30, 'high', 2), ('renewal', 60, 'medium', 3), ('renewal', 0, 'critical', 4)) v(kind, n, priority, k)),
-    d AS (SELECT tender_id, 'contract_end' AS kind, contract_end AS due FROM contracts UNION ALL SELECT tender_id, 'renewal', contract_end - INTERVAL 45 DAY FROM contracts),
+@query("al02_rule_alerts", with_("contracts") + f""", r AS (SELECT * FROM (VALUES ('contract_expiry', 7, 'critical', 1), ('contract_expiry', 30, 'high', 2), ('amc_expiry', 7, 'critical', 3), ('amc_expiry', 30, 'high', 4), ('agreement_expiry', 15, 'high', 5)) v(kind, n, priority, k)),
+    d AS (SELECT tender_id, 'contract_expiry' AS kind, contract_end AS due FROM contracts UNION ALL SELECT tender_id, 'amc_expiry', contract_end - INTERVAL 45 DAY FROM contracts UNION ALL SELECT tender_id, 'agreement_expiry', contract_end - INTERVAL 20 DAY FROM contracts),
     x AS (SELECT tender_id, kind, {DAYS_SQL.format('due')} AS days FROM d)
-    SELECT tender_id, x.kind, days, priority FROM x JOIN r ON x.kind = r.kind AND CASE WHEN n = 0 THEN days < 0 ELSE days BETWEEN 0 AND n END QUALIFY row_number() OVER (PARTITION BY tender_id, x.kind ORDER BY k) = 1""")
+    SELECT tender_id, x.kind, days, priority FROM x JOIN r ON x.kind = r.kind AND days BETWEEN 0 AND n QUALIFY row_number() OVER (PARTITION BY tender_id, x.kind ORDER BY k) = 1
+    UNION ALL SELECT tender_id, 'revenue_delay', NULL, 'medium' FROM contracts WHERE tender_id % 4 = 0 AND contract_end < {TS} UNION ALL SELECT tender_id, 'pending_billing', NULL, 'medium' FROM contracts WHERE tender_id % 8 = 0""")
 def al02(spark, d):
-    due = domain.contracts(spark, d).select("tender_id", F.expr("stack(2, 'contract_end', contract_end, 'renewal', contract_end - interval 45 days) as (kind, due)"))
+    """Dates of contracts against the rules, the first rule that fits; overdue revenue and open billing beside them.
+
+    A rule of 0 days fits dates that are past. Every fourth contract's revenue is pending here, overdue once it has ended; every eighth's billing is open.
+    """
+    contracts = domain.contracts(spark, d)
+    due = contracts.select("tender_id", F.expr("stack(3, 'contract_expiry', contract_end, 'amc_expiry', contract_end - interval 45 days, 'agreement_expiry', contract_end - interval 20 days) as (kind, due)"))
     x = due.withColumn("days", dates.days_until(F.col("due"), as_of()))
     found = F.lit(None).cast("string")
     for kind, n, priority in reversed(RULES):
         hit = (F.col("kind") == kind) & ((F.col("days") < 0) if n == 0 else F.col("days").between(0, n))
         found = F.when(hit, priority).otherwise(found)
-    return x.select("tender_id", "kind", "days", found.alias("priority")).where("priority is not null")
+    dated = x.select("tender_id", "kind", "days", found.alias("priority")).where("priority is not null")
+    state = lambda condition, kind: contracts.where(condition).select("tender_id", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("days"), F.lit("medium").alias("priority"))
+    return dated.unionByName(state((F.col("tender_id") % 4 == 0) & (F.col("contract_end") < as_of()), "revenue_delay")).unionByName(state(F.col("tender_id") % 8 == 0, "pending_billing"))
+
+
+@query("al04_new_levels", """WITH x AS (SELECT user_id, event_id, ts, CASE WHEN us < 0 THEN 'expired' WHEN us <= 3600000000 THEN '1_hour' WHEN us <= 6 * 3600000000 THEN '6_hours' WHEN us <= 24 * 3600000000 THEN '24_hours' WHEN us <= 72 * 3600000000 THEN '3_days' WHEN us <= 168 * 3600000000 THEN '7_days' END AS level
+    FROM (SELECT *, epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts) AS us FROM events)) SELECT user_id, event_id, level FROM (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM x WHERE level IS NOT NULL) WHERE level IS DISTINCT FROM last""")
+def al04_new(spark, d):
+    """Deadline alerts that are sent: those whose level is not the last one sent for the same key. Events stand for checks of a deadline."""
+    log = domain.logs(spark, d)
+    level = dates.submission_level(F.lit("2024-01-20").cast("timestamp"), F.col("created_at"))
+    rows = log.select("user_id", F.col("log_id").alias("event_id"), "created_at", level.alias("level")).where("level is not null")
+    return ranking.changed(rows, ["user_id"], [F.col("created_at"), F.col("event_id")], "level").select("user_id", "event_id", "level")
+
+
+@query("al05_critical_alerts", with_("finance", "contracts", "tenders") + f""", f AS (SELECT 'finance' AS source, record_id AS id, {DAYS_SQL.format('expiry_date')} AS days FROM finance WHERE record_type IN ('BG', 'PBG') AND status = 'Active' ORDER BY days, id LIMIT 30), p AS (SELECT 'post_award', tender_id, {DAYS_SQL.format('contract_end')} AS days FROM contracts WHERE {DAYS_SQL.format('contract_end')} BETWEEN 0 AND 30 ORDER BY days, tender_id LIMIT 30),
+    s AS (SELECT 'submission', tender_id, {DAYS_SQL.format('updated_at')} AS days FROM tenders WHERE status <> 'SUBMITTED' AND updated_at BETWEEN {TS} AND {TS} + INTERVAL 14 DAY ORDER BY days, tender_id LIMIT 20), r AS (SELECT 'refund', record_id, NULL::BIGINT AS days FROM finance WHERE refund_status = 'pending' ORDER BY record_id LIMIT 10),
+    u AS (SELECT * FROM f UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s UNION ALL SELECT * FROM r), q AS (SELECT *, CASE source WHEN 'finance' THEN CASE WHEN days <= 7 THEN 'critical' WHEN days <= 15 THEN 'high' ELSE 'medium' END WHEN 'post_award' THEN CASE WHEN days <= 7 THEN 'critical' ELSE 'high' END WHEN 'submission' THEN CASE WHEN days <= 3 THEN 'critical' ELSE 'high' END ELSE 'high' END AS priority FROM u)
+    SELECT source, id, priority FROM q ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, source, id LIMIT 25""")
+def al05(spark, d):
+    """Four sources of alerts, each its first ones, then the 25 most severe of all."""
+    until = lambda x: dates.days_until(F.col(x), as_of())
+    finance = domain.finance_records(spark, d)
+    source = lambda rows, name, key, days, most: rows.select(F.lit(name).alias("source"), F.col(key).alias("id"), days.alias("days")).orderBy("days", "id").limit(most)
+    guarantees = source(finance.where("record_type in ('BG', 'PBG') and status = 'Active'"), "finance", "record_id", until("expiry_date"), 30)
+    contracts = source(domain.contracts(spark, d).where(until("contract_end").between(0, 30)), "post_award", "tender_id", until("contract_end"), 30)
+    near = filters.not_equal(F.col("status"), "SUBMITTED") & F.col("updated_at").between(as_of(), as_of() + F.expr("interval 14 days"))
+    deadlines = source(domain.tenders(spark, d).where(near), "submission", "tender_id", until("updated_at"), 20)
+    refunds = source(finance.where("refund_status = 'pending'"), "refund", "record_id", F.lit(None).cast("long"), 10)
+    every = guarantees.unionByName(contracts).unionByName(deadlines).unionByName(refunds)
+    is_, days = (lambda name: F.col("source") == name), F.col("days")
+    urgent = F.when(is_("finance"), F.when(days <= 7, "critical").when(days <= 15, "high").otherwise("medium")).when(is_("post_award"), F.when(days <= 7, "critical").otherwise("high"))
+    priority = urgent.when(is_("submission"), F.when(days <= 3, "critical").otherwise("high")).otherwise("high")
+    order = F.when(F.col("priority") == "critical", 0).when(F.col("priority") == "high", 1).otherwise(2)
+    return every.select("source", "id", priority.alias("priority")).orderBy(order, "source", "id").limit(25)
 
 
 @query("al04_d05_deadlines", f"""WITH x AS (SELECT event_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00') AS us FROM events), y AS (SELECT event_id, us, CAST(floor(us / 60000000.0) AS BIGINT) AS m FROM x)

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streams of events: the same counts and alerts as in batch, with watermarks that bound the state."""
