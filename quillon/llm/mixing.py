@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, materialize
+from quillon.llm.common import WORD, column, materialize, numbered
 
 #: Weights of the sources by rank, repeating, and the most a source may be repeated.
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
@@ -71,8 +71,9 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WE
     return out.withColumn("copies", F.floor("rate").cast("long") + extra.cast("long"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: every row of ``docs`` as often as ``plan_mix`` says, with its own columns."""
-    planned = plan_mix(docs, **options).where("copies > 0")
+def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The mixed documents: every row of ``docs`` as often as ``plan_mix`` says, its own columns unchanged whatever their names."""
+    inner, names = numbered(docs, {"key": column(key), "text": F.col("text"), "source": F.col("source")})
+    planned = plan_mix(inner, "key", **options).where("copies > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return planned.withColumn("_copy", copy).select(*docs.columns)
+    return planned.withColumn("_copy", copy).select(*names).toDF(*docs.columns)

@@ -1,4 +1,4 @@
-"""Queries of this subpackage: thin uses of the operators on whole tables, and SQL where it can say the same."""
+"""Queries of this subpackage: thin uses of the operators on whole tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import chat, fingerprint, lm_scoring, mixing, neardup, quality_model, quality_rules, sentencepiece_scan, sharding, substring
 from quillon.llm.common import documents
+from quillon.llm.oracle import ORACLE as ORACLE
 
 
 #: Where the vocabulary files are; the queries' operators take the path as a parameter.
@@ -91,4 +92,3 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules, op10_lm_scoring)}
-ORACLE: dict[str, str] = {}

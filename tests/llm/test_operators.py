@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -532,3 +533,31 @@ def test_attention_lowers_the_loss_on_held_out_texts(spark):
             loss[k] -= float(m.score(s.x, s.begin).sum())
     assert loss[0] < 0.995 * loss[1], loss
 
+
+
+# queries against their SQL
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_queries_give_the_rows_of_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    want = con.execute(registry.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = registry.QUERIES[name](spark, sf).select(*columns).collect()
+    key = lambda r: tuple((v is not None, round(v, 6) if isinstance(v, float) else v) for v in r)
+    assert sorted(map(key, got)) == sorted(map(key, want.fetchall()))
+
+
+def test_columns_of_any_name_come_through(spark):
+    """The caller's own values, under names that operators use inside."""
+    rows = [(1, "a b " * 30, "s", 777, 5, 6, 7, 8, "p", "q"), (2, "c d", None, 1, 2, 3, 4, 5, "r", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, target long, rate long, copies long, doc long, row string, spans string")
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in rows}
+    cut = substring.remove_repeats(frame)
+    assert cut.columns == [*frame.columns, *substring.NEW] and {(r.doc_id, r.doc, r.spans, r.size) for r in cut.collect()} == {(1, 8, "q", 777), (2, 5, None, 1)}
+    pieces = sentencepiece_scan.Pieces.load(registry.PIECES)
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(frame, pieces, 20), pieces)
+    assert back.columns == [*frame.columns, "ids", "decoded"] and {(r.doc_id, r.row, r.decoded) for r in back.collect()} == {(1, "p", rows[0][1]), (2, "r", "c d")}
