@@ -2,12 +2,19 @@
 
 Simple statistics of every text are transformed into a vector. Per language and source the minimum-covariance-
 determinant estimate gives the centre and shape of the bulk of the vectors, and a document is rejected where its
-Mahalanobis distance from that bulk, on the bad side, is too large. Concentration steps run over all documents as
-aggregations; only a few sums per group reach the small linear algebra, which runs in tasks, a row a group.
+Mahalanobis distance from that bulk, on the bad side, is too large.
+
+The estimate is the covariance of those three quarters of a group whose covariance has the least determinant. Several
+starts (medians, all vectors, two halves by a hash) are concentrated at once: each step takes the three quarters of a group
+nearest to a start's last estimate and estimates anew, which never raises the determinant; the start that ends with the least one
+counts. The covariance is scaled by the consistency factor of the share, and a small diagonal is added, as statistics may
+be constant in a group; so groups of any size, one document included, are judged by the same rule. Steps run over all documents as
+aggregations; only a few sums per group and start reach the small linear algebra, which runs in tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import discard, materialize
 from quillon.llm.grams import WORD_BASE, ranges, slices
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 DIMS = 5
-#: Share of a group that the estimate rests on, concentration steps, and the least size of a group of its own.
-SHARE, STEPS, LEAST_GROUP = 0.75, 4, 50
+#: Share of a group that the estimate rests on, concentration steps, and the accuracy of the quantile that takes the share.
+SHARE, STEPS, ACCURACY = 0.75, 4, 10_000
 #: Least standard deviation of each transformed statistic: what differs by less is alike.
 FLOORS = (0.5, 0.08, 0.03, 0.05, 0.05)
 #: Squared distance beyond which a vector is an outlier: chi-square with 5 degrees of freedom, 1 in 10^9 above.
@@ -98,6 +105,25 @@ def base_failed() -> Column:
 
 
 X = [f"x{i}" for i in range(DIMS)]
+KEYS = ["lang", "source", "start"]
+
+
+def chi_square(x: float, k: int) -> float:
+    """The chi-square distribution function, by its series."""
+    term = total = 1.0
+    for n in range(1, 400):
+        term *= x / (k + 2 * n)
+        total += term
+    return (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1) * total
+
+
+def consistency(share: float, dims: int = DIMS) -> float:
+    """The factor that makes the covariance of the inner ``share`` of normal vectors that of all."""
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, dims) < share else (low, mid)
+    return share / chi_square(low, dims + 2)
 
 
 def _moments() -> list[Column]:
@@ -105,24 +131,28 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *sums, *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s_{i}_{j}") for i in range(DIMS) for j in range(i, DIMS)]]
 
 
-def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group, from sums: the centre and the inverse of the covariance, never narrower than the floors."""
+def _shapes(factor: float):
+    """Per group and start, from sums: the centre, the inverse of the covariance, and the logarithm of its determinant."""
     floor = np.diag(np.square(FLOORS))
-    for rows in batches:
-        out = []
-        for r in rows.to_dict("records"):
-            n = max(r["n"], 1)
-            mean = np.array([r[f"s_{x}"] for x in X]) / n
-            second = np.zeros((DIMS, DIMS))
-            for i in range(DIMS):
-                for j in range(i, DIMS):
-                    second[i, j] = second[j, i] = r[f"s_{i}_{j}"] / n
-            inverse = np.linalg.inv(second - np.outer(mean, mean) + floor)
-            out.append((r["lang"], r["source"], mean.tolist(), inverse.ravel().tolist()))
-        yield pd.DataFrame(out, columns=["lang", "source", "centre", "inverse"])
 
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.to_dict("records"):
+                n = max(r["n"], 1)
+                mean = np.array([r[f"s_{x}"] for x in X]) / n
+                second = np.zeros((DIMS, DIMS))
+                for i in range(DIMS):
+                    for j in range(i, DIMS):
+                        second[i, j] = second[j, i] = r[f"s_{i}_{j}"] / n
+                covariance = factor * (second - np.outer(mean, mean)) + floor
+                out.append((r["lang"], r["source"], r["start"], mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), float(np.linalg.slogdet(covariance)[1])))
+            yield pd.DataFrame(out, columns=[*KEYS, "centre", "inverse", "log_det"])
 
-SHAPE = "lang string, source string, centre array<double>, inverse array<double>"
+    return solve
+
+
+SHAPE = "lang string, source string, start int, centre array<double>, inverse array<double>, log_det double"
 
 
 def _distance(one_sided: bool = False) -> Column:
@@ -137,48 +167,51 @@ def _distance(one_sided: bool = False) -> Column:
     return total
 
 
-def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    groups = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return rows.join(groups, rows["lang"].eqNullSafe(groups["_lang"]) & rows["source"].eqNullSafe(groups["_source"])).drop("_lang", "_source")
+def _join(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    groups = groups.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(groups[f"_{k}"])
+    return rows.join(groups, same).drop(*[f"_{k}" for k in keys])
 
 
 def robust_shapes(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """The minimum-covariance-determinant centre and inverse covariance per (lang, source).
+    """(lang, source, centre, inverse, log_det): the minimum-covariance-determinant estimate of each group.
 
-    ``vectors`` has lang, source and x0..x4. The start is the half nearest the medians in units of the floors; each concentration
-    step takes the ``share`` of the group nearest to the last estimate and estimates anew. Groups are tables
-    written to the shared folder, so their true size decides how they are joined; sums and quantile sketches
-    combine before any shuffle, so a hot group costs no more than its share of a scan.
+    ``vectors`` has lang, source and x0..x4. Groups are tables written to the shared folder, so their true size decides
+    how they are joined; sums and quantile sketches combine before any shuffle, so a hot group costs no more than
+    its share of a scan. The share of a group is taken by a quantile sketch of relative rank error 1 / ``ACCURACY``.
     """
-    medians = vectors.groupBy("lang", "source").agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in X]).alias("centre"))
-    start = [1.0 / f**2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(DIMS)]
-    shapes = materialize(medians.withColumn("inverse", F.array(*[F.lit(v) for v in start])), "mcd-0")
+    factor = consistency(share)
+    group = lambda rows, start: rows.groupBy("lang", "source", start.cast("int").alias("start"))
+    medians = vectors.groupBy("lang", "source").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in X]).alias("centre"))
+    spread = [1.0 / f**2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(DIMS)]
+    medians = medians.select("lang", "source", F.lit(0).alias("start"), "centre", F.array(*[F.lit(v) for v in spread]).alias("inverse"), F.lit(0.0).alias("log_det"))
+    half = F.pmod(F.xxhash64(*X), F.lit(2)) + 2
+    counted = group(vectors, F.lit(1)).agg(*_moments()).unionByName(group(vectors, half).agg(*_moments()))
+    shapes = materialize(medians.unionByName(counted.mapInPandas(_shapes(factor), SHAPE)), "mcd-0")
     for k in range(steps):
-        near = _join(vectors, shapes).withColumn("d", _distance()).drop("centre", "inverse")
-        limits = near.groupBy("lang", "source").agg(F.percentile_approx("d", 0.5 if k == 0 else share, 2000).alias("limit"))
-        inside = _join(near, materialize(limits, f"mcd-limit-{k}")).where("d <= limit")
-        shapes = materialize(inside.groupBy("lang", "source").agg(*_moments()).mapInPandas(_shapes, SHAPE), f"mcd-{k + 1}")
-    return shapes
-
-
-def judge(docs: DataFrame, cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
+        near = _join(vectors, shapes).withColumn("d", _distance()).drop("centre", "inverse", "log_det")
+        limits = materialize(near.groupBy(*KEYS).agg(F.percentile_approx("d", share, ACCURACY).alias("limit")), f"mcd-limit-{k}")
+        inside = _join(near, limits, ("lang", "source", "start")).where("d <= limit")
+        spent, shapes = shapes, materialize(inside.groupBy(*KEYS).agg(*_moments()).mapInPandas(_shapes(factor), SHAPE), f"mcd-{k + 1}")
+        discard(spent, limits)
+    best = shapes.groupBy("lang", "source").agg(F.min_by(F.struct("centre", "inverse", "log_det"), F.struct("log_det", "start")).alias("b"))
+    best = materialize(best.select("lang", "source", "b.*"), "mcd-best")
+    discard(shapes)
+    return best
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, lang, source, the statistics, base_failed, distance, kept), one row a document.
 
-    Groups of under ``least_group`` documents are judged by the estimate over all of them together with their language,
-    source null; null languages and sources are groups like others. Repeated rows stay and are judged alike. A null or
+    Null languages and sources are groups like others. Repeated rows stay and are judged alike. A null or
     empty text fails the base rules. Other columns are ignored. An empty table gives an empty result.
     """
     stats = text_statistics(docs)
     for x, v in zip(X, _vector()):
         stats = stats.withColumn(x, v)
     stats = materialize(stats.withColumn("base_failed", base_failed()), "rules-stats")
-    sized = stats.groupBy("lang", "source").agg(F.count("*").alias("group_n"))
-    sized = materialize(sized, "rules-groups")
-    big = F.col("group_n") >= least_group
-    rows = _join(stats, sized).withColumnsRenamed({"lang": "own_lang", "source": "own_source"})
-    rows = rows.withColumn("lang", F.when(big, F.concat(F.lit("own "), F.coalesce("own_lang", F.lit("")))).otherwise("pooled"))
-    rows = rows.withColumn("source", F.when(big, F.col("own_source")))
-    shapes = robust_shapes(rows.select("lang", "source", *X))
-    judged = _join(rows, shapes).withColumn("distance", _distance(one_sided=True))
+    judged = _join(stats, robust_shapes(stats.select("lang", "source", *X))).withColumn("distance", _distance(one_sided=True))
     kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
-    return judged.select("doc_id", F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), *STATS, "base_failed", "distance", kept.alias("kept"))
+    return judged.select("doc_id", "lang", "source", *STATS, "base_failed", "distance", kept.alias("kept"))

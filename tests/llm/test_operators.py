@@ -1,6 +1,7 @@
 """Every operator against a plain Python version, an exact round trip or held-out labels, on small tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -457,6 +458,36 @@ def test_rules_reject_what_is_far_from_its_group(spark):
     assert not got[900] and sum(got.values()) >= 198
 
 
+def test_shapes_equal_the_least_determinant_of_all_subsets(spark):
+    """Small groups with outliers: every subset of three quarters, by plain numpy."""
+    rng = np.random.default_rng(2)
+    made, want = [], {}
+    floor, factor = np.diag(np.square(quality_rules.FLOORS)), quality_rules.consistency(0.75)
+    for g in range(6):
+        rows = rng.normal(size=(12, 5)) * (1.5, 0.4, 0.3, 0.3, 0.4) + g
+        rows[:2] += rng.normal(size=(2, 5)) * 5 + 6
+        made += [("x", f"s{g}", *map(float, r)) for r in rows]
+        best = None
+        for subset in itertools.combinations(range(12), 9):
+            v = rows[list(subset)]
+            covariance = factor * np.cov(v.T, bias=True) + floor
+            got = (np.linalg.slogdet(covariance)[1], subset)
+            best = min(best, got) if best else got
+        want[f"s{g}"] = (best[0], rows[list(best[1])].mean(0))
+    frame, found = spark.createDataFrame(made, "lang string, source string, " + ", ".join(f"x{i} double" for i in range(5))), 0
+    for r in quality_rules.robust_shapes(frame).collect():
+        assert want[r.source][0] - 1e-6 <= r.log_det <= want[r.source][0] + 0.05  # concentration may end beside the least one
+        found += r.log_det < want[r.source][0] + 1e-6 and np.allclose(r.centre, want[r.source][1])
+    assert found >= 5
+
+
+def test_consistency_of_normal_vectors():
+    x = np.random.default_rng(4).normal(size=(400_000, 5))
+    d = (x * x).sum(1)
+    inner = x[d <= np.quantile(d, 0.75)]
+    assert quality_rules.consistency(0.75) * inner.var() == pytest.approx(1, abs=0.01)
+
+
 # 10: language model
 
 
