@@ -5,7 +5,7 @@ determinant estimate gives the centre and shape of the bulk of the vectors, and
 Mahalanobis distance from that bulk, on the bad side, is too large.
 
 The estimate is the covariance of those three quarters of a group whose covariance has the least determinant. Several
-starts (medians, all vectors, two halves by a hash) are concentrated at once: each step takes the three quarters of a group
+starts (medians, all vectors, halves by hashes) are concentrated at once: each step takes the three quarters of a group
 nearest to a start's last estimate and estimates anew, which never raises the determinant; the start that ends with the least one
 counts. The covariance is scaled by the consistency factor of the share, and a small diagonal is added, as statistics may
 be constant in a group; so groups of any size, one document included, are judged by the same rule. Steps run over all documents as
@@ -31,6 +31,8 @@ SYMBOLS = b"#*$%&|<>"
 DIMS = 5
 #: Share of a group that the estimate rests on, concentration steps, and the accuracy of the quantile that takes the share.
 SHARE, STEPS, ACCURACY = 0.75, 4, 10_000
+#: Ways in which a hash halves every group; each half is a start.
+HALVINGS = 3
 #: Least standard deviation of each transformed statistic: what differs by less is alike.
 FLOORS = (0.5, 0.08, 0.03, 0.05, 0.05)
 #: Squared distance beyond which a vector is an outlier: chi-square with 5 degrees of freedom, 1 in 10^9 above.
@@ -187,8 +189,8 @@ def robust_shapes(vectors: DataFrame, steps: int = STEPS, share: float = SHARE)
     medians = vectors.groupBy("lang", "source").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in X]).alias("centre"))
     spread = [1.0 / f**2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(DIMS)]
     medians = medians.select("lang", "source", F.lit(0).alias("start"), "centre", F.array(*[F.lit(v) for v in spread]).alias("inverse"), F.lit(0.0).alias("log_det"))
-    half = F.pmod(F.xxhash64(*X), F.lit(2)) + 2
-    counted = group(vectors, F.lit(1)).agg(*_moments()).unionByName(group(vectors, half).agg(*_moments()))
+    halved = vectors.select("*", F.explode(F.array(*[F.pmod(F.xxhash64(*X, F.lit(k)), F.lit(2)) + 2 * k + 2 for k in range(HALVINGS)])).alias("half"))
+    counted = group(vectors, F.lit(1)).agg(*_moments()).unionByName(group(halved, F.col("half")).agg(*_moments()))
     shapes = materialize(medians.unionByName(counted.mapInPandas(_shapes(factor), SHAPE)), "mcd-0")
     for k in range(steps):
         near = _join(vectors, shapes).withColumn("d", _distance()).drop("centre", "inverse", "log_det")
