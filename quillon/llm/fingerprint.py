@@ -72,8 +72,8 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, rows.count() // PART_ROWS), "row")
 
 
-def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool) -> DataFrame:
-    """(row, side, ok, plus, minus) of pairs (row, side, one, other) of digests by one size of table."""
+def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool, sizes: bool = False) -> DataFrame:
+    """(row, side, ok, plus, minus) of pairs (row, side, one, other) of digests by one size of table; ``sizes``: only how many."""
     most = F.greatest(F.size("one"), F.size("other"), F.lit(1))
     parts = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("int") if split else F.lit(1)
     side = lambda c, sign: F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("sign")))
@@ -82,16 +82,17 @@ def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool) -> DataFrame:
     by = ["row", "side", "part"]
     found = peel(_cells(signed, by, cells, salt), by, cells, salt)
     # ok: no cell is left over, also for a pair of texts without any digest
-    pick = lambda sign: F.collect_list(F.when(F.col("n") == sign, F.col("d")))
+    recovered = lambda sign: F.when((F.col("n") == sign) & F.col("d").isNotNull(), F.col("d"))
+    pick = lambda sign: F.count(recovered(sign)) if sizes else F.collect_list(recovered(sign))
     got = found.groupBy("row", "side").agg(F.sum(F.col("d").isNull().cast("long")).alias("left"), pick(1).alias("plus"), pick(-1).alias("minus"))
-    empty = F.array().cast("array<bigint>")
+    empty = F.lit(0).cast("long") if sizes else F.array().cast("array<bigint>")
     return pairs.select("row", "side").join(got, ["row", "side"], "left").select(
         "row", "side", (F.coalesce("left", F.lit(0)) == 0).alias("ok"), F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus")
     )
 
 
-def difference(pairs: DataFrame) -> DataFrame:
-    """(row, side, plus, minus): the digests of either version alone, for pairs (row, side, one, other) of digests.
+def difference(pairs: DataFrame, sizes: bool = False) -> DataFrame:
+    """(row, side, plus, minus): the digests of either version alone, or how many, for pairs (row, side, one, other) of digests.
 
     The small tables are tried first, then larger ones, each only for pairs on which the one before stalled. Should the
     largest stall as well (two digests that share all cells in every table), signs are summed digest by digest, so
@@ -99,14 +100,15 @@ def difference(pairs: DataFrame) -> DataFrame:
     """
     done, pending = [], pairs
     for k, cells in enumerate((FIRST, *RETRIES)):
-        tried = materialize(_attempt(_spread(pending), cells, k, k > 0), f"fingerprint-try-{k}")
+        tried = materialize(_attempt(_spread(pending), cells, k, k > 0, sizes), f"fingerprint-try-{k}")
         done.append(tried.where("ok").drop("ok"))
         stalled = tried.where("not ok").select("row", "side")
         if stalled.isEmpty():
             break
         pending = pairs.join(stalled, ["row", "side"], "left_semi")
     else:
-        done.append(pending.select("row", "side", F.array_except("one", "other").alias("plus"), F.array_except("other", "one").alias("minus")))
+        held = lambda x, y: F.size(F.array_except(x, y)).cast("long") if sizes else F.array_except(x, y)
+        done.append(pending.select("row", "side", held("one", "other").alias("plus"), held("other", "one").alias("minus")))
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
@@ -192,8 +194,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     ), "fingerprint-rows")
     sided = lambda sides, *cols: rows.select("row", *cols, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("x")) for s in sides])).alias("s"))
     prints = encode(sided("ab").select("row", "s.side", F.col("s.x").alias("items")))
-    found = difference(sided("bc", F.col("a").alias("one")).select("row", "s.side", "one", F.col("s.x").alias("other")))
-    counts = found.select("row", "side", F.size("plus").alias("plus"), F.size("minus").alias("minus"))
+    counts = difference(sided("bc", F.col("a").alias("one")).select("row", "s.side", "one", F.col("s.x").alias("other")), sizes=True)
     at = lambda frame, side, *cols: frame.where(F.col("side") == side).select("row", *cols)
     slim = rows.select("row", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("n_a"))
     whole = slim.join(at(prints, "a", "fingerprint"), "row").join(at(prints, "b", F.col("fingerprint").alias("edited_fingerprint")), "row")
