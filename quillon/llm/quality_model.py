@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers, and reviewers' labels where there are some, vote on every document for two
+Overlapping heuristic labellers, and reviewers where they saw a document, vote on every document for two
 tasks: is it of low quality, is it toxic. Expectation-maximisation over the counts of vote patterns of all documents
 estimates how each labeller votes on either class, which gives every pattern a posterior. A hashed
 linear scorer per task learns these posteriors on a bounded sample and then judges all documents.
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import materialize
-from quillon.llm.grams import WORD_BASE, Words, ranges, slices
+from quillon.llm.common import discard, materialize, numbered
+from quillon.llm.grams import SPACE, WORD_BASE, Words, ranges, slices
 from quillon.llm.quality_rules import SYMBOLS
 
 #: Words of abuse.
@@ -26,21 +26,23 @@ ABUSE = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "
 TASKS = ("low_quality", "toxic")
 #: The labellers of each task; the last of a task are the reviewers.
 LABELLERS = {
-    "low_quality": ("symbols", "repetition", "shouting", "diversity", "emphasis", "reviewed_quality"),
-    "toxic": ("abuse_any", "abuse_many", "abuse_dense", "reviewed_toxic"),
+    "low_quality": ("symbols", "repetition", "shouting", "diversity", "emphasis", "odd_characters", "odd_endings", "reviewed_quality"),
+    "toxic": ("abuse_any", "abuse_varied", "abuse_dense", "reviewed_toxic"),
 }
 ABSTAIN, FINE, BAD = 0, 1, 2
 #: Hashed features, and about how many reviewed and how many other documents the scorers are fitted on at most.
 FEATURES, FIT_ROWS = 1 << 16, (7_000, 3_500)
-#: How often reviewers are right: they anchor the classes, only the heuristics' accuracies are estimated.
-REVIEWERS = 0.998
-#: So many documents' worth of belief the accuracies carry against reviews of documents with the same heuristic votes.
-BELIEF = 2.0
+#: What is believed of reviewers before any document is seen: right and wrong votes of each class. Their accuracy is estimated like all others.
+REVIEWED = (19.0, 1.0)
 #: Weight in the fit of documents on which all labellers are silent, where reviewers have seen others.
 SILENT_WEIGHT = 0.1
 N_STATS = 8
 
 
+ODD = np.zeros(256, dtype=bool)
+ODD[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
 def _abuse_hashes() -> np.ndarray:
     said = [w + end for w in ABUSE for end in ("", ",", ".", "!", "?", ";", ":")]
     return np.concatenate([w.hashes() for w in slices(pa.array(said))])
@@ -62,6 +64,9 @@ def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     symbols = _ratio(per_text(is_symbol[data]), size)
     upper, lower = per_text((data >= 65) & (data <= 90)), per_text((data >= 97) & (data <= 122))
     shout, marks = _ratio(upper, upper + lower), _ratio(per_text(data == 33), n)
+    # neither letters, digits nor white space, over all characters but white space; words that end in one
+    odd = ODD[data]
+    strange, endings = _ratio(per_text(odd), per_text(~SPACE[data])), _ratio(np.bincount(owner[odd[words.ends - 1]], minlength=texts), n)
     low = replace(words, data=np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8))
     h = low.hashes()
     order = np.lexsort((h, owner))
@@ -79,9 +84,10 @@ def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     again = (go[order][1:] == go[order][:-1]) & (g[order][1:] == g[order][:-1])
     repeat = _ratio(np.bincount(go[order][1:][again], minlength=texts), np.maximum(1, n - 2))
     variety = _ratio(distinct, np.sqrt(np.maximum(1, n)))  # falls with monotony, grows little with length
-    hits = np.bincount(owner[np.isin(h, abuse)], minlength=texts)
+    is_abuse = np.isin(h, abuse)
+    hits, kinds = np.bincount(owner[is_abuse], minlength=texts), np.bincount(so[np.isin(sh, abuse)], minlength=texts)
     # a heuristic sees one kind of fault: it votes against a document that has it, and else abstains
-    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, hits > 0, hits > 1, _ratio(hits, n) > 0.002]
+    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, strange > 0.2, endings > 0.6, hits > 0, kinds > 1, _ratio(hits, n) > 0.002]
     votes = np.where(np.stack(faults, axis=1), BAD, ABSTAIN)
     # features: distinct lower-case words, and each statistic by its level
     level = lambda x, step: np.minimum(30, np.floor(x / step)).astype(np.int64)
@@ -124,36 +130,34 @@ def _with_reviews(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     }).drop("votes", "quality")
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation over vote patterns: (posterior of the bad class per pattern, its prior, accuracies).
 
-    accuracies[class, labeller, vote] is the probability of a vote, or of none, given the class. It starts from any
-    vote against a document, unless a vote for it disagrees, so the classes keep their names. Where reviewers saw documents
-    with the same heuristic votes, their findings weigh against ``BELIEF`` documents' worth of the accuracies' verdict.
+    accuracies[class, labeller, vote] is the probability of a vote, or of none, given the class; for the reviewers, who come last, of
+    a vote where they gave one, as which documents they see says nothing about those. All of them, the
+    reviewers' included, are estimated from all documents; ``REVIEWED`` is their only prior. The start takes a reviewer's word, and
+    else any vote against a document, so the classes keep their names.
     """
     if not len(counts):
         return np.empty(0), 0.5, np.full((2, patterns.shape[1] if patterns.ndim == 2 else 0, 3), 1 / 3)
-    bad, fine = (patterns == BAD).sum(1), (patterns == FINE).sum(1)
-    posterior = np.where(bad > 0, np.where(fine > 0, 0.5, 0.9), np.where(fine > 0, 0.03, 0.1))
+    bad, told = (patterns[:, :-1] == BAD).any(1), patterns[:, -1]
+    fine = (patterns[:, :-1] == FINE).any(1)
+    posterior = np.where(told == BAD, 0.9, np.where(told == FINE, 0.05, np.where(bad & fine, 0.5, np.where(bad, 0.9, 0.05))))
     one_hot = np.stack([patterns == v for v in (ABSTAIN, FINE, BAD)], axis=2).astype(np.float64)
-    one_hot[:, -1] = 0  # reviewers anchor the classes; which documents they see says nothing about them
-    reviewed = patterns[:, -1] != ABSTAIN
-    told = np.where(patterns[:, -1] == BAD, REVIEWERS, 1 - REVIEWERS)
-    # what reviewers say of documents with the same votes of all heuristics: kinds of fault exclude each other, so votes depend
-    group = np.unique(patterns[:, :-1], axis=0, return_inverse=True)[1].ravel()
-    known, known_bad = (np.bincount(group, weights=counts * reviewed * share)[group] for share in (1.0, told))
+    one_hot[:, -1, ABSTAIN] = 0
+    before = np.full((2, patterns.shape[1], 3), 0.5)
+    right, wrong = REVIEWED
+    before[:, -1] = [[0, right, wrong], [0, wrong, right]]
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
         prior = np.clip(weight.sum(1) / counts.sum(), 1e-4, 1)
-        table = np.einsum("cp,plv->clv", weight, one_hot) + 0.5
+        table = np.einsum("cp,plv->clv", weight, one_hot) + before
         table /= table.sum(2, keepdims=True)
-        log = np.log(prior)[:, None] + np.einsum("plv,clv->cp", one_hot, np.log(table))
-        alone = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
-        new = np.where(reviewed, told, (known_bad + BELIEF * alone) / (known + BELIEF))
-        if np.abs(new - posterior).max() < 1e-7:
-            posterior = new
+        log = np.log(prior)[:, None] + np.einsum("plv,clv->cp", one_hot, np.log(np.maximum(table, 1e-12)))
+        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+        moved, posterior = np.abs(new - posterior).max(), new
+        if moved < 1e-7:
             break
-        posterior = new
     return posterior, float(prior[1]), table
 
 
@@ -211,17 +215,18 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int,
     """The scorers' weights, a row a task.
 
     Votes are counted over all documents. Only for the fit of the scorers, about ``fit_rows`` documents at most, reviewed
-    and others, are drawn by a hash and reach the driver as lists of features.
+    and others, are drawn by a hash and reach the driver as lists of features; a repeated row counts once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     votes = materialize(docs.mapInArrow(_vote_batches(False), "doc_id long, votes array<int>"), "quality-votes")
-    patterns = _with_reviews(votes, labels).groupBy(*TASKS).agg(F.count("*").alias("n")).collect()  # at most 3^10 rows
-    drawn = docs.where(_share(F.xxhash64("doc_id", "text"), fit_rows[1] if labels is not None else sum(fit_rows), votes.count()))
+    patterns = _with_reviews(votes, labels).groupBy(*TASKS).agg(F.count("*").alias("n")).collect()  # a row a pattern: at most 2^10 of the heuristics by 3^2 of the reviewers
+    drawn = docs.where(_share(F.xxhash64("doc_id", "text"), fit_rows[1] if labels is not None else sum(fit_rows), votes.count())).dropDuplicates()
     if labels is not None:
         # bounded by fit_rows, so it may be broadcast
         seen = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().where(_share(F.xxhash64("doc_id"), fit_rows[0], labels.count()))
-        drawn = drawn.unionByName(docs.join(F.broadcast(seen), "doc_id", "left_semi"))
+        drawn = drawn.unionByName(docs.join(F.broadcast(seen), "doc_id", "left_semi").dropDuplicates())
     rows = _with_reviews(drawn.mapInArrow(_vote_batches(True), "doc_id long, votes array<int>, features array<int>"), labels).select("features", *TASKS).toPandas()
+    discard(votes)
     weights = []
     for task in TASKS:
         merged: dict[tuple, int] = {}
@@ -245,8 +250,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[i
     """
     docs = docs.drop("p_low_quality", "p_toxic", "kept")
     weights = train(docs, labels, fit_rows)
-    schema = T.StructType(list(docs.schema.fields))
+    inner, names = numbered(docs, {"text": F.col("text")})
+    schema = T.StructType(list(inner.select(*names).schema.fields))
     for t in TASKS:
         schema = schema.add(f"p_{t}", "double")
-    out = docs.mapInArrow(_score_batches(weights, docs.columns), schema)
+    out = inner.mapInArrow(_score_batches(weights, names), schema).toDF(*docs.columns, *[f"p_{t}" for t in TASKS])
     return out.withColumn("kept", (F.col("p_low_quality") < threshold) & (F.col("p_toxic") < threshold))
