@@ -87,7 +87,7 @@ def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     is_abuse = np.isin(h, abuse)
     hits, kinds = np.bincount(owner[is_abuse], minlength=texts), np.bincount(so[np.isin(sh, abuse)], minlength=texts)
     # a heuristic sees one kind of fault: it votes against a document that has it, and else abstains
-    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, strange > 0.2, endings > 0.6, hits > 0, kinds > 1, _ratio(hits, n) > 0.002]
+    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, strange > 0.15, endings > 0.5, hits > 0, kinds > 1, _ratio(hits, n) > 0.002]
     votes = np.where(np.stack(faults, axis=1), BAD, ABSTAIN)
     # features: distinct lower-case words, and each statistic by its level
     level = lambda x, step: np.minimum(30, np.floor(x / step)).astype(np.int64)
@@ -145,6 +145,9 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     posterior = np.where(told == BAD, 0.9, np.where(told == FINE, 0.05, np.where(bad & fine, 0.5, np.where(bad, 0.9, 0.05))))
     one_hot = np.stack([patterns == v for v in (ABSTAIN, FINE, BAD)], axis=2).astype(np.float64)
     one_hot[:, -1, ABSTAIN] = 0
+    # documents that no reviewer saw weigh together as much as the reviewed ones at most, so they don't redefine the classes
+    reviewed = counts[told != ABSTAIN].sum()
+    counts = counts * np.where(told == ABSTAIN, min(1.0, reviewed / max(1.0, counts.sum() - reviewed)) if reviewed else 1.0, 1.0)
     before = np.full((2, patterns.shape[1], 3), 0.5)
     right, wrong = REVIEWED
     before[:, -1] = [[0, right, wrong], [0, wrong, right]]
