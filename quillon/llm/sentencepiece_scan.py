@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,12 +30,51 @@ from quillon.llm.grams import BYTE_BASE, ranges, slices
 MARK = "▁"
 #: Characters of a chunk; texts up to that length are one chunk.
 CHUNK = 50_000
-#: Tokens whose ids a task remembers; ids that are decoded at a time.
-CACHE, SLICE_IDS = 100_000, 1 << 18
+#: Pairs of pieces that a task remembers as stable or not; ids that are decoded at a time.
+CACHE, SLICE_IDS = 50_000, 1 << 18
+#: Characters of a part that is merged pair by pair; numbers from here on are characters without a piece.
+LONG, UNKNOWN = 40, 1 << 24
+WORST = float("-inf")
 #: State of a text's two ends.
 EDGE = (0, "")
 
 
+class PairTable:
+    """Pairs of numbers under 2^31 and their places in a list, found for many pairs at once: an open hash table in numpy arrays."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        keys = (left << 31) + right
+        self.mask = (1 << max(4, int(len(keys) * 4).bit_length())) - 1
+        self.keys = np.full(self.mask + 1, -1, dtype=np.int64)
+        self.values = np.full(self.mask + 1, -1, dtype=np.int64)
+        self.probes, waiting = 0, np.arange(len(keys))
+        while len(waiting):
+            slot = (self._slot(keys[waiting]) + self.probes) & self.mask
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[waiting[free]]
+            self.values[slot[free]] = waiting[free]
+            waiting = waiting[self.keys[slot] != keys[waiting]]
+            self.probes += 1
+        # of two that wanted a free slot the last one has it, with its own value
+        self.values[self.keys >= 0] = 0
+        found = self._find_slots(keys)
+        self.values[found] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _find_slots(self, keys: np.ndarray) -> np.ndarray:
+        first, out = self._slot(keys), np.full(len(keys), -1, dtype=np.int64)
+        for k in range(self.probes):
+            slot = (first + k) & self.mask
+            out = np.where((out < 0) & (self.keys[slot] == keys), slot, out)
+        return out
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        slot = self._find_slots((left << 31) + right)
+        return np.where(slot >= 0, self.values[slot], -1)
+
+
 class Pieces:
     """A vocabulary: pieces with scores, and the ids of single bytes for characters it lacks."""
 
@@ -48,11 +86,22 @@ class Pieces:
         self.prefixes.update((p, s) for p, (_, s) in scores.items())
         #: Characters that follow each other inside some piece; no piece crosses any other pair.
         self.inner = {a + b for p in scores for a, b in zip(p, p[1:])}
-        inside = "".join(re.escape(c) for c in sorted(p for p in scores if len(p) == 1 and p != MARK))
-        self.unit = re.compile(f"{MARK}*[{inside}]+|{MARK}+|.", re.DOTALL)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.tokens: dict[bytes, tuple[int, ...]] = {}
+        self.score = {p: s for p, (_, s) in scores.items()}.get
+        # numbers of pieces, as the merging of many parts sees them
+        self.symbol_text = list(scores)
+        self.symbol_of = {p: k for k, p in enumerate(self.symbol_text)}
+        self.symbol_id = np.array([scores[p][0] for p in self.symbol_text], dtype=np.int64)
+        self.char_symbol = np.full(0x110000, -1, dtype=np.int32)
+        for k, p in enumerate(self.symbol_text):
+            if len(p) == 1:
+                self.char_symbol[ord(p)] = k
+        halves = [(self._symbol(p[:n]), self._symbol(p[n:]), k) for k, p in enumerate(self.symbol_text) for n in range(1, len(p))]
+        left, right, whole = np.array([h for h in halves if h[0] >= 0 and h[1] >= 0], dtype=np.int64).reshape(-1, 3).T
+        self.pairs, self.pair_symbol = PairTable(left, right), whole
+        ranks = np.unique([scores[p][1] for p in self.symbol_text], return_inverse=True)[1]
+        self.pair_rank = ranks.ravel()[whole]
+        follow = np.array(sorted({(ord(a), ord(b)) for a, b in self.inner}), dtype=np.int64).reshape(-1, 2)
+        self.inner_pairs = PairTable(follow[:, 0], follow[:, 1])
         self.stable_pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -67,27 +116,34 @@ class Pieces:
         return Pieces({model.id_to_piece(i): (i, model.get_score(i)) for i in plain}, [byte_ids[f"<0x{b:02X}>"] for b in range(256)])
 
     def __reduce__(self):
-        return Pieces, (self.scores, self.byte_ids)
+        return _pieces, (self.scores, self.byte_ids)
+
+    def _symbol(self, text: str) -> int:
+        """The number of a piece, or of a character without one; -1 for any other text."""
+        return self.symbol_of.get(text, UNKNOWN + ord(text) if len(text) == 1 else -1)
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short text: the best pair whose union is a piece, leftmost first, until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                got = self.scores.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or got[1] > best):
-                    best, at = got[1], i
-            if at < 0:
+        parts, score = list(text), self.score
+        pairs = [score(a + b, WORST) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == WORST:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], WORST)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], WORST)
         return parts
 
     def stable(self, a: str, b: str) -> bool:
         key = (a, b)
         got = self.stable_pairs.get(key)
         if got is None:
-            if len(self.stable_pairs) > 1_000_000:
+            if len(self.stable_pairs) > CACHE:
                 self.stable_pairs.clear()
             got = self.stable_pairs[key] = self.merged(a + b) == [a, b]
         return got
@@ -121,48 +177,96 @@ class Pieces:
         got = self.scores.get(piece)
         return (got[0],) if got else tuple(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
 
-    def unit_ids(self, unit: str) -> tuple[int, ...]:
-        """The ids of a unit: a word with its marks, which no piece crosses."""
-        got = self.known.get(unit)
-        if got is not None:
-            return got
-        got = self.older.get(unit)
-        if got is None:
-            breaks = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.inner]
-            if len(unit) == 1:
-                got = self.ids_of(unit)
-            elif breaks:
-                got = tuple(i for a, b in zip([0, *breaks], [*breaks, len(unit)]) for i in self.unit_ids(unit[a:b]))
-            else:
-                piece, _ = self.best_path(unit, 0, None)
-                at, out = len(unit), []
-                while at:
-                    out.append(piece[at])
-                    at -= len(piece[at])
-                got = tuple(i for p in reversed(out) for i in self.ids_of(p))
-        if len(self.known) >= CACHE:
-            self.older, self.known = self.known, {}
-        if len(unit) < 60:
-            self.known[unit] = got
-        return got
+    def path(self, unit: str) -> list[str]:
+        """The pieces on the best path of the lattice, which are those of merging, in time linear in the unit's length."""
+        piece, _ = self.best_path(unit, 0, None)
+        at, out = len(unit), []
+        while at:
+            out.append(piece[at])
+            at -= len(piece[at])
+        return out[::-1]
 
-    def token_ids(self, token: bytes) -> tuple[int, ...]:
-        """The ids of a token in UTF-8: spaces, which stand for marks, and what follows them."""
-        got = self.tokens.get(token)
-        if got is None:
-            into = array("i")
-            self.encode(token.decode("utf-8", "replace").replace(" ", MARK), into)
-            got = tuple(into)
-            if len(self.tokens) >= CACHE:
-                self.tokens.clear()
-            if len(token) < 60:
-                self.tokens[token] = got
-        return got
+    def cut(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all tokens, and how many each has. A token is spaces, which stand for marks, and what follows them.
+
+        Tokens are cut where two characters follow each other in no piece, and the parts are merged all at once.
+        """
+        said = [t.decode("utf-8", "replace") for t in tokens]
+        chars = np.frombuffer("".join(said).replace(" ", MARK).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)))
+        symbols = np.where(self.char_symbol[chars] >= 0, self.char_symbol[chars], UNKNOWN + chars)
+        begins = np.ones(len(chars), dtype=bool)
+        begins[1:] = self.inner_pairs.find(chars[:-1], chars[1:]) < 0
+        begins[ends[:-1][ends[:-1] < len(chars)]] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(chars)))
+        out, counts = self.merge(symbols, starts, lengths)
+        # parts of a token, then characters without a piece as their bytes
+        per_part = np.concatenate([[0], np.cumsum(counts)])
+        of_token = per_part[np.searchsorted(starts, ends)]
+        lost = np.flatnonzero(out >= UNKNOWN)
+        n = np.ones(len(out), dtype=np.int64)
+        raw = [chr(c).encode("utf-8", "replace") for c in (out[lost] - UNKNOWN).tolist()]
+        n[lost] = [len(x) for x in raw]
+        at = np.concatenate([[0], np.cumsum(n)])
+        ids = np.repeat(self.symbol_id[np.where(out < UNKNOWN, out, 0)], n)
+        for k, x in zip(lost.tolist(), raw):
+            ids[at[k] : at[k + 1]] = [self.byte_ids[b] for b in x]
+        return ids.astype(np.int32), np.diff(np.concatenate([[0], at[of_token]]))
+
+    def merge(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-pair merging of many parts at once: (symbols left, how many of each part).
+
+        A round merges the best pair of every part, leftmost first, and leaves out parts that have none. Parts longer
+        than ``LONG`` take the best path of the lattice.
+        """
+        parts = len(starts)
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # parts, their symbols one after another
+        many = lengths <= LONG
+        for k in np.flatnonzero(~many).tolist():
+            text = "".join(self.symbol_text[x] if x < UNKNOWN else chr(x - UNKNOWN) for x in symbols[starts[k] : starts[k] + lengths[k]].tolist())
+            found = [self.symbol_of.get(p, UNKNOWN + ord(p[0])) for p in self.path(text)]
+            done.append((np.full(len(found), k), np.array(found, dtype=np.int64)))
+        owner = np.repeat(np.arange(parts), lengths)
+        held = many[owner]
+        owner, x = owner[held], symbols[held]
+
+        def looked(x: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The pair table's entries of places and what follows them in their part, -1 where none."""
+            follows = np.minimum(at + 1, len(x) - 1)
+            same = (at + 1 < len(x)) & (owner[follows] == owner[at])
+            return np.where(same, self.pairs.find(x[at], x[follows]), -1)
+
+        pair = looked(x, owner, np.arange(len(x))) if len(x) else np.empty(0, np.int64)
+        while len(x):
+            rank = np.where(pair >= 0, self.pair_rank[pair], -1)
+            head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.repeat(np.maximum.reduceat(rank, head), np.diff(np.append(head, len(x))))
+            over = best < 0
+            if over.any():
+                done.append((owner[over], x[over]))
+                going = ~over
+                owner, x, pair, rank, best = owner[going], x[going], pair[going], rank[going], best[going]
+                if not len(x):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate([[True], owner[at][1:] != owner[at][:-1]])]
+            x[at] = self.pair_symbol[pair[at]]
+            keep = np.ones(len(x), dtype=bool)
+            keep[at + 1] = False
+            place = np.cumsum(keep) - 1
+            owner, x, pair, at = owner[keep], x[keep], pair[keep], place[at]
+            changed = np.concatenate([at, at[at > 0] - 1])
+            pair[changed] = looked(x, owner, changed)
+        whose, what = (np.concatenate(c) for c in zip(*done)) if done else (np.empty(0, np.int64),) * 2
+        order = np.argsort(whose, kind="stable")
+        return what[order], np.bincount(whose, minlength=parts)
 
     def encode(self, marked: str, into: array) -> None:
-        known = self.known.get
-        for unit in self.unit.findall(marked):
-            into.extend(known(unit) or self.unit_ids(unit))
+        """The ids of a text of whole words, word by word."""
+        words = [w.encode() for w in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)]
+        if words:
+            into.extend(self.cut([w.replace(MARK.encode(), b" ") for w in words])[0].tolist())
 
     # chunks of giant texts
 
@@ -255,6 +359,17 @@ class Pieces:
                 yield state, out, score, ids
 
 
+_SHARED: dict[int, Pieces] = {}
+
+
+def _pieces(scores: dict[str, tuple[int, float]], byte_ids: list[int]) -> Pieces:
+    """The vocabulary in a worker process, built once for all of its tasks."""
+    key = hash((tuple(scores.items()), tuple(byte_ids)))
+    if key not in _SHARED or _SHARED[key].scores != scores:
+        _SHARED[key] = Pieces(scores, byte_ids)
+    return _SHARED[key]
+
+
 def marked(text: str) -> str:
     """A text as the lattice sees it: spaces are marks, and one mark comes first."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -286,9 +401,7 @@ def _encode_batches(pieces: Pieces, names: list[str]):
                 ends = np.append(starts[1:], len(data))
                 _, first, place = np.unique(ranges(data.astype(np.uint64) + np.uint64(1), BYTE_BASE, starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                made = [pieces.token_ids(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-                lengths = np.fromiter(map(len, made), np.int64, len(made))
-                flat = np.fromiter(chain.from_iterable(made), np.int32, int(lengths.sum()))
+                flat, lengths = pieces.cut([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
                 n = lengths[place]
                 cuts = np.concatenate([[0], np.cumsum(n)])
                 ids = flat[np.repeat((np.cumsum(lengths) - lengths)[place] - cuts[:-1], n) + np.arange(cuts[-1])]
