@@ -195,11 +195,11 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, weight: np.ndarra
     return w
 
 
-def _score_batches(weights: np.ndarray, names: list[str]):
+def _score_batches(weights: np.ndarray, names: list[str], text: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         abuse = _abuse_hashes()
         for batch in batches:
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column(text)):
                 _, owner, features = _describe(words, abuse)
                 texts = len(words.first) - 1
                 own = batch.slice(words.rows.start, texts)
@@ -253,9 +253,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[i
     """
     docs = docs.drop("p_low_quality", "p_toxic", "kept")
     weights = train(docs, labels, fit_rows)
-    inner, names = numbered(docs, {"text": F.col("text")})
-    schema = T.StructType(list(inner.select(*names).schema.fields))
+    inner, names = numbered(docs, {})
+    schema = T.StructType(list(inner.schema.fields))
     for t in TASKS:
         schema = schema.add(f"p_{t}", "double")
-    out = inner.mapInArrow(_score_batches(weights, names), schema).toDF(*docs.columns, *[f"p_{t}" for t in TASKS])
+    out = inner.mapInArrow(_score_batches(weights, names, names[docs.columns.index("text")]), schema).toDF(*docs.columns, *[f"p_{t}" for t in TASKS])
     return out.withColumn("kept", (F.col("p_low_quality") < threshold) & (F.col("p_toxic") < threshold))

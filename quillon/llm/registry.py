@@ -18,15 +18,10 @@ SUBWORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded: the number and a hash of their ids, and whether the text came back."""
     pieces = sentencepiece_scan.Pieces.load(PIECES)
-    encoded = sentencepiece_scan.encode(documents(spark, sf_dir).select("doc_id", "text"), pieces)
-    back = sentencepiece_scan.decode(encoded, pieces)
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("said"))
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, pieces).drop("text"), pieces)
+    rows = back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), "said")
+    return rows.withColumn("round_trip", F.col("decoded_sha256") == F.col("said")).drop("said")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

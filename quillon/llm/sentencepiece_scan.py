@@ -392,12 +392,12 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np
         yield words.rows, data, starts, np.searchsorted(starts, text_at)
 
 
-def _encode_batches(pieces: Pieces, names: list[str]):
-    """Different tokens of a slice are cut once; their ids are gathered for all places by numpy."""
+def _encode_batches(pieces: Pieces, names: list[str], text: str):
+    """Different tokens of a slice of the column ``text`` are cut once; their ids are gathered for all places by numpy."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, starts, upto in _tokens(batch.column("text")):
+            for rows, data, starts, upto in _tokens(batch.column(text)):
                 ends = np.append(starts[1:], len(data))
                 _, first, place = np.unique(ranges(data.astype(np.uint64) + np.uint64(1), BYTE_BASE, starts, ends), return_index=True, return_inverse=True)
                 raw = data.tobytes()
@@ -507,12 +507,13 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     names. An empty table gives an empty result.
     """
     docs = docs.drop("ids")
-    inner, names = numbered(docs, {"text": F.col("text")})
-    schema = T.StructType([*inner.select(*names).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    long = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
-    short = inner.where(~long).mapInArrow(_encode_batches(pieces, names), schema)
-    giants = materialize(inner.where(long).select(F.monotonically_increasing_id().alias("row"), *names, "text"), "pieces-giants")
-    chunks = materialize(giants.select("row", "text").mapInArrow(_chunk_batches(pieces, chunk), CHUNKS).repartition("row", "chunk"), "pieces-chunks")
+    inner, names = numbered(docs, {})
+    text = names[docs.columns.index("text")]
+    schema = T.StructType([*inner.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    long = F.coalesce(F.char_length(text), F.lit(0)) > chunk
+    short = inner.where(~long).mapInArrow(_encode_batches(pieces, names, text), schema)
+    giants = materialize(inner.where(long).select(F.monotonically_increasing_id().alias("row"), *names), "pieces-giants")
+    chunks = materialize(giants.select("row", F.col(text).alias("text")).mapInArrow(_chunk_batches(pieces, chunk), CHUNKS).repartition("row", "chunk"), "pieces-chunks")
     ends = [F.struct(F.col(f"{side}_at").alias("at"), F.col(f"{side}_piece").alias("piece")).alias(side[0]) for side in ("in", "out")]
     states = chunk_states(chunks.mapInPandas(_transfer_frames(pieces), MATRIX).select("row", "n", "chunk", *ends, "score"))
     flat = states.select("row", "chunk", F.col("i.at").alias("in_at"), F.col("i.piece").alias("in_piece"), F.col("o.at").alias("out_at"), F.col("o.piece").alias("out_piece"))
@@ -522,13 +523,13 @@ def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK) -> DataFrame:
     return both.toDF(*docs.columns, "ids")
 
 
-def _decode_batches(texts: list[bytes], names: list[str]):
+def _decode_batches(texts: list[bytes], names: list[str], ids_name: str):
     known, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
     where = np.cumsum(lengths) - lengths
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = batch.column("ids")
+            listed = batch.column(ids_name)
             every = listed.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             every = np.where((every >= 0) & (every < len(texts)), every, len(texts) - 1)
             counts = np.concatenate([[0], np.cumsum(listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -561,6 +562,6 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     for b, i in enumerate(pieces.byte_ids):
         texts[i] = bytes([b])
     encoded = encoded.drop("decoded")
-    inner, names = numbered(encoded, {"ids": F.col("ids")})
-    schema = T.StructType([*inner.select(*names).schema.fields, T.StructField("decoded", T.StringType())])
-    return inner.mapInArrow(_decode_batches(texts, names), schema).toDF(*encoded.columns, "decoded")
+    inner, names = numbered(encoded, {})
+    schema = T.StructType([*inner.schema.fields, T.StructField("decoded", T.StringType())])
+    return inner.mapInArrow(_decode_batches(texts, names, names[encoded.columns.index("ids")]), schema).toDF(*encoded.columns, "decoded")
