@@ -341,3 +341,49 @@ def item_status(required: Column, uploaded: Column, expired: Column, review: Col
 
 def display_status(required: Column, status: Column, uploaded: Column) -> Column:
     return F.when(status == "approved", "verified").when((status == "uploaded") | uploaded, "uploaded").when(~required, "optional").when(status == "missing", "missing").otherwise("required")
+
+
+# sections, contexts and filters of candidates ------------------------------------------------------------------------
+
+
+def section_match(primary: Column, allowed: Column, on_page: Column, annexure_page: Column) -> Column:
+    """How a candidate's page suits its parameter, by the parameter's primary section, its allowed ones (the first is the primary) and the page's.
+
+    Parameters of the sections Tender Specific and Compliance may come from annexures, others not; without a primary section
+    any page but an annexure's will do.
+    """
+    others = F.slice(allowed, 2, 100)
+    return (
+        F.when(primary.isNull(), F.when(annexure_page, "annexure_rejected").otherwise("unrestricted"))
+        .when(annexure_page & ~primary.isin("Tender Specific", "Compliance"), "annexure_rejected")
+        .when(F.array_contains(on_page, primary), "primary").when(F.arrays_overlap(others, on_page), "fallback").otherwise("section_mismatch")
+    )
+
+
+def context_violation(key: Column, context: Column, rules_: tuple[tuple[str, str, str | None, str], ...]) -> Column:
+    """The reason of the first rule (key, forbidden pattern, allowed pattern, reason) whose key has a forbidden and no allowed context; else null."""
+    out = F.lit(None).cast("string")
+    for name, forbidden, fine, reason in reversed(rules_):
+        excused = context.rlike(fine) if fine else F.lit(False)
+        out = F.when((key == name) & context.rlike(forbidden) & ~excused, reason).otherwise(out)
+    return out
+
+
+def field_score(heading: Column, context: Column, source: Column, page: Column, labelled: Column, patterned: Column, bonus: Column, on_section: Column) -> Column:
+    """At most 99: heading 25 (of .15), context 30 (of 1), table 20, label 8 or other 5, page 20 (of 15), keyword 15 or pattern 12, bonus 15, section 5."""
+    parts = [
+        F.least(F.lit(25.0), heading / 0.15 * 25), F.least(F.lit(30.0), context * 30), F.when(source == "table", 20).when(source == "label", 8).otherwise(5),
+        F.least(F.lit(20.0), page / 15 * 20), F.when(labelled, 15).when(patterned, 12).otherwise(0), F.least(F.lit(15.0), bonus / 5), F.when(on_section, 5).otherwise(0),
+    ]
+    return F.least(F.lit(99), rounded(sum(parts, F.lit(0.0)))).cast("int")
+
+
+def dynamic_filter(noise: Column, relevant: Column, type_match: Column, valid: Column, approved: Column, review: Column) -> Column:
+    """struct<score, status>: 50, 20, 20 and 10 points, kept from 70 on; noise is rejected first."""
+    score = F.when(relevant, 50).otherwise(0) + F.when(type_match, 20).otherwise(0) + F.when(valid, 20).otherwise(0) + F.when(approved, 10).otherwise(0)
+    score = F.when(noise.isNotNull(), 0).otherwise(score)
+    return F.struct(score.alias("score"), F.when(score < 70, "REJECT").when(review, "REVIEW").otherwise("VALID_DYNAMIC").alias("status"))
+
+
+def experience_status(missing: Column) -> Column:
+    return F.when(missing >= 2, "Not Eligible").when(missing == 1, "Partially Eligible").otherwise("Likely Eligible")

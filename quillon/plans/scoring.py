@@ -284,3 +284,43 @@ def r29(spark, d):
     errors = (c("n_chars") > 20000).cast("int") + (c("blank") > 2).cast("int")
     warnings = c("blank").between(1, 2).cast("int") + (~c("signed")).cast("int")
     return rows.select("doc_id", errors.alias("errors"), warnings.alias("warnings"), F.greatest(F.lit(0), 100 - 25 * errors - 10 * warnings).alias("score"))
+
+
+@query("r04_section_assignment", with_("candidates") + """SELECT candidate_id, CASE WHEN parameter = 'Contact Officer' THEN CASE WHEN page % 9 = 0 THEN 'annexure_rejected' ELSE 'unrestricted' END WHEN page % 9 = 0 AND parameter <> 'Completion Period' THEN 'annexure_rejected'
+    WHEN CASE parameter WHEN 'EMD Amount' THEN page % 2 = 0 WHEN 'Tender Value' THEN page % 2 = 0 WHEN 'Scope of Work' THEN page % 3 = 0 ELSE page % 5 = 0 END THEN 'primary' WHEN page % 3 = 0 THEN 'fallback' ELSE 'section_mismatch' END AS match FROM candidates""")
+def r04(spark, d):
+    parameter = c("parameter")
+    primary = F.when(parameter.isin("EMD Amount", "Tender Value"), "Financial").when(parameter == "Scope of Work", "Scope").when(parameter == "Completion Period", "Compliance")
+    sections = F.array_compact(F.array(F.when(c("page") % 2 == 0, "Financial"), F.when(c("page") % 3 == 0, "Scope"), F.when(c("page") % 5 == 0, "Compliance")))
+    return n.candidates(spark, d).select("candidate_id", rules.section_match(primary, F.array(primary, F.lit("Scope")), sections, c("page") % 9 == 0).alias("match"))
+
+
+CONTEXTS = (("EMD", r"(?i)lakh", r"(?i)crore", "in_lakhs_only"), ("EMD", r"(?i)days only", None, "urgent"))
+
+
+@query("r06_context_rules", with_("notices") + "SELECT notice_id, CASE WHEN regexp_matches(text, '(?i)lakh') AND NOT regexp_matches(text, '(?i)crore') THEN 'in_lakhs_only' WHEN regexp_matches(text, '(?i)days only') THEN 'urgent' END AS reason FROM notices")
+def r06(spark, d):
+    return n.notices(spark, d).select("notice_id", rules.context_violation(F.lit("EMD"), c("text"), CONTEXTS).alias("reason"))
+
+
+@query("r10_field_scores", with_("candidates") + "SELECT candidate_id, least(99, floor(least(25, (alias_score / 500.0) / 0.15 * 25) + least(30, confidence / 100.0 * 30) + CASE source WHEN 'AI+RULE' THEN 20 WHEN 'RULE' THEN 8 ELSE 5 END + least(20, page / 15.0 * 20) + CASE WHEN alias_mapped THEN 15 WHEN type_match THEN 12 ELSE 0 END + least(15, confidence / 5.0) + CASE WHEN section_match = 'primary' THEN 5 ELSE 0 END + 0.5))::INT AS score FROM candidates")
+def r10(spark, d):
+    source = F.when(c("source") == "AI+RULE", "table").when(c("source") == "RULE", "label").otherwise("pattern")
+    got = rules.field_score(c("alias_score") / 500, c("confidence") / 100, source, c("page"), c("alias_mapped"), c("type_match"), c("confidence"), c("section_match") == "primary")
+    return n.candidates(spark, d).select("candidate_id", got.alias("score"))
+
+
+@query("r18_dynamic_filter", with_("candidates") + """, s AS (SELECT candidate_id, validation, CASE WHEN value = '' OR length(value) > 500 THEN 0 ELSE CASE WHEN page <= 40 THEN 50 ELSE 0 END + CASE WHEN type_match THEN 20 ELSE 0 END + CASE WHEN validation = 'VALID' THEN 20 ELSE 0 END + CASE WHEN correctness = 'correct' THEN 10 ELSE 0 END END AS score FROM candidates)
+    SELECT candidate_id, score, CASE WHEN score < 70 THEN 'REJECT' WHEN validation = 'REVIEW' THEN 'REVIEW' ELSE 'VALID_DYNAMIC' END AS status FROM s""")
+def r18(spark, d):
+    from quillon.functions.text import irrelevance
+
+    got = rules.dynamic_filter(irrelevance(c("parameter"), c("value")), c("page") <= 40, c("type_match"), F.coalesce(c("validation") == "VALID", F.lit(False)), c("correctness") == "correct", F.coalesce(c("validation") == "REVIEW", F.lit(False)))
+    return n.candidates(spark, d).select("candidate_id", got.alias("f")).select("candidate_id", "f.score", "f.status")
+
+
+@query("r25_experience_match", f"SELECT notice_id, count(*) FILTER (required AND s = 'missing') AS gaps, count(*) FILTER (uploaded OR s = 'approved') AS matching, CASE WHEN count(*) FILTER (required AND s = 'missing') >= 2 THEN 'Not Eligible' WHEN count(*) FILTER (required AND s = 'missing') = 1 THEN 'Partially Eligible' ELSE 'Likely Eligible' END AS status FROM (SELECT *, {STATUS} AS s FROM ({ITEM})) WHERE category IN ('A', 'R') GROUP BY 1")
+def r25(spark, d):
+    """Experience items are those of two categories."""
+    got = items(spark, d).where("category in ('A', 'R')").groupBy("notice_id").agg(agg.count_if(c("required") & (c("status") == "missing")).alias("gaps"), agg.count_if(c("uploaded") | (c("status") == "approved")).alias("matching"))
+    return got.withColumn("status", rules.experience_status(c("gaps")))
