@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import dates, money, text
+from quillon.functions import aliases, dates, money, text
 from quillon.operators import aggregates, documents, filters, joins, ranking
 
 
@@ -74,3 +74,26 @@ def test_scan_quality_and_percent(spark):
     got = documents.scan_quality(pages, "doc").first()
     assert (got.avg_chars, got.coverage, got.score) == (1000, 0.5, 50)
     assert [one(spark, aggregates.percent(F.lit(a), F.lit(b))) for a, b in ((1, 3), (0, 0))] == [33.33, 0.0]
+
+
+def test_rolling_hash(spark):
+    for s in ("", "a", "T-12/1997", "x" * 60):
+        h = 0
+        for ch in s:
+            h = (h * 31 + ord(ch)) & 0xFFFFFFFF
+        h = h - (1 << 32) if h >= 1 << 31 else h
+        n, want = abs(h), ""
+        while n:
+            n, digit = divmod(n, 36)
+            want = "0123456789abcdefghijklmnopqrstuvwxyz"[digit] + want
+        assert one(spark, text.rolling_hash36(F.lit(s))) == (want or "0")[:6]
+
+
+def test_aliases_and_recovery(spark):
+    registry = (("Earnest Money", 9, ("EMD",), ("(?i)\\bdeposit\\b",), ()), ("Period", 5, ("Completion Period", "EMD"), (), ("completion",)))
+    got = [one(spark, aliases.resolved(F.lit(x), registry)) for x in ("E.M.D", "emd:", "Earnest Money", "the deposit", "period of completion", "nothing")]
+    assert [g and (g.name, g.score, g.method) for g in got] == [
+        None, ("Earnest Money", 95, "exact_alias"), ("Earnest Money", 99, "exact_canonical"), ("Earnest Money", 90, "pattern"), ("Period", 85, "semantic"), None]
+    back = one(spark, text.recovered(F.lit("Bid End: 1 May\nx"), [r"End date (\d+)"], ["Bid End"]))
+    assert (back.value, back.confidence) == ("1 May", 0.80)
+    assert one(spark, text.deduped(F.array(F.lit("Cement"), F.lit("cement bags"), F.lit("12"), F.lit("Steel")))) == ["cement bags", "Steel"]
