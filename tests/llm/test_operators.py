@@ -614,3 +614,11 @@ def test_columns_of_any_name_come_through(spark):
     pieces = sentencepiece_scan.Pieces.load(registry.PIECES)
     back = sentencepiece_scan.decode(sentencepiece_scan.encode(frame, pieces, 20), pieces)
     assert back.columns == [*frame.columns, "ids", "decoded"] and {(r.doc_id, r.row, r.decoded) for r in back.collect()} == {(1, "p", rows[0][1]), (2, "r", "c d")}
+
+
+def test_extra_columns_do_not_matter(spark, odd):
+    """Columns named like an operator's own, beside those it reads."""
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", "ho", "x", None)], "conv_id long, turn long, role string, text string, blocks string, formatted string")
+    assert chat.chat_digest(chat.format_chat(turns)).first().loss_chars == 2
+    crowded = odd.withColumns({"n_words": F.lit("x"), "distance": F.lit("y"), "start": F.lit(1), "x0": F.lit("z")})
+    assert quality_rules.judge(crowded).columns == quality_rules.judge(odd).columns
