@@ -23,7 +23,7 @@ from quillon.llm.common import discard, materialize, numbered
 #: Cells in a region of the first table; of a sub-table at each retry; digests that a sub-table is meant for.
 FIRST, RETRIES, LOAD = 8, (32, 64, 128), 12
 #: Rounds of peeling, each of the cells of one region in turn, so that no digest is taken out twice.
-ROUNDS = 15
+ROUNDS = 9
 #: Texts in a partition of the tables.
 PART_ROWS = 2000
 LEAST = -(1 << 63)
