@@ -58,4 +58,47 @@ kept AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
 FROM cut LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op2_chat_format": OP2, "op4_mixing": OP4, "op7_substring_dedup": OP7}
+OP11 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, payload, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS best FROM p),
+b AS (SELECT *, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), lambda x, y: x || y) AS bits FROM d)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, (5 * i + j + 1)::BIGINT, 1)::INT * (16 >> j::INT)))::BIGINT, 1)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM b"""
+
+OP12 = """
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM cut),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM said GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM said, range(1, 6) AS sizes(k) WHERE len(ws) >= k),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, i, array_to_string(string_split(c.phrase, ' ')[:i], ' ') AS one, array_to_string(string_split(c.phrase, ' ')[i + 1:], ' ') AS two
+  FROM counts c, range(1, 5) AS places(i) WHERE c.k > 1 AND i < c.k),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, i, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = one JOIN counts y ON y.lang = cuts.lang AND y.phrase = two JOIN total ON total.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (
+  SELECT DISTINCT w.lang, w.phrase FROM worst w JOIN counts p ON p.lang = w.lang AND p.k > w.k AND contains(' ' || p.phrase || ' ', ' ' || w.phrase || ' ') AND 100 * p.f >= 100 * w.a),
+placed AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM worst ANTI JOIN inside USING (lang, phrase))
+SELECT * FROM placed WHERE rank <= 2000"""
+
+OP13 = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ts, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(ts)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(ts[:i], '') AS prefix, array_to_string(ts[i + 1:j], '') AS middle, array_to_string(ts[j + 1:], '') AS suffix FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts"""
+
+ORACLE = {"op2_chat_format": OP2, "op4_mixing": OP4, "op7_substring_dedup": OP7, "op11_warc": OP11, "op12_phrases": OP12, "op13_fill_in_middle": OP13}

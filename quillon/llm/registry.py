@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, fingerprint, lm_scoring, mixing, neardup, quality_model, quality_rules, sentencepiece_scan, sharding, substring
+from quillon.llm import chat, fim, fingerprint, lm_scoring, mixing, neardup, phrases, quality_model, quality_rules, sentencepiece_scan, sharding, substring, warc
 from quillon.llm.common import documents
 from quillon.llm.oracle import ORACLE as ORACLE
 
@@ -86,4 +86,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"), lm_scoring.Subwords.load(SUBWORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules, op10_lm_scoring)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives with a dictionary and read back from them."""
+    back = warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of all documents whose words stay together, the best of each language."""
+    return phrases.mine(documents(spark, sf_dir).select("lang", "text"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents transformed, with digests of the output and of the text rebuilt from it."""
+    out = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_chat_format, op3_sharding, op4_mixing, op5_near_dedup, op6_quality_classifier, op7_substring_dedup, op8_fingerprint, op9_quality_rules, op10_lm_scoring,
+        op11_warc, op12_phrases, op13_fill_in_middle,
+    )
+}
