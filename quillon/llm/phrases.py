@@ -4,12 +4,14 @@
    one row: its different words, and its words as places in that list, zero between pieces.
 2. Words are counted over all slices; the frequent ones form the dictionary (language, word, id). It is joined
    to the slices' lists of words: it may grow with the corpus, and no task ever holds it whole. All other words become zeros.
-3. Pairs of neighbouring ids are packed into fixed-width binary keys, counted within a slice, dealt into ranges of keys,
-   sorted there and counted by runs. A frequent pair also names the slices it occurs in, so the next pass breaks
-   each slice wherever a pair is rare, and does the same with the longer runs of ids that are left.
-4. Cuts, scores and containment are joins on the keys: parts of a frequent phrase are frequent themselves.
-
-A hot word, pair or phrase has one row for each slice at most before any shuffle.
+3. A phrase of k words is the pair of the two phrases of k - 1 words that it begins and ends with. So each pass packs pairs of
+   neighbouring ids into binary keys of fixed width, counts them within a slice, deals them into ranges of keys, sorts them there
+   and counts runs. Frequent pairs get ids, and every slice is told the ids of its own: with them it is encoded anew,
+   zero wherever a pair is rare, and the next pass counts phrases one word longer among what is left.
+4. The table of a phrase is joined from the tables of its two halves, whose words and counts it carries on; cuts, scores and
+   containment need nothing else.
+
+A hot word or phrase has one row for each slice at most before any shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ SLICE_BYTES, HELD_BYTES = 4 << 20, 12 << 20
 GROUPS = 256
 #: Parts in which a language's best phrases are chosen before they meet.
 PARTS = 64
-ID_BYTES = 4
+#: Ids that the slices of a task wait with before they are told, about.
+TOLD = 1 << 19
 SLICES = "slice long, lang string, tokens array<int>, words array<string>, counts array<int>"
 
 WORD_BYTE, GAP, BREAK = 0, 1, 2
@@ -116,6 +119,13 @@ def _items(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def _squeezed(ids: np.ndarray) -> np.ndarray:
+    """Ids without zeros that follow a zero, or stand at the ends."""
+    before = np.concatenate([[0], ids[:-1]])
+    ids = ids[(ids != 0) | (before != 0)]
+    return ids[:-1] if len(ids) and not ids[-1] else ids
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices as runs of dictionary ids, with a zero wherever other words or the ends of pieces stood."""
     for batch in batches:
@@ -124,153 +134,172 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids = pa.ListArray.from_arrays(known.offsets, known.values.field("id")).flatten().to_numpy()
         for row in range(batch.num_rows):
             own = tokens[at[row] : at[row + 1]]
-            table = np.zeros(int(own.max(initial=0)) + 1, dtype=np.int32)
+            table = np.zeros(int(own.max(initial=0)) + 1, dtype=np.int64)
             span = slice(known_at[row], known_at[row + 1])
             table[place[span] + 1] = ids[span]
-            coded = table[own]
-            coded = coded[(coded != 0) | (np.concatenate([[0], coded[:-1]]) != 0)]
-            yield pa.RecordBatch.from_arrays([batch.column("slice").slice(row, 1), _lists(coded, pa.int32())], names=["slice", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("slice").slice(row, 1), _lists(_squeezed(table[own]), pa.int64())], names=["slice", "ids"])
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows of an array of ids and how often each occurs."""
-    if not len(keys):
-        return keys, np.empty(0, np.int64)
-    keys = keys[np.lexsort(keys.T[::-1])]
-    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    return keys[new], np.diff(np.append(new, len(keys)))
+def packed(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
+    """Pairs of ids as binary keys of two times ``width`` bytes, big-endian, so they sort as the pairs do."""
+    return np.ascontiguousarray(np.stack([first, second], axis=1).astype(f">u{width}")).view(f"V{2 * width}").ravel()
 
 
-def _packed(keys: np.ndarray) -> pa.Array:
-    """Rows of ids as binary keys of fixed width, big-endian, so they sort as the ids do."""
-    width = keys.shape[1] * ID_BYTES
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(keys, dtype=">u4"))])
+def _binary(keys: np.ndarray) -> pa.Array:
+    width = keys.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(keys)])
 
 
-def _grams(ids: np.ndarray, lengths: range) -> Iterator[np.ndarray]:
-    """The runs of ids of the given lengths that hold no zero, filled up with zeros to the largest length."""
-    width = lengths[-1]
-    filled = np.concatenate([ids, np.zeros(width, ids.dtype)])
-    windows = np.lib.stride_tricks.sliding_window_view(filled, width)[: len(ids)]
-    # ids before the next zero
-    zeros = np.flatnonzero(filled == 0)
-    room = zeros[np.searchsorted(zeros, np.arange(len(ids)))] - np.arange(len(ids))
-    for k in lengths:
-        gram = windows[room >= k].copy()
-        gram[:, k:] = 0
-        yield gram
+def _keys(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of fixed width as an array."""
+    first = int(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], dtype=f"V{width}", count=len(column), offset=first)
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, at = _items(batch.column("ids"))
-        for row in range(batch.num_rows):
-            own = ids[at[row] : at[row + 1]].astype(np.int64)
-            pair = (own[:-1] << 32 | own[1:])[(own[:-1] != 0) & (own[1:] != 0)]
-            pair, n = np.unique(pair, return_counts=True)
-            key = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
-            yield pa.RecordBatch.from_arrays([_packed(key), pa.array(n), pa.array(np.full(len(n), batch.column("slice")[row].as_py()))], names=["key", "n", "slice"])
+def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, count) of the different pairs of neighbours that are no zeros, in order."""
+    local, place = np.unique(ids, return_inverse=True)
+    both = (ids[:-1] != 0) & (ids[1:] != 0)
+    pair, n = np.unique(place[:-1][both].astype(np.int64) << 32 | place[1:][both], return_counts=True)
+    return local[pair >> 32], local[pair & 0xFFFFFFFF], n
+
+
+def _pair_batches(width: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = _items(batch.column("ids"))
+            for row in range(batch.num_rows):
+                first, second, n = neighbours(ids[at[row] : at[row + 1]])
+                yield pa.RecordBatch.from_arrays([_binary(packed(first, second, width)), pa.array(n), pa.array(np.full(len(n), batch.column("slice")[row].as_py()))], names=["key", "n", "slice"])
+
+    return made
 
 
-def _longer_batches(longest: int):
-    """Runs of 3 ids and more in which every pair is frequent, counted within a slice."""
+def _longer_batches(width: int):
+    """Slices encoded anew: the id of the pair that begins at each place, zero where it is rare."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = _items(batch.column("ids"))
-            pairs = batch.column("pairs")
             for row in range(batch.num_rows):
-                own = ids[at[row] : at[row + 1]].astype(np.int64)
-                if len(own) < 3:
-                    continue
-                frequent = np.sort(np.frombuffer(b"".join(pairs[row].as_py()), dtype=">u4").astype(np.int64).reshape(-1, 2) @ np.array([1 << 32, 1]))
-                together = np.isin(own[:-1] << 32 | own[1:], frequent)
-                # a zero between any two ids that are no frequent pair
-                broken = np.zeros(len(own) + int((~together).sum()), dtype=np.uint32)
-                broken[np.arange(len(own)) + np.concatenate([[0], np.cumsum(~together)])] = own
-                for gram in _grams(broken, range(3, longest + 1)):
-                    if gram.shape[1] < longest:
-                        gram = np.pad(gram, ((0, 0), (0, longest - gram.shape[1])))
-                    key, n = _counted(gram)
-                    yield pa.RecordBatch.from_arrays([_packed(key), pa.array(n), pa.array(np.full(len(n), batch.column("slice")[row].as_py()))], names=["key", "n", "slice"])
+                own = ids[at[row] : at[row + 1]]
+                key = np.frombuffer(b"".join(batch.column("keys")[row].as_py()), dtype=f">u{width}").astype(np.int64).reshape(-1, 2)
+                new = np.frombuffer(b"".join(batch.column("told")[row].as_py()), dtype="<i8")
+                local, place = np.unique(own, return_inverse=True)
+                known = np.searchsorted(local, key[:, 0]) << 32 | np.searchsorted(local, key[:, 1])
+                order = np.argsort(known)
+                known, new = known[order], new[order]
+                pair = place[:-1].astype(np.int64) << 32 | place[1:]
+                hit = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                coded = np.where(known[hit] == pair, new[hit], 0)
+                yield pa.RecordBatch.from_arrays([batch.column("slice").slice(row, 1), _lists(_squeezed(coded), pa.int64())], names=["slice", "ids"])
 
     return made
 
 
-def _run_lengths(least: int, name_slices: bool):
-    """Sums over the runs of equal keys in sorted rows: (key, f, null) for each key of ``least`` or more, and (key, null, slice) for its rows.
+RUNS = "id long, key binary, f long, slice long, keys binary, told binary"
 
-    Rows wait only until their key has reached ``least``, which is after fewer than ``least`` rows.
-    """
-    names = ["key", "f", "slice"]
 
-    def table(keys: list[bytes], f: list, of: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(f, pa.int64()), pa.array(of, pa.int64())], names=names)
+def _run_lengths(least: int, width: int, tell: bool, part=None):
+    """Sums over the runs of equal keys in sorted rows, each key of ``least`` or more with an id: (id, key, f), and for slices (slice, keys, told).
+
+    ``keys`` are a slice's frequent keys, one behind the other, ``told`` their ids. Rows wait only until their key has reached
+    ``least``, after fewer than ``least`` rows; what is to be told waits for ``TOLD`` more. ``part`` numbers the task.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, waiting = None, 0, []
+        from pyspark import TaskContext
+
+        number = (TaskContext.get().partitionId() if part is None else part) << 32 | 1
+        last, total, waiting = b"", 0, []
+        told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def tellings() -> Iterator[pa.RecordBatch]:
+            of, keys, ids = (np.concatenate(x) for x in zip(*told))
+            order = np.argsort(of, kind="stable")
+            of, keys, ids = of[order], keys[order], ids[order]
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            ends = np.append(head[1:], len(of))
+            none = pa.nulls(len(head), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                none, pa.nulls(len(head), pa.binary()), none, pa.array(of[head]),
+                pa.array([keys[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()),
+            ], names=RUNS.replace(" long", "").replace(" binary", "").split(", "))
+
+        def counted(ids: list, keys: list, f: list) -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(f, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=RUNS.replace(" long", "").replace(" binary", "").split(", "))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column("key")
-            offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-            width = int(offsets[1] - offsets[0])
-            raw = column.buffers()[2].slice(int(offsets[0]), width * len(column)).to_pybytes()
-            rows = np.frombuffer(raw, dtype=f"V{width}")
+            keys = _keys(batch.column("key"), 2 * width)
             n, of = batch.column("n").to_numpy(), batch.column("slice").to_numpy()
-            packed = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
-            head = np.flatnonzero(np.concatenate([[True], (packed[1:] != packed[:-1]).any(axis=1)]))
-            ends = np.append(head[1:], len(rows))
+            raw = keys.view(np.uint8).reshape(-1, 2 * width)
+            head = np.flatnonzero(np.concatenate([[True], (raw[1:] != raw[:-1]).any(axis=1)]))
+            ends = np.append(head[1:], len(keys))
             sums = np.add.reduceat(n, head)
-            keys, f, slices = [], [], []
-            first = rows[0].tobytes()
-            if last is not None and first != last and total >= least:
-                keys, f, slices = [last], [total], [None]
-            carried = first == last
-            # the first run may go on from the batch before, the last one into the next; those between are whole
-            for run in [0, *([len(head) - 1] if len(head) > 1 else [])]:
-                key = rows[head[run]].tobytes()
-                if run or not carried:
-                    total, waiting = 0, []
+            ids, said, f = [], [], []
+            if keys[0].tobytes() != last:  # the run before has ended
+                if total >= least:
+                    ids, said, f = [number], [last], [total]
+                    number += 1
+                last, total, waiting = keys[0].tobytes(), 0, []
+            # runs that are rare and whole within this batch need no look; the first and the last may go on
+            whole = np.concatenate([[0], np.flatnonzero(sums[1:-1] >= least) + 1, [len(head) - 1] if len(head) > 1 else []]).astype(int)
+            for run in whole.tolist():
+                a, b = head[run], ends[run]
+                if run:
+                    if total >= least:
+                        ids.append(number), said.append(last), f.append(total)
+                        number += 1
+                    last, total, waiting = keys[a].tobytes(), 0, []
                 total += int(sums[run])
-                if name_slices:
-                    waiting += of[head[run] : ends[run]].tolist()
+                if tell:
+                    waiting.append(of[a:b])
+                    if total >= least:
+                        rows = np.concatenate(waiting)
+                        told.append((rows, np.repeat(keys[a : a + 1], len(rows)), np.full(len(rows), number, dtype="<i8")))
+                        size, waiting = size + len(rows), []
+                if run == 0 and len(head) > 1:  # it ends here
                     if total >= least:
-                        keys += [key] * len(waiting)
-                        f += [None] * len(waiting)
-                        slices += waiting
-                        waiting = []
-                if run == 0 and len(head) > 1 and total >= least:
-                    keys.append(key), f.append(total), slices.append(None)
-                last = key
-            inner = np.flatnonzero(sums[1:-1] >= least) + 1 if len(head) > 2 else []
-            for run in inner:
-                key = rows[head[run]].tobytes()
-                keys.append(key), f.append(int(sums[run])), slices.append(None)
-                if name_slices:
-                    own = of[head[run] : ends[run]].tolist()
-                    keys += [key] * len(own)
-                    f += [None] * len(own)
-                    slices += own
-            if keys:
-                yield table(keys, f, slices)
-        if last is not None and total >= least:
-            yield table([last], [total], [None])
+                        ids.append(number), said.append(last), f.append(total)
+                        number += 1
+                    total, waiting = 0, []
+                elif 0 < run < len(head) - 1:
+                    ids.append(number), said.append(last), f.append(total)
+                    number += 1
+                    total, waiting = 0, []
+            if ids:
+                yield counted(ids, said, f)
+            if size >= TOLD:
+                yield from tellings()
+                told, size = [], 0
+        if total >= least:
+            yield counted([number], [last], [total])
+        if told:
+            yield from tellings()
 
     return made
 
 
-def _by_runs(grams: DataFrame, least: int, name: str, name_slices: bool = False) -> DataFrame:
-    """Keys dealt into ranges, sorted there and counted by runs; a table in the shared folder."""
-    stored = materialize(grams, f"{name}-grams")  # ranges are drawn from a sample, which would compute the grams twice
+def _by_runs(ids: DataFrame, least: int, width: int, name: str, tell: bool) -> DataFrame:
+    """Pairs of neighbours counted: dealt into ranges of keys, sorted there and counted by runs; a table in the shared folder."""
+    # ranges are drawn from a sample, which would pack the pairs twice
+    stored = materialize(ids.mapInArrow(_pair_batches(width), "key binary, n long, slice long"), f"{name}-grams")
     dealt = stored.repartitionByRange("key").sortWithinPartitions("key")
-    counted = materialize(dealt.mapInArrow(_run_lengths(least, name_slices), "key binary, f long, slice long"), name)
+    counted = materialize(dealt.mapInArrow(_run_lengths(least, width, tell), RUNS), name)
     discard(stored)
     return counted
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of words (lang, word, key, f), of phrases (key, n_words, f, lang; single words too), all frequent, and of totals (lang, n)."""
+def phrase_levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of the frequent phrases of one word, two words and so on, and of totals (lang, n).
+
+    A phrase has id, the ids ``left`` and ``right`` of the phrases one word shorter that it begins and ends with, lang, words, f,
+    and the counts ``fl`` of its beginnings and ``fr`` of its ends, by their number of words.
+    """
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
     slices = materialize(texts.mapInArrow(_cut_batches, SLICES), "phrase-slices")
     totals = materialize(slices.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "phrase-totals")
@@ -279,27 +308,36 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     group = F.pmod(F.xxhash64("lang", "word"), F.lit(GROUPS)).cast("int")
     rank = F.row_number().over(Window.partitionBy("g").orderBy("lang", "word")) - 1
     # at most 2^31 words over all groups: the cast fails rather than give an id twice
-    words = frequent.withColumn("g", group).withColumn("id", (rank.cast("long") * GROUPS + F.col("g") + 1).cast("int"))
-    words = materialize(words.select("lang", "word", "id", F.unhex(F.lpad(F.hex("id"), 2 * ID_BYTES, "0")).alias("key"), "f"), "phrase-words")
+    words = frequent.withColumn("g", group).withColumn("id", (rank.cast("long") * GROUPS + F.col("g") + 1).cast("int").cast("long"))
+    words = materialize(words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("fl"), F.array("f").alias("fr")), "phrase-words")
     places = slices.select("slice", "lang", F.posexplode("words").alias("place", "word"))
-    known = places.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    ids = materialize(slices.select("slice", "tokens").join(known, "slice").mapInArrow(_encode_batches, "slice long, ids array<int>"), "phrase-ids")
+    known = places.join(words.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    ids = materialize(slices.select("slice", "tokens").join(known, "slice").mapInArrow(_encode_batches, "slice long, ids array<long>"), "phrase-ids")
     discard(slices)
-    pairs = _by_runs(ids.mapInArrow(_pair_batches, "key binary, n long, slice long"), least, "phrase-pairs", name_slices=True)
-    found = words.select("key", F.lit(1).alias("n_words"), "f").unionByName(pairs.where("f is not null").select("key", F.lit(2).alias("n_words"), "f"))
-    spent = [ids, pairs]
-    if longest > 2:
-        near = pairs.where("slice is not null").groupBy("slice").agg(F.collect_list("key").alias("pairs"))
-        longer = _by_runs(ids.join(near, "slice").mapInArrow(_longer_batches(longest), "key binary, n long, slice long"), least, "phrase-longer")
-        # an id is never zero, so zero ids are what fills a shorter key up
-        places = F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda i: F.substring("key", i * ID_BYTES + 1, F.lit(ID_BYTES)))
-        filled = longer.select("key", "f", F.size(F.filter(places, lambda x: x != F.unhex(F.lit("00" * ID_BYTES)))).alias("n_words"))
-        found = found.unionByName(filled.select(F.substring("key", F.lit(1), F.col("n_words") * ID_BYTES).alias("key"), "n_words", "f"))
-        spent.append(longer)
-    langs = words.select(F.col("key").alias("_first"), "lang")
-    phrases = materialize(found.withColumn("_first", F.substring("key", 1, ID_BYTES)).join(langs, "_first").drop("_first"), "phrase-counts")
-    discard(*spent)
-    return words, phrases, totals
+    levels = [words]
+    for k in range(2, longest + 1):
+        width = 4 if k == 2 else 8
+        runs = _by_runs(ids, least, width, f"phrase-runs-{k}", tell=k < longest)
+        half = lambda at: F.conv(F.hex(F.substring("key", at, width)), 16, 10).cast("long")
+        found = runs.where("id is not null").select("id", "f", half(1).alias("left"), half(width + 1).alias("right"))
+        left = levels[-1].select(F.col("id").alias("left"), "lang", "words", "fl")
+        right = levels[-1].select(F.col("id").alias("right"), F.col("words").alias("more"), "fr")
+        joined = found.join(left, "left").join(right, "right")
+        own = F.array("f")
+        levels.append(materialize(joined.select("id", "left", "right", "lang", F.concat("words", F.slice("more", -1, 1)).alias("words"), "f", F.concat("fl", own).alias("fl"), F.concat("fr", own).alias("fr")), f"phrase-level-{k}"))
+        if k < longest:
+            tellings = runs.where("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("keys", "told")).alias("t")).select("slice", "t.keys", "t.told")
+            spent, ids = ids, materialize(ids.join(tellings, "slice").mapInArrow(_longer_batches(width), "slice long, ids array<long>"), f"phrase-ids-{k}")
+            discard(spent)
+        discard(runs)
+    discard(ids)
+    return levels, totals
+
+
+def exact_score(left, right):
+    """1000 * f * n / (left * right), rounded down; products have up to 38 digits."""
+    over = F.lit(1000).cast("decimal(4,0)") * F.col("f").cast("decimal(17,0)") * F.col("n").cast("decimal(17,0)")
+    return F.call_function("div", over, left.cast("decimal(19,0)") * right.cast("decimal(19,0)"))
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
@@ -310,28 +348,21 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     longer one that occurs ``share`` percent as often go. Null texts are empty, a null lang is ``und``; repeated rows count
     as often as they stand. An empty table gives an empty result. Columns other than text and lang are not read.
     """
-    words, phrases, totals = phrase_counts(docs, least, longest)
-    candidates = phrases.where("n_words > 1")
-    part = phrases.select(F.col("key").alias("part"), F.col("f").alias("part_f"))
-    cuts = candidates.join(totals, "lang").select("key", "lang", "n_words", F.col("f").alias("a"), "n", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
-    cuts = cuts.withColumns({"first": F.substring("key", F.lit(1), F.col("k") * ID_BYTES), "rest": F.substring("key", F.col("k") * ID_BYTES + 1, (F.col("n_words") - F.col("k")) * ID_BYTES)})
-    cuts = cuts.join(part.toDF("first", "l"), "first").join(part.toDF("rest", "r"), "rest")
-    score = F.expr("(cast(1000 as decimal(4, 0)) * cast(a as decimal(17, 0)) * cast(n as decimal(17, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
-    scored = cuts.withColumn("score", score).groupBy("key", "lang", "n_words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("worst"))
-    inside = candidates.where("n_words > 2").select(
-        F.explode(F.array(F.substring("key", F.lit(1), (F.col("n_words") - 1) * ID_BYTES), F.substring("key", F.lit(ID_BYTES + 1), (F.col("n_words") - 1) * ID_BYTES))).alias("key"), "f")
-    # what lies inside a phrase that is longer by more than a word lies inside one between them, which is as frequent at least
-    covered = inside.groupBy("key").agg(F.max("f").alias("longer"))
-    left = scored.join(covered, "key", "left").where("longer is null or 100 * longer < " + f"{share} * a")
-    left = materialize(left.select("key", "lang", "n_words", "a", "n", "worst.*"), "phrase-left")
-    one = left.select("key", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("i"))
-    one = one.withColumn("_word", F.substring("key", F.col("i") * ID_BYTES + 1, F.lit(ID_BYTES))).join(words.select(F.col("key").alias("_word"), "word"), "_word")
-    spelled = one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("said")).select("key", F.concat_ws(" ", "said.word").alias("phrase"))
+    levels, totals = phrase_levels(docs, least, longest)
+    rows = None
+    for k, level in enumerate(levels[1:], 2):
+        cuts = [F.struct(exact_score(F.col("fl")[j - 1], F.col("fr")[k - j - 1]).alias("score"), F.lit(j).alias("cut"), F.col("fl")[j - 1].alias("l"), F.col("fr")[k - j - 1].alias("r")) for j in range(1, k)]
+        scored = level.join(totals, "lang").select("id", "lang", "words", F.col("f").alias("a"), "n", F.array_min(F.array(*cuts)).alias("w")).select("id", "lang", "words", "a", "n", "w.*")
+        if k <= longest - 1:
+            # what lies inside a phrase that is longer by more than a word lies inside one between them, which is as frequent at least
+            covered = levels[k].select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("longer"))
+            scored = scored.join(covered, "id", "left").where(f"longer is null or 100 * longer < {share} * a").drop("longer")
+        rows = scored if rows is None else rows.unionByName(scored)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    rows = left.join(spelled, "key").withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    rows = rows.withColumn("phrase", F.array_join("words", " ")).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     # a language's best are chosen by parts, so its last window sorts PARTS * top rows at most
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= top)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= top)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     out = materialize(rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrase-best")
-    discard(words, phrases, totals, left)
+    discard(*levels, totals)
     return out

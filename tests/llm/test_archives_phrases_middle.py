@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -151,25 +152,34 @@ def test_phrases_of_one_hot_text_and_of_none(spark):
 def test_large_products_are_exact(spark):
     """Counts as of a far larger corpus: products pass 64 bits, quotients are just under a whole number."""
     a, n, left, right = 3 * 10**9, 7 * 10**13, 10**12 + 39, 3 * 10**10 + 7
-    row = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long")
-    got = row.select(F.expr("(cast(1000 as decimal(4, 0)) * cast(a as decimal(17, 0)) * cast(n as decimal(17, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")).first()[0]
+    row = spark.createDataFrame([(a, n, left, right)], "f long, n long, l long, r long")
+    got = row.select(phrases.exact_score(F.col("l"), F.col("r"))).first()[0]
     assert got == 1000 * a * n // (left * right)
 
 
-def test_run_lengths_over_batches_of_any_cut():
-    import pyarrow as pa
-
+@pytest.mark.parametrize("told", [1, 1 << 19])
+def test_run_lengths_over_batches_of_any_cut(monkeypatch, told):
+    monkeypatch.setattr(phrases, "TOLD", told)
     rng = random.Random(5)
-    keys = sorted(bytes([rng.randrange(4), rng.randrange(3)]) for _ in range(200))
-    rows = [(k, rng.randrange(1, 4), i) for i, k in enumerate(keys)]
+    pairs = sorted((rng.randrange(4), rng.randrange(3)) for _ in range(200))
+    key = phrases.packed(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), 4)
+    rows = [(k.tobytes(), rng.randrange(1, 4), i) for i, k in enumerate(key)]
     want = Counter()
     for k, n, _ in rows:
         want[k] += n
-    for size in (1, 2, 3, 7, 200):
+    for size in (1, 2, 3, 7, 50, 200):
         batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + size]), (pa.binary(), pa.int64(), pa.int64()))], names=["key", "n", "slice"]) for i in range(0, 200, size)]
-        out = [r for b in phrases._run_lengths(30, True)(iter(batches)) for r in b.to_pylist()]
-        assert {r["key"]: r["f"] for r in out if r["f"] is not None} == {k: n for k, n in want.items() if n >= 30}
-        assert sorted(r["slice"] for r in out if r["slice"] is not None) == [i for k, _, i in rows if want[k] >= 30]
+        out = [r for b in phrases._run_lengths(30, 4, True, part=3)(iter(batches)) for r in b.to_pylist()]
+        ids = {r["key"]: r["id"] for r in out if r["id"] is not None}
+        assert {r["key"]: r["f"] for r in out if r["id"] is not None} == {k: n for k, n in want.items() if n >= 30}
+        assert len(set(ids.values())) == len(ids) and all(i >> 32 == 3 for i in ids.values())
+        heard = []
+        for r in out:
+            if r["slice"] is not None:
+                numbers = np.frombuffer(r["told"], dtype="<i8").tolist()
+                assert numbers == [ids[r["keys"][8 * i : 8 * i + 8]] for i in range(len(numbers))]
+                heard += [r["slice"]] * len(numbers)
+        assert sorted(heard) == [i for k, _, i in rows if want[k] >= 30]
 
 
 # 13: fill-in-middle
