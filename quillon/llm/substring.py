@@ -34,9 +34,9 @@ from quillon.llm.grams import WORD_BASE, Words, ranges, slices
 #: Words of a window, and words of the runs among which its minimizer is chosen.
 SIZE, RUN = 20, 10
 LAST = (1 << 63) - 1
-SPANS = "anchor long, doc long, rev int, start int, n int"
-PATHS = "anchor long, one long, two long, doc long, rev int, start int, n int, twice boolean"
-EDGES = "anchor long, one long, two long, edge_one long, edge_two long, place int, doc long, rev int, start int"
+SPANS = "anchor long, doc long, rev binary, start int, n int"
+PATHS = "anchor long, one long, two long, doc long, rev binary, start int, n int, twice boolean"
+EDGES = "anchor long, one long, two long, edge_one long, edge_two long, place int, doc long, rev binary, start int"
 NEW = ("n_words", "n_removed", "kept_sha256")
 
 
@@ -66,14 +66,14 @@ def _paths(words: Words, size: int, run: int) -> tuple[np.ndarray, ...]:
 def _span_batches(size: int, run: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, rev = batch.column("doc").to_numpy(), batch.column("rev").to_numpy()
+            doc, rev = batch.column("doc"), batch.column("rev")
             for words in slices(batch.column("text")):
                 text, anchor, start, n = _paths(words, size, run)
                 if not len(text):
                     continue
                 own = text + words.rows.start
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array(doc[own]), pa.array(rev[own]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(anchor.view(np.int64)), doc.take(pa.array(own)), rev.take(pa.array(own)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
                 ], names=["anchor", "doc", "rev", "start", "n"])
 
     return made
@@ -98,7 +98,7 @@ def _path_batches(size: int):
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, rev = batch.column("doc").to_numpy(), batch.column("rev").to_numpy()
+            doc, rev = batch.column("doc"), batch.column("rev")
             for words in slices(batch.column("text")):
                 flat, owner = _flat(batch.column("spans").slice(words.rows.start, len(words.first) - 1))
                 anchor, start, n = (flat.field(c).to_numpy() for c in ("anchor", "start", "n"))
@@ -113,7 +113,7 @@ def _path_batches(size: int):
                     twice[row[far:][(edges[far:] == edges[:-far]) & (row[far:] == row[:-far])]] = True
                 own = owner + words.rows.start
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(doc[own]), pa.array(rev[own]), pa.array(start), pa.array(n), pa.array(twice),
+                    pa.array(anchor), pa.array(digest[:, 0]), pa.array(digest[:, 1]), doc.take(pa.array(own)), rev.take(pa.array(own)), pa.array(start), pa.array(n), pa.array(twice),
                 ], names=["anchor", "one", "two", "doc", "rev", "start", "n", "twice"])
 
     return made
@@ -124,7 +124,7 @@ def _edge_batches(size: int):
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, rev = batch.column("doc").to_numpy(), batch.column("rev").to_numpy()
+            doc, rev = batch.column("doc"), batch.column("rev")
             for words in slices(batch.column("text")):
                 flat, owner = _flat(batch.column("spans").slice(words.rows.start, len(words.first) - 1))
                 n = flat.field("n").to_numpy().astype(np.int64)
@@ -135,21 +135,23 @@ def _edge_batches(size: int):
                 own = owner[row] + words.rows.start
                 yield pa.RecordBatch.from_arrays([
                     *[pa.array(flat.field(c).to_numpy()[row]) for c in ("anchor", "one", "two")], pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                    pa.array(place.astype(np.int32)), pa.array(doc[own]), pa.array(rev[own]), pa.array(start.astype(np.int32)),
+                    pa.array(place.astype(np.int32)), doc.take(pa.array(own)), rev.take(pa.array(own)), pa.array(start.astype(np.int32)),
                 ], names=["anchor", "one", "two", "edge_one", "edge_two", "place", "doc", "rev", "start"])
 
     return made
 
 
 def _keys(doc_id, text) -> dict:
-    return {"doc": F.coalesce(doc_id.cast("long"), F.lit(LAST)), "rev": F.hash(F.coalesce(text, F.lit(""))), "text": text}
+    """A text's identity: its id, and half of the SHA-256 of what it says, as ids may be null or repeated."""
+    digest = F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+    return {"doc": F.coalesce(doc_id.cast("long"), F.lit(LAST)), "rev": F.unhex(F.substring(digest, 1, 32)), "text": text}
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFrame:
     """(doc, rev, spans of start and mask): edge start + i of a document repeats an earlier one where bit i of mask is set.
 
-    ``doc`` is the doc_id (null: the largest integer), ``rev`` a hash of the text, so documents that share an id
-    stay apart; rows equal in both are judged as one document. The result is a table in the shared folder.
+    ``doc`` is the doc_id (null: the largest integer), ``rev`` a 128-bit digest of the text, so documents that share an
+    id, or have none, stay apart; rows equal in both are judged as one document. The result is a table in the shared folder.
     """
     texts = docs.select(*[c.alias(n) for n, c in _keys(F.col("doc_id"), F.col("text")).items()])
     slim = materialize(texts.mapInArrow(_span_batches(size, run), SPANS), "substring-spans")
@@ -231,7 +233,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataFra
     or in the same one; windows are judged on the input. ``text`` keeps its white space between kept
     neighbours and has one space where words are gone; a text from which nothing goes is unchanged.
     kept_sha256 digests the kept words joined by one space. Null texts have no words and become empty; a null doc_id
-    counts as the largest. Documents that share a doc_id are ordered by a hash of their texts, and
+    counts as the largest. Documents that share a doc_id, or have none, are ordered by a digest of their texts, and
     rows equal in both are judged as one document. An empty table gives an empty result. The caller's other columns stay
     as they are, whatever their names; only those called like one of the three results are replaced.
     """
