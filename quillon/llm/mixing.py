@@ -19,9 +19,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the seed and the key alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
+def draw(key: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the seed, the key and the text alone, so rows without a key draw apart."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -56,18 +56,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 def plan_mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target, rate and copies (how often the mix takes the document).
 
-    A null text has no words. Rows that repeat a key draw alike; a null key draws as an empty one. Reruns
-    agree, as the draw depends on key and seed alone. Columns of ``docs`` with one of the new names
-    are replaced. The per-source table is written to the shared folder, so its true size decides on a
+    A null text has no words. Rows that repeat both key and text draw alike; a null key counts as an empty one. Reruns
+    agree, as the draw depends on key, text and seed alone. Columns of ``docs`` with one of the new names
+    are replaced, all others stay, whatever their names. The per-source table is written to the shared folder, so its true size decides on a
     broadcast, and a hot source never meets in one task: it is summed before the shuffle.
     """
     new = ["size", "source_size", "target", "rate", "copies"]
     docs = docs.drop(*new).withColumn("size", word_count(F.col("text")))
     per = materialize(source_targets(docs.select("source", "size"), weights, max_repeats), "mix-targets")
-    per = per.select(F.col("source").alias("_source"), "source_size", "target")
+    # a name that no column of the caller has
+    own = "_source" + "_" * max((len(c) for c in docs.columns), default=0)
+    per = per.select(F.col("source").alias(own), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = docs.join(per, docs["source"].eqNullSafe(per["_source"])).drop("_source").withColumn("rate", rate)
-    extra = draw(F.col(key), seed) < F.col("rate") - F.floor("rate")
+    out = docs.join(per, docs["source"].eqNullSafe(per[own])).drop(own).withColumn("rate", rate)
+    extra = draw(column(key), F.col("text"), seed) < F.col("rate") - F.floor("rate")
     return out.withColumn("copies", F.floor("rate").cast("long") + extra.cast("long"))
 
 

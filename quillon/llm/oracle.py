@@ -25,7 +25,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 OP4 = f"""
-WITH sized AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, text, source, len({WORDS})::BIGINT AS size FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap,
     [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
@@ -40,7 +40,7 @@ level AS (SELECT (words - below) / open AS level FROM steps, total WHERE reached
 targets AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM per LEFT JOIN level ON true),
 drawn AS (
   SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    list_sum(list_transform(range(8), lambda i: (strpos('0123456789abcdef', md5('17|' || coalesce(doc_id::VARCHAR, ''))[i + 1]) - 1)::DOUBLE * pow(16, 7 - i))) / 4294967296.0 AS draw
+    list_sum(list_transform(range(8), lambda i: (strpos('0123456789abcdef', md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, ''))[i + 1]) - 1)::DOUBLE * pow(16, 7 - i))) / 4294967296.0 AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies
 FROM (SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM drawn)"""
