@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import column, materialize, numbered
 
 #: Bytes a document takes in a shard beside its text.
 OVERHEAD = 16
@@ -113,49 +113,85 @@ def reshard(rows: DataFrame, capacities: list[int] | int, size: str = "size", ol
     at most at each boundary. Slots run from 0 without gaps in each shard. Rows of a block are ordered by all of
     ``key``; repeated rows take slots of their own. An empty table gives an empty result. The driver sees
     one line a block: old shards times ``blocks``, by default so many that the fullest shard has about ``BLOCK_ROWS``
-    rows a block, from ``LEAST_BLOCKS`` to ``MOST_BLOCKS``. Columns named shard, slot, or _block are replaced.
+    rows a block, from ``LEAST_BLOCKS`` to ``MOST_BLOCKS``. Columns named shard or slot are replaced,
+    all others stay, whatever their names.
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot", "_block", "_start", "_rank").withColumn(old, F.coalesce(F.col(old).cast("int"), F.lit(0)))
+    rows = rows.drop("shard", "slot")
+    keys = [f"k{i}" for i in range(len(key))]
+    inner, names = numbered(rows, {"old": F.coalesce(column(old).cast("int"), F.lit(0)), "size": column(size), **{k: column(c) for k, c in zip(keys, key)}})
     if blocks is None:
-        fullest = rows.groupBy(old).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        fullest = inner.groupBy("old").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
         blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-fullest // BLOCK_ROWS)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
-    sizes = [(r[0], r[1], r[2]) for r in rows.groupBy(old, "_block").agg(F.sum(size).cast("long")).collect()]
+    inner = inner.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    sizes = [(r[0], r[1], r[2]) for r in inner.groupBy("old", "block").agg(F.sum("size").cast("long")).collect()]
     supply = [0] * (1 + max((i for i, _, _ in sizes), default=-1))
     for i, _, s in sizes:
         supply[i] += s
     if isinstance(capacities, int):
         capacities = equal_capacities(sum(supply), capacities)
     plan = _cuts(min_cost_flow(supply, capacities), sizes)
-    cuts = spark.createDataFrame(plan, f"{old} int, _block int, _base long, _ends array<struct<upto:bigint,shard:int>>")
+    cuts = spark.createDataFrame(plan, "old int, block int, base long, ends array<struct<upto:bigint,shard:int>>")
     # at most old shards x blocks rows, by construction
-    placed = rows.join(F.broadcast(cuts), [old, "_block"])
-    group = Window.partitionBy(old, "_block").orderBy(*key, size)
-    start = F.col("_base") + F.coalesce(F.sum(size).over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = start + F.floor(F.col(size) / 2)
-    hit = F.filter("_ends", lambda e: e["upto"] > F.col("_middle"))
-    placed = placed.withColumn("_middle", middle).withColumn("shard", F.coalesce(F.try_element_at(hit, F.lit(1)), F.element_at("_ends", -1))["shard"])
-    placed = placed.drop("_base", "_ends")
-    placed = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(old, "_block", "shard").orderBy("_middle", *key)) - 1)
-    placed = materialize(placed.drop("_middle"), "reshard")
-    counts = sorted((r["shard"], r[old], r["_block"], r["n"]) for r in placed.groupBy("shard", old, "_block").agg(F.count("*").alias("n")).collect())
-    bases, at, shard = [], 0, None
+    placed = inner.join(F.broadcast(cuts), ["old", "block"])
+    group = Window.partitionBy("old", "block").orderBy(*keys, "size")
+    start = F.col("base") + F.coalesce(F.sum("size").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = F.filter("ends", lambda e: e["upto"] > F.col("middle"))
+    placed = placed.withColumn("middle", start + F.floor(F.col("size") / 2)).withColumn("shard", F.coalesce(F.try_element_at(hit, F.lit(1)), F.element_at("ends", -1))["shard"])
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("old", "block", "shard").orderBy("middle", *keys)) - 1)
+    at = rows.columns.index(old)
+    kept = [n for i, n in enumerate(names) if i != at]
+    placed = materialize(placed.select(*kept, "old", "block", "shard", "place"), "reshard")
+    counts = sorted((r["shard"], r["old"], r["block"], r["n"]) for r in placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect())
+    bases, first, shard = [], 0, None
     for j, i, b, n in counts:
-        at, shard = (0, j) if j != shard else (at, shard)
-        bases.append((j, i, b, at))
-        at += n
-    base = spark.createDataFrame(bases, f"shard int, {old} int, _block int, _base long")
+        first, shard = (0, j) if j != shard else (first, shard)
+        bases.append((j, i, b, first))
+        first += n
+    base = spark.createDataFrame(bases, "shard int, old int, block int, base long")
     # one row a block and piece of a block: bounded as above, and by twice the number of flows
-    return placed.join(F.broadcast(base), ["shard", old, "_block"]).withColumn("slot", (F.col("_base") + F.col("_rank")).cast("long")).drop("_base", "_rank", "_block")
+    out = placed.join(F.broadcast(base), ["shard", "old", "block"])
+    return out.select(*[F.col("old" if i == at else n).alias(c) for i, (n, c) in enumerate(zip(names, rows.columns))], "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def finish_rewrite(spark: SparkSession, path: str) -> list[int]:
+    """Put staged shards in place and delete those that have emptied; the shards written anew, none where nothing is staged whole.
+
+    Every step may be repeated, so a rewrite whose driver has died is finished by calling this again.
+    """
+    staging = f"{path.rstrip('/')}.resharding"
+    if not _exists(spark, f"{staging}/rows/_SUCCESS"):
+        if _exists(spark, staging):  # nothing of ``path`` has been touched yet
+            _delete(spark, staging)
+        return []
+    affected = sorted(r[0] for r in spark.read.parquet(f"{staging}/shards").collect())
+    staged = spark.read.parquet(f"{staging}/rows")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r[0] for r in staged.select("shard").distinct().collect()}
+    for j in set(affected) - filled:  # all its rows have left
+        _delete(spark, f"{path}/shard={j}")
+    _delete(spark, staging)
+    return affected
 
 
 def rewrite_affected(spark: SparkSession, path: str, capacities: list[int] | int, key: tuple[str, ...] = ("doc_id",)) -> list[int]:
     """Reshard the table stored as ``path``/shard=N and rewrite only shards that gain or lose rows.
 
-    Returns the shards written anew. The new files are complete in the shared folder before any old file is
-    replaced, so a lost executor leaves either the old or the staged rows to go on from.
+    Returns the shards written anew. The new rows are staged whole in ``path``.resharding before any old file is replaced.
+    Until they are in place a reader may see a row in its old and its new shard; if the driver dies there,
+    the next call, or ``finish_rewrite``, finds the staging and finishes from it. Lost executors only repeat tasks.
     """
+    finish_rewrite(spark, path)
     stored = spark.read.parquet(path).withColumnRenamed("shard", "old_shard")
     keep = [c for c in stored.columns if c != "old_shard"]
     new = reshard(stored.withColumn("_size", document_size(F.col("text"))), capacities, size="_size", key=key)
@@ -163,10 +199,7 @@ def rewrite_affected(spark: SparkSession, path: str, capacities: list[int] | int
     affected = sorted({x for pair in moved for x in pair})
     if not affected:
         return []
-    staged = materialize(new.where(F.col("shard").isin(affected)).select(*keep, "shard"), "reshard-files")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    filled = {r[0] for r in staged.select("shard").distinct().collect()}
-    for j in set(affected) - filled:  # all its rows have left
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return affected
+    staging = f"{path.rstrip('/')}.resharding"
+    spark.createDataFrame([(j,) for j in affected], "shard int").write.mode("overwrite").parquet(f"{staging}/shards")
+    new.where(F.col("shard").isin(affected)).select(*keep, "shard").write.partitionBy("shard").parquet(f"{staging}/rows")
+    return finish_rewrite(spark, path)

@@ -155,6 +155,27 @@ def test_only_affected_files_are_written_anew(spark, tmp_path):
     assert spark.read.parquet(path).select("doc_id").distinct().count() == 60
 
 
+def test_shards_of_columns_of_any_name(spark):
+    names = ["_base", "_ends", "_middle", "_rank", "_block", "block", "old", "k0", "ends", "a.b"]
+    frame = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("size"), (F.col("id") % 2).cast("int").alias("old_shard"), *[F.lit(n).alias(n) for n in names])
+    got = sharding.reshard(frame, 3)
+    assert got.columns == [*frame.columns, "shard", "slot"]
+    assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_a_rewrite_that_was_cut_off_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    frame = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("x" * 84).alias("text"), F.when(F.col("id") < 40, 0).otherwise(1).alias("shard"))
+    frame.write.partitionBy("shard").parquet(path)
+    with monkeypatch.context() as m:
+        m.setattr(sharding, "_delete", lambda *_: (_ for _ in ()).throw(RuntimeError("the driver dies")))
+        with pytest.raises(RuntimeError):
+            sharding.rewrite_affected(spark, path, [6000, 0])  # shard 1 empties; its rows stand in both until the end
+    assert sharding.finish_rewrite(spark, path) == [0, 1] and sharding.finish_rewrite(spark, path) == []
+    assert [(r["shard"], r["count"]) for r in spark.read.parquet(path).groupBy("shard").count().collect()] == [(0, 60)]
+    assert sharding.rewrite_affected(spark, path, [6000]) == []
+
+
 # 4: mixing
 
 
@@ -194,6 +215,15 @@ def test_mix_of_odd_rows_and_of_none(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_without_an_id_of_their_own_are_drawn_apart(spark, doc_id):
+    rows = [(doc_id, f"w{i} " * 10, "s0" if i % 2 else "s1") for i in range(2000)]
+    planned = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_source", F.lit("own")))
+    got = planned.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert all(r.taken == pytest.approx(r.target, rel=0.15) for r in got) and len(got) == 2
+    assert planned.where("_source = 'own'").count() == 2000
+
+
 # 5: near duplicates
 
 
@@ -380,6 +410,25 @@ def test_repeats_inside_one_text_and_at_random(spark):
     assert got == {i: (n, n - len(k), sha(" ".join(k))) for i, (n, k) in want.items()}
 
 
+def test_texts_without_an_id_stay_apart_even_if_short_hashes_meet(spark):
+    """Two texts of one 32-bit hash, one with a passage of document 1, the other with words found nowhere else."""
+    passage, own = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(30))
+    end = spark.range(150_000).select(F.concat(F.lit(" end"), F.col("id").cast("string")).alias("e"))
+    a, b = (end.select(F.concat(F.lit(x), "e").alias("text")).withColumn("h", F.hash("text")) for x in (passage, own))
+    pair = a.join(b.withColumnRenamed("text", "other"), "h").orderBy("text").first()
+    for doc_id in (None, 9):
+        docs = spark.createDataFrame([(1, passage), (doc_id, pair.text), (doc_id, pair.other)], "doc_id long, text string")
+        got = {r.text: r.n_removed for r in substring.remove_repeats(docs).collect()}
+        assert got == {passage: 0, pair.text.split(" ")[-1]: 30, pair.other: 0}
+
+
+def test_repeats_in_a_text_of_many_megabytes(spark):
+    long = " ".join(f"w{i}" for i in range(2_000_000))
+    docs = spark.createDataFrame([(1, "w5 " + SENTENCE), (2, long + " " + SENTENCE), (2, long), (None, None)], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed) for r in substring.remove_repeats(docs).select("n_words", "n_removed").collect())
+    assert got[:2] == [(0, 0), (91, 0)] and sorted(x for _, x in got[2:]) in ([0, 2_000_090], [90, 2_000_000])
+
+
 def test_repeats_of_odd_rows_and_of_none(odd):
     got = substring.remove_repeats(odd).collect()
     assert len(got) == odd.count()
@@ -594,7 +643,7 @@ def test_attention_lowers_the_loss_on_held_out_texts(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_queries_give_the_rows_of_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages"):
         con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     want = con.execute(registry.ORACLE[name])
     columns = [d[0] for d in want.description]
