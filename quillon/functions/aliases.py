@@ -1,7 +1,7 @@
-"""Resolving labels to standard names by a registry: exact aliases, patterns, and token overlap.
+"""Keys of labels, and expressions for a handful of known names.
 
-A registry is a tuple of (standard name, priority, aliases, patterns, semantic words). It is small and fixed for a job, so
-it unfolds inside each row's expression and labels never meet it in a join.
+A registry is a tuple of (standard name, priority, aliases, patterns, semantic words); ``operators.labels`` matches
+labels with one of any size.
 """
 
 from __future__ import annotations
@@ -38,36 +38,6 @@ def exact(label: Column, registry) -> Column:
     return F.coalesce(*out)
 
 
-def _array(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-
-
-def resolved(label: Column, registry) -> Column:
-    """struct<name, score, method> of a label: exact, else the best of patterns (90), semantic words and shared tokens; null without one.
-
-    The best score wins, then the priority, then the order of the registry.
-    """
-    key, own = tx.alias_key(label), tx.tokens(label)
-    ways = []
-    for k, (name, priority, aliases, patterns, words) in enumerate(registry):
-        overlap = tx.jaccard(own, _array([plain_key(w) for w in words]))
-        holds = F.lit(False)
-        for w in words:
-            holds = holds | F.contains(key, F.lit(plain_key(w)))
-        semantic = F.when((overlap >= 0.45) & (holds | (overlap >= 0.6)), F.floor(80.5 + overlap * 10)) if words else F.lit(None).cast("long")
-        near = F.greatest(*[tx.jaccard(own, _array(plain_tokens(a))) for a in (name, *aliases)], F.lit(0.0))
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | label.rlike(p) | key.rlike(p)
-        score = F.when(hit, 90).otherwise(F.coalesce(semantic, tx.fuzzy_score(near).cast("long")))
-        ways.append(F.when(score.isNotNull(), F.struct((-score).cast("int").alias("s"), F.lit(-priority).alias("p"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.when(hit, "pattern").otherwise("semantic").alias("method"))))
-    best = F.array_min(F.array_compact(F.array(*ways)))
-    found = exact(label, registry)
-    by_name = F.when(found["score"] == 99, "exact_canonical").otherwise("exact_alias")
-    return F.when(found.isNotNull(), F.struct(found["name"].alias("name"), found["score"].alias("score"), by_name.alias("method"))).when(
-        best.isNotNull(), F.struct(best["name"].alias("name"), (-best["s"]).alias("score"), best["method"].alias("method")))
-
-
 def closest(label: Column, names: list[str], similarity: float = 0.84) -> Column:
     """The known name nearest to a label by edit distance, from a similarity on; null without one. The first wins ties."""
     key = F.lower(label)

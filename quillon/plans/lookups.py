@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import aliases as al
 from quillon.functions import rules
 from quillon.operators import joins, ranking
+from quillon.operators.labels import registry_tables, resolved_labels
 from quillon.plans.registry import query
 from quillon.plans.texts import KEY_SQL, LABELS, LINES, STOP_SQL, labels
 from quillon.sources import notices as n
@@ -23,26 +24,43 @@ REGISTRY = (
     ("Experience of Works", 75, ("Works Experience",), (), ()),
     ("Last Submission", 70, ("Submission Last Day",), (), ()),
 )
+#: Forty more entries by rule: each subject with each of its sides, the names of a side standing for one another.
+SUBJECTS = ("Bank Guarantee", "Bid Validity", "Contract Award", "Delivery", "Inspection", "Insurance", "Payment", "Warranty")
+SIDES = (("Amount", "Sum Payable"), ("Period", "Duration"), ("Terms", "Conditions"), ("Officer", "Contact Person"), ("Place", "Location"))
+WHOLE_REGISTRY = REGISTRY + tuple(
+    (f"{subject} {side}", 60 - k, (f"{side} of {subject}", f"{subject} {other}"), (rf"(?i)\b{subject.split()[-1].lower()}\s+{side.lower()}s\b",) if k == 1 else (), (*subject.lower().split(), side.lower(), other.split()[0].lower()) if k < 3 else ())
+    for subject in SUBJECTS for k, (side, other) in enumerate(SIDES)
+)
+#: Labels as documents have them, many wordings of the same things, one a line of an order.
+_NTH = lambda index, values: f"CASE {index} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+_SUBJECT, _SIDE = _NTH("l_partkey % 8", SUBJECTS), _NTH("l_suppkey % 10", [name for pair in SIDES for name in pair])
+_WORDING = """CASE l_linenumber % 7 WHEN 0 THEN subject || ' ' || side WHEN 1 THEN side || ' of ' || subject WHEN 2 THEN 'The ' || subject || ' (' || side || ')' WHEN 3 THEN subject || ' ' || side || 's'
+    WHEN 4 THEN 'Required ' || subject || ': final ' || side WHEN 5 THEN upper(subject || '-' || side) ELSE side || ' ' || CAST(l_suppkey % 9 AS STRING) || ' ' || subject || ' annex' END"""
+
+
+def wordings(spark, d):
+    return table(spark, d, "lineitem").selectExpr("l_linenumber", "l_suppkey", f"{_SUBJECT} AS subject", f"{_SIDE} AS side").selectExpr(f"{_WORDING} AS label")
 
 
-def _registry_sql() -> str:
+def _registry_sql(registry=None, more: str = "") -> str:
+    registry = registry or REGISTRY
     seen, exact = set(), []
-    for k, (name, *_) in enumerate(REGISTRY):
+    for k, (name, *_) in enumerate(registry):
         seen.add(al.plain_key(name))
         exact.append(f"({k}, '{al.plain_key(name)}', 99)")
-    for k, (_, _, names, *_) in enumerate(REGISTRY):
+    for k, (_, _, names, *_) in enumerate(registry):
         for a in names:
             if al.plain_key(a) not in seen:
                 seen.add(al.plain_key(a))
                 exact.append(f"({k}, '{al.plain_key(a)}', 95)")
-    entries = ", ".join(f"({k}, '{e[0]}', {e[1]})" for k, e in enumerate(REGISTRY))
+    entries = ", ".join(f"({k}, '{e[0]}', {e[1]})" for k, e in enumerate(registry))
     listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
-    near = ", ".join(f"({k}, {listed(al.plain_tokens(a))})" for k, e in enumerate(REGISTRY) for a in (e[0], *e[2]))
-    words = ", ".join(f"({k}, {listed([al.plain_key(w) for w in e[4]])})" for k, e in enumerate(REGISTRY) if e[4])
-    patterns = ", ".join(f"({k}, '{p}')" for k, e in enumerate(REGISTRY) for p in e[3])
+    near = ", ".join(f"({k}, {listed(al.plain_tokens(a))})" for k, e in enumerate(registry) for a in (e[0], *e[2]))
+    words = ", ".join(f"({k}, {listed([al.plain_key(w) for w in e[4]])})" for k, e in enumerate(registry) if e[4])
+    patterns = ", ".join(f"({k}, '{p}')" for k, e in enumerate(registry) for p in e[3])
     overlap = "CASE WHEN len(t) = 0 OR len(w) = 0 THEN 0 ELSE len(list_intersect(t, w)) / (len(t) + len(w) - len(list_intersect(t, w)))::DOUBLE END"
     return (
-        with_("notices") + LABELS + f""", l AS (SELECT DISTINCT label, {KEY_SQL.format('label')} AS key, list_distinct(list_filter(string_split({KEY_SQL.format('label')}, ' '), lambda w: length(w) >= 2 AND w NOT IN ({STOP_SQL}))) AS t FROM labels),
+        with_("notices") + LABELS + f""", l AS (SELECT DISTINCT label, {KEY_SQL.format('label')} AS key, list_distinct(list_filter(string_split({KEY_SQL.format('label')}, ' '), lambda w: length(w) >= 2 AND w NOT IN ({STOP_SQL}))) AS t FROM (SELECT label FROM labels{more})),
         e AS (SELECT * FROM (VALUES {entries}) AS e(k, name, priority)), x AS (SELECT label, k, s, CASE s WHEN 99 THEN 'exact_canonical' ELSE 'exact_alias' END AS method FROM l JOIN (VALUES {', '.join(exact)}) AS x(k, key, s) USING (key)),
         p AS (SELECT label, k, 90 AS s, 'pattern' AS method FROM l, (VALUES {patterns}) AS p(k, p) WHERE regexp_matches(label, p) OR regexp_matches(key, p)),
         o AS (SELECT label, k, {overlap} AS o, len(list_filter(w, lambda y: contains(key, y))) > 0 AS h FROM l, (VALUES {words}) AS w(k, w)), s AS (SELECT label, k, floor(80.5 + o * 10)::INT AS s, 'semantic' AS method FROM o WHERE o >= 0.45 AND (h OR o >= 0.6)),
@@ -57,10 +75,11 @@ def j08(spark, d):
     return labels(spark, d).select("label").distinct().select("label", found.alias("f")).where("f is not null").select("label", c("f.name").alias("standard"), "f.score")
 
 
-@query("j09_alias_match", _registry_sql() + " SELECT label, name AS standard, s AS score, method FROM u JOIN e USING (k) QUALIFY row_number() OVER (PARTITION BY label ORDER BY way > 0, s DESC, priority DESC, k) = 1")
+@query("j09_alias_match", _registry_sql(WHOLE_REGISTRY, f" UNION ALL SELECT {_WORDING} FROM (SELECT *, {_SUBJECT} AS subject, {_SIDE} AS side FROM lineitem)") + " SELECT label, name AS standard, s AS score, method FROM u JOIN e USING (k) QUALIFY row_number() OVER (PARTITION BY label ORDER BY way > 0, s DESC, priority DESC, k) = 1")
 def j09(spark, d):
-    rows = labels(spark, d).select("label").distinct().select("label", al.resolved(c("label"), REGISTRY).alias("f")).where("f is not null")
-    return rows.select("label", c("f.name").alias("standard"), "f.score", "f.method")
+    """Labels of notices and of lines matched with a registry of 46 entries."""
+    every = labels(spark, d).select("label").union(wordings(spark, d))
+    return resolved_labels(every, registry_tables(spark, WHOLE_REGISTRY))
 
 
 NAMES = ("completion periods", "turn over", "contacts", "phone no", "experiences", "certificate")
