@@ -2,12 +2,12 @@
 
 1. Texts are cut into slices of one language, at the ends of pieces, so no phrase is divided. A slice is written as
    one row: its different words, and its words as places in that list, zero between pieces.
-2. Words are counted over all slices; the frequent ones form the dictionary (language, word, id). It is joined
-   to the slices' lists of words: it may grow with the corpus, and no task ever holds it whole. All other words become zeros.
+2. Words are dealt out, sorted and counted by runs. Each frequent one gets an id, and every slice is told the ids of its own: that is
+   the dictionary, which may grow with the corpus, as no task ever holds it whole. All other words become zeros.
 3. A phrase of k words is the pair of the two phrases of k - 1 words that it begins and ends with. So each pass packs pairs of
    neighbouring ids into binary keys of fixed width, counts them within a slice, deals them into ranges of keys, sorts them there
-   and counts runs. Frequent pairs get ids, and every slice is told the ids of its own: with them it is encoded anew,
-   zero wherever a pair is rare, and the next pass counts phrases one word longer among what is left.
+   and counts runs. Frequent pairs get ids in turn, slices are encoded anew, zero wherever a pair is rare, and the next pass counts
+   phrases one word longer among what is left.
 4. The table of a phrase is joined from the tables of its two halves, whose words and counts it carries on; cuts, scores and
    containment need nothing else.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +29,11 @@ from quillon.llm.common import discard, materialize
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 NO_LANG = "und"
 #: Bytes of text of one slice, about, and of all languages' texts that a task holds before it cuts them.
-SLICE_BYTES, HELD_BYTES = 4 << 20, 12 << 20
-#: The dictionary's ids are dealt within so many groups of words, each numbered by itself.
-GROUPS = 256
+SLICE_BYTES, HELD_BYTES = 8 << 20, 24 << 20
 #: Parts in which a language's best phrases are chosen before they meet.
 PARTS = 64
-#: Ids that the slices of a task wait with before they are told, about.
-TOLD = 1 << 19
+#: Ids that a task gathers before it tells them to slices, about; keys that each slice gives to the sample from which ranges are drawn.
+TOLD, SAMPLED = 1 << 19, 64
 SLICES = "slice long, lang string, tokens array<int>, words array<string>, counts array<int>"
 
 WORD_BYTE, GAP, BREAK = 0, 1, 2
@@ -45,7 +44,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _parts(raw: np.ndarray) -> Iterator[np.ndarray]:
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
     """Some bytes in parts of about a slice, cut behind a byte that ends a piece."""
     while len(raw) > SLICE_BYTES:
         ends = np.flatnonzero(KINDS[raw[:SLICE_BYTES]] == BREAK)
@@ -94,7 +93,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flushed() -> Iterator[pa.RecordBatch]:
         nonlocal made
         for lang, texts in sorted(held.items()):
-            for part in _parts(np.frombuffer(b"\n".join(texts), dtype=np.uint8)):
+            for part in _pieces(np.frombuffer(b"\n".join(texts), dtype=np.uint8)):
                 if (found := encode_words(part)) is not None:
                     tokens, words, counts = found
                     yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([lang]), _lists(tokens, pa.int32()), _lists(words, pa.string()), _lists(counts, pa.int32())], names=["slice", "lang", "tokens", "words", "counts"])
@@ -126,22 +125,26 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[:-1] if len(ids) and not ids[-1] else ids
 
 
+def _joined(column: pa.Array, row: int, kind: str) -> np.ndarray:
+    """The numbers of a row's list of binary values, one behind the other."""
+    return np.frombuffer(b"".join(column[row].as_py()), dtype=kind)
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices as runs of dictionary ids, with a zero wherever other words or the ends of pieces stood."""
     for batch in batches:
-        known = batch.column("known")
-        (tokens, at), (place, known_at) = _items(batch.column("tokens")), _items(pa.ListArray.from_arrays(known.offsets, known.values.field("place")))
-        ids = pa.ListArray.from_arrays(known.offsets, known.values.field("id")).flatten().to_numpy()
+        tokens, at = _items(batch.column("tokens"))
         for row in range(batch.num_rows):
             own = tokens[at[row] : at[row + 1]]
             table = np.zeros(int(own.max(initial=0)) + 1, dtype=np.int64)
-            span = slice(known_at[row], known_at[row + 1])
-            table[place[span] + 1] = ids[span]
+            table[_joined(batch.column("of"), row, "<i4") + 1] = _joined(batch.column("told"), row, "<i8")
             yield pa.RecordBatch.from_arrays([batch.column("slice").slice(row, 1), _lists(_squeezed(table[own]), pa.int64())], names=["slice", "ids"])
 
 
 def packed(first: np.ndarray, second: np.ndarray, width: int) -> np.ndarray:
     """Pairs of ids as binary keys of two times ``width`` bytes, big-endian, so they sort as the pairs do."""
+    if width == 4 and max(first.max(initial=0), second.max(initial=0)) >> 32:
+        raise ValueError("ids do not fit into four bytes")
     return np.ascontiguousarray(np.stack([first, second], axis=1).astype(f">u{width}")).view(f"V{2 * width}").ravel()
 
 
@@ -164,13 +167,32 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return local[pair >> 32], local[pair & 0xFFFFFFFF], n
 
 
-def _pair_batches(width: int):
+def _place(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a pair stands in the order of keys, as a float: rounded, but alike for equal pairs and never out of order."""
+    return first.astype(np.float64) * 2.0**32 + second
+
+
+def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some pairs of each slice, evenly spaced, from which only the ends of ranges follow."""
+    for batch in batches:
+        ids, at = _items(batch.column("ids"))
+        for row in range(batch.num_rows):
+            own = ids[at[row] : at[row + 1]]
+            both = np.flatnonzero((own[:-1] != 0) & (own[1:] != 0))
+            both = both[:: max(1, len(both) // SAMPLED)]
+            yield pa.RecordBatch.from_arrays([pa.array(_place(own[both], own[both + 1]))], names=["place"])
+
+
+def _pair_batches(width: int, ends: list[float]):
+    """The different pairs of each slice, how often each occurs there, and the range of keys it falls into."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = _items(batch.column("ids"))
             for row in range(batch.num_rows):
                 first, second, n = neighbours(ids[at[row] : at[row + 1]])
-                yield pa.RecordBatch.from_arrays([_binary(packed(first, second, width)), pa.array(n), pa.array(np.full(len(n), batch.column("slice")[row].as_py()))], names=["key", "n", "slice"])
+                part = np.searchsorted(np.asarray(ends), _place(first, second), side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), _binary(packed(first, second, width)), pa.array(n), pa.array(np.full(len(n), batch.column("slice")[row].as_py()))], names=["part", "key", "n", "slice"])
 
     return made
 
@@ -183,8 +205,8 @@ def _longer_batches(width: int):
             ids, at = _items(batch.column("ids"))
             for row in range(batch.num_rows):
                 own = ids[at[row] : at[row + 1]]
-                key = np.frombuffer(b"".join(batch.column("keys")[row].as_py()), dtype=f">u{width}").astype(np.int64).reshape(-1, 2)
-                new = np.frombuffer(b"".join(batch.column("told")[row].as_py()), dtype="<i8")
+                key = _joined(batch.column("of"), row, f">u{width}").astype(np.int64).reshape(-1, 2)
+                new = _joined(batch.column("told"), row, "<i8")
                 local, place = np.unique(own, return_inverse=True)
                 known = np.searchsorted(local, key[:, 0]) << 32 | np.searchsorted(local, key[:, 1])
                 order = np.argsort(known)
@@ -197,101 +219,111 @@ def _longer_batches(width: int):
     return made
 
 
-RUNS = "id long, key binary, f long, slice long, keys binary, told binary"
+RUNS = "id long, key binary, f long, slice long, of binary, told binary"
 
 
-def _run_lengths(least: int, width: int, tell: bool, part=None):
-    """Sums over the runs of equal keys in sorted rows, each key of ``least`` or more with an id: (id, key, f), and for slices (slice, keys, told).
+def _run_lengths(least: int, parts: int, tell: bool, width: int = 0, part=None):
+    """Sums over the runs of equal keys in sorted rows, each key of ``least`` or more with an id: (id, key, f), and for slices (slice, of, told).
 
-    ``keys`` are a slice's frequent keys, one behind the other, ``told`` their ids. Rows wait only until their key has reached
-    ``least``, after fewer than ``least`` rows; what is to be told waits for ``TOLD`` more. ``part`` numbers the task.
+    ``of`` says what a slice is told ids of, one behind the other: its keys, if they have a fixed ``width``, else their ``place``
+    in its list of words; ``told`` are the ids. Rows wait only until their key has reached ``least``, after fewer than ``least`` rows; what is
+    to be told is told when ``TOLD`` ids are together. Ids count on by ``parts``, from the number of the task, so no two are the same.
     """
+    names = RUNS.replace(" long", "").replace(" binary", "").split(", ")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = (TaskContext.get().partitionId() if part is None else part) << 32 | 1
-        last, total, waiting = b"", 0, []
+        own = TaskContext.get().partitionId() if part is None else part
+        if own >= parts:
+            raise ValueError(f"task {own} of {parts}")
+        number = own + 1
+        last, total, waiting = None, 0, []
         told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-
-        def tellings() -> Iterator[pa.RecordBatch]:
-            of, keys, ids = (np.concatenate(x) for x in zip(*told))
-            order = np.argsort(of, kind="stable")
-            of, keys, ids = of[order], keys[order], ids[order]
-            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            ends = np.append(head[1:], len(of))
-            none = pa.nulls(len(head), pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                none, pa.nulls(len(head), pa.binary()), none, pa.array(of[head]),
-                pa.array([keys[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()),
-            ], names=RUNS.replace(" long", "").replace(" binary", "").split(", "))
-
-        def counted(ids: list, keys: list, f: list) -> pa.RecordBatch:
+        counted: list[tuple[int, bytes, int]] = []
+
+        def ended() -> None:
+            """The run at hand has ended."""
+            nonlocal number, total, waiting
+            if total >= least:
+                counted.append((number, last, total))
+                number += parts
+            total, waiting = 0, []
+
+        def rows() -> pa.RecordBatch:
+            ids, keys, f = zip(*counted)
             n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(f, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=RUNS.replace(" long", "").replace(" binary", "").split(", "))
+            counted.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(f, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+
+        def tellings() -> pa.RecordBatch:
+            slices, of, ids = (np.concatenate(x) for x in zip(*told))
+            order = np.argsort(slices, kind="stable")
+            slices, of, ids = slices[order], of[order], ids[order]
+            head = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]]))
+            ends = np.append(head[1:], len(slices))
+            none = pa.nulls(len(head), pa.int64())
+            said = [pa.array([x[a:b].tobytes() for a, b in zip(head, ends)], pa.binary()) for x in (of, ids)]
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(head), pa.binary()), none, pa.array(slices[head]), *said], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = _keys(batch.column("key"), 2 * width)
-            n, of = batch.column("n").to_numpy(), batch.column("slice").to_numpy()
-            raw = keys.view(np.uint8).reshape(-1, 2 * width)
-            head = np.flatnonzero(np.concatenate([[True], (raw[1:] != raw[:-1]).any(axis=1)]))
-            ends = np.append(head[1:], len(keys))
+            key = batch.column("key")
+            n, slices = batch.column("n").to_numpy(), batch.column("slice").to_numpy()
+            of = _keys(key, 2 * width) if width else batch.column("place").to_numpy().astype("<i4")
+            head = np.flatnonzero(np.concatenate([[True], pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)]))
+            ends = np.append(head[1:], len(key))
             sums = np.add.reduceat(n, head)
-            ids, said, f = [], [], []
-            if keys[0].tobytes() != last:  # the run before has ended
-                if total >= least:
-                    ids, said, f = [number], [last], [total]
-                    number += 1
-                last, total, waiting = keys[0].tobytes(), 0, []
+            if last is not None and key[0].as_py() != last:
+                ended()
             # runs that are rare and whole within this batch need no look; the first and the last may go on
-            whole = np.concatenate([[0], np.flatnonzero(sums[1:-1] >= least) + 1, [len(head) - 1] if len(head) > 1 else []]).astype(int)
-            for run in whole.tolist():
-                a, b = head[run], ends[run]
-                if run:
-                    if total >= least:
-                        ids.append(number), said.append(last), f.append(total)
-                        number += 1
-                    last, total, waiting = keys[a].tobytes(), 0, []
+            looked = np.concatenate([[0], np.flatnonzero(sums[1:-1] >= least) + 1, [len(head) - 1] if len(head) > 1 else []]).astype(int)
+            for run in looked.tolist():
+                a, b = int(head[run]), int(ends[run])
+                last = key[a].as_py()
                 total += int(sums[run])
                 if tell:
-                    waiting.append(of[a:b])
-                    if total >= least:
-                        rows = np.concatenate(waiting)
-                        told.append((rows, np.repeat(keys[a : a + 1], len(rows)), np.full(len(rows), number, dtype="<i8")))
-                        size, waiting = size + len(rows), []
-                if run == 0 and len(head) > 1:  # it ends here
+                    waiting.append((slices[a:b], of[a:b]))
                     if total >= least:
-                        ids.append(number), said.append(last), f.append(total)
-                        number += 1
-                    total, waiting = 0, []
-                elif 0 < run < len(head) - 1:
-                    ids.append(number), said.append(last), f.append(total)
-                    number += 1
-                    total, waiting = 0, []
-            if ids:
-                yield counted(ids, said, f)
+                        for x, y in waiting:
+                            told.append((x, y, np.full(len(x), number, dtype="<i8")))
+                            size += len(x)
+                        waiting = []
+                if run < len(head) - 1:
+                    ended()
+            if counted:
+                yield rows()
             if size >= TOLD:
-                yield from tellings()
+                yield tellings()
                 told, size = [], 0
-        if total >= least:
-            yield counted([number], [last], [total])
+        ended()
+        if counted:
+            yield rows()
         if told:
-            yield from tellings()
+            yield tellings()
 
     return made
 
 
-def _by_runs(ids: DataFrame, least: int, width: int, name: str, tell: bool) -> DataFrame:
+def _told(runs: DataFrame) -> DataFrame:
+    """(slice, of, told): all that each slice is told."""
+    return runs.where("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("of", "told")).alias("t")).select("slice", "t.of", "t.told")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _pairs_by_runs(ids: DataFrame, least: int, width: int, name: str, tell: bool) -> DataFrame:
     """Pairs of neighbours counted: dealt into ranges of keys, sorted there and counted by runs; a table in the shared folder."""
-    # ranges are drawn from a sample, which would pack the pairs twice
-    stored = materialize(ids.mapInArrow(_pair_batches(width), "key binary, n long, slice long"), f"{name}-grams")
-    dealt = stored.repartitionByRange("key").sortWithinPartitions("key")
-    counted = materialize(dealt.mapInArrow(_run_lengths(least, width, tell), RUNS), name)
-    discard(stored)
-    return counted
+    parts = _parts(ids)
+    # a sketch of the sampled places, not the sample, reaches the driver
+    ends = ids.mapInArrow(_sample_batches, "place double").agg(F.percentile_approx("place", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0]
+    pairs = ids.mapInArrow(_pair_batches(width, sorted(set(ends or []))[: parts - 1]), "part int, key binary, n long, slice long")
+    dealt = pairs.repartitionById(parts, "part").drop("part").sortWithinPartitions("key")
+    return materialize(dealt.mapInArrow(_run_lengths(least, parts, tell, width), RUNS), name)
 
 
 def phrase_levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -303,31 +335,29 @@ def phrase_levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
     slices = materialize(texts.mapInArrow(_cut_batches, SLICES), "phrase-slices")
     totals = materialize(slices.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "phrase-totals")
-    said = slices.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), "w.counts")
-    frequent = said.groupBy("lang", "word").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    group = F.pmod(F.xxhash64("lang", "word"), F.lit(GROUPS)).cast("int")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("lang", "word")) - 1
-    # at most 2^31 words over all groups: the cast fails rather than give an id twice
-    words = frequent.withColumn("g", group).withColumn("id", (rank.cast("long") * GROUPS + F.col("g") + 1).cast("int").cast("long"))
-    words = materialize(words.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("fl"), F.array("f").alias("fr")), "phrase-words")
-    places = slices.select("slice", "lang", F.posexplode("words").alias("place", "word"))
-    known = places.join(words.select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"]).groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    ids = materialize(slices.select("slice", "tokens").join(known, "slice").mapInArrow(_encode_batches, "slice long, ids array<long>"), "phrase-ids")
-    discard(slices)
+    # a language in hex and a space stand before the word, so the key tells both
+    key = F.encode(F.concat(F.hex(F.encode("lang", "UTF-8")), F.lit(" "), F.col("w.words")), "UTF-8")
+    said = slices.select("slice", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("slice", "place", key.alias("key"), F.col("w.counts").cast("long").alias("n"))
+    parts = _parts(docs)
+    runs = materialize(said.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_run_lengths(least, parts, tell=True), RUNS), "phrase-word-runs")
+    said = F.decode("key", "UTF-8")
+    word, own = F.substring_index(said, " ", -1), F.array("f")
+    words = runs.where("id is not null").select("id", F.decode(F.unhex(F.substring_index(said, " ", 1)), "UTF-8").alias("lang"), F.array(word).alias("words"), "f", own.alias("fl"), own.alias("fr"))
+    words = materialize(words, "phrase-words")
+    ids = materialize(slices.select("slice", "tokens").join(_told(runs), "slice").mapInArrow(_encode_batches, "slice long, ids array<long>"), "phrase-ids")
+    discard(slices, runs)
     levels = [words]
     for k in range(2, longest + 1):
         width = 4 if k == 2 else 8
-        runs = _by_runs(ids, least, width, f"phrase-runs-{k}", tell=k < longest)
+        runs = _pairs_by_runs(ids, least, width, f"phrase-runs-{k}", tell=k < longest)
         half = lambda at: F.conv(F.hex(F.substring("key", at, width)), 16, 10).cast("long")
         found = runs.where("id is not null").select("id", "f", half(1).alias("left"), half(width + 1).alias("right"))
         left = levels[-1].select(F.col("id").alias("left"), "lang", "words", "fl")
         right = levels[-1].select(F.col("id").alias("right"), F.col("words").alias("more"), "fr")
         joined = found.join(left, "left").join(right, "right")
-        own = F.array("f")
         levels.append(materialize(joined.select("id", "left", "right", "lang", F.concat("words", F.slice("more", -1, 1)).alias("words"), "f", F.concat("fl", own).alias("fl"), F.concat("fr", own).alias("fr")), f"phrase-level-{k}"))
         if k < longest:
-            tellings = runs.where("slice is not null").groupBy("slice").agg(F.collect_list(F.struct("keys", "told")).alias("t")).select("slice", "t.keys", "t.told")
-            spent, ids = ids, materialize(ids.join(tellings, "slice").mapInArrow(_longer_batches(width), "slice long, ids array<long>"), f"phrase-ids-{k}")
+            spent, ids = ids, materialize(ids.join(_told(runs), "slice").mapInArrow(_longer_batches(width), "slice long, ids array<long>"), f"phrase-ids-{k}")
             discard(spent)
         discard(runs)
     discard(ids)

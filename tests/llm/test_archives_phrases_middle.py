@@ -136,7 +136,7 @@ def test_phrases_equal_plain_counts(spark, monkeypatch, slice_bytes, longest, sh
     monkeypatch.setattr(phrases, "HELD_BYTES", 3 * slice_bytes)
     # the local workers are forked from a server that knows nothing of the patch, so slices are cut here as well
     raw = np.frombuffer("\n".join(t or "" for _, t in rows).encode(), dtype=np.uint8)
-    assert b"".join(p.tobytes() for p in phrases._parts(raw)) == raw.tobytes()
+    assert b"".join(p.tobytes() for p in phrases._pieces(raw)) == raw.tobytes()
     df = spark.createDataFrame([(lang, text, 1) for lang, text in rows], "lang string, text string, n long")
     got = _mine(df, least=6, longest=longest, top=40, share=share)
     assert got == sorted(_mined(rows, 6, longest, 40, share)) and len(got) > 40
@@ -169,15 +169,15 @@ def test_run_lengths_over_batches_of_any_cut(monkeypatch, told):
         want[k] += n
     for size in (1, 2, 3, 7, 50, 200):
         batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + size]), (pa.binary(), pa.int64(), pa.int64()))], names=["key", "n", "slice"]) for i in range(0, 200, size)]
-        out = [r for b in phrases._run_lengths(30, 4, True, part=3)(iter(batches)) for r in b.to_pylist()]
+        out = [r for b in phrases._run_lengths(30, 5, True, 4, part=3)(iter(batches)) for r in b.to_pylist()]
         ids = {r["key"]: r["id"] for r in out if r["id"] is not None}
         assert {r["key"]: r["f"] for r in out if r["id"] is not None} == {k: n for k, n in want.items() if n >= 30}
-        assert len(set(ids.values())) == len(ids) and all(i >> 32 == 3 for i in ids.values())
+        assert len(set(ids.values())) == len(ids) and all(i % 5 == 4 for i in ids.values())
         heard = []
         for r in out:
             if r["slice"] is not None:
                 numbers = np.frombuffer(r["told"], dtype="<i8").tolist()
-                assert numbers == [ids[r["keys"][8 * i : 8 * i + 8]] for i in range(len(numbers))]
+                assert numbers == [ids[r["of"][8 * i : 8 * i + 8]] for i in range(len(numbers))]
                 heard += [r["slice"]] * len(numbers)
         assert sorted(heard) == [i for k, _, i in rows if want[k] >= 30]
 
