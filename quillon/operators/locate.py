@@ -34,7 +34,7 @@ def low(text: Column) -> Column:
 
 
 def places(text: Column, term: str) -> Column:
-    """The number of characters before each occurrence of a term, in order."""
+    """The number of characters before each occurrence, in order, of a term that does not overlap itself."""
     count = ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
     before = F.transform(F.sequence(F.lit(1), count), lambda i: F.char_length(F.call_function("substring_index", text, F.lit(term), i)))
     return F.when(count > 0, before).otherwise(F.array().cast("array<int>"))

@@ -1,4 +1,4 @@
-"""Streaming forms of the learning registry and of deadline alerts."""
+"""Windowed counts of a stream of sightings; ``stateful`` has what remembers more than a window."""
 
 from __future__ import annotations
 
@@ -12,8 +12,3 @@ def sightings(events: DataFrame, key: str, when: str, late: str = "1 hour", wind
     Events later than ``late`` behind the newest are dropped, which lets Spark forget windows that have closed.
     """
     return events.withWatermark(when, late).groupBy(F.window(when, window).alias("w"), key).agg(F.count("*").alias("frequency")).select(key, F.col("w.start").alias("start"), "frequency")
-
-
-def new_levels(checks: DataFrame, key: str, level: str, when: str, late: str = "7 days") -> DataFrame:
-    """Checks of a stream whose (key, level) was not sent within ``late``: no alert is sent twice for a level."""
-    return checks.where(F.col(level).isNotNull()).withWatermark(when, late).dropDuplicatesWithinWatermark([key, level])

@@ -45,6 +45,3 @@ def test_streams_give_what_batch_gives(spark, sf, tmp_path):
     got = _run(spark, alerts.sightings(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts"), "sightings", "complete")
     want = events.groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).count()
     assert {(r.event_type, r.start, r.frequency) for r in got.collect()} == {(r.event_type, r.w.start, r["count"]) for r in want.collect()}
-    level = stream.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(F.col("value") > 100, "high").alias("level"))
-    sent = _run(spark, alerts.new_levels(level, "user_id", "level", "ts", "400 days"), "levels", "append")
-    assert sorted((r.user_id, r.level) for r in sent.collect()) == sorted({(r.user_id, "high") for r in events.where("value > 100").collect()})
