@@ -63,6 +63,30 @@ STATEMENTS = [
     "'Pre-bid meeting at Pune: 2 May 2024'",
     f"'Estimated value ' || {_number(f'1 + {_K} % 40')} || '.5 Crore'",
     f"'EMD ' || {_number(f'1 + {_K} % 40')} || ' lakhs'",
+    "'GSTIN: 27ABCDE1234F1Z5'",
+    "'GST: extra as applicable'",
+    "'PAN: ABCDE 1234 F'",
+    "'PAN: as shall be given'",
+    "'EMD percentage: 2 %'",
+    "'PBG percentage: five of the value'",
+    "'Experience requirement: three similar works completed'",
+    "'Similar work: INDEX'",
+    "'Scope of work: supply of guards and maintenance of the site, including tools'",
+    "'Scope of work: services'",
+    "'Last date: Technical'",
+    "'Last date: 31/12/2024'",
+    "'Bid end date: 45/13/2024'",
+    "'Submission deadline: 3.1.2'",
+    "'Publishing date: March'",
+    "'Bid validity: 90('",
+    "'Warranty period: 2 years from delivery'",
+    "'Contract period: 36'",
+    "'Tender value: annual turnover of 5 crore'",
+    "'Project cost: Rs 5 crore'",
+    "'Bank guarantee: shall be given in the form that the annexure states'",
+    "'Security deposit: ANNEXURE'",
+    "'Tender fee: Rs 500'",
+    "'Document fee: none'",
     "''",
 ]
 #: Blocks of lines: lists and tables, and label/value lines of every shape.
