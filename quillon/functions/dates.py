@@ -111,3 +111,23 @@ def expiry_check(day: Column, as_of: Column) -> Column:
     """Past: error; within 30 days: warning; else ok, also where no date is known."""
     days = F.datediff(day, as_of)
     return F.when(days < 0, "error").when(days <= 30, "warning").otherwise("ok")
+
+
+def flexible_date(raw: Column) -> Column:
+    """A certificate's date: day month-name year, else three numbers by slash, dash or dot, else ISO; null if it is none.
+
+    Two-digit years are of this century. Three numbers are day, month and year; a second number above 12 with a first of up to 12 swaps
+    them, so every reading is a real month. Days beyond the end of a month run over into the next one, as calendars of scripts have it.
+    """
+    text = F.trim(raw)
+    named, numbers, iso = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", r"^(\d{1,4})[/\-.](\d{1,4})[/\-.](\d{1,4})$", r"^(\d{4})-(\d{2})-(\d{2})$"
+    part = lambda pattern, g: F.regexp_extract(text, pattern, g).try_cast("int")
+    month = F.lit(None).cast("int")
+    for k, name in enumerate(MONTHS):
+        month = F.when(F.lower(F.substring(F.regexp_extract(text, named, 2), 1, 3)) == name, k + 1).otherwise(month)
+    run_over = lambda y, m, d: F.date_add(F.make_date(y, m, F.lit(1)), d - 1)
+    day, second, year = part(numbers, 1), part(numbers, 2), part(numbers, 3)
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    swapped = (second > 12) & (day <= 12)
+    by_numbers = F.when(F.when(swapped, day).otherwise(second).between(1, 12) & (year >= 1), run_over(year, F.when(swapped, day).otherwise(second), F.when(swapped, second).otherwise(day)))
+    return F.when(text.rlike(iso), F.try_to_date(text, "yyyy-MM-dd")).when(text.rlike(named) & month.isNotNull(), run_over(part(named, 3), month, part(named, 1))).when(text.rlike(numbers), by_numbers)

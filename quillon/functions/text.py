@@ -167,7 +167,7 @@ def cut_at_label(value: Column) -> Column:
 
 def broken_number(value: Column) -> Column:
     """Numbers in scientific notation, or beyond a hundred trillion, are accidents of extraction."""
-    return value.rlike(r"^\d+(\.\d+)?[eE][+-]?\d+$") | (F.coalesce(F.expr("null").cast("double"), F.try_to_number(F.regexp_extract(value, r"^(\d{1,30})$", 1), F.lit("9" * 30)).cast("double")) > 1e14)
+    return value.rlike(r"^\d+(\.\d+)?[eE][+-]?\d+$") | F.coalesce(F.try_to_number(F.regexp_extract(value, r"^(\d{1,30})$", 1), F.lit("9" * 30)).cast("double") > 1e14, F.lit(False))
 
 
 def snippet(text: Column, term: str, cap: int = 260) -> Column:
@@ -177,10 +177,16 @@ def snippet(text: Column, term: str, cap: int = 260) -> Column:
     return F.when(F.contains(text, F.lit(term)), F.substring(F.trim(F.concat(before, F.lit(term), after)), 1, cap))
 
 
+def code_units(c: Column) -> Column:
+    """The UTF-16 code units of a text, as integers: characters beyond the basic plane have two."""
+    hexed = F.hex(F.encode(c, "UTF-16BE"))
+    return F.transform(F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1), lambda i: F.conv(F.substr(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+
+
 def rolling_hash36(c: Column) -> Column:
-    """A 32-bit rolling hash (h * 31 + code unit) in base 36, six digits."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(4294967296)))
+    """A 32-bit rolling hash (h * 31 + UTF-16 code unit) in base 36, six digits."""
+    h = F.aggregate(code_units(c), F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(4294967296)))
+    h = F.when(c == "", F.lit(0).cast("long")).otherwise(h)
     signed = F.when(h >= 2147483648, 4294967296 - h).otherwise(h)
     return F.substring(F.lower(F.conv(signed.cast("string"), 10, 36)), 1, 6)
 
@@ -223,13 +229,50 @@ def parameter_group(name: Column, value: Column) -> Column:
     return out
 
 
-def irrelevance(name: Column, value: Column) -> Column:
+#: Patterns of labels and values that are no business parameters.
+HEADING_ONLY = (
+    r"(?i)^(?:introduction|overview|background|preface|summary|general|particulars|details|description|scope|terms\s+and\s+conditions|conditions\s+of\s+contract|special\s+conditions|general\s+conditions"
+    r"|instructions\s+to\s+bidders?|bid\s+data\s+sheet|qualification\s+criteria|evaluation\s+criteria|submission\s+of\s+bids?|opening\s+of\s+bids?|award\s+of\s+contract|contract\s+form|schedule\s+of\s+rates?"
+    r"|bill\s+of\s+quantities?|boq|specifications?|drawings?|documents?\s+to\s+be\s+submitted|formats?|forms?|certificates?|declarations?)$"
+)
+CLAUSE_LABEL = r"(?i)^(?:clause|section|article|para(?:graph)?|sub\s*clause|item|point)\s*(?:no\.?|number)?\s*[\divxlc]+[\.\):]?"
+CLAUSE_ONLY = r"^\d+(?:\.\d+)*[\.\):]?\s*$"
+ANNEX_REFERENCE = r"(?i)\b(?:annexure|appendix|enclosure|schedule|form\s+no\.?|format\s+no\.?)\s+[a-z0-9ivxlc]+(?:\s*[,;&]\s*(?:annexure|appendix|enclosure)\s+[a-z0-9ivxlc]+)*\b"
+ANNEX_LABEL = r"(?i)^(?:annexure|appendix|enclosure|schedule|form|format)\s+[a-z0-9ivxlc]+\.?$"
+CONTENTS_ENTRY = r"(?:^|\s)(?:table\s+of\s+contents|contents|index)(?:\s|$)|\.{3,}\s*\d+\s*$|^\d+(?:\.\d+)*\.?\s+\S.{2,90}\s+\d{1,3}\s*$"
+CONTACT = r"(?i)\b(?:contact\s+(?:person|details|information|no\.?)|telephone|mobile|phone\s+no\.?|fax|e-?mail|email\s+id|website|web\s+site|www\.|@|pin\s*code|pincode)\b"
+CONTACT_LABEL = r"(?i)^(?:contact|address|telephone|phone|mobile|email|e-mail|fax|website|pin\s*code|pincode)(?:\s+(?:person|details|information|no\.?|number|id))?\.?$"
+CONTACT_HEAD = r"(?i)^contact\s+(?:us|information|details)$"
+MAIL_LABEL = r"(?i)^(?:email|e-mail|email\s+address|mail\s+id|phone|mobile|telephone|contact\s+no\.?|tel\.?|fax\s+no\.?)$"
+MAIL, PHONE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$", r"^[\d\s+\-().]{7,18}$"
+PAGE_LABEL, HEADER_LABEL = r"(?i)^(?:page|pg\.?)\s*\d+(?:\s+of\s+\d+)?\.?$", r"(?i)^(?:header|footer|page\s+header|page\s+footer)$"
+METADATA = r"(?i)\b(?:printed\s+on|generated\s+on|digitally\s+signed|confidential|document\s+id|doc\s+id|ref\s+no\.?)\b"
+SECTION_REFERENCE, CLAUSE_REFERENCE = r"(?i)^(?:section|sec\.?|chapter|ch\.?)\s+[\divxlc.]+(?:\.\d+)*\.?$", r"(?i)^(?:clause|cl\.?|article|para(?:graph)?)\s+[\d.]+(?:\.\d+)*\.?$"
+TITLE_LABEL = r"(?i)^(?:contents|index|table\s+of\s+contents|introduction|overview|summary|particulars)$"
+BUSINESS_WORD = r"(?i)\b(?:emd|tender|bid|eligibility|experience|turnover|license|licence|certificate|guarantee|deposit|period|requirement|count|staff|manpower|warranty|sla|deployment|authorization|psara|oem|maf|guard|vehicle|fuel|machinery|surveillance)\b"
+NAVIGATION_LABEL = r"(?i)^(?:refer|see|vide|as\s+per|please\s+refer|kindly\s+refer|contact\s+us|click\s+here)\b"
+NAVIGATION = r"(?i)\b(?:go\s+to|click\s+here|back\s+to|next\s+page|previous\s+page|see\s+annexure|refer\s+annexure|as\s+per\s+annexure|vide\s+annexure|please\s+refer|kindly\s+refer)\b"
+
+
+def repeated_text(value: Column) -> Column:
+    """Whether a value of six characters or more is some text over and over, without its white space, or a sequence of words said twice."""
+    v = F.trim(value)
+    return (F.char_length(v) >= 6) & (F.regexp_replace(v, r"\s+", "").rlike(r"^(.+)\1+$") | twice_the_same(v))
+
+
+def irrelevance(name: Column, value: Column, source: Column | None = None) -> Column:
     """The first reason, in order, for which a parameter is of no business interest; null where it is."""
+    label, v = F.trim(F.coalesce(name, F.lit(""))), F.trim(F.coalesce(value, F.lit("")))
+    words = F.size(F.split(v, r"\s+"))
+    both = F.concat_ws(" ", label, v, F.coalesce(source, F.lit("")) if source is not None else F.lit(""))
+    either = lambda pattern: label.rlike(pattern) | v.rlike(pattern)
+    annex = label.rlike(ANNEX_LABEL) | (label.rlike(ANNEX_REFERENCE) & (F.char_length(v) < 40) & ~v.rlike(r"\d")) | (v.rlike(ANNEX_REFERENCE) & (words <= 6))
     return (
-        F.when(F.trim(name) == "", "empty_name").when(F.trim(value) == "", "empty_value").when(F.char_length(name) > 80, "name_too_long")
-        .when(~name.rlike("[A-Za-z]"), "no_letters").when(name.rlike(r"(?i)^(page|sheet|note|sr|s\.?no)\b"), "layout_word")
-        .when(F.lower(F.trim(name)) == F.lower(F.trim(value)), "value_repeats_name").when(twice_the_same(value), "repeated_text")
-        .when(F.char_length(value) > 500, "paragraph").when(value.rlike(r"^[\W_]+$"), "symbols_only")
+        F.when(label == "", "empty_label").when(F.char_length(v) < 2, "empty_value").when(label.rlike(HEADING_ONLY), "heading_only").when(label.rlike(CLAUSE_LABEL) | label.rlike(CLAUSE_ONLY), "clause_number").when(annex, "annexure_reference")
+        .when(either(CONTENTS_ENTRY) | label.rlike("(?i)^(?:index|contents)$"), "table_of_contents").when(label.rlike(CONTACT_LABEL) | label.rlike(CONTACT_HEAD) | label.rlike(MAIL_LABEL), "contact_block").when(v.rlike(MAIL), "email_block")
+        .when(v.rlike(PHONE) & (F.char_length(F.regexp_replace(v, r"\D", "")) >= 7), "phone_number").when(either(PAGE_LABEL), "page_number").when(label.rlike(HEADER_LABEL), "header_footer").when(either(METADATA), "document_metadata")
+        .when(label.rlike(SECTION_REFERENCE), "section_reference").when(label.rlike(CLAUSE_REFERENCE), "clause_reference").when(label.rlike(TITLE_LABEL), "repeated_title").when(label.rlike(CONTACT) & ~label.rlike(BUSINESS_WORD), "contact_block")
+        .when(label.rlike(NAVIGATION_LABEL) | (both.rlike(NAVIGATION) & (words <= 12)), "navigation_content").when(repeated_text(v), "repeated_text").when(F.lower(label) == F.lower(v), "label_equals_value")
     )
 
 

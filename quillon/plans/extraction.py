@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
 from quillon.operators import locate as lo
 from quillon.operators import mapping
 from quillon.operators import parameters as pm
 from quillon.operators import tables as tb
 from quillon.plans.registry import query
+from quillon.plans.texts import REASON_SQL, TIGHT_SQL
 from quillon.sources import dossiers as ds
 
 c = F.col
@@ -307,3 +309,34 @@ def r11(spark, d):
     confidence = tb.field_confidence(
         flag(c("value").rlike(r"\d"), 0.9, 0.5), c("score") / 16, flag(c("page") <= 5, 1.0, 0.5), flag(c("score") >= 14, 0.15), flag(c("way").isin("cell", "column"), 1.0), flag(c("doc_id") % 3 == 0, 0.9), F.when(c("n_ways") >= 3, 1.0).otherwise(c("n_ways") * 0.4))
     return won.select("doc_id", "field", "value", confidence.alias("confidence"))
+
+
+# lines, headings and reasons on the same pages
+
+
+COLON_SQL = tb.COLON_CELLS.replace("'", "''")
+
+
+@query("st16_page_columns", WITH + f""", raw AS (SELECT doc_id, page, trim(unnest(string_split(text, chr(10)))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM dossiers),
+    x AS (SELECT *, list_filter(list_transform(string_split_regex(said, '\\s{{2,}}'), lambda x: trim(x)), lambda x: x <> '') AS spaced FROM raw),
+    y AS (SELECT doc_id, page, line, CASE WHEN contains(said, '|') THEN list_filter(list_transform(string_split(said, '|'), lambda x: trim(x)), lambda x: x <> '') WHEN contains(said, chr(9)) THEN list_filter(list_transform(string_split(said, chr(9)), lambda x: trim(x)), lambda x: x <> '')
+      WHEN len(spaced) >= 2 THEN spaced WHEN regexp_extract(said, '{COLON_SQL}', 1) <> '' THEN [trim(regexp_extract(said, '{COLON_SQL}', 1)), trim(regexp_extract(said, '{COLON_SQL}', 2))] ELSE [said] END AS cells FROM x)
+    SELECT doc_id, page, line, len(cells) AS n, coalesce(cells[1], '') AS first, md5(array_to_string(cells, '|')) AS digest FROM y""")
+def st16_pages(spark, d):
+    """The cells of every line, by pipes, tabs, wide gaps, a colon or a dash, or the whole line."""
+    lines = ds.dossiers(spark, d).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "said")).select("doc_id", "page", (c("line") + 1).alias("line"), tb.cells(F.trim("said")).alias("cells"))
+    return lines.select("doc_id", "page", "line", F.size("cells").cast("long").alias("n"), F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit("")).alias("first"), F.md5(F.array_join("cells", "|")).alias("digest"))
+
+
+@query("st18_page_headings", WITH + r""", l AS (SELECT doc_id, page, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 120), lambda x: regexp_matches(x, '(?i)^(?:section|chapter|part|schedule)\s+[\divxlc]+')
+      OR regexp_matches(x, '^[A-Z][A-Z0-9\s\-–—:()]{6,}$') AND NOT regexp_matches(x, '(?i)shall|must|will') OR regexp_matches(x, '^(?:\d+\.?\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,6}$') AND length(x) < 80)[:15] AS h FROM dossiers)
+    SELECT doc_id, page, len(h) AS n, array_to_string(h, '|') AS headings FROM l""")
+def st18_pages(spark, d):
+    return ds.dossiers(spark, d).select("doc_id", "page", tx.headings(c("text")).alias("h")).select("doc_id", "page", F.size("h").cast("long").alias("n"), F.array_join("h", "|").alias("headings"))
+
+
+@query("st19_pair_reasons", WITH + PAIRS_SQL + f""", p AS (SELECT doc_id, page, place, name AS l, value AS v, {TIGHT_SQL.format('value')} FROM pairs)
+    SELECT doc_id, page, place, {REASON_SQL} AS reason FROM p""")
+def st19_pairs(spark, d):
+    """Why a stated pair is of no business interest, by all rules in their order."""
+    return pairs(spark, d).select("doc_id", "page", "place", F.coalesce(tx.irrelevance(c("name"), c("value")), F.lit("relevant")).alias("reason"))

@@ -189,11 +189,14 @@ def w09(spark, d):
     return rows.groupBy("notice_id", "k").agg(F.count("*").alias("variants"), best.alias("winner")).withColumn("removed", c("variants") - 1)
 
 
-@query("w11_list_merge", "SELECT notice, n_values, longest FROM (SELECT o_custkey AS notice, count(DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'the supply and installation of equipment ' || o_orderpriority ELSE o_orderpriority END) AS n_values, max(CASE WHEN o_orderkey % 2 = 0 THEN length('the supply and installation of equipment ' || o_orderpriority) ELSE length(o_orderpriority) END) AS longest FROM orders GROUP BY 1)")
+LISTED = "CASE o_orderkey % 4 WHEN 0 THEN 'the supply and installation of equipment ' || o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN '  The Supply and  installation of equipment ' || o_orderpriority ELSE 'the supply and installation of equipment ' || o_orderpriority || ' with spares' END"
+
+
+@query("w11_list_merge", f"""WITH v AS (SELECT DISTINCT o_custkey AS notice, lower(trim(regexp_replace({LISTED}, '\\s+', ' ', 'g'))) AS x FROM orders),
+    k AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v AS o WHERE o.notice = v.notice AND o.x <> v.x AND contains(o.x, v.x) AND length(v.x) > 30 AND length(o.x) > 30))
+    SELECT notice, count(*) AS n_values, max(length(x)) AS longest, md5(string_agg(x, '|' ORDER BY x)) AS said FROM k GROUP BY 1""")
 def w11(spark, d):
-    """Values of a list field kept once; two long ones of which one holds the other count as equal, the better one stays."""
-    long = F.concat(F.lit("the supply and installation of equipment "), "o_orderpriority")
-    value = F.when(c("o_orderkey") % 2 == 0, F.when(c("o_orderkey") % 4 == 0, long).otherwise(F.concat(F.lit("  "), long))).otherwise(c("o_orderpriority"))
-    rows = table(spark, d, "orders").select(c("o_custkey").alias("notice"), value.alias("value"), (c("o_orderkey") % 100).alias("confidence"))
+    """Values of a list field kept once; of two long ones of which one holds the other, the longer stays."""
+    rows = table(spark, d, "orders").select(c("o_custkey").alias("notice"), F.expr(LISTED).alias("value"), (c("o_orderkey") % 100).alias("confidence"))
     merged = ranking.merged_values(rows, "notice", "value", "confidence")
-    return merged.groupBy("notice").agg(F.count("*").alias("n_values"), F.max(F.char_length("value")).alias("longest"))
+    return merged.groupBy("notice").agg(F.count("*").alias("n_values"), F.max(F.char_length("value")).alias("longest"), F.md5(F.array_join(F.array_sort(F.collect_list(F.lower("value"))), "|")).alias("said"))

@@ -310,7 +310,7 @@ def r10(spark, d):
     return n.candidates(spark, d).select("candidate_id", got.alias("score"))
 
 
-@query("r18_dynamic_filter", with_("candidates") + """, s AS (SELECT candidate_id, validation, CASE WHEN value = '' OR length(value) > 500 THEN 0 ELSE CASE WHEN page <= 40 THEN 50 ELSE 0 END + CASE WHEN type_match THEN 20 ELSE 0 END + CASE WHEN validation = 'VALID' THEN 20 ELSE 0 END + CASE WHEN correctness = 'correct' THEN 10 ELSE 0 END END AS score FROM candidates)
+@query("r18_dynamic_filter", with_("candidates") + """, s AS (SELECT candidate_id, validation, CASE WHEN length(value) < 2 THEN 0 ELSE CASE WHEN page <= 40 THEN 50 ELSE 0 END + CASE WHEN type_match THEN 20 ELSE 0 END + CASE WHEN validation = 'VALID' THEN 20 ELSE 0 END + CASE WHEN correctness = 'correct' THEN 10 ELSE 0 END END AS score FROM candidates)
     SELECT candidate_id, score, CASE WHEN score < 70 THEN 'REJECT' WHEN validation = 'REVIEW' THEN 'REVIEW' ELSE 'VALID_DYNAMIC' END AS status FROM s""")
 def r18(spark, d):
     from quillon.functions.text import irrelevance

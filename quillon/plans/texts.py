@@ -79,10 +79,13 @@ def st09(spark, d):
     return n.notices(spark, d).select("notice_id", tx.cut_at_label(F.replace("text", F.lit("\n"), F.lit(" "))).alias("value"))
 
 
-@query("st10_broken_numbers", "SELECT l_orderkey, l_linenumber, l_linenumber % 3 <> 2 AS broken FROM lineitem WHERE l_linenumber < 7")
+RAW_NUMBER = "CASE l_linenumber % 3 WHEN 0 THEN CAST(l_partkey % 9 + 1 AS STRING) || '.5E+7' WHEN 1 THEN CAST(l_partkey % 7 AS STRING) || lpad(CAST(l_suppkey AS STRING), 14 + CAST(l_partkey % 3 AS INT), '0') ELSE CAST(l_extendedprice AS STRING) END"
+
+
+@query("st10_broken_numbers", f"SELECT l_orderkey, l_linenumber, raw, regexp_matches(raw, '^\\d+(\\.\\d+)?[eE][+-]?\\d+$') OR coalesce(TRY_CAST(regexp_extract(raw, '^(\\d{{1,30}})$', 1) AS DOUBLE) > 1e14, false) AS broken FROM (SELECT *, {RAW_NUMBER} AS raw FROM lineitem)")
 def st10(spark, d):
-    raw = F.when(c("l_linenumber") % 3 == 0, F.concat((c("l_partkey") % 9 + 1).cast("string"), F.lit(".5E+7"))).when(c("l_linenumber") % 3 == 1, F.concat(F.lit("9"), F.lpad(c("l_partkey").cast("string"), 16, "0"))).otherwise(c("l_partkey").cast("string"))
-    return table(spark, d, "lineitem").where("l_linenumber < 7").select("l_orderkey", "l_linenumber", F.coalesce(tx.broken_number(raw), F.lit(False)).alias("broken"))
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{RAW_NUMBER} AS raw")
+    return rows.select("l_orderkey", "l_linenumber", "raw", tx.broken_number(c("raw")).alias("broken"))
 
 
 @query("st11_noise_lines", f"WITH {DOC_LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({NOISE_SQL.replace('@', 'line')}) AS n_noise FROM good GROUP BY 1")
@@ -131,7 +134,24 @@ def st18(spark, d):
     return n.notices(spark, d).select("notice_id", F.size(tx.headings(c("text"))).cast("long").alias("n"))
 
 
-@query("st19_irrelevance", with_("notices") + LABELS + "SELECT coalesce(CASE WHEN value = '' THEN 'empty_value' WHEN length(value) > 500 THEN 'paragraph' END, 'relevant') AS reason, count(*) AS n FROM labels GROUP BY 1")
+#: What the cascade of reasons needs of a value besides itself.
+TIGHT_SQL = r"string_split_regex(lower({0}), '\s+') AS ws, len(string_split_regex({0}, '\s+')) AS words, regexp_replace({0}, '\s+', '', 'g') AS tight"
+
+
+def _either(p: str) -> str:
+    return f"(regexp_matches(l, '{p}') OR regexp_matches(v, '{p}'))"
+
+
+REASON_SQL = rf"""CASE WHEN l = '' THEN 'empty_label' WHEN length(v) < 2 THEN 'empty_value' WHEN regexp_matches(l, '{tx.HEADING_ONLY}') THEN 'heading_only' WHEN regexp_matches(l, '{tx.CLAUSE_LABEL}') OR regexp_matches(l, '{tx.CLAUSE_ONLY}') THEN 'clause_number'
+    WHEN regexp_matches(l, '{tx.ANNEX_LABEL}') OR regexp_matches(l, '{tx.ANNEX_REFERENCE}') AND length(v) < 40 AND NOT regexp_matches(v, '\d') OR regexp_matches(v, '{tx.ANNEX_REFERENCE}') AND words <= 6 THEN 'annexure_reference'
+    WHEN {_either(tx.CONTENTS_ENTRY)} OR lower(l) IN ('index', 'contents') THEN 'table_of_contents' WHEN regexp_matches(l, '{tx.CONTACT_LABEL}') OR regexp_matches(l, '{tx.CONTACT_HEAD}') OR regexp_matches(l, '{tx.MAIL_LABEL}') THEN 'contact_block' WHEN regexp_matches(v, '{tx.MAIL}') THEN 'email_block'
+    WHEN regexp_matches(v, '{tx.PHONE}') AND length(regexp_replace(v, '\D', '', 'g')) >= 7 THEN 'phone_number' WHEN {_either(tx.PAGE_LABEL)} THEN 'page_number' WHEN regexp_matches(l, '{tx.HEADER_LABEL}') THEN 'header_footer' WHEN {_either(tx.METADATA)} THEN 'document_metadata'
+    WHEN regexp_matches(l, '{tx.SECTION_REFERENCE}') THEN 'section_reference' WHEN regexp_matches(l, '{tx.CLAUSE_REFERENCE}') THEN 'clause_reference' WHEN regexp_matches(l, '{tx.TITLE_LABEL}') THEN 'repeated_title' WHEN regexp_matches(l, '{tx.CONTACT}') AND NOT regexp_matches(l, '{tx.BUSINESS_WORD}') THEN 'contact_block'
+    WHEN regexp_matches(l, '{tx.NAVIGATION_LABEL}') OR regexp_matches(l || ' ' || v, '{tx.NAVIGATION}') AND words <= 12 THEN 'navigation_content'
+    WHEN length(v) >= 6 AND len(list_filter(range(1, length(tight) // 2 + 1), lambda k: length(tight) % k = 0 AND repeat(left(tight, k), (length(tight) // k)::BIGINT) = tight)) > 0 OR words >= 4 AND words % 2 = 0 AND ws[:words // 2] = ws[words // 2 + 1:] THEN 'repeated_text' WHEN lower(l) = lower(v) THEN 'label_equals_value' ELSE 'relevant' END"""
+
+
+@query("st19_irrelevance", with_("notices") + LABELS + f", p AS (SELECT label AS l, value AS v, {TIGHT_SQL.format('value')} FROM labels) SELECT {REASON_SQL} AS reason, count(*) AS n FROM p GROUP BY 1")
 def st19(spark, d):
     return labels(spark, d).groupBy(F.coalesce(tx.irrelevance(c("label"), c("value")), F.lit("relevant")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -141,9 +161,11 @@ def st20(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.is_paragraph(c("text")).alias("is_paragraph"))
 
 
-@query("st21_rolling_hash")
+@query("st21_rolling_hash", """WITH u AS (SELECT page_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(url, ''), lambda x: ord(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM pages WHERE url <> '')
+    SELECT page_id, substr(lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)), 1, 6) AS hash FROM u""")
 def st21(spark, d):
-    return n.fields(spark, d).select("notice_id", tx.rolling_hash36(c("tender_no")).alias("hash"))
+    """Short hashes of addresses, which are ASCII here; code units beyond the basic plane are tested beside it."""
+    return table(spark, d, "pages").where("url <> ''").select("page_id", tx.rolling_hash36(c("url")).alias("hash"))
 
 
 @query("st22_filters_hash", with_("fields") + "SELECT notice_id, substr(sha256(contact), 1, 16) AS hash FROM fields")
@@ -261,11 +283,14 @@ def l06(spark, d):
     return ordered.groupBy().agg(F.collect_list("notice_id").alias("a")).select(F.posexplode("a").alias("p", "notice_id")).select("notice_id", (c("p") + 1).cast("long").alias("place"))
 
 
-@query("s06_deduped_lists", "SELECT p_brand, array_to_string(list_sort(list_distinct(list(lower(p_type)))), '|') AS kept FROM part WHERE p_type IS NOT NULL GROUP BY 1")
+@query("s06_deduped_lists", """WITH i AS (SELECT DISTINCT p_brand, p_size, unnest([lower(p_name), lower(p_type)]) AS x FROM part WHERE p_type IS NOT NULL),
+    k AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM i AS o WHERE o.p_brand = i.p_brand AND o.p_size = i.p_size AND o.x <> i.x AND contains(o.x, i.x) AND length(o.x) <= 25 AND length(i.x) <= 25))
+    SELECT p_brand, p_size, string_agg(x, '|' ORDER BY x) AS kept FROM k GROUP BY 1, 2""")
 def s06(spark, d):
-    """Lists without repeats and without short texts inside others, the longer kept; the types hold no such pair."""
-    lists = table(spark, d, "part").where("p_type is not null").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.lower("p_type"))).alias("l"))
-    return lists.select("p_brand", F.array_join(F.array_sort(tx.deduped(c("l"))), "|").alias("kept"))
+    """Lists without repeats and without short texts inside others, the longer kept: a part's type goes where a name holds it."""
+    items = table(spark, d, "part").where("p_type is not null").select("p_brand", "p_size", F.explode(F.array(F.lower("p_name"), F.lower("p_type"))).alias("x"))
+    lists = items.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("x")).alias("l"))
+    return lists.select("p_brand", "p_size", F.array_join(F.array_sort(tx.deduped(c("l"), 200)), "|").alias("kept"))
 
 
 # dates and money

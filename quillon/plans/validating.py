@@ -107,3 +107,32 @@ def r09(spark, d):
         label=F.when(c("place") % 3 == 0, 100).when(c("place") % 3 == 1, 90).otherwise(50), context=F.when(F.contains(F.lower("near"), F.lit("emd")), 85).otherwise(35), section=va.section_priority(c("near"))["score"],
         page=rules.page_priority(c("page"), F.lit(False)), table=va.table_score(c("near"), c("value")), scan=va.scan_score(c("name"), c("value")), model=c("place") % 101)
     return rows.select("doc_id", "page", "place", score.alias("score"))
+
+
+#: Labels whose values must not equal a deposit's, and the label of a deposit.
+DEPOSIT_NAME, SECURITY_NAME = r"\b(emd|earnest\s+money)\b", r"performance\s+(security|guarantee)"
+_WORST = "CASE WHEN 'REJECT' IN ({0}) THEN 'REJECT' WHEN 'REVIEW' IN ({0}) THEN 'REVIEW' ELSE 'VALID' END"
+
+
+@query("r14_five_layers", JUDGED_SQL + rf""", digits AS (SELECT *, regexp_replace(v, '[^\d]', '', 'g') AS dg, lower(near || chr(10) || v) AS said FROM judged),
+    secured AS (SELECT doc_id, arg_min(dg, (page, place)) AS security FROM digits WHERE regexp_matches(name, '{SECURITY_NAME}') GROUP BY 1),
+    repeats AS (SELECT doc_id, name, v, count(DISTINCT page) AS pages FROM digits GROUP BY ALL),
+    layers AS (SELECT d.*, pages, CASE WHEN length(d.v) < 2 OR regexp_matches(d.name, '^(index|contents|header|footer)$') THEN 'REJECT' WHEN kind IN ('percentage', 'experience') THEN 'REVIEW' ELSE 'VALID' END AS parameter,
+        CASE WHEN kind = 'tender_value' AND regexp_matches(said, '{va.CONTEXT_RULES["tender_value"][0]}') AND NOT regexp_matches(said, '{va.CONTEXT_RULES["tender_value"][1]}') OR kind = 'emd' AND regexp_matches(said, '{va.CONTEXT_RULES["emd"][0]}') AND NOT regexp_matches(said, '{va.CONTEXT_RULES["emd"][1]}')
+          OR kind = 'bid_date' AND regexp_matches(said, '{va.CONTEXT_RULES["bid_date"][0]}') AND NOT regexp_matches(said, '{va.CONTEXT_RULES["bid_date"][1]}') THEN 'REVIEW' ELSE 'VALID' END AS context,
+        CASE WHEN regexp_matches(d.name, '{DEPOSIT_NAME}') AND length(dg) >= 3 AND dg = security THEN 'REJECT' ELSE 'VALID' END AS logic
+      FROM digits d LEFT JOIN secured x ON x.doc_id = d.doc_id JOIN repeats r ON r.doc_id = d.doc_id AND r.name = d.name AND r.v = d.v),
+    kept AS (SELECT *, least(100, floor(place % 100 + 0.5 * CASE WHEN pages >= 2 THEN least(15, 5 * pages) ELSE 0 END + 0.1 * (page * 3 % 101) + 0.5)) AS sure FROM layers)
+    SELECT doc_id, page, place, {_WORST.format('parameter, status, context, logic')} AS status, CASE WHEN {_WORST.format('parameter, status, context, logic')} = 'REJECT' THEN floor(sure * 0.4 + 0.5) ELSE sure END::INT AS confidence FROM kept""")
+def r14_five(spark, d):
+    """Stated parameters through five layers: label, value by kind, context, logic between parameters, and repeats on other pages."""
+    rows = judged(spark, d).withColumn("digits", F.regexp_replace("value", r"[^\d]", ""))
+    secured = rows.where(c("name").rlike(SECURITY_NAME)).groupBy("doc_id").agg(F.min_by("digits", F.struct("page", "place")).alias("security"))
+    repeats = rows.groupBy("doc_id", "name", "value").agg(F.countDistinct("page").alias("pages"))
+    rows = rows.join(secured, "doc_id", "left").join(repeats, ["doc_id", "name", "value"])
+    layers = [
+        F.when((F.char_length("value") < 2) | c("name").rlike("^(index|contents|header|footer)$"), "REJECT").when(c("kind").isin("percentage", "experience"), "REVIEW").otherwise("VALID"), c("status"),
+        F.when(va.context_violation(c("kind"), F.concat_ws("\n", "near", "value")).isNotNull(), "REVIEW").otherwise("VALID"),
+        F.when(c("name").rlike(DEPOSIT_NAME) & (F.char_length("digits") >= 3) & F.coalesce(c("digits") == c("security"), F.lit(False)), "REJECT").otherwise("VALID"),
+    ]
+    return rows.select("doc_id", "page", "place", rules.layered_status(layers, c("page") * 3 % 101, c("place") % 100, c("pages")).alias("r")).select("doc_id", "page", "place", "r.status", "r.confidence")

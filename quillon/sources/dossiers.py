@@ -103,6 +103,11 @@ BLOCKS = [
     "'| Inspection | at site |' || chr(10) || 'Sr | No' || chr(10) || 'Insurance | by bidder'",
     "'Liquidated damages    one per cent a week' || chr(10) || 'Place of work  Pune Depot: North'",
     "'1234 : 5678' || chr(10) || 'Rate: ===' || chr(10) || 'Index: 4' || chr(10) || 'Rate: ===' || chr(10) || 'Rate: 5' || chr(10) || 'rate : 5'",
+    "'Introduction: general' || chr(10) || 'Clause 4.2: as below' || chr(10) || 'Annexure B: yes' || chr(10) || 'Contents: 5 pages' || chr(10) || 'Email: office@example.org' || chr(10) || 'Office: +91 98765 43210' || chr(10) || 'Mail to: x@y.example'",
+    "'Page 4: of nine' || chr(10) || 'Header: text' || chr(10) || 'Printed on: 5 May' || chr(10) || 'Section IV: text' || chr(10) || 'Chapter 2.: text' || chr(10) || 'Para 2.1: text' || chr(10) || 'Website address: none' || chr(10) || 'Mobile phone of guard: none'",
+    "'Refer: to the office' || chr(10) || 'Remarks: see annexure C' || chr(10) || 'Rates: one two ONE two' || chr(10) || 'Code: abcabc' || chr(10) || 'Place: place' || chr(10) || 'Contact us: at the desk' || chr(10) || 'Fax no.: none' || chr(10) || 'Unit: 5'",
+    "'SECTION 4 OF THE NOTICE' || chr(10) || 'GENERAL CONDITIONS:' || chr(10) || 'BIDDERS SHALL SIGN' || chr(10) || '3. Opening Of Bids' || chr(10) || 'Scope Of The Work'",
+    "'Performance guarantee: Rs. ' || " + SMALL + " || chr(10) || 'EMD Amount: Rs. ' || " + SMALL,
     "'No labels here'",
 ]
 _PICK_A, _PICK_B = f"(({_K} + doc_id) % {len(STATEMENTS)})", f"(({_K} * 3 + part + 11) % {len(STATEMENTS)})"
