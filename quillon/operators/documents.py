@@ -19,9 +19,9 @@ def paginate(docs: DataFrame, key: str, text: str, size: int = 3000) -> DataFram
     return docs.select(key, F.posexplode(pages).alias("page_number", "text")).withColumn("page_number", F.col("page_number") + 1)
 
 
-def scanned(pages: DataFrame, key: str, chars: str = "char_count") -> DataFrame:
-    """(key, sparse_share, is_scanned): scanned where 60 % of the pages have under 40 characters."""
-    share = F.avg(F.when(F.col(chars) < 40, 1.0).otherwise(0.0))
+def scanned(pages: DataFrame, key: str, chars: str = "char_count", least: int = 40) -> DataFrame:
+    """(key, sparse_share, is_scanned): scanned where 60 % of the pages have under 40 characters, or ``least``."""
+    share = F.avg(F.when(F.col(chars) < least, 1.0).otherwise(0.0))
     return pages.groupBy(key).agg(F.round(share, 4).alias("sparse_share"), (share >= 0.6).alias("is_scanned"))
 
 

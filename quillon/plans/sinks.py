@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans.registry import query
 from quillon.session import shared_dir
-from quillon.sinks import tables
+from quillon.sinks import keyed, tables
 from quillon.sources.domain import table
 
 c = F.col
@@ -57,8 +57,8 @@ def sk04(spark, d):
     path = _folder(spark, "sk04")
     rows = _orders(spark, d)
     for period, part in (("1998-01-01", rows), ("1998-01-02", rows), ("1998-01-01", rows.where("o_orderstatus = 'O'"))):
-        tables.snapshot(part.agg(F.count("*").alias("n")), path, "dashboard", period)
-    return spark.read.parquet(path).select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
+        keyed.snapshot(part.agg(F.count("*").alias("n")), path, "dashboard", period)
+    return keyed.read(spark, path).select("period", "n")
 
 
 @query("sk05_csv", """SELECT p_partkey, 'say "' || p_name || '", ' || p_brand AS label FROM part""")

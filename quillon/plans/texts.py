@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import dates, money
@@ -62,8 +63,15 @@ def st05(spark, d):
     return n.notices(spark, d).select("notice_id", sum((tx.keyword_hits(c("text"), w) * tx.keyword_weight(w) for w in words), F.lit(0)).cast("long").alias("score"))
 
 
-@query("st07_label_values", with_("notices") + LABELS + "SELECT notice_id, label, CASE WHEN label = 'Certificates' THEN trim(value || ' Page ' || (notice_id % 30 + 1) || ' of 30') ELSE value END AS value FROM labels")
+ST07_LABEL = r"^[ \t]*([A-Z][A-Za-z0-9 ()./&-]{1,60}?)[ \t]*:[ \t]*"
+
+
+@query("st07_label_values", with_("notices") + rf""", l AS (SELECT notice_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM notices),
+    m AS (SELECT *, regexp_matches(line, '{ST07_LABEL}') AS opens FROM l), g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY notice_id ORDER BY pos) AS k FROM m),
+    r AS (SELECT notice_id, k, trim(arg_min(regexp_extract(line, '{ST07_LABEL}', 1), pos)) AS label, trim(regexp_replace(string_agg(CASE WHEN opens THEN regexp_replace(line, '{ST07_LABEL}', '') ELSE line END, chr(10) ORDER BY pos), '\s+', ' ', 'g')) AS value FROM g WHERE k > 0 GROUP BY 1, 2)
+    SELECT notice_id, label, value FROM r WHERE value <> ''""")
 def st07(spark, d):
+    """Labels with values that run on over the lines that follow, up to the next label."""
     return n.notices(spark, d).select("notice_id", F.explode(tx.label_values(c("text"))).alias("r")).select("notice_id", "r.label", "r.value")
 
 
@@ -105,11 +113,14 @@ def st13(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.without_noise(c("text"))).alias("digest"))
 
 
-@query("st14_w17_joined_lines", with_("notices") + """, t AS (SELECT notice_id, 'first part' || chr(10) || 'runs on ' || notice_id || chr(10) || text AS text FROM notices)
-    SELECT notice_id, md5(replace(text, chr(10) || 'runs on', ' runs on')) AS digest FROM (SELECT notice_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM t)""")
+@query("st14_w17_joined_lines", """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL), k AS (SELECT * FROM l WHERE line <> ''),
+    b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k), g AS (SELECT *, sum(CASE WHEN NOT regexp_matches(before, '[.:;!?]$') AND regexp_matches(line, '^[a-zà-ÿ]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM b),
+    j AS (SELECT doc_id, block, string_agg(line, ' ' ORDER BY pos) AS said FROM g GROUP BY 1, 2), t AS (SELECT doc_id, string_agg(said, chr(10) ORDER BY block) AS said, count(*) AS n FROM j GROUP BY 1)
+    SELECT d.doc_id, coalesce(n, 0) AS n, md5(coalesce(said, '')) AS digest FROM documents d LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL""")
 def st14(spark, d):
-    text = F.concat(F.lit("first part\nruns on "), c("notice_id").cast("string"), F.lit("\n"), c("text"))
-    return n.notices(spark, d).select("notice_id", F.md5(tx.joined_lines(text)).alias("digest"))
+    """Lines of whole documents that run on into the next one, joined; the number of lines left and their digest."""
+    joined = table(spark, d, "documents").where("text is not null").select("doc_id", tx.joined_lines(c("text")).alias("t"))
+    return joined.select("doc_id", F.when(c("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("st15_snippets", with_("notices") + LINES + "SELECT notice_id, substr(arg_min(line, pos), 1, 30) AS evidence FROM lines WHERE contains(line, 'Lakh') GROUP BY 1")
@@ -123,10 +134,12 @@ def st16(spark, d):
     return cells.select("notice_id", "pos", F.size("cells").cast("long").alias("n"), c("cells")[0].alias("first"))
 
 
-@query("st17_repeated_text", "SELECT p_partkey, p_partkey % 2 = 0 AS repeated FROM part")
+TWICE = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || upper(p_name) WHEN 1 THEN p_name || ' other words' WHEN 2 THEN p_type || ' ' || p_type ELSE p_type || ' a ' || p_type || '  A' END"
+
+
+@query("st17_repeated_text", rf"WITH s AS (SELECT p_partkey, string_split_regex(trim(lower({TWICE})), '\s+') AS ws FROM part) SELECT p_partkey, len(ws) >= 4 AND len(ws) % 2 = 0 AND ws[:len(ws) // 2] = ws[len(ws) // 2 + 1:] AS repeated FROM s")
 def st17(spark, d):
-    said = F.when(c("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", F.upper("p_name"))).otherwise(F.concat_ws(" ", "p_name", F.lit("other words")))
-    return table(spark, d, "part").select("p_partkey", tx.twice_the_same(said).alias("repeated"))
+    return table(spark, d, "part").select("p_partkey", tx.twice_the_same(F.expr(TWICE)).alias("repeated"))
 
 
 @query("st18_headings", with_("notices") + LINES + "SELECT notice_id, count(*) AS n FROM lines WHERE regexp_matches(line, '^[A-Z][A-Z0-9\\s\\-–—:()]{6,}$') GROUP BY 1")
@@ -156,9 +169,10 @@ def st19(spark, d):
     return labels(spark, d).groupBy(F.coalesce(tx.irrelevance(c("label"), c("value")), F.lit("relevant")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("st20_paragraphs", "SELECT conv_id, turn, trim(text) = '' OR length(trim(text)) > 200 OR len(list_filter(string_split_regex(trim(text), '[.!?]'), lambda x: length(trim(x)) > 40)) >= 2 AS is_paragraph FROM conversations WHERE text IS NOT NULL")
+@query("st20_paragraphs", "SELECT conv_id, turn, trim(text) = '' OR length(trim(text)) > 200 OR len(list_filter(string_split_regex(trim(text), '[.!?]'), lambda x: length(trim(x)) > 40)) >= 2 AS is_paragraph FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def st20(spark, d):
-    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.is_paragraph(c("text")).alias("is_paragraph"))
+    """Whether each turn is a paragraph; a null one is as empty as an empty one."""
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.is_paragraph(F.coalesce("text", F.lit(""))).alias("is_paragraph"))
 
 
 @query("st21_rolling_hash", """WITH u AS (SELECT page_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(url, ''), lambda x: ord(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM pages WHERE url <> '')
@@ -208,10 +222,13 @@ def st30(spark, d):
     return docs.ranges(pages.withColumn("tags", F.when(c("tags") == "", "general").otherwise(c("tags"))), "doc", "page_number", "tags")
 
 
-@query("st31_recovery", with_("fields") + "SELECT notice_id, CASE WHEN notice_id % 5 = 0 THEN 0.85 ELSE 0.80 END AS confidence, last_date AS value FROM fields")
+RECOVER_PATTERN, RECOVER_LABEL = r"Last Date:\s*(\d{4}-\d{2}-\d{2})", r"(?i)Last Date[^:\n]{0,50}[:\s]+([^\n]{3,200})"
+
+
+@query("st31_recovery", with_("notices") + f", r AS (SELECT notice_id, regexp_extract(text, '{RECOVER_PATTERN}', 1) AS a, trim(regexp_extract(text, '{RECOVER_LABEL}', 1)) AS b FROM notices) SELECT notice_id, CASE WHEN a <> '' THEN 0.85 WHEN length(b) BETWEEN 2 AND 350 THEN 0.80 END AS confidence, CASE WHEN a <> '' THEN a WHEN length(b) BETWEEN 2 AND 350 THEN b END AS value FROM r")
 def st31(spark, d):
     """A missing field by pattern, else by its label: ISO dates match the pattern."""
-    return n.notices(spark, d).select("notice_id", tx.recovered(c("text"), [r"Last Date:\s*(\d{4}-\d{2}-\d{2})"], ["Last Date"]).alias("r")).select("notice_id", c("r.confidence").alias("confidence"), "r.value")
+    return n.notices(spark, d).select("notice_id", tx.recovered(c("text"), [RECOVER_PATTERN], ["Last Date"]).alias("r")).select("notice_id", c("r.confidence").alias("confidence"), "r.value")
 
 
 # filters and pages
@@ -223,17 +240,24 @@ def pf12(spark, d):
     return good.select("doc_id", F.lit(True).alias("passed")).unionByName(bad.select("doc_id", F.lit(False).alias("passed")))
 
 
-@query("pf13_grounded", with_("fields") + "SELECT notice_id, notice_id % 3 <> 1 AS grounded FROM fields")
+CLAIMED = "CASE notice_id % 5 WHEN 0 THEN upper(substr(text, 1, 12)) WHEN 1 THEN 'zebra unicorn sighting' WHEN 2 THEN 'ref T ' || CAST(notice_id AS STRING) WHEN 3 THEN 'turnover experience zebra contact' ELSE ' ' END"
+
+
+@query("pf13_grounded", with_("notices") + rf""", s AS (SELECT notice_id, lower(trim({CLAIMED})) AS v, lower(text) AS p FROM notices), q AS (SELECT *, regexp_replace(v, '[^a-z0-9]', '', 'g') AS vq, regexp_replace(p, '[^a-z0-9]', '', 'g') AS pq, list_filter(string_split_regex(v, '[^a-z0-9]+'), lambda w: length(w) >= 4) AS ws FROM s)
+    SELECT notice_id, v <> '' AND (contains(p, v) OR vq <> '' AND contains(pq, vq) OR len(list_filter(regexp_extract_all(v, '\d{{2,}}'), lambda x: contains(pq, x))) > 0 OR len(ws) > 0 AND len(list_filter(ws, lambda w: contains(p, w))) >= 0.6 * len(ws)) AS grounded FROM q""")
 def pf13(spark, d):
-    claimed = F.when(c("notice_id") % 3 == 0, F.upper(F.substring("text", 1, 12))).when(c("notice_id") % 3 == 1, F.lit("zebra unicorn sighting")).otherwise(F.concat(F.lit("ref "), F.regexp_extract("text", r"(T-\d+/\d+)", 1)))
-    return n.notices(spark, d).select("notice_id", filters.grounded(claimed, c("text")).alias("grounded"))
+    """Whether a claim is borne out by its notice: as text, without its spaces, by its digits, by its words, or not."""
+    return n.notices(spark, d).select("notice_id", filters.grounded(F.expr(CLAIMED), c("text")).alias("grounded"))
 
 
-@query("sc03_file_types", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'image' WHEN 3 THEN 'pdf' WHEN 4 THEN 'image' ELSE 'unknown' END AS kind FROM part")
+MIME = "CASE p_partkey % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 2 THEN 'image/png' WHEN 3 THEN '' WHEN 4 THEN 'application/octet-stream' ELSE 'text/plain' END"
+FILE_NAME = "p_name || CASE p_partkey % 7 WHEN 0 THEN '.bin' WHEN 1 THEN '.PDF' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.txt' WHEN 4 THEN '.docx' WHEN 5 THEN '' ELSE '.tar.tif' END"
+
+
+@query("sc03_file_types", rf"""WITH f AS (SELECT p_partkey, {MIME} AS m, lower(regexp_extract({FILE_NAME}, '\.([A-Za-z0-9]+)$', 1)) AS e FROM part) SELECT p_partkey, CASE WHEN m = 'application/pdf' THEN 'pdf' WHEN contains(m, 'wordprocessingml') THEN 'docx' WHEN starts_with(m, 'image/') THEN 'image'
+    WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('doc', 'docx') THEN 'docx' WHEN e IN ('png', 'jpg', 'jpeg', 'tif', 'tiff') THEN 'image' ELSE 'unknown' END AS kind FROM f""")
 def sc03(spark, d):
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (c("p_partkey") % 6 + 1).cast("int"))
-    mime = pick(["application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "", "application/octet-stream", "text/plain"])
-    return table(spark, d, "part").select("p_partkey", tx.file_type(mime, F.concat(F.lit("f"), pick([".bin", ".bin", ".bin", ".PDF", ".jpeg", ".txt"]))).alias("kind"))
+    return table(spark, d, "part").select("p_partkey", tx.file_type(F.expr(MIME), F.expr(FILE_NAME)).alias("kind"))
 
 
 @query("sc06_pages_in_order", with_("notices") + "SELECT notice_id // 30 AS doc, string_agg(page_number, ',' ORDER BY page_number) AS pages FROM notices GROUP BY 1")
@@ -242,22 +266,25 @@ def sc06(spark, d):
     return at.select("doc", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("sc09_scanned", "SELECT conv_id, round(avg(CASE WHEN length(text) < 140 THEN 1.0 ELSE 0 END), 4) AS sparse_share, avg(CASE WHEN length(text) < 140 THEN 1.0 ELSE 0 END) >= 0.6 AS is_scanned FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1")
+@query("sc09_scanned", "SELECT conv_id, round(avg(CASE WHEN length(coalesce(text, '')) < 140 THEN 1.0 ELSE 0 END), 4) AS sparse_share, avg(CASE WHEN length(coalesce(text, '')) < 140 THEN 1.0 ELSE 0 END) >= 0.6 AS is_scanned FROM conversations GROUP BY 1")
 def sc09(spark, d):
-    turns = table(spark, d, "conversations").where("text is not null and conv_id is not null")
-    return docs.scanned(turns.select("conv_id", (F.char_length("text") - 100).alias("char_count")), "conv_id")
+    """Conversations most of whose turns have under 140 characters, as a scanned document's pages have under 40."""
+    return docs.scanned(table(spark, d, "conversations").select("conv_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("char_count")), "conv_id", least=140)
 
 
-@query("sc10_pagination", "SELECT doc_id, greatest(1, ceil(length(text) / 3000.0))::BIGINT AS pages FROM documents WHERE NOT regexp_matches(text, '\\f|\\n{3,}') AND length(text) BETWEEN 200 AND 30000")
+@query("sc10_pagination", r"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '\f|\n{3,}'), lambda x: trim(x) <> '') AS marks, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws, greatest(1, ceil(length(text) / 3000.0))::BIGINT AS parts FROM documents),
+    q AS (SELECT *, greatest(1, ceil(len(ws) / parts::DOUBLE))::BIGINT AS per FROM p)
+    SELECT doc_id, CASE WHEN len(marks) > 1 THEN len(marks) ELSE ceil(len(ws) / per::DOUBLE)::BIGINT END AS pages, CASE WHEN len(marks) > 1 THEN md5(marks[2]) WHEN len(ws) > per THEN md5(array_to_string(ws[per + 1:2 * per], ' ')) END AS second FROM q WHERE len(marks) > 1 OR len(ws) > 0""")
 def sc10(spark, d):
-    whole = table(spark, d, "documents").where(~c("text").rlike(r"\f|\n{3,}") & F.char_length("text").between(200, 30000))
-    return docs.paginate(whole, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("pages"))
+    """Pages of all documents, by their marks or in even slices of words, and the second page's digest; without words there is no page."""
+    pages = docs.paginate(table(spark, d, "documents"), "doc_id", "text")
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.max(F.when(c("page_number") == 2, F.md5("text"))).alias("second"))
 
 
-@query("a15_scan_quality", """SELECT conv_id, pages, avg_chars, round(coverage, 4) AS coverage, floor(least(100, coverage * 55 + least(1, avg_chars / 2000.0) * 45) + 0.5)::BIGINT AS score FROM (SELECT conv_id, count(*) AS pages, floor(avg(length(text)) + 0.5) AS avg_chars,
-    avg(CASE WHEN length(text) >= 40 THEN 1.0 ELSE 0 END) AS coverage FROM conversations WHERE text IS NOT NULL GROUP BY 1)""")
+@query("a15_scan_quality", """SELECT conv_id, pages, avg_chars, round(coverage, 4) AS coverage, floor(least(100, coverage * 55 + least(1, avg_chars / 2000.0) * 45) + 0.5)::BIGINT AS score FROM (SELECT conv_id, count(*) AS pages, floor(avg(length(coalesce(text, ''))) + 0.5) AS avg_chars,
+    avg(CASE WHEN length(coalesce(text, '')) >= 40 THEN 1.0 ELSE 0 END) AS coverage FROM conversations GROUP BY 1)""")
 def a15(spark, d):
-    return docs.scan_quality(table(spark, d, "conversations").where("text is not null").select("conv_id", F.char_length("text").alias("char_count")), "conv_id")
+    return docs.scan_quality(table(spark, d, "conversations").select("conv_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("char_count")), "conv_id")
 
 
 @query("a23_repeated_lines", f"WITH p AS (SELECT DISTINCT doc_id % 5 AS doc, doc_id AS page, lower(trim(unnest(string_split(text, chr(10))))) AS line FROM documents) SELECT doc, line, count(*) AS pages FROM p WHERE length(line) BETWEEN 8 AND 120 AND NOT {NOISE_SQL.replace('@', 'line')} GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -276,11 +303,11 @@ def j11(spark, d):
     return docs.context(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text").select("conv_id", "turn", F.char_length("context").cast("long").alias("chars"))
 
 
-@query("l06_collated_order", with_("fields") + "SELECT notice_id, row_number() OVER (ORDER BY lower(certificates), certificates, notice_id) AS place FROM fields QUALIFY place <= 50")
+@query("l06_collated_order", with_("fields") + "SELECT min(certificates) AS value, count(*) AS n, row_number() OVER (ORDER BY lower(certificates)) AS place FROM fields GROUP BY lower(certificates)")
 def l06(spark, d):
-    """Words in dictionary order, whatever their case; ties by case and id."""
-    ordered = n.fields(spark, d).orderBy(F.lower("certificates"), "certificates", "notice_id").limit(50)
-    return ordered.groupBy().agg(F.collect_list("notice_id").alias("a")).select(F.posexplode("a").alias("p", "notice_id")).select("notice_id", (c("p") + 1).cast("long").alias("place"))
+    """Different values in dictionary order, whatever their case, by a collation; only the different ones are sorted."""
+    values = n.fields(spark, d).groupBy(F.collate("certificates", "UNICODE_CI").alias("v")).agg(F.min("certificates").alias("value"), F.count("*").alias("n"))
+    return values.select("value", "n", F.row_number().over(Window.orderBy("v")).cast("long").alias("place"))
 
 
 @query("s06_deduped_lists", """WITH i AS (SELECT DISTINCT p_brand, p_size, unnest([lower(p_name), lower(p_type)]) AS x FROM part WHERE p_type IS NOT NULL),
@@ -296,12 +323,30 @@ def s06(spark, d):
 # dates and money
 
 
-@query("d02_dates", with_("fields") + """SELECT notice_id, CASE notice_id % 5 WHEN 0 THEN last_date WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN year(o_orderdate) || '-03-05' END AS day, CASE notice_id % 5 WHEN 3 THEN 'impossible_date' WHEN 4 THEN 'unrecognised' END AS reason
-    FROM fields JOIN orders ON o_orderkey = notice_id""")
+@query("d02_dates", with_("fields") + r""", p AS (SELECT notice_id, trim(last_date) AS t FROM fields),
+    q AS (SELECT *, CASE WHEN regexp_matches(t, '^\d{4}-\d{1,2}-\d{1,2}') THEN [TRY_CAST(regexp_extract(t, '^(\d{4})', 1) AS INT), TRY_CAST(regexp_extract(t, '^\d{4}-(\d{1,2})', 1) AS INT), TRY_CAST(regexp_extract(t, '^\d{4}-\d{1,2}-(\d{1,2})', 1) AS INT)]
+      WHEN regexp_matches(t, '^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}$') THEN [TRY_CAST(regexp_extract(t, '(\d+)$', 1) AS INT), TRY_CAST(regexp_extract(t, '^\d+[/.\-](\d+)', 1) AS INT), TRY_CAST(regexp_extract(t, '^(\d+)', 1) AS INT)]
+      WHEN regexp_matches(t, '(?i)^\d{1,2}\s+[a-z]{3}[a-z]*\.?,?\s+\d{2,4}$') THEN [TRY_CAST(regexp_extract(t, '(\d+)$', 1) AS INT), list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract(t, '(?i)^\d+\s+([a-z]{3})', 1))), TRY_CAST(regexp_extract(t, '^(\d+)', 1) AS INT)] END AS ymd FROM p),
+    r AS (SELECT *, CASE WHEN ymd[1] >= 100 THEN ymd[1] WHEN ymd[1] >= 70 THEN 1900 + ymd[1] ELSE 2000 + ymd[1] END AS y, CASE WHEN ymd[2] > 12 AND ymd[3] <= 12 THEN ymd[3] ELSE ymd[2] END AS m, CASE WHEN ymd[2] > 12 AND ymd[3] <= 12 THEN ymd[2] ELSE ymd[3] END AS d FROM q),
+    x AS (SELECT *, TRY_CAST(printf('%04d-%02d-%02d', y, m, d) AS DATE) AS day FROM r)
+    SELECT notice_id, CASE WHEN y BETWEEN 1900 AND 2100 THEN strftime(day, '%Y-%m-%d') END AS day, CASE WHEN ymd IS NULL THEN 'unrecognised' WHEN day IS NULL OR y NOT BETWEEN 1900 AND 2100 THEN 'impossible_date' END AS reason FROM x""")
 def d02(spark, d):
     return n.fields(spark, d).select("notice_id", dates.normalize_date(c("last_date")).alias("r")).select("notice_id", c("r.value").alias("day"), "r.reason")
 
 
+FLEXIBLE = "CASE o_orderkey % 6 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || lpad(CAST(year(o_orderdate) % 100 AS STRING), 2, '0') WHEN 2 THEN CAST(month(o_orderdate) AS STRING) || '-' || CAST(day(o_orderdate) AS STRING) || '-' || CAST(year(o_orderdate) AS STRING) WHEN 3 THEN '31 June 2021' WHEN 4 THEN '15.14.2021' ELSE '7 Sept ' || CAST(year(o_orderdate) AS STRING) END"
+
+
+@query("d03_flexible_dates", rf"""WITH t AS (SELECT o_orderkey, {FLEXIBLE} AS t FROM orders),
+    p AS (SELECT *, regexp_matches(t, '^\d{{4}}-') AS iso, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract(t, '^\d+ ([A-Za-z]{{3}})', 1))) AS named, TRY_CAST(regexp_extract(t, '^(\d+)', 1) AS INT) AS a, TRY_CAST(regexp_extract(t, '^\d+[/.\-](\d+)', 1) AS INT) AS b, TRY_CAST(regexp_extract(t, '(\d+)$', 1) AS INT) AS y FROM t),
+    q AS (SELECT *, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS yy, CASE WHEN named > 0 THEN named WHEN b > 12 AND a <= 12 THEN a ELSE b END AS m, CASE WHEN coalesce(named, 0) = 0 AND b > 12 AND a <= 12 THEN b ELSE a END AS d FROM p)
+    SELECT o_orderkey, t AS raw, strftime(CASE WHEN iso THEN TRY_CAST(t AS DATE) WHEN m BETWEEN 1 AND 12 THEN make_date(yy, m, 1) + (d - 1)::INT END, '%Y-%m-%d') AS day FROM q""")
+def d03(spark, d):
+    """Dates of certificates: ISO, numbers, month names; a day beyond its month runs over into the next."""
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{FLEXIBLE} AS raw")
+    return rows.select("o_orderkey", "raw", F.date_format(dates.flexible_date(c("raw")), "yyyy-MM-dd").alias("day"))
+
+
 @query("d04_latest_expiry", with_("fields") + "SELECT o_orderkey AS notice_id, strftime(greatest(o_orderdate::DATE, DATE '1996-06-30'), '%Y-%m-%d') AS expiry, CASE WHEN greatest(o_orderdate::DATE, DATE '1996-06-30') < DATE '1998-01-01' THEN 'error' WHEN greatest(o_orderdate::DATE, DATE '1996-06-30') <= DATE '1998-01-31' THEN 'warning' ELSE 'ok' END AS level FROM orders")
 def d04(spark, d):
     """The latest date in a certificate's text: past is an error, within 30 days a warning."""
@@ -315,7 +360,10 @@ def d06(spark, d):
     return table(spark, d, "orders").groupBy(dates.fiscal_year_label(dates.fiscal_year_start(c("o_orderdate"))).alias("fiscal_year")).agg(F.count("*").alias("n"))
 
 
-@query("d07_d08_durations", with_("fields") + "SELECT notice_id, CASE notice_id % 4 WHEN 0 THEN 24.0 WHEN 1 THEN 18 WHEN 2 THEN 1.5 ELSE 3 END AS months, notice_id % 9 AS years FROM fields")
+_UNIT = r"CASE WHEN regexp_extract(completion_period, '(?i)(\d+(?:\.\d+)?)\s*{0}', 1) <> '' THEN CAST(regexp_extract(completion_period, '(?i)(\d+(?:\.\d+)?)\s*{0}', 1) AS DOUBLE) {1} END"
+
+
+@query("d07_d08_durations", with_("fields") + rf"SELECT notice_id, coalesce({_UNIT.format('year', '* 12')}, {_UNIT.format('month', '')}, {_UNIT.format('week', '/ 4')}, {_UNIT.format('day', '/ 30')}) AS months, coalesce(TRY_CAST(regexp_extract(experience, '(?i)(\d+)\s*(?:year|yr)', 1) AS BIGINT), 0) AS years FROM fields")
 def d07(spark, d):
     return n.fields(spark, d).select("notice_id", dates.duration_months(c("completion_period")).alias("months"), dates.experience_years(c("experience")).cast("long").alias("years"))
 
@@ -325,11 +373,13 @@ def m01(spark, d):
     return n.fields(spark, d).select("notice_id", F.round(money.parse_amount(c("emd_amount")), 2).alias("emd"), F.round(money.parse_amount(c("estimated_cost")), 2).alias("cost"))
 
 
-@query("m02_m05_amount_rules", with_("fields") + f"""SELECT notice_id, CASE WHEN length(regexp_replace(emd_amount, '\\D', '', 'g')) BETWEEN 4 AND 15 THEN CAST(regexp_replace(emd_amount, '\\D', '', 'g') AS DOUBLE) END AS digits, abs(a - 0.02 * b) / abs(0.02 * b) * 100 <= 5 AS near, b <= 0 OR a <= 0.2 * b AS sane
-    FROM (SELECT notice_id, regexp_replace(emd_amount, '\\.\\d{{1,2}}\\b', '', 'g') AS emd_amount, {AMOUNT_SQL.format('emd_amount')} AS a, {AMOUNT_SQL.format('estimated_cost')} AS b FROM fields) WHERE a IS NOT NULL AND b > 0""")
+@query("m02_m05_amount_rules", with_("fields") + f"""SELECT notice_id, CASE WHEN length(regexp_replace(emd_amount, '\\D', '', 'g')) BETWEEN 4 AND 15 THEN CAST(regexp_replace(emd_amount, '\\D', '', 'g') AS DOUBLE) END AS digits, coalesce(abs(a - 0.02 * b) / abs(0.02 * b) * 100 <= 5, false) AS near, coalesce(b <= 0 OR a <= 0.2 * b, true) AS sane
+    FROM (SELECT notice_id, regexp_replace(emd_amount, '\\.\\d{{1,2}}\\b', '', 'g') AS emd_amount, {AMOUNT_SQL.format('emd_amount')} AS a, {AMOUNT_SQL.format('estimated_cost')} AS b FROM fields)""")
 def m02(spark, d):
-    f = n.fields(spark, d).withColumns({"a": money.parse_amount(c("emd_amount")), "b": money.parse_amount(c("estimated_cost"))}).where("a is not null and b > 0")
-    return f.select("notice_id", money.digits_amount(c("emd_amount")).alias("digits"), money.within_percent(c("a"), 0.02 * c("b")).alias("near"), money.sane_deposit(c("a"), c("b")).alias("sane"))
+    """Rules of all deposits; one without an amount is near nothing and within bounds."""
+    f = n.fields(spark, d).withColumns({"a": money.parse_amount(c("emd_amount")), "b": money.parse_amount(c("estimated_cost"))})
+    near, sane = money.within_percent(c("a"), 0.02 * c("b")), money.sane_deposit(c("a"), c("b"))
+    return f.select("notice_id", money.digits_amount(c("emd_amount")).alias("digits"), F.coalesce(near, F.lit(False)).alias("near"), F.coalesce(sane, F.lit(True)).alias("sane"))
 
 
 @query("m03_m06_display", "SELECT o_orderkey, least(98, greatest(35, floor(o_totalprice / 4000 + 0.5))) AS clamped, CASE WHEN v >= 1e7 THEN printf('%.2f Cr', v / 1e7) WHEN v >= 1e5 THEN printf('%.2f L', v / 1e5) ELSE printf('%.2f', v) END AS shown FROM (SELECT *, floor(o_totalprice) * 64 AS v FROM orders)")

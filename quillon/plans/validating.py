@@ -85,7 +85,7 @@ def r05(spark, d):
     return ds.dossiers(spark, d).select("doc_id", "page", va.section_priority(c("text")).alias("s")).select("doc_id", "page", "s.score", "s.section")
 
 
-@query("r06_context_rules", JUDGED_SQL + ", t AS (SELECT *, lower(near || chr(10) || v) AS said FROM judged) SELECT doc_id, page, place, CASE " + " ".join(f"WHEN kind = '{k}' AND regexp_matches(said, '{bad}') AND NOT regexp_matches(said, '{good}') THEN '{reason}'" for k, (bad, good, reason) in va.CONTEXT_RULES.items()) + " END AS reason FROM t")
+@query("r06_field_contexts", JUDGED_SQL + ", t AS (SELECT *, lower(near || chr(10) || v) AS said FROM judged) SELECT doc_id, page, place, CASE " + " ".join(f"WHEN kind = '{k}' AND regexp_matches(said, '{bad}') AND NOT regexp_matches(said, '{good}') THEN '{reason}'" for k, (bad, good, reason) in va.CONTEXT_RULES.items()) + " END AS reason FROM t")
 def r06_contexts(spark, d):
     """Whether a candidate of three kinds stands in a context that is another field's."""
     return judged(spark, d).select("doc_id", "page", "place", va.context_violation(c("kind"), F.concat_ws("\n", "near", "value")).alias("reason"))

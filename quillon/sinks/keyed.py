@@ -64,6 +64,12 @@ def replace(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -
     return tables.append_version(spark.createDataFrame(sorted(lines.items()), "bucket int, folder string").coalesce(1), f"{path}/manifest")
 
 
+def snapshot(df: DataFrame, path: str, summary_type: str, period: str) -> int:
+    """One snapshot of a kind for a period: a later one takes the place of the earlier, whole, when its version is complete."""
+    tagged = df.withColumns({"summary_type": F.lit(summary_type), "period": F.lit(period)})
+    return replace(tagged, path, ["summary_type", "period"], buckets=16)
+
+
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Delete batches that the latest version does not name, once no reader needs older ones; the folders deleted."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

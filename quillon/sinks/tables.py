@@ -1,7 +1,8 @@
 """Tables on plain folders: replace by key, upsert, versions, daily snapshots, incremental loads and exports.
 
-A table that is rewritten is written as a new version beside the old one and read at its highest complete version, so readers
-never see half of a write and a lost executor or driver leaves the old version in place.
+``upsert`` and ``append_version`` write a new version beside the old ones; it is read at its highest complete version, so readers never
+see half of a write and a lost executor or driver leaves the old version in place. ``replace_by_key`` overwrites partitions where they
+are, for keys that are few; ``keyed`` replaces any number of keys beside the old table.
 """
 
 from __future__ import annotations
@@ -20,31 +21,26 @@ def replace_by_key(df: DataFrame, path: str, key: str) -> None:
     df.repartition(F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", DYNAMIC).partitionBy(key).parquet(path)
 
 
-def snapshot(df: DataFrame, path: str, summary_type: str, period: str) -> None:
-    """One snapshot of a kind for a period: a later one of the same day takes the place of the earlier."""
-    tagged = df.withColumns({"summary_type": F.lit(summary_type), "period": F.lit(period)})
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", DYNAMIC).partitionBy("summary_type", "period").parquet(path)
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a table, in order."""
+def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """Versions of a table, in order: the complete ones, or also those that were begun."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(conf)
     if not fs.exists(folder):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    found = [n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    found = [n for n in names if n.startswith("version=") and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))]
     return sorted(int(n.split("=")[1]) for n in found)
 
 
 def append_version(df: DataFrame, path: str, retries: int = 5, wait: float = 0.04) -> int:
     """Write ``df`` as the next version and return its number.
 
-    A writer that finds its number taken tries the next one, up to ``retries`` times with growing waits.
+    A number counts as taken once a writer has begun it, finished or not. One that finds its number taken meanwhile tries the
+    next, up to ``retries`` times with growing waits.
     """
     for attempt in range(1, retries + 1):
-        number = max(versions(df.sparkSession, path), default=0) + attempt
+        number = max(versions(df.sparkSession, path, complete=False), default=0) + 1
         try:
             df.write.mode("errorifexists").parquet(f"{path}/version={number}")
             return number
