@@ -29,8 +29,8 @@ from quillon.llm.grams import WORD_BASE, ranges, slices
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 DIMS = 5
-#: Share of a group that the estimate rests on, concentration steps, and the accuracy of the quantile that takes the share.
-SHARE, STEPS, ACCURACY = 0.75, 4, 10_000
+#: Share of a group that the estimate rests on, the accuracy of the quantile that takes the share, and the fall of a log determinant below which a start has settled.
+SHARE, ACCURACY, SETTLED = 0.75, 10_000, 1e-6
 #: Ways in which a hash halves every group; each half is a start.
 HALVINGS = 3
 #: Least standard deviation of each transformed statistic: what differs by less is alike.
@@ -158,7 +158,7 @@ SHAPE = "lang string, source string, start int, centre array<double>, inverse ar
 
 
 def _distance(one_sided: bool = False) -> Column:
-    """The squared Mahalanobis distance; one-sided: fewer symbols or repeats than usual count as usual."""
+    """The squared Mahalanobis distance; one-sided: fewer symbols or repeats than usual count as usual, so clean texts are no outliers."""
     diff = [F.col(x) - F.col("centre")[i] for i, x in enumerate(X)]
     if one_sided:
         diff = [*diff[:2], *[F.greatest(d, F.lit(0.0)) for d in diff[2:]]]
@@ -177,10 +177,11 @@ def _join(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = ("lang", "
     return rows.join(groups, same).drop(*[f"_{k}" for k in keys])
 
 
-def robust_shapes(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
+def robust_shapes(vectors: DataFrame, share: float = SHARE) -> DataFrame:
     """(lang, source, centre, inverse, log_det): the minimum-covariance-determinant estimate of each group.
 
-    ``vectors`` has lang, source and x0..x4. Groups are tables written to the shared folder, so their true size decides
+    ``vectors`` has lang, source and x0..x4. Every start is concentrated until its determinant falls no more; those that have settled
+    leave the steps that follow. Groups are tables written to the shared folder, so their true size decides
     how they are joined; sums and quantile sketches combine before any shuffle, so a hot group costs no more than
     its share of a scan. The share of a group is taken by a quantile sketch of relative rank error 1 / ``ACCURACY``.
     """
@@ -188,19 +189,31 @@ def robust_shapes(vectors: DataFrame, steps: int = STEPS, share: float = SHARE)
     group = lambda rows, start: rows.groupBy("lang", "source", start.cast("int").alias("start"))
     medians = vectors.groupBy("lang", "source").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in X]).alias("centre"))
     spread = [1.0 / f**2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(DIMS)]
-    medians = medians.select("lang", "source", F.lit(0).alias("start"), "centre", F.array(*[F.lit(v) for v in spread]).alias("inverse"), F.lit(0.0).alias("log_det"))
+    medians = medians.select("lang", "source", F.lit(0).alias("start"), "centre", F.array(*[F.lit(v) for v in spread]).alias("inverse"), F.lit(None).cast("double").alias("log_det"))
     halved = vectors.select("*", F.explode(F.array(*[F.pmod(F.xxhash64(*X, F.lit(k)), F.lit(2)) + 2 * k + 2 for k in range(HALVINGS)])).alias("half"))
     counted = group(vectors, F.lit(1)).agg(*_moments()).unionByName(group(halved, F.col("half")).agg(*_moments()))
-    shapes = materialize(medians.unionByName(counted.mapInPandas(_shapes(factor), SHAPE)), "mcd-0")
-    for k in range(steps):
+    # what starts begin with is no estimate of the share yet, so its determinant is not compared
+    begun = counted.mapInPandas(_shapes(factor), SHAPE).withColumn("log_det", F.lit(None).cast("double"))
+    shapes, settled = materialize(medians.unionByName(begun), "mcd-0"), []
+    step = 0
+    while not step or not shapes.isEmpty():
+        step += 1
         near = _join(vectors, shapes).withColumn("d", _distance()).drop("centre", "inverse", "log_det")
-        limits = materialize(near.groupBy(*KEYS).agg(F.percentile_approx("d", share, ACCURACY).alias("limit")), f"mcd-limit-{k}")
+        limits = materialize(near.groupBy(*KEYS).agg(F.percentile_approx("d", share, ACCURACY).alias("limit")), f"mcd-limit-{step}")
         inside = _join(near, limits, ("lang", "source", "start")).where("d <= limit")
-        spent, shapes = shapes, materialize(inside.groupBy(*KEYS).agg(*_moments()).mapInPandas(_shapes(factor), SHAPE), f"mcd-{k + 1}")
-        discard(spent, limits)
-    best = shapes.groupBy("lang", "source").agg(F.min_by(F.struct("centre", "inverse", "log_det"), F.struct("log_det", "start")).alias("b"))
-    best = materialize(best.select("lang", "source", "b.*"), "mcd-best")
+        new = inside.groupBy(*KEYS).agg(*_moments()).mapInPandas(_shapes(factor), SHAPE)
+        before = shapes.select(*KEYS, *[F.col(c).alias(f"old_{c}") for c in ("centre", "inverse", "log_det")])
+        both = materialize(_join(new, before, ("lang", "source", "start")).withColumn("falls", F.coalesce(F.col("log_det") < F.col("old_log_det") - SETTLED, F.lit(True))), f"mcd-{step}")
+        discard(limits, shapes)
+        settled.append(both)
+        shapes = materialize(both.where("falls").select(*KEYS, "centre", "inverse", "log_det"), f"mcd-on-{step}")
     discard(shapes)
+    ended = settled[0].where("not falls")
+    for more in settled[1:]:
+        ended = ended.unionByName(more.where("not falls"))
+    best = ended.groupBy("lang", "source").agg(F.min_by(F.struct(F.col("old_centre").alias("centre"), F.col("old_inverse").alias("inverse"), F.col("old_log_det").alias("log_det")), F.struct("old_log_det", "start")).alias("b"))
+    best = materialize(best.select("lang", "source", "b.*"), "mcd-best")
+    discard(*settled)
     return best
 
 
