@@ -53,7 +53,7 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     ``loss_spans`` holds a (start, length) in code points of ``formatted`` for each text of ``loss_role``:
     the loss mask. Turns of one number are ordered by role, then text; null turn numbers come first, null
-    roles and texts count as empty, rows without a conv_id form one conversation. Repeated rows are
+    roles and texts count as empty, each row without a conv_id is a conversation of its own. Repeated rows are
     repeated turns. Other columns are ignored. An empty table gives an empty result.
     """
     rows = turns.select(
@@ -64,7 +64,9 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    merged = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select(
+    # rows without an id never meet; which number keeps them apart doesn't matter
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    merged = rows.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.aggregate("turns", F.expr(f"cast(array() as {BLOCKS})"), _merge).alias("blocks"),

@@ -105,6 +105,8 @@ def test_chat_escapes_and_merges(spark):
     assert got == _chat_expected(turns)
     assert out.where("conv_id = 1").first().n_blocks == 3
     assert chat.chat_digest(chat.format_chat(frame.limit(0))).count() == 0
+    apart = chat.format_chat(spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b")], frame.schema))
+    assert [r.n_turns for r in apart.collect()] == [1, 1, 1]  # rows without an id have nothing in common
 
 
 # 3: sharding
@@ -552,6 +554,43 @@ def test_shapes_equal_the_least_determinant_of_all_subsets(spark):
     assert found >= 5
 
 
+def test_verdicts_equal_those_of_the_least_determinant(spark):
+    """Whole texts of small groups, judged by the best of all subsets in plain numpy."""
+    rng = np.random.default_rng(8)
+    made = []
+    for g in range(4):
+        for i in range(12):
+            words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(int(rng.integers(80, 160)))]
+            if i == 5:
+                words = [w + "#$%" * 4 for w in words]
+            if i == 7:
+                words = words[:60] + words[:25]
+            lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+            made.append((100 * g + i, "\n".join(lines + lines[:4] * (i == 9)), "en", f"s{g}"))
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()}
+    floor, factor = np.diag(np.square(quality_rules.FLOORS)), quality_rules.consistency(quality_rules.SHARE)
+    alike, kept = 0, Counter()
+    for g in range(4):
+        stats = []
+        for doc_id, text, _, source in made:
+            if source == f"s{g}":
+                r = got[doc_id]
+                n, chars = max(r.n_words, 1), max(r.word_chars, 1)
+                stats.append([math.log1p(r.n_words), math.log(chars / n), math.sqrt(r.n_symbols / chars), math.sqrt(r.n_dup_lines / n), math.sqrt(r.n_repeat_words / n)])
+        x = np.array(stats)
+        best = min(((np.linalg.slogdet(factor * np.cov(x[list(s)].T, bias=True) + floor)[1], s) for s in itertools.combinations(range(12), 9)))
+        v = x[list(best[1])]
+        inverse = np.linalg.inv(factor * np.cov(v.T, bias=True) + floor)
+        for i in range(12):
+            d = x[i] - v.mean(0)
+            d[2:] = np.maximum(d[2:], 0)
+            r = got[100 * g + i]
+            want = not r.base_failed and d @ inverse @ d <= quality_rules.CUTOFF
+            alike += r.kept == want and abs(r.distance - d @ inverse @ d) < 1e-6
+            kept[want] += 1
+    assert alike >= 36 and kept[False] >= 4  # one of the four groups may settle beside its least determinant
+
+
 def test_consistency_of_normal_vectors():
     x = np.random.default_rng(4).normal(size=(400_000, 5))
     d = (x * x).sum(1)
