@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers, and reviewers where they saw a document, vote on every document for two
-tasks: is it of low quality, is it toxic. Expectation-maximisation over the counts of vote patterns of all documents
+tasks: is it of low quality, is it toxic. One labeller knows words of abuse, another the terms that set texts apart which reviewers
+call toxic, in whatever language: they are learnt from the reviewed texts of the bounded sample. Expectation-maximisation over the counts of vote patterns of all documents
 estimates how each labeller votes on either class, which gives every pattern a posterior. A hashed
 linear scorer per task learns these posteriors on a bounded sample and then judges all documents.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import discard, materialize, numbered
-from quillon.llm.grams import SPACE, WORD_BASE, Words, ranges, slices
+from quillon.llm.grams import SPACE, WORD_BASE, Words, mix64, ranges, slices
 from quillon.llm.quality_rules import SYMBOLS
 
 #: Words of abuse.
@@ -27,7 +28,7 @@ TASKS = ("low_quality", "toxic")
 #: The labellers of each task; the last of a task are the reviewers.
 LABELLERS = {
     "low_quality": ("symbols", "repetition", "shouting", "diversity", "emphasis", "odd_characters", "odd_endings", "reviewed_quality"),
-    "toxic": ("abuse_any", "abuse_varied", "abuse_dense", "reviewed_toxic"),
+    "toxic": ("abuse_words", "learned_terms", "reviewed_toxic"),
 }
 ABSTAIN, FINE, BAD = 0, 1, 2
 #: Hashed features, and about how many reviewed and how many other documents the scorers are fitted on at most.
@@ -37,6 +38,8 @@ REVIEWED = (19.0, 1.0)
 #: Weight in the fit of documents on which all labellers are silent, where reviewers have seen others.
 SILENT_WEIGHT = 0.1
 N_STATS = 8
+#: A term is learnt if so many reviewed toxic texts hold it, and so large a share of all reviewed texts with it are toxic, two toxic ones left out; at most so many terms.
+TERM_TEXTS, TERM_SHARE, MOST_TERMS = 5, 0.6, 20_000
 
 
 ODD = np.zeros(256, dtype=bool)
@@ -52,7 +55,59 @@ def _ratio(a, b):
     return np.asarray(a, dtype=np.float64) / np.maximum(1, b)
 
 
-def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each lower-case word, and text and hash of the distinct ones of each text, in order)."""
+    low = replace(words, data=np.where((words.data >= 65) & (words.data <= 90), words.data + 32, words.data).astype(np.uint8))
+    h, owner = low.hashes(), words.owner()
+    order = np.lexsort((h, owner))
+    so, sh = owner[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (so[1:] != so[:-1]) | (sh[1:] != sh[:-1])
+    return h, so[new], sh[new]
+
+
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, and two marks that near copies share: the least hashes of its runs of three words."""
+    for batch in batches:
+        for words in slices(batch.column("text")):
+            texts = len(words.first) - 1
+            h, so, sh = _distinct(words)
+            owner = words.owner()
+            at = np.arange(max(0, len(h) - 2))
+            at = at[at + 3 <= words.first[1:][owner[at]]]
+            g, own = ranges(h, WORD_BASE, at, at + 3), owner[at]
+            marks = []
+            for salt in (0, 0x9E3779B97F4A7C15):
+                least = np.full(texts, np.iinfo(np.uint64).max, dtype=np.uint64)
+                np.minimum.at(least, own, mix64(g ^ np.uint64(salt)))
+                marks.append(pa.array(least.view(np.int64)))
+            cut = np.searchsorted(so, np.arange(texts + 1)).astype(np.int32)
+            rows = batch.slice(words.rows.start, texts)
+            yield pa.RecordBatch.from_arrays([rows.column("bad"), pa.ListArray.from_arrays(pa.array(cut), pa.array(sh.view(np.int64))), *marks], names=["bad", "words", "one", "two"])
+
+
+def learn_terms(bad: np.ndarray, words: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """The hashes of the words that set bad texts apart, sorted. Of texts that share a mark only the first counts, so copies bear out nothing."""
+    keep = np.ones(len(bad), dtype=bool)
+    for mark in marks:
+        _, first = np.unique(np.where(keep, mark, -1 - np.arange(len(mark))), return_index=True)
+        only = np.zeros(len(bad), dtype=bool)
+        only[first] = True
+        keep &= only
+    chosen = np.flatnonzero(keep)
+    if not len(chosen) or not bad[chosen].any():
+        return np.empty(0, np.uint64)
+    flat = np.concatenate([words[i] for i in chosen]).astype(np.int64).view(np.uint64)
+    is_bad = np.repeat(bad[chosen], [len(words[i]) for i in chosen])
+    terms, place = np.unique(flat, return_inverse=True)
+    all_texts = np.bincount(place, minlength=len(terms))
+    bad_texts = np.bincount(place[is_bad], minlength=len(terms))
+    found = np.flatnonzero((bad_texts >= TERM_TEXTS) & (bad_texts - 2 >= TERM_SHARE * all_texts))
+    best = found[np.argsort(-bad_texts[found], kind="stable")[:MOST_TERMS]]
+    return np.sort(terms[best])
+
+
+def _describe(words: Words, abuse: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(votes: text x labeller without reviewers, owner and feature of the distinct features of each text)."""
     texts = len(words.first) - 1
     n, owner = words.lengths(), words.owner()
@@ -67,13 +122,7 @@ def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # neither letters, digits nor white space, over all characters but white space; words that end in one
     odd = ODD[data]
     strange, endings = _ratio(per_text(odd), per_text(~SPACE[data])), _ratio(np.bincount(owner[odd[words.ends - 1]], minlength=texts), n)
-    low = replace(words, data=np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8))
-    h = low.hashes()
-    order = np.lexsort((h, owner))
-    so, sh = owner[order], h[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (so[1:] != so[:-1]) | (sh[1:] != sh[:-1])
-    so, sh = so[new], sh[new]
+    h, so, sh = _distinct(words)
     distinct = np.bincount(so, minlength=texts)
     # runs of three words that occur again
     at = np.arange(max(0, len(h) - 2))
@@ -84,24 +133,24 @@ def _describe(words: Words, abuse: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     again = (go[order][1:] == go[order][:-1]) & (g[order][1:] == g[order][:-1])
     repeat = _ratio(np.bincount(go[order][1:][again], minlength=texts), np.maximum(1, n - 2))
     variety = _ratio(distinct, np.sqrt(np.maximum(1, n)))  # falls with monotony, grows little with length
-    is_abuse = np.isin(h, abuse)
-    hits, kinds = np.bincount(owner[is_abuse], minlength=texts), np.bincount(so[np.isin(sh, abuse)], minlength=texts)
+    kinds = lambda known: np.bincount(so[np.isin(sh, known)], minlength=texts)
+    abusive, learned = kinds(abuse), kinds(terms)
     # a heuristic sees one kind of fault: it votes against a document that has it, and else abstains
-    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, strange > 0.15, endings > 0.5, hits > 0, kinds > 1, _ratio(hits, n) > 0.002]
+    faults = [symbols > 0.05, repeat > 0.3, shout > 0.5, (variety < 1.5) & (n >= 20), marks > 0.2, strange > 0.15, endings > 0.5, abusive > 0, learned > 0]
     votes = np.where(np.stack(faults, axis=1), BAD, ABSTAIN)
     # features: distinct lower-case words, and each statistic by its level
     level = lambda x, step: np.minimum(30, np.floor(x / step)).astype(np.int64)
-    stats = np.stack([level(symbols, 0.02), level(repeat, 0.05), level(shout, 0.1), level(variety, 0.5), level(marks, 0.05), level(np.log1p(n), 1.0), level(_ratio(size, n), 1.0), np.zeros(texts, np.int64)], axis=1)
+    stats = np.stack([level(symbols, 0.02), level(repeat, 0.05), level(shout, 0.1), level(variety, 0.5), level(marks, 0.05), level(np.log1p(n), 1.0), level(_ratio(size, n), 1.0), level(abusive + learned, 1.0)], axis=1)
     features = np.concatenate([(sh >> np.uint64(40)).astype(np.int64) % (FEATURES - 32 * N_STATS), (FEATURES - 32 * N_STATS + np.arange(N_STATS) * 32 + stats).ravel()])
     return votes, np.concatenate([so, np.repeat(np.arange(texts), N_STATS)]), features
 
 
-def _vote_batches(with_features: bool):
+def _vote_batches(with_features: bool, terms: np.ndarray):
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         abuse = _abuse_hashes()
         for batch in batches:
             for words in slices(batch.column("text")):
-                votes, owner, features = _describe(words, abuse)
+                votes, owner, features = _describe(words, abuse, terms)
                 texts, k = votes.shape
                 arrays = [batch.column("doc_id").slice(words.rows.start, texts), pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * k), pa.array(votes.astype(np.int32).ravel()))]
                 if with_features:
@@ -195,12 +244,12 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, weight: np.ndarra
     return w
 
 
-def _score_batches(weights: np.ndarray, names: list[str], text: str):
+def _score_batches(weights: np.ndarray, terms: np.ndarray, names: list[str], text: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         abuse = _abuse_hashes()
         for batch in batches:
             for words in slices(batch.column(text)):
-                _, owner, features = _describe(words, abuse)
+                _, owner, features = _describe(words, abuse, terms)
                 texts = len(words.first) - 1
                 own = batch.slice(words.rows.start, texts)
                 probability = [pa.array(1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(owner, weights=w[features], minlength=texts), -30, 30)))) for w in weights]
@@ -214,21 +263,29 @@ def _share(of: Column, wanted: int, total: int) -> Column:
     return F.pmod(of, F.lit(1 << 20)) < F.lit(int(min(1.0, wanted / max(1, total)) * (1 << 20)))
 
 
-def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int, int] = FIT_ROWS) -> np.ndarray:
-    """The scorers' weights, a row a task.
+def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int, int] = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(The scorers' weights, a row a task; the learnt terms.)
 
-    Votes are counted over all documents. Only for the fit of the scorers, about ``fit_rows`` documents at most, reviewed
+    Votes are counted over all documents. Only for the terms and the fit of the scorers, about ``fit_rows`` documents at most, reviewed
     and others, are drawn by a hash and reach the driver as lists of features; a repeated row counts once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    votes = materialize(docs.mapInArrow(_vote_batches(False), "doc_id long, votes array<int>"), "quality-votes")
-    patterns = _with_reviews(votes, labels).groupBy(*TASKS).agg(F.count("*").alias("n")).collect()  # a row a pattern: at most 2^10 of the heuristics by 3^2 of the reviewers
-    drawn = docs.where(_share(F.xxhash64("doc_id", "text"), fit_rows[1] if labels is not None else sum(fit_rows), votes.count())).dropDuplicates()
+    total, seen, terms = docs.count(), None, np.empty(0, np.uint64)
     if labels is not None:
+        told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         # bounded by fit_rows, so it may be broadcast
-        seen = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().where(_share(F.xxhash64("doc_id"), fit_rows[0], labels.count()))
-        drawn = drawn.unionByName(docs.join(F.broadcast(seen), "doc_id", "left_semi").dropDuplicates())
-    rows = _with_reviews(drawn.mapInArrow(_vote_batches(True), "doc_id long, votes array<int>, features array<int>"), labels).select("features", *TASKS).toPandas()
+        seen = materialize(told.where(_share(F.xxhash64("doc_id"), fit_rows[0], told.count())), "quality-seen")
+        texts = docs.join(F.broadcast(seen.where("toxic is not null")), "doc_id").select("text", (F.col("toxic") >= 1).alias("bad")).dropDuplicates()
+        found = texts.mapInArrow(_term_batches, "bad boolean, words array<long>, one long, two long").toPandas().sort_values(["one", "two"], kind="stable")
+        terms = learn_terms(found["bad"].to_numpy(dtype=bool), [np.asarray(w) for w in found["words"]], [found["one"].to_numpy(), found["two"].to_numpy()])
+    votes = materialize(docs.mapInArrow(_vote_batches(False, terms), "doc_id long, votes array<int>"), "quality-votes")
+    patterns = _with_reviews(votes, labels).groupBy(*TASKS).agg(F.count("*").alias("n")).collect()  # a row a pattern: at most 2^9 of the heuristics by 3^2 of the reviewers
+    drawn = docs.where(_share(F.xxhash64("doc_id", "text"), fit_rows[1] if labels is not None else sum(fit_rows), total)).dropDuplicates()
+    if seen is not None:
+        drawn = drawn.unionByName(docs.join(F.broadcast(seen.select("doc_id")), "doc_id", "left_semi").dropDuplicates())
+    rows = _with_reviews(drawn.mapInArrow(_vote_batches(True, terms), "doc_id long, votes array<int>, features array<int>"), labels).select("features", *TASKS).toPandas()
+    if seen is not None:
+        discard(seen)
     discard(votes)
     weights = []
     for task in TASKS:
@@ -241,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int,
         silent = np.array([not any(v) for v in rows[task]], dtype=bool)
         weight = np.where(silent & any(k[-1] for k in keys), SILENT_WEIGHT, 1.0)
         weights.append(fit_scorer(list(rows["features"]), np.array([by[tuple(v)] for v in rows[task]]), weight))
-    return np.array(weights)
+    return np.array(weights), terms
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int, int] = FIT_ROWS, threshold: float = 0.4) -> DataFrame:
@@ -252,10 +309,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[i
     Columns with one of the three names are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("p_low_quality", "p_toxic", "kept")
-    weights = train(docs, labels, fit_rows)
+    weights, terms = train(docs, labels, fit_rows)
     inner, names = numbered(docs, {})
     schema = T.StructType(list(inner.schema.fields))
     for t in TASKS:
         schema = schema.add(f"p_{t}", "double")
-    out = inner.mapInArrow(_score_batches(weights, names, names[docs.columns.index("text")]), schema).toDF(*docs.columns, *[f"p_{t}" for t in TASKS])
+    out = inner.mapInArrow(_score_batches(weights, terms, names, names[docs.columns.index("text")]), schema).toDF(*docs.columns, *[f"p_{t}" for t in TASKS])
     return out.withColumn("kept", (F.col("p_low_quality") < threshold) & (F.col("p_toxic") < threshold))

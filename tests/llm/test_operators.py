@@ -322,20 +322,30 @@ def test_components_of_a_long_path(spark):
 
 
 def test_classifier_on_labels_it_has_not_seen(spark):
-    sf = "/root/testdata/sf0.01"
+    """All held-out labels count, also those of toxic texts without any word of the list: terms of other languages are learnt."""
+    sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     seen = labels.where("doc_id % 2 = 0")
     got = quality_model.classify(docs, seen).join(labels.where("doc_id % 2 = 1").withColumnRenamed("quality", "q"), "doc_id").select("q", "toxic", "kept", "text").collect()
-    abusive = lambda r: bool(re.search(r"(?i)\b(" + "|".join(quality_model.ABUSE) + r")\b", r.text or ""))
+    listed = lambda r: bool(re.search(r"(?i)\b(" + "|".join(quality_model.ABUSE) + r")\b", r.text or ""))
     low = [r for r in got if r.q == 0 and r.toxic == 0]
-    toxic = [r for r in got if r.toxic == 1 and abusive(r)]  # labels of texts without a word of abuse are the reviewers' errors
+    toxic = [r for r in got if r.toxic == 1]
+    other = [r for r in toxic if not listed(r)]
     fine = [r for r in got if r.q == 1 and r.toxic == 0]
     assert sum(not r.kept for r in low) >= 0.9 * len(low)
-    assert sum(not r.kept for r in toxic) >= 0.95 * len(toxic) > 5
+    assert sum(not r.kept for r in toxic) >= 0.9 * len(toxic) and sum(not r.kept for r in other) >= 0.8 * len(other) > 40
     assert sum(r.kept for r in fine) >= 0.98 * len(fine)
 
 
+def test_terms_are_learnt_from_texts_that_are_no_copies():
+    words = [np.array([1, 100 + i]) for i in range(6)] + [np.array([2, 3, 200 + i]) for i in range(6)] + [np.array([2, 9])] * 50
+    bad = np.array([True] * 6 + [True] * 6 + [False] * 50)
+    marks = np.array([*range(6), *[7] * 6, *range(1000, 1050)])  # the second six are copies of one text
+    assert quality_model.learn_terms(bad, words, [marks, marks + 5]).tolist() == [1]
+    assert quality_model.learn_terms(bad & False, words, [marks]).tolist() == [] and quality_model.learn_terms(bad[:0], [], [marks[:0]]).tolist() == []
+
+
 def _votes(rng, truth, labellers):
     """Votes of independent labellers: (right of bad, wrong of fine) each, where they speak at all."""
     out = []
