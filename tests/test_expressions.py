@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import aliases, dates, money, text
-from quillon.operators import aggregates, documents, filters, joins, ranking
+from quillon.functions import dates, money, text
+from quillon.operators import aggregates, documents, filters, joins, labels, ranking
 
 
 def one(spark, column):
@@ -91,9 +91,10 @@ def test_rolling_hash(spark):
 
 def test_aliases_and_recovery(spark):
     registry = (("Earnest Money", 9, ("EMD",), ("(?i)\\bdeposit\\b",), ()), ("Period", 5, ("Completion Period", "EMD"), (), ("completion",)))
-    got = [one(spark, aliases.resolved(F.lit(x), registry)) for x in ("E.M.D", "emd:", "Earnest Money", "the deposit", "period of completion", "nothing")]
-    assert [g and (g.name, g.score, g.method) for g in got] == [
-        None, ("Earnest Money", 95, "exact_alias"), ("Earnest Money", 99, "exact_canonical"), ("Earnest Money", 90, "pattern"), ("Period", 85, "semantic"), None]
+    said = ("E.M.D", "emd:", "Earnest Money", "the deposit", "period of completion", "nothing")
+    found = labels.resolved_labels(spark.createDataFrame([(x,) for x in said], "label string"), labels.registry_tables(spark, registry))
+    assert {r.label: (r.standard, r.score, r.method) for r in found.collect()} == {
+        "emd:": ("Earnest Money", 95, "exact_alias"), "Earnest Money": ("Earnest Money", 99, "exact_canonical"), "the deposit": ("Earnest Money", 90, "pattern"), "period of completion": ("Period", 85, "semantic")}
     back = one(spark, text.recovered(F.lit("Bid End: 1 May\nx"), [r"End date (\d+)"], ["Bid End"]))
     assert (back.value, back.confidence) == ("1 May", 0.80)
     assert one(spark, text.deduped(F.array(F.lit("Cement"), F.lit("cement bags"), F.lit("12"), F.lit("Steel")))) == ["cement bags", "Steel"]
