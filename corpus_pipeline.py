@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing, neardup, quality_model, sentencepiece_scan, substring
-from quillon.llm.common import documents, materialize
+from quillon.llm.common import discard, documents, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -54,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; between stages the rows are a table in the shared folder."""
-    docs = documents(spark, sf_dir)
+    """All stages over the table of documents; between stages the rows are a table in the shared folder, deleted once its successor stands.
+
+    The table before the last stage stays, as the result reads it.
+    """
+    docs, spent = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            if spent is not None:
+                discard(spent)
+            spent = docs
     return docs
