@@ -3,7 +3,8 @@
 A text's paragraphs are its lines, cut after sentences, so an edit touches only the paragraphs it is in. Each different
 paragraph has a 64-bit digest. A table has three regions of cells; a digest adds its count, itself and its
 check to one cell of each region. The fingerprint is the first, small table. Tables of two versions are
-subtracted, and peeling cells that hold a single digest recovers the digests that differ. Where peeling stalls, a
+subtracted, and peeling cells that hold a single digest recovers the digests that differ. The counts of the cells tell beforehand
+about how many differ, so peeling is not begun where it cannot end; there, and where it stalls, a
 larger table with other places is tried, split into sub-tables by a hash so that the work grows with the text and not
 with its square.
 
@@ -24,6 +25,8 @@ from quillon.llm.common import discard, materialize, numbered
 FIRST, RETRIES, LOAD = 8, (32, 64, 128), 12
 #: Rounds of peeling, each of the cells of one region in turn, so that no digest is taken out twice.
 ROUNDS = 9
+#: Differing digests, by the estimate, to a cell of the first table from which its peeling is not begun: no table can give off more than it has cells.
+HOPELESS = 1.25
 #: Texts in a partition of the tables.
 PART_ROWS = 2000
 LEAST = -(1 << 63)
@@ -68,8 +71,27 @@ def peel(table: DataFrame, by: list[str], cells: int, salt: int, rounds: int = R
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Dealt out by row, so that every aggregation after it finds a text's rows in one place."""
-    return rows.repartition(max(1, rows.count() // PART_ROWS), "row")
+    """Dealt out by row, so that every aggregation after it finds a text's rows in one place: as many parts as the session's shuffles have, or more for few cores."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    return rows.repartition(max(1, min(rows.count() // PART_ROWS, most)), "row")
+
+
+def _estimate(squares: Column, total: Column, cells: int) -> Column:
+    """How many digests differ, from the counts of the cells of all three regions: their squares' sum, and the sum of all counts.
+
+    A digest of either version alone adds one to the expected square of its cell; what the two sizes differ by spreads over all.
+    """
+    even = total / 3
+    return F.greatest(F.lit(0.0), (squares / 3 - even * even / cells) / (1 - 1 / cells))
+
+
+def _begun(table: DataFrame, cells: int) -> DataFrame:
+    """A table (row, side, part, cell, ...) without the cells of pairs that differ in too much to be peeled: one inert cell stands for them."""
+    pair = Window.partitionBy("row", "side", "part")
+    rows = table.withColumns({"squares": F.sum(F.col("n") * F.col("n")).over(pair), "total": F.sum("n").over(pair), "least": F.min("cell").over(pair)})
+    hopeless = _estimate(F.col("squares"), F.col("total"), cells) > HOPELESS * 3 * cells
+    kept = rows.withColumn("hopeless", hopeless).where(~F.col("hopeless") | (F.col("cell") == F.col("least")))
+    return kept.withColumn("n", F.when(F.col("hopeless"), 2).otherwise(F.col("n")).cast("long")).select(*table.columns)
 
 
 def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool, sizes: bool = False) -> DataFrame:
@@ -80,7 +102,8 @@ def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool, sizes: bool =
     signed = pairs.withColumn("parts", parts).select("row", "side", "parts", F.explode(F.concat(side("one", 1), side("other", -1))).alias("s"))
     signed = signed.select("row", "side", F.pmod(F.hash("s.d", F.lit(salt)), F.col("parts")).alias("part"), "s.d", "s.sign")
     by = ["row", "side", "part"]
-    found = peel(_cells(signed, by, cells, salt), by, cells, salt)
+    table = _cells(signed, by, cells, salt)
+    found = peel(table if split else _begun(table, cells), by, cells, salt)
     # ok: no cell is left over, also for a pair of texts without any digest
     recovered = lambda sign: F.when((F.col("n") == sign) & F.col("d").isNotNull(), F.col("d"))
     pick = lambda sign: F.count(recovered(sign)) if sizes else F.collect_list(recovered(sign))
@@ -126,6 +149,22 @@ def encode(items: DataFrame, cells: int = FIRST) -> DataFrame:
     )
 
 
+def likeness(one: Column, other: Column, cells: int = FIRST) -> Column:
+    """About how alike two texts are, from their fingerprints alone: the share of paragraphs in common, exact for equal fingerprints.
+
+    The counts of the subtracted cells tell how many paragraphs differ, the counts of either how many there are. With 24 cells the number
+    that differ is known to about a third of itself. Counts of a cell are kept modulo 2^16.
+    """
+    count = lambda f, i: F.conv(F.substr(f, i * 28 + 1, F.lit(4)), 16, 10).cast("long")
+    at = F.sequence(F.lit(0), F.lit(3 * cells - 1))
+    summed = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    size = lambda f: summed(F.transform(at, lambda i: count(f, i))) / 3
+    apart = F.transform(at, lambda i: count(one, i) - count(other, i))
+    differ = _estimate(summed(F.transform(apart, lambda v: v * v)), summed(apart), cells)
+    both = size(one) + size(other)
+    return F.when(one == other, 1.0).otherwise(F.greatest(F.lit(0.0), (both - differ) / (both + differ)))
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """(key, next_key, next_rev): for each doc_id the next one in descending order, after the last the first.
 

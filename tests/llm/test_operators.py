@@ -479,6 +479,23 @@ def test_fingerprints_recover_what_differs(spark, sf, rows):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_likeness_of_two_fingerprints_alone(spark):
+    rng = np.random.default_rng(4)
+    made, want = [], []
+    for i in range(300):
+        n, same = int(rng.integers(20, 120)), rng.random()
+        one = [f"line {i} {k}" for k in range(n)]
+        other = [x if rng.random() < same else f"other {i} {k}" for k, x in enumerate(one)]
+        made += [(2 * i, "\n".join(one)), (2 * i + 1, "\n".join(other))]
+        want.append(len(set(one) & set(other)) / len(set(one) | set(other)))
+    prints = fingerprint.fingerprint(spark.createDataFrame(made, "doc_id long, text string")).select("doc_id", "fingerprint")
+    pairs = prints.where("doc_id % 2 = 0").join(prints.select((F.col("doc_id") - 1).alias("doc_id"), F.col("fingerprint").alias("other")), "doc_id")
+    got = {r.doc_id // 2: r.l for r in pairs.select("doc_id", fingerprint.likeness(F.col("fingerprint"), F.col("other")).alias("l")).collect()}
+    wrong = np.array([got[i] - want[i] for i in range(300)])
+    assert abs(wrong.mean()) < 0.03 and np.abs(wrong).mean() < 0.15
+    assert prints.select(fingerprint.likeness(F.col("fingerprint"), F.col("fingerprint")).alias("l")).where("l <> 1").count() == 0
+
+
 def test_fingerprints_of_odd_rows_and_of_none(odd):
     assert fingerprint.compare_edits(odd).count() == odd.count()
     assert fingerprint.compare_edits(odd.limit(0)).count() == 0
