@@ -57,7 +57,7 @@ def context(pages: DataFrame, key: str, page: str, text: str, reach: int = 1, ca
 
 def html_text(html):
     """The text of a web page: no scripts, styles or tags; blocks end lines."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    out = F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
     out = F.regexp_replace(out, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>", "\n")
     return F.regexp_replace(F.regexp_replace(out, r"<[^>]+>", " "), r"[ \t]+", " ")
 

@@ -430,13 +430,13 @@ def al01(spark, d):
     return f.withColumns({"level": dates.expiry_level(F.col("days")), "compat_level": dates.expiry_level(F.col("days"), compat=True)}).where("level is not null")
 
 
-RULES = (("contract_expiry", 7, "critical"), ("contract_expiry", 30, "high"), ("amc_expiry", 7, "critical"), ("amc_expiry", 30, "high"), ("agreement_expiry", 15, "high"))
+RULES = (("contract_expiry", 0, "critical"), ("contract_expiry", 7, "critical"), ("contract_expiry", 30, "high"), ("amc_expiry", 7, "critical"), ("amc_expiry", 30, "high"), ("agreement_expiry", 15, "high"))
 
 
-@query("al02_rule_alerts", with_("contracts") + f""", r AS (SELECT * FROM (VALUES ('contract_expiry', 7, 'critical', 1), ('contract_expiry', 30, 'high', 2), ('amc_expiry', 7, 'critical', 3), ('amc_expiry', 30, 'high', 4), ('agreement_expiry', 15, 'high', 5)) v(kind, n, priority, k)),
+@query("al02_rule_alerts", with_("contracts") + f""", r AS (SELECT * FROM (VALUES ('contract_expiry', 0, 'critical', 0), ('contract_expiry', 7, 'critical', 1), ('contract_expiry', 30, 'high', 2), ('amc_expiry', 7, 'critical', 3), ('amc_expiry', 30, 'high', 4), ('agreement_expiry', 15, 'high', 5)) v(kind, n, priority, k)),
     d AS (SELECT tender_id, 'contract_expiry' AS kind, contract_end AS due FROM contracts UNION ALL SELECT tender_id, 'amc_expiry', contract_end - INTERVAL 45 DAY FROM contracts UNION ALL SELECT tender_id, 'agreement_expiry', contract_end - INTERVAL 20 DAY FROM contracts),
     x AS (SELECT tender_id, kind, {DAYS_SQL.format('due')} AS days FROM d)
-    SELECT tender_id, x.kind, days, priority FROM x JOIN r ON x.kind = r.kind AND days BETWEEN 0 AND n QUALIFY row_number() OVER (PARTITION BY tender_id, x.kind ORDER BY k) = 1
+    SELECT tender_id, x.kind, days, priority FROM x JOIN r ON x.kind = r.kind AND (n = 0 AND days < 0 OR n > 0 AND days BETWEEN 0 AND n) QUALIFY row_number() OVER (PARTITION BY tender_id, x.kind ORDER BY k) = 1
     UNION ALL SELECT tender_id, 'revenue_delay', NULL, 'medium' FROM contracts WHERE tender_id % 4 = 0 AND contract_end < {TS} UNION ALL SELECT tender_id, 'pending_billing', NULL, 'medium' FROM contracts WHERE tender_id % 8 = 0""")
 def al02(spark, d):
     """Dates of contracts against the rules, the first rule that fits; overdue revenue and open billing beside them.

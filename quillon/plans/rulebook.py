@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import model_output, rule_table
+from quillon.functions import dates
+from quillon.functions import text as tx
+from quillon.operators import documents, model_output, rule_table
 from quillon.plans.registry import query
 from quillon.plans.sinks import _folder
 from quillon.plans.texts import LINES
@@ -86,3 +88,57 @@ def sk01_keyed(spark, d):
     # keys that have no new rows at all keep their old ones; here every such key is dropped by hand
     kept = keyed.read(spark, path)
     return kept.join(gone.where("not even").select("o_custkey"), "o_custkey", "left_anti").select("o_orderkey", "o_custkey", "price")
+
+
+# checklists of tenders, and web pages as documents
+
+
+#: Groups of items that are kept per state, kinds of experience, tax returns of so many years, and the first year of all.
+STATE_GROUPS, EXPERIENCE, RETURNS, FIRST_YEAR = ("gst", "pf", "esic"), ("work_orders", "completion_certificates"), 5, 1988
+NOW = "TIMESTAMP '1998-01-01'"
+_FY = "CAST(y AS STRING) || '-' || lpad(CAST((y + 1) % 100 AS STRING), 2, '0')"
+
+
+@query("r27_tender_checklists", f"""WITH t AS (SELECT c_custkey AS tender, c_custkey % 9 AS least FROM customer), s AS (SELECT n_nationkey AS code, n_name AS name FROM nation), y AS (SELECT unnest(generate_series({FIRST_YEAR}, 1997)) AS y),
+    i AS (SELECT tender, unnest([{', '.join(f"'{g}_header'" for g in STATE_GROUPS)}, 'itr_header']) AS item, NULL AS name, false AS required FROM t
+      UNION ALL SELECT tender, g || '_state_' || code, name, false FROM t, s, (VALUES {', '.join(f"('{g}')" for g in STATE_GROUPS)}) AS g(g)
+      UNION ALL SELECT tender, e || '_header', NULL, least > 0 FROM t, (VALUES {', '.join(f"('{e}')" for e in EXPERIENCE)}) AS e(e)
+      UNION ALL SELECT tender, e || '_' || {_FY}, {_FY}, y > 1997 - least FROM t, y, (VALUES {', '.join(f"('{e}')" for e in EXPERIENCE)}) AS e(e)
+      UNION ALL SELECT tender, 'itr_' || {_FY}, {_FY}, false FROM t, y WHERE y > 1997 - {RETURNS})
+    SELECT tender, item, name, required FROM i""")
+def r27_tenders(spark, d):
+    """The checklist of each tender: items per state, experience by fiscal year with as many suggested as the tender asks for, tax returns.
+
+    The catalogue is a row's array of structs, as its size is fixed but for the states, which come as one array in one row.
+    """
+    states = table(spark, d, "nation").agg(F.collect_list(F.struct(c("n_nationkey").cast("string").alias("code"), c("n_name").alias("name"))).alias("states"))
+    item = lambda i, name, required: F.struct(i.alias("item"), name.cast("string").alias("name"), required.alias("required"))
+    none, no = F.lit(None), F.lit(False)
+    start = dates.fiscal_year_start(F.expr(NOW))
+    label = lambda y: F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"))
+    years = F.sequence(F.lit(FIRST_YEAR), start)
+    parts = [F.array(*[item(F.lit(f"{g}_header"), none, no) for g in (*STATE_GROUPS, "itr")], *[item(F.lit(f"{e}_header"), none, c("least") > 0) for e in EXPERIENCE])]
+    for g in STATE_GROUPS:
+        parts.append(_per_state(g, item, no))
+    for e in EXPERIENCE:
+        parts.append(_per_year(e, years, lambda y: y > start - c("least"), label, item))
+    parts.append(_per_year("itr", F.sequence(start - RETURNS + 1, start), lambda y: no, label, item))
+    tenders = table(spark, d, "customer").select(c("c_custkey").alias("tender"), (c("c_custkey") % 9).alias("least")).crossJoin(F.broadcast(states))
+    return tenders.select("tender", F.explode(F.concat(*parts)).alias("i")).select("tender", "i.*")
+
+
+def _per_state(group: str, item, required):
+    return F.transform("states", lambda s: item(F.concat(F.lit(f"{group}_state_"), s["code"]), s["name"], required))
+
+
+def _per_year(kind: str, years, required, label, item):
+    return F.transform(years, lambda y: item(F.concat(F.lit(f"{kind}_"), label(y)), label(y), required(y)))
+
+
+@query("sc04_page_text", r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g') AS t FROM pages),
+    l AS (SELECT page_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM h)
+    SELECT page_id, len(lines) AS n_lines, length(t) AS chars, md5(array_to_string(lines, chr(10))) AS digest FROM l""")
+def sc04_page_text(spark, d):
+    """The text of web pages without scripts, styles and tags: its lines, length and digest."""
+    rows = table(spark, d, "pages").select("page_id", documents.html_text(c("html")).alias("t"))
+    return rows.select("page_id", F.size(tx.lines(c("t"))).cast("long").alias("n_lines"), F.char_length("t").cast("long").alias("chars"), F.md5(F.array_join(tx.lines(c("t")), "\n")).alias("digest"))
