@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import sections as se
 from quillon.functions import text as tx
 from quillon.operators import locate as lo
 from quillon.operators import mapping
@@ -340,3 +341,53 @@ def st18_pages(spark, d):
 def st19_pairs(spark, d):
     """Why a stated pair is of no business interest, by all rules in their order."""
     return pairs(spark, d).select("doc_id", "page", "place", F.coalesce(tx.irrelevance(c("name"), c("value")), F.lit("relevant")).alias("reason"))
+
+
+# sections of pages by whole definitions
+
+
+def _keyword_sql(keyword: str) -> str:
+    if " " in keyword:
+        return f"(length(low) - length(replace(low, '{keyword}', ''))) // {len(keyword)}"
+    return f"len(regexp_extract_all(low, '\\b{keyword}\\b'))"
+
+
+def _sections_sql() -> str:
+    rows = []
+    for name, keywords, patterns, titles in se.DEFINITIONS:
+        words = " + ".join(f"{tx.keyword_weight(k)} * ({_keyword_sql(k)})" for k in keywords)
+        marks = " + ".join([f"CASE WHEN regexp_matches(head, '(?i){p}') THEN {se.PATTERN} ELSE 0 END" for p in patterns] + [f"CASE WHEN regexp_matches(head, '(?i){t}') THEN {se.TITLE} ELSE 0 END" for t in titles])
+        lines = " + ".join(f"{se.HEADING} * len(list_filter(h, lambda x: regexp_matches(x, '(?i){p}')))" for p in patterns)
+        until, boost = se.EARLY.get(name, (0, 0))
+        rows.append(f"SELECT doc_id, page, '{name}' AS section, {words} + {marks} + {lines} + CASE WHEN page <= {until} THEN {boost} ELSE 0 END AS score FROM heads")
+    return " UNION ALL ".join(rows)
+
+
+SECTIONS_SQL = WITH + r""", l AS (SELECT doc_id, page, text, list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 120), lambda x: regexp_matches(x, '(?i)^(?:section|chapter|part|schedule)\s+[\divxlc]+')
+      OR regexp_matches(x, '^[A-Z][A-Z0-9\s\-–—:()]{6,}$') AND NOT regexp_matches(x, '(?i)shall|must|will') OR regexp_matches(x, '^(?:\d+\.?\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,6}$') AND length(x) < 80)[:15] AS h FROM dossiers),
+    heads AS (SELECT doc_id, page, h, left(text, 5000) AS head, lower(left(text, 5000)) AS low FROM l), scored AS (""" + _sections_sql() + """),
+    found AS (SELECT doc_id, page, section, score, least(99, greatest(35, floor(40 + score * 2.5 + 0.5)))::INT AS base FROM scored WHERE score >= 4),
+    sections AS (SELECT doc_id, page, section, score::INT AS score, CASE WHEN section = 'Annexures' AND page <= 5 THEN greatest(35, base - 15) ELSE base END AS confidence FROM found
+      UNION ALL SELECT doc_id, page, CASE WHEN page <= 5 THEN 'Identity' WHEN page <= 20 THEN 'Eligibility' ELSE 'Scope' END, 0, 45 FROM dossiers d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = d.doc_id AND f.page = d.page))"""
+
+
+def page_sections(spark, d):
+    """(doc_id, page, section, score, confidence) of every page, by the ten definitions; a page without any counts by its number."""
+    hits = ds.dossiers(spark, d).select("doc_id", "page", se.section_hits(c("text"), tx.headings(c("text")), c("page")).alias("hits"))
+    scored = hits.select("doc_id", "page", F.transform("hits", lambda x: F.struct(x["section"].alias("section"), se.score_of(x).cast("int").alias("score"))).alias("s"))
+    kept = scored.select("doc_id", "page", F.filter("s", lambda x: x["score"] >= se.LEAST).alias("s"))
+    every = F.when(F.size("s") > 0, c("s")).otherwise(F.array(F.struct(se.fallback(c("page")).alias("section"), F.lit(0).alias("score"))))
+    rows = kept.select("doc_id", "page", F.explode(every).alias("x")).select("doc_id", "page", "x.*")
+    return rows.withColumn("confidence", F.when(c("score") == 0, se.FALLBACK).otherwise(se.confidence_of(c("score"), c("section"), c("page"))))
+
+
+@query("r03_dossier_sections", SECTIONS_SQL + " SELECT * FROM sections")
+def r03_dossiers(spark, d):
+    return page_sections(spark, d)
+
+
+@query("a16_dossier_rollup", SECTIONS_SQL + " SELECT doc_id, section, floor(avg(confidence) + 0.5)::INT AS confidence, min(page) AS first, max(page) AS last, count(DISTINCT page) AS pages, max(score) AS best FROM sections GROUP BY 1, 2")
+def a16_dossiers(spark, d):
+    """Sections of a document: mean confidence, first and last page, number of pages, best score."""
+    return page_sections(spark, d).groupBy("doc_id", "section").agg(
+        F.floor(F.avg("confidence") + 0.5).cast("int").alias("confidence"), F.min("page").alias("first"), F.max("page").alias("last"), F.countDistinct("page").alias("pages"), F.max("score").alias("best"))
