@@ -21,6 +21,8 @@ ANYWHERE = (
     r"(?=\s+[A-Za-z][A-Za-z0-9\s/().&,'°#%\-]{2,35}?\s*[:=–—\-]|\n\n|$)"
 )
 NOISE_NAME = r"(?i)^(?:page\s*no\.?|index|schedule|sl\.?\s*no\.?|sr\.?\s*no\.?|\d+)$"
+#: What a line must have for a family to be tried on it: a look at these is far cheaper than the pattern itself.
+NEEDS = {"chained": "[:=–—-]", "colon": "[:=]", "dash": r"\s-\s", "numbered": "[:=]", "spaced": r"\s\s", "dots": r"[\s.][\s.][\s.]", "pipe": r"\|", "anywhere": "[:=–—-]"}
 ONLY_MONEY, ONLY_RULES = r"(?i)^[\d.,\s₹RsINR]+$", r"^[\s|+\-=_.]+$"
 LONGEST_VALUE = 1200
 
@@ -52,7 +54,7 @@ def _found(family: str, i: Column, name: Column, value: Column, base=None) -> Co
 
 def _one(family: str, line: Column, pattern: str, cut: bool = True) -> Column:
     name, value = F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)
-    keep = name != ""
+    keep = line.rlike(NEEDS[family]) & (name != "")
     if family == "pipe":
         keep = keep & ~F.trim(name).rlike(PIPE_HEAD)
     return F.when(keep, F.array(_found(family, F.lit(0), name, before_next_label(value) if cut else value)))
@@ -65,14 +67,15 @@ def line_matches(line: Column) -> Column:
     cells = F.filter(F.transform(F.split(line, "\t"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(cells) / 2).cast("int") - 1), lambda i: _found("tabs", i, F.element_at(cells, 2 * i + 1), F.element_at(cells, 2 * i + 2), F.when(F.size(cells) == 2, FAMILIES["tabs"]).otherwise(MANY_TABS)))
     tabs = F.when(F.contains(line, F.lit("\t")) & (F.size(cells) >= 2) & (F.size(cells) % 2 == 0), pairs)
-    ways = [F.when(F.size(labels) > 0, chained), _one("colon", line, COLON), _one("dash", line, DASH), tabs, _one("numbered", line, NUMBERED), _one("spaced", line, SPACED), _one("dots", line, DOTS, cut=False), _one("pipe", line, PIPE, cut=False)]
+    ways = [F.when(line.rlike(NEEDS["chained"]) & (F.size(labels) > 0), chained), _one("colon", line, COLON), _one("dash", line, DASH), tabs, _one("numbered", line, NUMBERED), _one("spaced", line, SPACED), _one("dots", line, DOTS, cut=False), _one("pipe", line, PIPE, cut=False)]
     return F.flatten(F.array_compact(F.array(*ways)))
 
 
 def anywhere_matches(text: Column) -> Column:
     """Names and values anywhere in a page, across its lines; the last family."""
     names, values = (F.regexp_extract_all(text, F.lit(ANYWHERE), F.lit(g)) for g in (1, 2))
-    return F.transform(names, lambda name, i: _found("anywhere", i, name, before_next_label(F.element_at(values, i + 1))))
+    found = F.transform(names, lambda name, i: _found("anywhere", i, name, before_next_label(F.element_at(values, i + 1))))
+    return F.when(text.rlike(NEEDS["anywhere"]), found)
 
 
 def page_parameters(pages: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:

@@ -199,29 +199,25 @@ def st27(spark, d):
 # parameters of whole pages
 
 
-def _cut_sql(value: str) -> str:
-    n = pm.NEXT_LABEL.replace("'", "''")
-    return f"trim(CASE WHEN regexp_extract({value}, '(?is)^(.+?)\\s+{n}', 1) <> '' AND NOT regexp_matches({value}, '(?i)^\\s+{n}') THEN regexp_extract({value}, '(?is)^(.+?)\\s+{n}', 1) ELSE {value} END)"
-
-
 def _family_sql(k: int, family: str, pattern: str, cut: bool = True, where: str = "true") -> str:
     p = pattern.replace("'", "''")
-    value = f"regexp_extract(said, '{p}', 2)"
-    return f"SELECT doc_id, page, line, {k} AS ord, '{family}' AS family, 0 AS i, regexp_extract(said, '{p}', 1) AS name, {_cut_sql(value) if cut else value} AS value, {pm.FAMILIES[family]} AS base FROM trimmed WHERE regexp_extract(said, '{p}', 1) <> '' AND {where}"
+    return f"SELECT doc_id, page, line, {k} AS ord, '{family}' AS family, 0 AS i, regexp_extract(said, '{p}', 1) AS name, regexp_extract(said, '{p}', 2) AS raw, {cut} AS cut, {pm.FAMILIES[family]} AS base FROM trimmed WHERE CASE WHEN regexp_matches(said, '{pm.NEEDS[family]}') THEN regexp_matches(said, '{p}') ELSE false END AND {where}"
 
 
-_MARKER = pm.MARKER.replace("'", "''")
+_MARKER, _NEXT = pm.MARKER.replace("'", "''"), pm.NEXT_LABEL.replace("'", "''")
 PARAMETERS_SQL = WITH + f""", numbered AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM dossiers),
     trimmed AS (SELECT doc_id, page, line, trim(said) AS said FROM numbered WHERE length(trim(said)) >= 2),
-    chained AS (SELECT doc_id, page, line, regexp_extract_all(said, '{_MARKER}', 1) AS names, string_split_regex(said, '{_MARKER}') AS pieces FROM trimmed WHERE regexp_matches(said, '{_MARKER}')),
+    chained AS (SELECT doc_id, page, line, regexp_extract_all(said, '{_MARKER}', 1) AS names, string_split_regex(said, '{_MARKER}') AS pieces FROM trimmed WHERE CASE WHEN regexp_matches(said, '{pm.NEEDS["chained"]}') THEN regexp_matches(said, '{_MARKER}') ELSE false END),
     tabbed AS (SELECT doc_id, page, line, list_filter(list_transform(string_split(said, chr(9)), lambda x: trim(x)), lambda x: x <> '') AS cells FROM trimmed WHERE contains(said, chr(9))),
     found AS (
-      SELECT doc_id, page, line, 0 AS ord, 'chained' AS family, i, names[i] AS name, {_cut_sql('pieces[i + 1]')} AS value, 93 AS base FROM (SELECT *, unnest(generate_series(1, len(names))) AS i FROM chained)
+      SELECT doc_id, page, line, 0 AS ord, 'chained' AS family, i, names[i] AS name, pieces[i + 1] AS raw, true AS cut, 93 AS base FROM (SELECT *, unnest(generate_series(1, len(names))) AS i FROM chained)
       UNION ALL {_family_sql(1, 'colon', pm.COLON)} UNION ALL {_family_sql(2, 'dash', pm.DASH)}
-      UNION ALL SELECT doc_id, page, line, 3, 'tabs', i, cells[2 * i + 1], cells[2 * i + 2], CASE len(cells) WHEN 2 THEN 86 ELSE 82 END FROM (SELECT *, unnest(range(0, len(cells) // 2)) AS i FROM tabbed WHERE len(cells) % 2 = 0)
+      UNION ALL SELECT doc_id, page, line, 3, 'tabs', i, cells[2 * i + 1], cells[2 * i + 2], false, CASE len(cells) WHEN 2 THEN 86 ELSE 82 END FROM (SELECT *, unnest(range(0, len(cells) // 2)) AS i FROM tabbed WHERE len(cells) % 2 = 0)
       UNION ALL {_family_sql(4, 'numbered', pm.NUMBERED)} UNION ALL {_family_sql(5, 'spaced', pm.SPACED)} UNION ALL {_family_sql(6, 'dots', pm.DOTS, cut=False)}
       UNION ALL {_family_sql(7, 'pipe', pm.PIPE, cut=False, where="NOT regexp_matches(trim(regexp_extract(said, '" + pm.PIPE + "', 1)), '" + pm.PIPE_HEAD + "')")}),
-    clean AS (SELECT * EXCLUDE (name, value), trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\\s+', ' ', 'g'), '^[\\d]+[.)\\]]\\s*', ''), '^[(\\[]\\d+[)\\]]\\s*', ''), '^[*•\\-]\\s*', '')) AS name, substr(trim(regexp_replace(value, '\\s+', ' ', 'g')), 1, 1200) AS value FROM found),
+    early AS (SELECT *, CASE WHEN cut THEN regexp_extract(raw, '(?is)^(.+?)\\s+{_NEXT}', 1) ELSE '' END AS early FROM found),
+    ended AS (SELECT * EXCLUDE (raw, cut, early), trim(CASE WHEN early <> '' AND NOT regexp_matches(raw, '(?i)^\\s+{_NEXT}') THEN early ELSE raw END) AS value FROM early),
+    clean AS (SELECT * EXCLUDE (name, value), trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '\\s+', ' ', 'g'), '^[\\d]+[.)\\]]\\s*', ''), '^[(\\[]\\d+[)\\]]\\s*', ''), '^[*•\\-]\\s*', '')) AS name, substr(trim(regexp_replace(value, '\\s+', ' ', 'g')), 1, 1200) AS value FROM ended),
     kept AS (SELECT * FROM clean WHERE length(name) BETWEEN 2 AND 110 AND NOT regexp_matches(name, '{pm.NOISE_NAME}') AND regexp_matches(name, '[A-Za-z]') AND NOT regexp_matches(name, '{pm.ONLY_MONEY}') AND value <> '' AND NOT regexp_matches(value, '{pm.ONLY_RULES}')
       QUALIFY row_number() OVER (PARTITION BY doc_id, page, lower(name), lower(value) ORDER BY line, ord, i) = 1)
     SELECT doc_id, page, family, name, value, least(99, base + CASE WHEN page <= 5 THEN 8 WHEN page <= 15 THEN 4 ELSE 0 END) AS confidence FROM kept"""
