@@ -86,25 +86,18 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([rows.column("bad"), pa.ListArray.from_arrays(pa.array(cut), pa.array(sh.view(np.int64))), *marks], names=["bad", "words", "one", "two"])
 
 
-def learn_terms(bad: np.ndarray, words: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
-    """The hashes of the words that set bad texts apart, sorted. Of texts that share a mark only the first counts, so copies bear out nothing."""
-    keep = np.ones(len(bad), dtype=bool)
-    for mark in marks:
-        _, first = np.unique(np.where(keep, mark, -1 - np.arange(len(mark))), return_index=True)
-        only = np.zeros(len(bad), dtype=bool)
-        only[first] = True
-        keep &= only
-    chosen = np.flatnonzero(keep)
-    if not len(chosen) or not bad[chosen].any():
-        return np.empty(0, np.uint64)
-    flat = np.concatenate([words[i] for i in chosen]).astype(np.int64).view(np.uint64)
-    is_bad = np.repeat(bad[chosen], [len(words[i]) for i in chosen])
-    terms, place = np.unique(flat, return_inverse=True)
-    all_texts = np.bincount(place, minlength=len(terms))
-    bad_texts = np.bincount(place[is_bad], minlength=len(terms))
-    found = np.flatnonzero((bad_texts >= TERM_TEXTS) & (bad_texts - 2 >= TERM_SHARE * all_texts))
-    best = found[np.argsort(-bad_texts[found], kind="stable")[:MOST_TERMS]]
-    return np.sort(terms[best])
+def learn_terms(texts: DataFrame) -> np.ndarray:
+    """The hashes of the words that set bad texts apart, sorted, of rows (bad, words, one, two).
+
+    Of texts that share a mark only one counts, so copies bear out nothing. Words are counted by Spark; the driver gets the terms.
+    """
+    # the same one in every run, whatever the order of rows
+    apart = texts.groupBy("one").agg(F.min(F.struct("two", "bad", "words")).alias("t")).select("one", "t.*")
+    apart = apart.groupBy("two").agg(F.min(F.struct("one", "bad", "words")).alias("t")).select("t.bad", F.explode("t.words").alias("word"))
+    counts = apart.groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("n_bad"), F.count("*").alias("n"))
+    found = counts.where((F.col("n_bad") >= TERM_TEXTS) & (F.col("n_bad") - 2 >= TERM_SHARE * F.col("n")))
+    rows = found.orderBy(F.col("n_bad").desc(), "word").limit(MOST_TERMS).select("word").toPandas()
+    return np.sort(rows["word"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
 def _describe(words: Words, abuse: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,8 +269,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, fit_rows: tuple[int,
         # bounded by fit_rows, so it may be broadcast
         seen = materialize(told.where(_share(F.xxhash64("doc_id"), fit_rows[0], told.count())), "quality-seen")
         texts = docs.join(F.broadcast(seen.where("toxic is not null")), "doc_id").select("text", (F.col("toxic") >= 1).alias("bad")).dropDuplicates()
-        found = texts.mapInArrow(_term_batches, "bad boolean, words array<long>, one long, two long").toPandas().sort_values(["one", "two"], kind="stable")
-        terms = learn_terms(found["bad"].to_numpy(dtype=bool), [np.asarray(w) for w in found["words"]], [found["one"].to_numpy(), found["two"].to_numpy()])
+        terms = learn_terms(texts.mapInArrow(_term_batches, "bad boolean, words array<long>, one long, two long"))
     votes = materialize(docs.mapInArrow(_vote_batches(False, terms), "doc_id long, votes array<int>"), "quality-votes")
     patterns = _with_reviews(votes, labels).groupBy(*TASKS).agg(F.count("*").alias("n")).collect()  # a row a pattern: at most 2^9 of the heuristics by 3^2 of the reviewers
     drawn = docs.where(_share(F.xxhash64("doc_id", "text"), fit_rows[1] if labels is not None else sum(fit_rows), total)).dropDuplicates()

@@ -338,12 +338,11 @@ def test_classifier_on_labels_it_has_not_seen(spark):
     assert sum(r.kept for r in fine) >= 0.98 * len(fine)
 
 
-def test_terms_are_learnt_from_texts_that_are_no_copies():
-    words = [np.array([1, 100 + i]) for i in range(6)] + [np.array([2, 3, 200 + i]) for i in range(6)] + [np.array([2, 9])] * 50
-    bad = np.array([True] * 6 + [True] * 6 + [False] * 50)
-    marks = np.array([*range(6), *[7] * 6, *range(1000, 1050)])  # the second six are copies of one text
-    assert quality_model.learn_terms(bad, words, [marks, marks + 5]).tolist() == [1]
-    assert quality_model.learn_terms(bad & False, words, [marks]).tolist() == [] and quality_model.learn_terms(bad[:0], [], [marks[:0]]).tolist() == []
+def test_terms_are_learnt_from_texts_that_are_no_copies(spark):
+    rows = [(True, [1, 100 + i], i, i) for i in range(6)] + [(True, [2, 3, 200 + i], 7, 50 + i) for i in range(6)] + [(True, [4, 5], 60 + i, 8) for i in range(6)] + [(False, [2, 9], 1000 + i, 1000 + i) for i in range(50)]
+    frame = spark.createDataFrame(rows, "bad boolean, words array<long>, one long, two long")  # six texts, six copies by either mark
+    assert quality_model.learn_terms(frame).tolist() == [1]
+    assert quality_model.learn_terms(frame.where("not bad")).tolist() == [] and quality_model.learn_terms(frame.limit(0)).tolist() == []
 
 
 def _votes(rng, truth, labellers):
