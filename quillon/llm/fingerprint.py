@@ -3,8 +3,8 @@
 A text's paragraphs are its lines, cut after sentences, so an edit touches only the paragraphs it is in. Each different
 paragraph has a 64-bit digest. A table has three regions of cells; a digest adds its count, itself and its
 check to one cell of each region. The fingerprint is the first, small table. Tables of two versions are
-subtracted, and peeling cells that hold a single digest recovers the digests that differ. The counts of the cells tell beforehand
-about how many differ, so peeling is not begun where it cannot end; there, and where it stalls, a
+subtracted, and peeling cells that hold a single digest recovers the digests that differ. Where two
+versions differ by more paragraphs in number than the first table has cells, its peeling cannot end and is not begun; there, and where it stalls, a
 larger table with other places is tried, split into sub-tables by a hash so that the work grows with the text and not
 with its square.
 
@@ -25,8 +25,6 @@ from quillon.llm.common import discard, materialize, numbered
 FIRST, RETRIES, LOAD = 8, (32, 64, 128), 12
 #: Rounds of peeling, each of the cells of one region in turn, so that no digest is taken out twice.
 ROUNDS = 9
-#: Differing digests, by the estimate, to a cell of the first table from which its peeling is not begun: no table can give off more than it has cells.
-HOPELESS = 1.25
 #: Texts in a partition of the tables.
 PART_ROWS = 2000
 LEAST = -(1 << 63)
@@ -85,32 +83,24 @@ def _estimate(squares: Column, total: Column, cells: int) -> Column:
     return F.greatest(F.lit(0.0), (squares / 3 - even * even / cells) / (1 - 1 / cells))
 
 
-def _begun(table: DataFrame, cells: int) -> DataFrame:
-    """A table (row, side, part, cell, ...) without the cells of pairs that differ in too much to be peeled: one inert cell stands for them."""
-    pair = Window.partitionBy("row", "side", "part")
-    rows = table.withColumns({"squares": F.sum(F.col("n") * F.col("n")).over(pair), "total": F.sum("n").over(pair), "least": F.min("cell").over(pair)})
-    hopeless = _estimate(F.col("squares"), F.col("total"), cells) > HOPELESS * 3 * cells
-    kept = rows.withColumn("hopeless", hopeless).where(~F.col("hopeless") | (F.col("cell") == F.col("least")))
-    return kept.withColumn("n", F.when(F.col("hopeless"), 2).otherwise(F.col("n")).cast("long")).select(*table.columns)
-
-
 def _attempt(pairs: DataFrame, cells: int, salt: int, split: bool, sizes: bool = False) -> DataFrame:
     """(row, side, ok, plus, minus) of pairs (row, side, one, other) of digests by one size of table; ``sizes``: only how many."""
     most = F.greatest(F.size("one"), F.size("other"), F.lit(1))
     parts = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("int") if split else F.lit(1)
     side = lambda c, sign: F.transform(c, lambda d: F.struct(d.alias("d"), F.lit(sign).cast("long").alias("sign")))
-    signed = pairs.withColumn("parts", parts).select("row", "side", "parts", F.explode(F.concat(side("one", 1), side("other", -1))).alias("s"))
+    # a table gives off no more digests than it has cells, and at least as many differ as the sizes do
+    may_end = F.lit(True) if split else F.abs(F.size("one") - F.size("other")) <= 3 * cells
+    signed = pairs.where(may_end).withColumn("parts", parts).select("row", "side", "parts", F.explode(F.concat(side("one", 1), side("other", -1))).alias("s"))
     signed = signed.select("row", "side", F.pmod(F.hash("s.d", F.lit(salt)), F.col("parts")).alias("part"), "s.d", "s.sign")
     by = ["row", "side", "part"]
-    table = _cells(signed, by, cells, salt)
-    found = peel(table if split else _begun(table, cells), by, cells, salt)
+    found = peel(_cells(signed, by, cells, salt), by, cells, salt)
     # ok: no cell is left over, also for a pair of texts without any digest
     recovered = lambda sign: F.when((F.col("n") == sign) & F.col("d").isNotNull(), F.col("d"))
     pick = lambda sign: F.count(recovered(sign)) if sizes else F.collect_list(recovered(sign))
     got = found.groupBy("row", "side").agg(F.sum(F.col("d").isNull().cast("long")).alias("left"), pick(1).alias("plus"), pick(-1).alias("minus"))
     empty = F.lit(0).cast("long") if sizes else F.array().cast("array<bigint>")
-    return pairs.select("row", "side").join(got, ["row", "side"], "left").select(
-        "row", "side", (F.coalesce("left", F.lit(0)) == 0).alias("ok"), F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus")
+    return pairs.select("row", "side", may_end.alias("may_end")).join(got, ["row", "side"], "left").select(
+        "row", "side", (F.col("may_end") & (F.coalesce("left", F.lit(0)) == 0)).alias("ok"), F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus")
     )
 
 
