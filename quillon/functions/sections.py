@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
@@ -45,31 +45,32 @@ HEAD_CHARS, PATTERN, HEADING, TITLE, LEAST, LEAST_CONFIDENCE, FALLBACK = 5000, 8
 EARLY = {**dict.fromkeys(("Identity", "Financial", "Timeline"), (5, 6)), **dict.fromkeys(("Eligibility", "Scope", "Compliance"), (20, 3))}
 
 
-def section_hits(text: Column, headings: Column, page: Column, definitions=DEFINITIONS) -> Column:
-    """array<struct<section, score, early, keywords, headings>>: what each section finds in the first 5000 characters of a page, and in its headings.
+def heads(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, head, low, plain, headings, titles): what sections are read from, worked out once a page.
 
-    ``keywords`` are the counts of its keywords, ``headings`` the headings that its patterns match.
+    The first 5000 characters, the same in lower case and, for plain searches, without the long s; its headings, and these as one text.
     """
-    head = F.substring(text, 1, HEAD_CHARS)
-    made = []
-    for name, keywords, patterns, titles in definitions:
-        fixed = sum((F.when(head.rlike(f"(?i){p}"), PATTERN).otherwise(0) for p in patterns), F.lit(0)) + sum((F.when(head.rlike(f"(?i){t}"), TITLE).otherwise(0) for t in titles), F.lit(0))
-        matched = [F.filter(headings, _matches(p)) for p in patterns]
-        until, boost = EARLY.get(name, (0, 0))
-        made.append(F.struct(
-            F.lit(name).alias("section"), fixed.alias("score"), F.when(page <= until, boost).otherwise(0).alias("early"),
-            F.array(*[tx.keyword_hits(head, k).cast("int") for k in keywords]).alias("keywords"), F.array(*[F.lit(tx.keyword_weight(k)) for k in keywords]).alias("weights"), F.concat(*matched).alias("headings")))
-    return F.array(*made)
+    made = pages.select("doc_id", "page", F.substring("text", 1, HEAD_CHARS).alias("head"), tx.headings(F.col("text")).alias("headings")).withColumn("low", F.lower("head"))
+    plain = lambda c: F.replace(c, F.lit("ſ"), F.lit("s"))
+    return made.withColumns({"plain": plain(F.col("low")), "titles": plain(F.lower(F.array_join("headings", "\n")))})
 
 
-def _matches(pattern: str):
-    return lambda h: h.rlike(f"(?i){pattern}")
+def section_score(name: str, keywords, patterns, titles) -> Column:
+    """The score of a section on a page of ``heads``: its keywords, patterns and titles of tables, headings that its patterns match, and early pages.
+
+    A pattern is tried only where its longest word stands: a plain search is far cheaper.
+    """
+    page, head, headings = (F.col(x) for x in ("page", "head", "headings"))
+    where = lambda text, p, points: F.when(F.contains(F.col(text), F.lit(tx.needed(p))), points).otherwise(0)
+    found = lambda p, points: where("plain", p, F.when(head.rlike(tx.portable(f"(?i){p}")), points).otherwise(0))
+    until, boost = EARLY.get(name, (0, 0))
+    parts = [tx.hits_in(F.col("low"), k) * tx.keyword_weight(k) for k in keywords] + [found(p, PATTERN) for p in patterns] + [found(t, TITLE) for t in titles]
+    parts += [where("titles", p, HEADING * F.size(F.filter(headings, _matches(p)))) for p in patterns]
+    return sum(parts, F.when(page <= until, boost).otherwise(0)).cast("int")
 
 
-def score_of(hit: Column) -> Column:
-    """The score of a section's hits on a page."""
-    words = F.aggregate(F.zip_with(hit["keywords"], hit["weights"], lambda n, w: n * w), F.lit(0), lambda a, x: a + x)
-    return hit["score"] + hit["early"] + words + HEADING * F.size(hit["headings"])
+def _matches(pattern: str):
+    return lambda h: h.rlike(tx.portable(f"(?i){pattern}"))
 
 
 def confidence_of(score: Column, section: Column, page: Column) -> Column:

@@ -369,11 +369,13 @@ SECTIONS_SQL = WITH + r""", l AS (SELECT doc_id, page, text, list_filter(list_fi
 
 def page_sections(spark, d):
     """(doc_id, page, section, score, confidence) of every page, by the ten definitions; a page without any counts by its number."""
-    hits = ds.dossiers(spark, d).select("doc_id", "page", se.section_hits(c("text"), tx.headings(c("text")), c("page")).alias("hits"))
-    scored = hits.select("doc_id", "page", F.transform("hits", lambda x: F.struct(x["section"].alias("section"), se.score_of(x).cast("int").alias("score"))).alias("s"))
-    kept = scored.select("doc_id", "page", F.filter("s", lambda x: x["score"] >= se.LEAST).alias("s"))
-    every = F.when(F.size("s") > 0, c("s")).otherwise(F.array(F.struct(se.fallback(c("page")).alias("section"), F.lit(0).alias("score"))))
-    rows = kept.select("doc_id", "page", F.explode(every).alias("x")).select("doc_id", "page", "x.*")
+    scored = se.heads(ds.dossiers(spark, d)).select("doc_id", "page", *[se.section_score(*x).alias(f"s{k}") for k, x in enumerate(se.DEFINITIONS)])
+    scores = [c(f"s{k}") for k in range(len(se.DEFINITIONS))]
+    item = lambda name, score: F.struct(name.alias("section"), score.alias("score"))
+    none = F.coalesce(F.greatest(*scores) < se.LEAST, F.lit(True))
+    every = [F.when(s >= se.LEAST, item(F.lit(name), s)) for s, (name, *_) in zip(scores, se.DEFINITIONS)] + [F.when(none, item(se.fallback(c("page")), F.lit(0)))]
+    kept = scored.select("doc_id", "page", F.array_compact(F.array(*every)).alias("s"))
+    rows = kept.select("doc_id", "page", F.explode_outer("s").alias("x")).select("doc_id", "page", "x.*")
     return rows.withColumn("confidence", F.when(c("score") == 0, se.FALLBACK).otherwise(se.confidence_of(c("score"), c("section"), c("page"))))
 
 
