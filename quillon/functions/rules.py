@@ -1,18 +1,16 @@
 """Rule scoring: weighted keywords, additive ranks, confidence bands, validators, eligibility, risk and recommendations.
 
-Every rule is a column expression over one row, so scoring needs no shuffle and stays in generated code. Keyword tables are
+Every rule works on one row, so scoring needs no shuffle and stays in generated code. Keyword tables are
 parameters: (name, keywords[, patterns]) in an order that decides ties.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.money import parse_amount
-from quillon.functions.text import keyword_weight
+from quillon.functions.text import hits_in, keyword_weight
 
 #: Service categories with their keywords, in the order that decides ties.
 SERVICES = (
@@ -45,40 +43,44 @@ def between(x: Column, low: float, high: float) -> Column:
 
 def hits(normal: Column, keyword: str) -> Column:
     """Occurrences of a keyword in a text in lower case with single spaces: phrases as they stand, words as whole words."""
-    if " " in keyword:
-        return ((F.char_length(normal) - F.char_length(F.replace(normal, F.lit(keyword), F.lit("")))) / len(keyword)).cast("int")
-    return F.regexp_count(normal, F.lit(rf"\b{re.escape(keyword)}\b"))
+    return hits_in(normal, keyword)
 
 
-def classified(text: Column, rules, base: int, step: int, cap: int, floor: int, per_pattern: int = 3) -> Column:
-    """struct<name, confidence, score, second, matched> of the best of several keyword rules, '' and 0 where none scores.
+def classified(rows: DataFrame, text: str, rules, base: int, step: int, cap: int, floor: int, per_pattern: int = 3) -> DataFrame:
+    """Rows with the best of several keyword rules for a text: struct ``k`` <name, confidence, score, second, matched>, '' and 0 where none scores.
 
     The score sums hits by keyword weight, and ``per_pattern`` for each pattern found. Confidence is ``base`` plus
     ``step`` times the lead over the second plus the score up to ``cap``, between ``floor`` and 99. The first rule wins ties.
+    The normal form of the text and the scores are columns of their own, so each is worked out once a row.
     """
-    normal = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    scored = []
-    for k, (name, keywords, *patterns) in enumerate(rules):
-        found = [(w, hits(normal, w)) for w in keywords]
-        score = sum((n * keyword_weight(w) for w, n in found), F.lit(0))
-        score = score + sum((F.when(F.coalesce(text, F.lit("")).rlike(p), per_pattern).otherwise(0) for p in (patterns[0] if patterns else ())), F.lit(0))
-        matched = F.array_compact(F.array(*[F.when(n > 0, w) for w, n in found]))
-        scored.append(F.struct((-score).cast("int").alias("s"), F.lit(k).alias("k"), F.lit(name).alias("name"), matched.alias("matched")))
-    order = F.array_sort(F.array(*scored))
-    return F.transform(F.array(order), lambda o: F.struct(
-        F.when(o[0]["s"] < 0, o[0]["name"]).otherwise("").alias("name"),
-        F.when(o[0]["s"] < 0, F.least(F.lit(99), F.greatest(F.lit(floor), base + step * (o[1]["s"] - o[0]["s"]) + F.least(-o[0]["s"], F.lit(cap))))).otherwise(0).cast("int").alias("confidence"),
-        (-o[0]["s"]).alias("score"), (-o[1]["s"]).alias("second"),
-        F.when(o[0]["s"] < 0, o[0]["matched"]).otherwise(F.array().cast("array<string>")).alias("matched")))[0]
-
-
-def service_class(text: Column) -> Column:
-    return classified(text, SERVICES, 55, 4, 20, 40)
-
-
-def profile_class(text: Column, profiles) -> Column:
+    said = F.coalesce(F.col(text), F.lit(""))
+    normal = F.col("_normal")
+    scores = []
+    for name, keywords, *patterns in rules:
+        score = sum((hits(normal, w) * keyword_weight(w) for w in keywords), F.lit(0))
+        score = score + sum((F.when(said.rlike(p), per_pattern).otherwise(0) for p in (patterns[0] if patterns else ())), F.lit(0))
+        scores.append(score.cast("int"))
+    made = rows.withColumn("_normal", F.trim(F.regexp_replace(F.lower(said), r"\s+", " ")))
+    made = made.select("*", *[s.alias(f"_s{k}") for k, s in enumerate(scores)])
+    order = F.array_sort(F.array(*[F.struct((-F.col(f"_s{k}")).alias("s"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.array(*map(F.lit, keywords)).alias("keywords")) for k, (name, keywords, *_) in enumerate(rules)]))
+    made = made.withColumn("_o", order)
+    one, two = F.col("_o")[0], F.col("_o")[1]
+    whole = lambda w: F.rlike(normal, F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)")))
+    matched = F.filter(one["keywords"], lambda w: F.contains(normal, w) & (F.contains(w, F.lit(" ")) | whole(w)))
+    best = F.struct(
+        F.when(one["s"] < 0, one["name"]).otherwise("").alias("name"),
+        F.when(one["s"] < 0, F.least(F.lit(99), F.greatest(F.lit(floor), base + step * (two["s"] - one["s"]) + F.least(-one["s"], F.lit(cap))))).otherwise(0).cast("int").alias("confidence"),
+        (-one["s"]).alias("score"), (-two["s"]).alias("second"), F.when(one["s"] < 0, matched).otherwise(F.array().cast("array<string>")).alias("matched"))
+    return made.select(*rows.columns, best.alias("k"))
+
+
+def service_class(rows: DataFrame, text: str) -> DataFrame:
+    return classified(rows, text, SERVICES, 55, 4, 20, 40)
+
+
+def profile_class(rows: DataFrame, text: str, profiles) -> DataFrame:
     """As ``service_class`` for profiles with heading patterns (name, keywords, patterns)."""
-    return classified(text, profiles, 50, 3, 25, 35)
+    return classified(rows, text, profiles, 50, 3, 25, 35)
 
 
 # ranks of candidates -----------------------------------------------------------------------------------------------

@@ -44,12 +44,12 @@ def _classify_sql(kb, base, step, cap, floor) -> str:
 
 @query("r01_service_classification", _classify_sql(rules.SERVICES, 55, 4, 20, 40))
 def r01(spark, d):
-    return n.notices(spark, d).select("notice_id", rules.service_class(c("text")).alias("k")).select("notice_id", "k.name", "k.score", "k.confidence")
+    return rules.service_class(n.notices(spark, d), "text").select("notice_id", "k.name", "k.score", "k.confidence")
 
 
 @query("r02_tender_type", _classify_sql(PROFILES, 50, 3, 25, 35))
 def r02(spark, d):
-    return n.notices(spark, d).select("notice_id", rules.profile_class(c("text"), PROFILES).alias("k")).select("notice_id", "k.name", "k.score", "k.confidence")
+    return rules.profile_class(n.notices(spark, d), "text", PROFILES).select("notice_id", "k.name", "k.score", "k.confidence")
 
 
 LOW = "page % 11 = 0"
