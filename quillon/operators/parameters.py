@@ -16,9 +16,15 @@ NUMBERED = r"(?i)^(?:\d+[.)]\s*|[ivxlc]+[.)]\s*)?([A-Za-z][A-Za-z0-9\s/().&,'°#
 SPACED = r"^([A-Za-z][^\d\n]{2,80}?)\s{2,}([^\n]+)$"
 DOTS = r"^([A-Za-z][A-Za-z0-9\s/().&,'\-]{2,80}?)[\s.]{3,}([^\n]+)$"
 PIPE, PIPE_HEAD = r"^\|?\s*([^|]{2,80}?)\s*\|\s*([^|]{1,500}?)\s*\|?\s*$", r"(?i)^(sr|s\.no|particulars)$"
-ANYWHERE = (
-    r"(?i)([A-Za-z][A-Za-z0-9\s/().&,'°#%\-]{1,90}?)\s*[:=–—\-]\s*([^:\n]{1,400}?)"
-    r"(?=\s+[A-Za-z][A-Za-z0-9\s/().&,'°#%\-]{2,35}?\s*[:=–—\-]|\n\n|$)"
+ANYWHERE_PAIR = r"([A-Za-z][A-Za-z0-9\s/().&,'°#%\-]{1,90}?)\s*[:=–—\-]\s*([^:\n]{1,400}?)"
+ANYWHERE = rf"(?i){ANYWHERE_PAIR}(?=\s+[A-Za-z][A-Za-z0-9\s/().&,'°#%\-]{{2,35}}?\s*[:=–—\-]|\n\n|$)"
+ANYWHERE_PARTS = rf"(?i)^{ANYWHERE_PAIR}\z"
+#: The same matches, as group 1, found faster. A name holds no mark but dashes, so a run of its other characters that no mark ends has no
+#: name in it, nor has the head of a longer run than a name; such stretches are stepped over whole, and a name is begun only where a mark can follow.
+_RUN, _MARK = r"A-Za-z0-9/().&,'°#%", r"[:=–—\-]"
+ANYWHERE_SCAN = (
+    rf"(?i)[{_RUN}\s]{{50}}(?=[{_RUN}\s]{{99}}[{_RUN}])|[{_RUN}\s]++(?!{_MARK})|((?=[{_RUN}\s]{{1,91}}+\s*+{_MARK}){ANYWHERE_PAIR.replace('(', '(?:', 1).replace('([^:', '(?:[^:')}"
+    rf"(?=\s+[A-Za-z](?=[{_RUN}\s]{{0,36}}+\s*+{_MARK})[A-Za-z0-9\s/().&,'°#%\-]{{2,35}}?\s*{_MARK}|\n\n|$))"
 )
 NOISE_NAME = r"(?i)^(?:page\s*no\.?|index|schedule|sl\.?\s*no\.?|sr\.?\s*no\.?|\d+)$"
 #: What a line must have for a family to be tried on it: a look at these is far cheaper than the pattern itself.
@@ -72,10 +78,16 @@ def line_matches(line: Column) -> Column:
 
 
 def anywhere_matches(text: Column) -> Column:
-    """Names and values anywhere in a page, across its lines; the last family."""
-    names, values = (F.regexp_extract_all(text, F.lit(ANYWHERE), F.lit(g)) for g in (1, 2))
-    found = F.transform(names, lambda name, i: _found("anywhere", i, name, before_next_label(F.element_at(values, i + 1))))
-    return F.when(text.rlike(NEEDS["anywhere"]), found)
+    """Names and values anywhere in a page, across its lines; the last family.
+
+    The page is searched once, for whole matches of ``ANYWHERE``. A match is then taken apart by the same pattern held to its end: any
+    other way to that end would have ended a match in the page as well, so name and value are those found there.
+    """
+    def parts(match: Column, i: Column) -> Column:
+        return _found("anywhere", i, F.regexp_extract(match, ANYWHERE_PARTS, 1), before_next_label(F.regexp_extract(match, ANYWHERE_PARTS, 2)))
+
+    matches = F.filter(F.regexp_extract_all(text, F.lit(ANYWHERE_SCAN), F.lit(1)), lambda m: m != "")
+    return F.when(text.rlike(NEEDS["anywhere"]), F.transform(matches, parts))
 
 
 def page_parameters(pages: DataFrame, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
@@ -84,10 +96,14 @@ def page_parameters(pages: DataFrame, families: tuple[str, ...] = tuple(FAMILIES
     The first one seen counts: by line, family and place in the line, matches across lines last. Confidence is the family's, 8
     more on the first five pages and 4 more up to the fifteenth, 99 at most. Null texts have no parameters.
     """
+    # patterns cost far more than a shuffle of the pages, so they don't hang on how few row groups the pages are read from
+    pages = pages.select("doc_id", "page", "text").repartition("doc_id", "page")
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", r"\r?\n")).alias("line", "said")).withColumn("said", F.trim("said")).where(F.char_length("said") >= 2)
     rows = lines.select("doc_id", "page", "line", F.explode(line_matches(F.col("said"))).alias("m"))
     if "anywhere" in families:
-        rows = rows.unionByName(pages.select("doc_id", "page", F.lit((1 << 31) - 1).alias("line"), F.explode(anywhere_matches(F.col("text"))).alias("m")))
+        # an outer explode: before an inner one the optimizer asks for the array's size, which searches the page again
+        found = pages.select("doc_id", "page", F.lit((1 << 31) - 1).alias("line"), F.explode_outer(anywhere_matches(F.col("text"))).alias("m"))
+        rows = rows.unionByName(found.where("m is not null"))
     rows = rows.select("doc_id", "page", "line", "m.*").where(F.col("family").isin(*families))
     rows = rows.withColumns({"name": clean_name(F.col("name")), "value": clean_value(F.col("value"))}).where("name is not null and value is not null")
     first = F.min(F.struct("line", "order", "i", "family", "name", "value", "base")).alias("f")
