@@ -34,3 +34,8 @@ def test_matches_are_taken_apart_as_the_page_was(spark):
 def test_checklists_are_dealt_to_tasks_before_they_unfold(spark, sf):
     plan = _plan(QUERIES["r27_tender_checklists"](spark, sf))
     assert "RepartitionByExpression [tender" in plan and plan.index("Join Cross") < plan.index("RepartitionByExpression")
+
+
+def test_lines_are_judged_once(spark, sf):
+    plan = _plan(QUERIES["r14_five_layers"](spark, sf))
+    assert plan.count("posexplode(") == 1 and plan.count("Join") == 0
