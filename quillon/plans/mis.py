@@ -443,16 +443,24 @@ def al02(spark, d):
 
     A rule of 0 days fits dates that are past. Every fourth contract's revenue is pending here, overdue once it has ended; every eighth's billing is open.
     """
-    contracts = domain.contracts(spark, d)
-    due = contracts.select("tender_id", F.expr("stack(3, 'contract_expiry', contract_end, 'amc_expiry', contract_end - interval 45 days, 'agreement_expiry', contract_end - interval 20 days) as (kind, due)"))
-    x = due.withColumn("days", dates.days_until(F.col("due"), as_of()))
-    found = F.lit(None).cast("string")
-    for kind, n, priority in reversed(RULES):
-        hit = (F.col("kind") == kind) & ((F.col("days") < 0) if n == 0 else F.col("days").between(0, n))
-        found = F.when(hit, priority).otherwise(found)
-    dated = x.select("tender_id", "kind", "days", found.alias("priority")).where("priority is not null")
-    state = lambda condition, kind: contracts.where(condition).select("tender_id", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("days"), F.lit("medium").alias("priority"))
-    return dated.unionByName(state((F.col("tender_id") % 4 == 0) & (F.col("contract_end") < as_of()), "revenue_delay")).unionByName(state(F.col("tender_id") % 8 == 0, "pending_billing"))
+    end = F.col("contract_end")
+    due = {"contract_expiry": end, "amc_expiry": end - F.expr("interval 45 days"), "agreement_expiry": end - F.expr("interval 20 days")}
+
+    def alert(kind: str, days, priority):
+        return F.struct(F.lit(kind).alias("kind"), days.cast("long").alias("days"), priority.alias("priority"))
+
+    def dated(kind: str):
+        days, found = dates.days_until(due[kind], as_of()), F.lit(None).cast("string")
+        for _, n, priority in reversed([r for r in RULES if r[0] == kind]):
+            found = F.when((days < 0) if n == 0 else days.between(0, n), priority).otherwise(found)
+        return alert(kind, days, found)
+
+    state = lambda condition, kind: alert(kind, F.lit(None), F.when(condition, "medium"))
+    late, open_ = (F.col("tender_id") % 4 == 0) & (end < as_of()), F.col("tender_id") % 8 == 0
+    # all alerts of a contract at once, so contracts are summed up from their lines once
+    alerts = F.array(*map(dated, due), state(late, "revenue_delay"), state(open_, "pending_billing"))
+    rows = domain.contracts(spark, d).select("tender_id", "contract_end").select("tender_id", F.explode(alerts).alias("a"))
+    return rows.select("tender_id", "a.*").where("priority is not null")
 
 
 @query("al04_new_levels", """WITH x AS (SELECT user_id, event_id, ts, CASE WHEN us < 0 THEN 'expired' WHEN us <= 3600000000 THEN '1_hour' WHEN us <= 6 * 3600000000 THEN '6_hours' WHEN us <= 24 * 3600000000 THEN '24_hours' WHEN us <= 72 * 3600000000 THEN '3_days' WHEN us <= 168 * 3600000000 THEN '7_days' END AS level

@@ -39,3 +39,7 @@ def test_checklists_are_dealt_to_tasks_before_they_unfold(spark, sf):
 def test_lines_are_judged_once(spark, sf):
     plan = _plan(QUERIES["r14_five_layers"](spark, sf))
     assert plan.count("posexplode(") == 1 and plan.count("Join") == 0
+
+
+def test_contracts_are_summed_up_once(spark, sf):
+    assert _plan(QUERIES["al02_rule_alerts"](spark, sf)).count("Aggregate") == 1
