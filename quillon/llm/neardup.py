@@ -8,7 +8,8 @@ candidates, and the weighted Jaccard similarity of their texts decides.
 
 Documents of equal words are folded into one representative first. In every bucket each member is compared with one
 leader, the same one in all buckets that share members where possible, so the number of comparisons is linear in
-the members. What leaders link is contracted. A bucket whose members are then still of several classes is compared
+the members. What leaders link is contracted, and buckets whose members are then still of several classes get other leaders, for
+a few rounds. In a bucket of few members all pairs are compared. A larger one that still has several classes is compared
 exactly (``_exact_pairs``): two weighted sets as similar as asked share one of their rarest shingles, so a join on those
 finds every such pair, members of the largest class of a group left out among themselves. No bucket is capped or
 dropped, and nothing but the weighted similarity of two whole texts decides. Texts that share only what is common make no
@@ -33,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Ratio of the weights of two texts of one size class; most members on a side of a cell of the exact comparison.
 GROWTH, CELL = 0.95, 64
+#: Further rounds of leaders; most members of a bucket whose pairs are all compared; rarest shingles by which a pair is known to have met.
+ROUNDS, FEW, MET = 3, 4, 16
 #: Buckets of document frequencies; table of random draws per sample.
 BUCKETS, DRAWS = 1 << 16, 1 << 14
 SEED = 20240229
@@ -174,14 +177,15 @@ def _prefix_batches(similarity: float):
 
     A pair is as similar as asked only if its shared weight is ``similarity / (1 + similarity)`` of both weights. Leave
     out, from the most frequent shingle on, less weight than that: the rest of the two texts, in the same order, must meet.
-    The least weight of a partner follows from its size class; ``rest`` is the weight from this shingle on.
+    The least weight of a partner follows from its size class; ``rest`` is the weight from this shingle on. ``before`` has the first
+    ``MET`` shingles in front of this one: two texts that share one of them have met there.
     """
     width, share = -np.log(GROWTH), similarity / (1 + similarity)
     steps = int(-np.log(similarity) / width) + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, met = [], []
             for node, root, s in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles")):
                 n, h, w = (s.values.field(k).to_numpy() for k in ("n", "h", "w"))
                 rest = w[::-1].cumsum()[::-1]
@@ -195,11 +199,14 @@ def _prefix_batches(similarity: float):
                         other = max(similarity * total, np.exp(width * base)) if large else max(total, np.exp(width * (own + step)))
                         at = np.flatnonzero((rest >= share * (total + other) * (1 - 1e-9)) & (n > 1))
                         made.append((node, root, base, step, large, total, h[at], rest[at]))
+                        met += [h[at[:k]] for k in range(min(len(at), MET))] + [h[at[:MET]]] * max(0, len(at) - MET)
             counts = [len(m[6]) for m in made]
             column = lambda k, t: pa.array(np.repeat(np.array([m[k] for m in made], dtype=t), counts))
             join = lambda k, t: pa.array(np.concatenate([m[k] for m in made] or [np.empty(0, t)]).astype(t))
             arrays = [column(0, np.int64), column(1, np.int64), column(2, np.int32), column(3, np.int32), column(4, bool), column(5, np.float64), join(6, np.int64), join(7, np.float64)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "root", "base", "step", "large", "total", "h", "rest"])
+            ends = np.cumsum([0] + [len(m) for m in met]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(met or [np.empty(0, np.int64)]).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "root", "base", "step", "large", "total", "h", "rest", "before"])
 
     return keys
 
@@ -216,7 +223,7 @@ def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: in
     ordered = shingles.join(often, "h", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "h", "w"))).alias("shingles"))
     ordered = ordered.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles")
     keys = materialize(
-        ordered.mapInArrow(_prefix_batches(similarity), "node long, root long, base int, step int, large boolean, total double, h long, rest double"), "neardup-prefixes"
+        ordered.mapInArrow(_prefix_batches(similarity), "node long, root long, base int, step int, large boolean, total double, h long, rest double, before array<long>"), "neardup-prefixes"
     )
     discard(shingles, often)
     key = ["base", "step", "h"]
@@ -229,11 +236,13 @@ def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: in
     copies = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     one = members.where("root <> top").withColumn("i", dealt("p")).withColumn("j", copies("q")).drop("p", "q", "top")
     two = members.withColumn("j", dealt("q")).withColumn("i", copies("p")).drop("p", "q")
-    two = two.withColumnsRenamed({c: f"{c}_2" for c in ("node", "root", "large", "total", "rest")})
+    two = two.withColumnsRenamed({c: f"{c}_2" for c in ("node", "root", "large", "total", "rest", "before")})
     pairs = one.join(two, [*key, "i", "j"]).where(
         (F.col("root") != F.col("root_2")) & ((F.col("step") == 0) | (F.col("large") != F.col("large_2"))) & ((F.col("root_2") == F.col("top")) | (F.col("node") < F.col("node_2")))
     )
     pairs = pairs.where(F.least("rest", "rest_2") >= (F.col("total") + F.col("total_2")) * F.lit(similarity / (1 + similarity) * (1 - 1e-9)))
+    # similar texts share most of their rarest shingles: only the first of these makes the pair
+    pairs = pairs.where(~F.arrays_overlap("before", "before_2"))
     return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct(), [keys, groups]
 
 
@@ -250,7 +259,35 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     joined = connected_components(ends)
     new = joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
     every = roots.unionByName(new).join(joined.toDF("root", "above"), "root", "left")
-    return materialize(every.select("node", F.coalesce("above", "root").alias("root")), "neardup-roots")
+    merged = materialize(every.select("node", F.coalesce("above", "root").alias("root")), "neardup-roots")
+    discard(roots, joined)
+    return merged
+
+
+def _further_links(members: DataFrame, roots: DataFrame, verified) -> DataFrame:
+    """Roots after other leaders of the buckets (band, key, node, n, lead) that have members of several classes, and after all pairs of small buckets.
+
+    A round compares each member with at most one other of its bucket. A bucket of two has been compared whole by its first leader.
+    """
+    key, pair = ["band", "key"], (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    larger = members.where("n > 2")
+    for k in range(1, ROUNDS + 1):
+        of = larger.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        leads = of.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("l"))
+        leads = leads.where("lo <> hi").select(*key, F.col("l.node").alias("other"), F.col("l.root").alias("other_root"))
+        links = verified(of.join(leads, key).where("root <> other_root").select(*pair).distinct(), f"neardup-links-{k}")
+        if links.isEmpty():
+            discard(links)
+            break
+        roots = _merged(roots, links)
+        discard(links)
+    few = larger.where((F.col("n") <= FEW) & (F.col("node") != F.col("lead"))).join(roots, "node", "left").select(*key, "node", F.coalesce("root", "node").alias("root"))
+    pairs = few.join(few.toDF(*key, "other", "other_root"), key).where("node < other and root <> other_root").select(*pair).distinct()
+    links = verified(pairs, "neardup-few-links")
+    if not links.isEmpty():
+        roots = _merged(roots, links)
+    discard(links)
+    return roots
 
 
 def near_duplicate_classes(
@@ -276,7 +313,7 @@ def near_duplicate_classes(
     samples = different.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, samples array<int>")
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("samples")[k] for k in range(b * rows, (b + 1) * rows)]) for b in range(bands)])
     banded = materialize(samples.select("node", F.posexplode(keys).alias("band", "key")), "neardup-bands")
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("lead")).where("n > 1").drop("n")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("lead")).where("n > 1")
     members = materialize(banded.join(shared, ["band", "key"]), "neardup-members")
     texts = materialize(different.join(members.select("node").distinct(), "node", "left_semi"), "neardup-texts")
     discard(banded, different)
@@ -284,8 +321,9 @@ def near_duplicate_classes(
     links = _verified(pairs, texts, size, similarity, idf, "neardup-links")
     roots = connected_components(links)
     discard(links)
-    # buckets whose members are of several classes
-    tagged = members.drop("lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = _further_links(members, roots, lambda pairs, name: _verified(pairs, texts, size, similarity, idf, name))
+    # larger buckets whose members are of several classes
+    tagged = members.where(F.col("n") > FEW).select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = tagged.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
     left = materialize(tagged.join(mixed, ["band", "key"], "left_semi").select("node").distinct(), "neardup-left")
     discard(members)

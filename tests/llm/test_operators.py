@@ -736,3 +736,11 @@ def test_extra_columns_do_not_matter(spark, odd):
     assert chat.chat_digest(chat.format_chat(turns)).first().loss_chars == 2
     crowded = odd.withColumns({"n_words": F.lit("x"), "distance": F.lit("y"), "start": F.lit(1), "x0": F.lit("z")})
     assert quality_rules.judge(crowded).columns == quality_rules.judge(odd).columns
+
+
+def test_rarest_shingles_tell_what_a_pair_has_met_before():
+    shingles = [{"n": 2, "h": k, "w": 1.0} for k in range(1000)]
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64()), ("w", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([7]), pa.array([shingles], kind)], names=["node", "root", "shingles"])
+    rows = next(neardup._prefix_batches(neardup.SIMILARITY)(iter([batch]))).to_pylist()
+    assert len(rows) > 100 and all(r["before"] == list(range(min(r["h"], neardup.MET))) for r in rows)
