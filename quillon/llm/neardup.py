@@ -247,7 +247,10 @@ def _exact_pairs(texts: DataFrame, roots: DataFrame, similarity: float, size: in
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float, idf: np.ndarray, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as asked, as a table; of several texts of an id any may be."""
+    """The pairs (a, b) whose texts are as similar as asked, as a table; of several texts of an id any may be.
+
+    ``texts`` is bucketed by its node: what moves is one text of each pair.
+    """
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(_verify_batches(size, similarity, idf), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), name)
 
@@ -307,7 +310,7 @@ def near_duplicate_classes(
     folded = materialize(prints.join(least, ["n", "one", "two"], "left").select("node", F.coalesce("rep", "node").alias("rep"), "n"), "neardup-folded")
     reps = folded.where("n > 0 and node = rep").select("node").distinct()
     each = known.join(reps, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("rev")).agg(F.first("text").alias("text"))
-    different = materialize(each.select("node", "text"), "neardup-different")
+    different = materialize(each.select("node", "text"), "neardup-different", key="node")
     discard(prints)
     idf = inverse_frequencies(different, size)
     samples = different.mapInArrow(_sign_batches(size, bands * rows, idf), "node long, samples array<int>")
@@ -315,7 +318,7 @@ def near_duplicate_classes(
     banded = materialize(samples.select("node", F.posexplode(keys).alias("band", "key")), "neardup-bands")
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("lead")).where("n > 1")
     members = materialize(banded.join(shared, ["band", "key"]), "neardup-members")
-    texts = materialize(different.join(members.select("node").distinct(), "node", "left_semi"), "neardup-texts")
+    texts = materialize(different.join(members.select("node").distinct(), "node", "left_semi"), "neardup-texts", key="node")
     discard(banded, different)
     pairs = members.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = _verified(pairs, texts, size, similarity, idf, "neardup-links")

@@ -312,6 +312,23 @@ def test_near_duplicates_of_odd_rows_and_of_none(odd):
     assert neardup.near_duplicate_classes(odd.limit(0)).count() == 0
 
 
+def test_texts_move_once(spark, docs, monkeypatch):
+    """After the texts are dealt out by their ids, only the other side of a join by id moves."""
+    plans, write = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, **k: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name, **k))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        neardup.near_duplicate_classes(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items()}
+    assert moved["neardup-texts"] == 1  # the ids of the members
+    plan = plans["neardup-links"]
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text_b" in line] and "text_b" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("neardup_")]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(200, 201), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
