@@ -717,7 +717,15 @@ def test_attention_lowers_the_loss_on_held_out_texts(spark):
             loss[k] -= float(m.score(s.x, s.begin).sum())
     assert loss[0] < 0.995 * loss[1], loss
 
-
+def test_attention_learns_from_every_training_document(docs, monkeypatch):
+    is_held, seen = lm_scoring.held_out(F.col("doc_id")), []
+    monkeypatch.setattr(lm_scoring, "train", lambda texts, words, model, *a: seen.append([r.doc_id for r in texts.collect()]) or model)
+    lm_scoring.score(docs, lm_scoring.Subwords.load(registry.SUBWORDS))
+    want = sorted(r.doc_id for r in docs.where(~is_held).collect())
+    assert sorted(seen[0]) == want
+    met = [[r.doc_id for r in some.collect()] for _, some in lm_scoring.rounds(docs.where(~is_held), 2, lm_scoring.RATES)]
+    assert sorted(sum(met, [])) == sorted(2 * want) and all(met)
+    assert all(len(set(met[k] + met[k + 1])) == len(met[k]) + len(met[k + 1]) for k in range(0, len(met), 2))
 
 # queries against their SQL
 
