@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, discard, materialize
-from quillon.llm.grams import WORD_BASE, Words, mix64, ranges, slices
+from quillon.llm.grams import SMALL, WORD_BASE, Words, mix64, ranges, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of samples: at a similarity of 0.8 a pair shares no band with probability 0.0002.
@@ -69,7 +69,7 @@ def _frequency_batches(size: int, buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 _, h, _ = _weighted(words, size, None)
                 total += np.bincount((h >> np.uint64(48)).astype(np.int64) % buckets, minlength=buckets)
         hit = np.flatnonzero(total)
@@ -101,7 +101,7 @@ def _tables(samples: int) -> tuple[np.ndarray, ...]:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: the number of its words, and two hashes of all of them."""
     for batch in batches:
-        for words in slices(batch.column("text")):
+        for words in slices(batch.column("text"), size=SMALL):
             h = words.hashes()
             one, two = (ranges(x, WORD_BASE, words.first[:-1], words.first[1:]) for x in (h, mix64(h + np.uint64(99))))
             node = batch.column("node").slice(words.rows.start, len(words.first) - 1)
@@ -116,7 +116,7 @@ def _sign_batches(size: int, samples: int, idf: np.ndarray):
         tables = _tables(samples)
         salts = mix64(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 owner, h, weight = _weighted(words, size, idf)
                 drawn = np.zeros((len(words.first) - 1, samples), dtype=np.int32)
                 if len(h):
@@ -142,7 +142,7 @@ def _verify_batches(size: int, similarity: float, idf: np.ndarray):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             out = []
-            for words in slices(column):
+            for words in slices(column, size=SMALL):
                 owner, h, weight = _weighted(words, size, idf)
                 cut = np.searchsorted(owner, np.arange(len(words.first)))
                 out += [(h[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:])]
@@ -164,7 +164,7 @@ def _verify_batches(size: int, similarity: float, idf: np.ndarray):
 def _shingle_batches(size: int, idf: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 owner, h, weight = _weighted(words, size, idf)
                 node = batch.column("node").slice(words.rows.start, len(words.first) - 1).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([node, pa.array(h.view(np.int64)), pa.array(weight)], names=["node", "h", "w"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import discard, materialize, numbered
-from quillon.llm.grams import WORD_BASE, Words, ranges, slices
+from quillon.llm.grams import SMALL, WORD_BASE, Words, ranges, slices
 
 #: Words of a window, and words of the runs among which its minimizer is chosen.
 SIZE, RUN = 20, 10
@@ -67,7 +67,7 @@ def _span_batches(size: int, run: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, rev = batch.column("doc"), batch.column("rev")
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 text, anchor, start, n = _paths(words, size, run)
                 if not len(text):
                     continue
@@ -99,7 +99,7 @@ def _path_batches(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, rev = batch.column("doc"), batch.column("rev")
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 flat, owner = _flat(batch.column("spans").slice(words.rows.start, len(words.first) - 1))
                 anchor, start, n = (flat.field(c).to_numpy() for c in ("anchor", "start", "n"))
                 at = words.first[owner] + start
@@ -125,7 +125,7 @@ def _edge_batches(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, rev = batch.column("doc"), batch.column("rev")
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 flat, owner = _flat(batch.column("spans").slice(words.rows.start, len(words.first) - 1))
                 n = flat.field("n").to_numpy().astype(np.int64)
                 row = np.repeat(np.arange(len(n)), n)
@@ -190,7 +190,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, run: int = RUN) -> DataF
 def _cut_batches(size: int, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in slices(batch.column("text")):
+            for words in slices(batch.column("text"), size=SMALL):
                 out = {"n_words": words.lengths(), "n_removed": [], "kept_sha256": [], "text": []}
                 spaced, where = words.spaced()
                 flat, owner = _flat(batch.column("spans").slice(words.rows.start, len(words.first) - 1))

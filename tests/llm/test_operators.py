@@ -312,6 +312,12 @@ def test_near_duplicates_of_odd_rows_and_of_none(odd):
     assert neardup.near_duplicate_classes(odd.limit(0)).count() == 0
 
 
+def test_smaller_slices_hold_the_same_words():
+    texts = pa.array([" ".join(f"w{(i * j) % 41}" for j in range(i)) for i in range(90)] + [None, ""])
+    told = lambda size: [w.data[a:b].tobytes() for w in neardup.slices(texts, size=size) for a, b in zip(w.starts, w.ends)]
+    assert told(64) == told(1 << 20) and max(len(w.data) for w in neardup.slices(texts, size=500)) <= 500
+
+
 def test_texts_move_once(spark, docs, monkeypatch):
     """After the texts are dealt out by their ids, only the other side of a join by id moves."""
     plans, write = {}, neardup.materialize
