@@ -49,8 +49,8 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html as bytes, digest, response_id, revisit) of pages (page_id, url, html).
+def plan_records(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(page_id, url, html as bytes, digest, response_id, revisit) of pages (page_id, url, html), and the stored table they are joined with.
 
     Of equal payloads of ``least_bytes`` or more, the one of largest page_id is the response, a null id being
     the least; rows that tie there are responses all. Payloads count as equal by SHA-1 and length. A digest is
@@ -62,9 +62,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     repeated = materialize(repeated.withColumn("known", F.lit(True)), "warc-repeated")
     planned = rows.join(repeated, ["digest", "size"], "left")
     revisit = F.coalesce("known", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    out = planned.select("page_id", "url", "payload", "digest", "size", F.when(revisit, F.col("response_id")).alias("response_id"), revisit.alias("revisit"))
-    out.stored_at = repeated.stored_at
-    return out
+    return planned.select("page_id", "url", "payload", "digest", "size", F.when(revisit, F.col("response_id")).alias("response_id"), revisit.alias("revisit")), repeated
 
 
 def _record_id(page_id, digest: str) -> str:
@@ -197,9 +195,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     their own. An empty table writes no archive and gives an empty manifest. Other columns are left out. A record
     larger than ``archive_bytes`` makes an archive of its own.
     """
-    planned = plan_records(pages, least_bytes)
+    planned, repeated = plan_records(pages, least_bytes)
     manifest = materialize(planned.mapInArrow(_write(folder, archive_bytes), MANIFEST), "warc-manifest")
-    discard(planned)
+    discard(repeated)
     return manifest
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 from collections import Counter
@@ -14,6 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from quillon.llm import fim, phrases, warc
+from quillon.session import shared_dir
 
 # 11: archives
 
@@ -57,6 +59,15 @@ def test_small_payloads_do_not_refer_to_others(spark):
     assert warc.archived_pages(pages.limit(0)).collect() == []
 
 
+def test_archives_leave_only_their_records_behind(spark):
+    """The tables and the folder that archiving needs on its way are deleted, and each with the name it was stored under."""
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "quillon"
+    before = set(folder.glob("warc-*"))
+    back = warc.archived_pages(_pages(spark)[1])
+    left = set(folder.glob("warc-*")) - before
+    assert [p.name for p in left] == [pathlib.Path(back.stored_at).name] and back.count() == len(_pages(spark)[0])
+
+
 def test_an_archive_begins_with_its_dictionary():
     rng = random.Random(3)
     texts = [" ".join(rng.choices(["alpha", "beta", "<div class='x'>", "gamma", "</div>"], k=300)).encode() for _ in range(200)]
