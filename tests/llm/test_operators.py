@@ -733,6 +733,64 @@ def test_attention_learns_from_every_training_document(docs, monkeypatch):
     assert sorted(sum(met, [])) == sorted(2 * want) and all(met)
     assert all(len(set(met[k] + met[k + 1])) == len(met[k]) + len(met[k + 1]) for k in range(0, len(met), 2))
 
+
+def test_runs_hold_each_window_once(docs):
+    """The blocks that windows share are laid out once, and no window is lost or met twice."""
+    words, block = lm_scoring.Subwords.load(registry.SUBWORDS), lm_scoring.BLOCK
+    texts = pa.array([r.text for r in docs.collect()] + [None, "", "a", *(" ".join(["one"] * n) for n in range(28, 36))])
+    shared = 0
+    for part in lm_scoring.slices(texts, lower=True):
+        s = lm_scoring.stream(words, part)
+        want = [s.x[i : i + 2 * block + 1].tobytes() for a, b in zip(s.begin, s.begin[1:]) for i in range(a, b - 2 * block, block)]
+        runs, n = lm_scoring.runs_of(s)
+        got = [run[block * k : block * (k + 2) + 1].tobytes() for run, m in zip(runs, n) for k in range(m)]
+        assert got == want
+        shared += len(want) - len(runs)
+    assert shared > 100
+
+
+def test_gradients_equal_differences_of_the_loss():
+    """Each parameter that is learnt, against plain differences in double precision; windows beyond a run's number count for nothing."""
+    rng, block, width, classes = np.random.default_rng(3), lm_scoring.BLOCK, lm_scoring.WIDTH, lm_scoring.CLASSES
+    p = {"q": rng.normal(size=(width, width)) * 0.3, "k": np.eye(width), "v": np.eye(width), "o": rng.normal(size=(width, classes)) * 0.3, "b": rng.normal(size=2 * block)}
+    m = lm_scoring.Model(rng.integers(0, classes, 50), rng.normal(size=(50, classes)), np.zeros(50), rng.normal(size=(50, width)), p)
+    runs, n = rng.integers(0, 50, (3, (lm_scoring.RUN + 1) * block + 1)), np.array([lm_scoring.RUN, 1, 2])
+
+    def loss(p):
+        total = 0.0
+        for run, many in zip(runs, n):
+            for i in range(block, (many + 1) * block):
+                reach = range((i // block - 1) * block, i + 1)
+                w = np.exp([m.embed[run[i]] @ p["q"] @ (m.embed[run[j]] @ p["k"]) / math.sqrt(width) + p["b"][i - j] for j in reach])
+                logits = m.next_class[run[i]] + w / w.sum() @ (m.embed[run[list(reach)]] @ p["v"]) @ p["o"]
+                total += np.log(np.exp(logits).sum()) - logits[m.classes[run[i + 1]]]
+        return total / (n.sum() * block)
+
+    got = lm_scoring.gradients(m, runs, n)
+    assert sorted(got) == sorted(lm_scoring.LEARNT)
+    for c, place in (("q", (2, 5)), ("q", (7, 0)), ("o", (3, 1)), ("o", (15, 31)), ("b", (0,)), ("b", (20,))):
+        by = []
+        for step in (1e-5, -1e-5):
+            moved = p[c].copy()
+            moved[place] += step
+            by.append(loss(p | {c: moved}))
+        assert got[c][place] == pytest.approx((by[0] - by[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_words_are_cut_alike_whatever_is_remembered(monkeypatch):
+    words = lm_scoring.Subwords.load(registry.SUBWORDS)
+    texts = pa.array(["a strange wordlike éclair 😀x \x85\xa0y", "wordlike strange again " + "z" * 300, "éclair a new 😀x \ufffd", None] * 2)
+    for most in (0, 4, 1 << 18):
+        monkeypatch.setattr(lm_scoring, "REMEMBERED", most)
+        monkeypatch.setattr(words, "cuts", lm_scoring.Cuts())
+        for part in lm_scoring.slices(texts, lower=True, size=40):
+            s = lm_scoring.stream(words, part)
+            for t, (a, b) in enumerate(zip(s.begin, s.begin[1:])):
+                said = WORD.findall(texts[part.rows.start + t].as_py() or "")
+                assert s.x[a + 1 : b - 1].tolist() == [i for w in said for i in words.cut([w.encode()])[0].tolist()]
+        assert len(words.cuts.hashes) <= most
+
+
 # queries against their SQL
 
 
