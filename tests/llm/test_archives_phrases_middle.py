@@ -193,6 +193,37 @@ def test_run_lengths_over_batches_of_any_cut(monkeypatch, told):
         assert sorted(heard) == [i for k, _, i in rows if want[k] >= 30]
 
 
+def test_what_waits_to_be_told_does_not_hold_whole_batches():
+    """A frequent key in each of many batches of rare ones: only its own rows wait."""
+
+    def batches():
+        for i in range(100):
+            keys = phrases.packed(np.full(5000, i + 1), np.append(np.zeros(50, np.int64), np.arange(1, 4951)), 8)
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([1] * 5000), pa.array(list(range(5000)))], names=["key", "n", "slice"])
+
+    before, most, told = pa.total_allocated_bytes(), 0, 0
+    for out in phrases._run_lengths(50, 5, True, 8, part=3)(batches()):
+        most = max(most, pa.total_allocated_bytes() - before)
+        told += sum(len(x) // 8 for x in out.column("told").to_pylist() if x)
+    assert told == 100 * 50
+    assert most < 10 * 5000 * (16 + 4 + 8 + 8)  # ten batches of a hundred
+
+
+def test_slices_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """A slice is a long row: Spark's own limits let a batch that is read have thousands of them, and one for Python 64 MB."""
+    held, stored = {k: spark.conf.get(k, None) for k in phrases.BATCHES}, []
+    seen = phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, name: stored.append((name, *(int(spark.conf.get(k)) for k in phrases.BATCHES))) or seen(df, name))
+    df = spark.range(500).select(F.lit("en").alias("lang"), F.lit("to be or not to be that is").alias("text"))
+    assert phrases.mine(df).count() > 0
+    assert {"phrase-slices", "phrase-ids", "phrase-runs-2", "phrase-best"} <= {s[0] for s in stored}
+    assert all(size <= 8 << 20 and rows <= 16 for _, size, rows in stored)
+    assert {k: spark.conf.get(k, None) for k in phrases.BATCHES} == held
+    row = phrases._coded(pa.array([1]), np.array([0, 1, 0, 0, 2, 2, 0], np.int32), np.array([7, 1 << 40]))
+    assert row.column("codes").type.value_type == pa.int32() and row.column("codes")[0].as_py() == [1, 0, 2, 2]
+    assert [x.tolist() for x in phrases.neighbours(np.array([1, 0, 2, 2, 1, 2, 2]), np.array([7, 1 << 40]))] == [[7, 1 << 40, 1 << 40], [1 << 40, 7, 1 << 40], [1, 1, 2]]
+
+
 # 13: fill-in-middle
 
 
