@@ -749,6 +749,67 @@ def test_runs_hold_each_window_once(docs):
     assert shared > 100
 
 
+def test_each_place_of_each_training_text_is_judged_once(docs):
+    """First blocks, places after the last whole block and texts of less than a window too, each with all that it may attend to."""
+    words, block = lm_scoring.Subwords.load(registry.SUBWORDS), lm_scoring.BLOCK
+    texts = pa.array([r.text for r in docs.limit(60).collect()] + [None, "", "a", *(" ".join(["one"] * n) for n in range(10, 36))])
+    for part in lm_scoring.slices(texts, lower=True):
+        s = lm_scoring.stream(words, part)
+        want, got = [], []
+        for a, b in zip(s.begin, s.begin[1:]):
+            for i in range(a, b - 1):
+                first = max(a, a + ((i - a) // block - 1) * block)
+                want.append((tuple(s.x[first : i + 1]), s.x[i + 1], i - first))
+        runs, n = lm_scoring.runs_of(s)
+        for run, m in zip(runs, n):
+            got += [(tuple(run[i // block * block - block : i + 1]), run[i + 1], i - (i // block - 1) * block) for i in range(block, (m + 1) * block)]
+        runs, n, places, opens = lm_scoring.margins_of(s)
+        for run, m, many, new in zip(runs, n, places, opens):
+            assert m == 1 and 0 < many <= block
+            got += [(tuple(run[block * new : i + 1]), run[i + 1], i - block * new) for i in range(block, block + many)]
+        assert sorted(got) == sorted(want)
+
+
+def test_descent_meets_texts_of_less_than_a_window():
+    """Texts without a whole window move the parameters, and an empty one counts a place."""
+    words, rng = lm_scoring.Subwords.load(registry.SUBWORDS), np.random.default_rng(4)
+    classes = rng.integers(0, lm_scoring.CLASSES, words.size)
+    model = lm_scoring.start(classes, np.ones(words.size), rng.random((words.size, lm_scoring.CLASSES)).astype(np.float32))
+    shared = type("Shared", (), {"value": model})
+    texts = pa.RecordBatch.from_arrays([pa.array(["a few words", "and others", None])], names=["text"])
+    (out,) = lm_scoring._descend_batches(words, shared, 0.01, 0)(iter([texts]))
+    assert set(out.column("n").to_pylist()) == {4 + 3 + 1}
+    moved = out.column("v").to_numpy() / out.column("n").to_numpy() - lm_scoring.flattened(model.p)
+    assert np.abs(moved).max() > 1e-3
+
+
+def test_gradients_of_margins_equal_differences_of_the_loss():
+    """Places that do not count give nothing, and nothing attends to a block before the text."""
+    rng, block, width, classes = np.random.default_rng(5), lm_scoring.BLOCK, lm_scoring.WIDTH, lm_scoring.CLASSES
+    p = {"q": rng.normal(size=(width, width)) * 0.3, "k": np.eye(width), "v": np.eye(width), "o": rng.normal(size=(width, classes)) * 0.3, "b": rng.normal(size=2 * block)}
+    m = lm_scoring.Model(rng.integers(0, classes, 50), rng.normal(size=(50, classes)), np.zeros(50), rng.normal(size=(50, width)), p)
+    runs, n, places, opens = rng.integers(0, 50, (3, 2 * block + 1)), np.ones(3, int), np.array([block, 1, 5]), np.array([True, True, False])
+
+    def loss(p):
+        total = 0.0
+        for run, many, new in zip(runs, places, opens):
+            for i in range(block, block + many):
+                reach = range(block if new else 0, i + 1)
+                w = np.exp([m.embed[run[i]] @ p["q"] @ (m.embed[run[j]] @ p["k"]) / math.sqrt(width) + p["b"][i - j] for j in reach])
+                logits = m.next_class[run[i]] + w / w.sum() @ (m.embed[run[list(reach)]] @ p["v"]) @ p["o"]
+                total += np.log(np.exp(logits).sum()) - logits[m.classes[run[i + 1]]]
+        return total / places.sum()
+
+    got = lm_scoring.gradients(m, runs, n, places, opens)
+    for c, place in (("q", (2, 5)), ("q", (7, 0)), ("o", (3, 1)), ("o", (15, 31)), ("b", (0,)), ("b", (20,))):
+        by = []
+        for step in (1e-5, -1e-5):
+            moved = p[c].copy()
+            moved[place] += step
+            by.append(loss(p | {c: moved}))
+        assert got[c][place] == pytest.approx((by[0] - by[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
 def test_gradients_equal_differences_of_the_loss():
     """Each parameter that is learnt, against plain differences in double precision; windows beyond a run's number count for nothing."""
     rng, block, width, classes = np.random.default_rng(3), lm_scoring.BLOCK, lm_scoring.WIDTH, lm_scoring.CLASSES
